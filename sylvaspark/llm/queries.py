@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_extract, mixing, quality, tiff, url_filter
+from . import bpe, exact_dedup, html_extract, jaccard_join, mixing, quality, tiff, url_filter
 from .common import table
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_groups(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
@@ -36,5 +40,5 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_html_extraction, op4_quality_classifier, op5_bpe, op6_media_tiff, op7_url_filter, op9_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_exact_dedup, op3_html_extraction, op4_quality_classifier, op5_bpe, op6_media_tiff, op7_url_filter, op9_source_mixing)}
 ORACLE_SQL = {"op2_exact_dedup": exact_dedup.SQL, "op9_source_mixing": mixing.SQL}
