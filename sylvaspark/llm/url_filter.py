@@ -2,8 +2,8 @@
 
 Host labels are concatenated names; a unigram Viterbi search cuts them into
 words, and multinomial naive Bayes scores the words of host and path.  The unigram
-counts come from the corpus (titles of all pages, at most ``VOCABULARY`` words by
-count, which bounds what is broadcast) with the words of the labelled names added;
+counts come from the corpus (titles of all pages; words with a share of 1/VOCABULARY
+or more, which bounds what is broadcast) with the words of the labelled names added;
 naive Bayes is trained on a small list of labelled names.  A word that neither
 class knows says nothing, so a host of unknown words keeps the prior.
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import materialize, tune
 
 VOCABULARY = 50_000
 #: Labelled names: (words, block).  Fixed training rows, a parameter of :func:`train`.
@@ -65,11 +65,12 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def vocabulary(pages: DataFrame, html: str = "html", most: int = VOCABULARY) -> dict[str, int]:
-    """Counts of the titles' words over all pages: the ``most`` commonest, ties by word."""
+    """Counts of the titles' words over all pages, of words with a share of 1/``most`` or more: at most ``most`` words."""
     title = F.regexp_extract(F.coalesce(F.col(html), F.lit("")), r"(?is)<title[^>]*>(.*?)</title", 1)
     word = F.explode(F.regexp_extract_all(F.lower(title), F.lit(r"([\p{L}]{2,})"), F.lit(1))).alias("word")
-    rows = pages.select(word).groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).collect()
-    return {r["word"]: r["count"] for r in rows}
+    counts = materialize(pages.select(word).groupBy("word").count(), "words")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    return {r["word"]: r["count"] for r in counts.where(F.col("count") * most >= total).collect()}
 
 
 class Segmenter:
