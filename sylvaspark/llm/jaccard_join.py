@@ -5,7 +5,7 @@ one node; from there on only nodes are compared.
 
 Bands.  Sizes fall into bands so that a partner's size is in the same band or the
 next.  Space j holds the pairs whose smaller set is in band j, so a set is indexed in
-the spaces of its own band and of the band below.  A linked pair of space j differs
+the space of its own band and, if that band can reach it, in the one below.  A linked pair of space j differs
 in at most H_j shingles.
 
 Segments.  The universe of shingles is cut by hash into M_j segments, a quarter more
@@ -62,7 +62,7 @@ class Spaces:
         self.top: list[int] = []
         low = 1
         while low < 1 << 40:
-            self.top.append(max(low, low * den // num))
+            self.top.append(max(low, low * den // num * den // num))
             low = self.top[-1] + 1
 
     def band(self, n: int) -> int:
@@ -80,7 +80,8 @@ class Spaces:
     def of(self, n: int) -> list[int]:
         """The spaces of a set of n shingles; a space whose pairs are equal sets needs no index."""
         b = self.band(n)
-        return [j for j in (b - 1, b) if j >= 0 and self.shape(j)[0] > 1]
+        below = b > 0 and n <= self.top[b - 1] * self.den // self.num
+        return [j for j in ((b - 1, b) if below else (b,)) if self.shape(j)[0] > 1]
 
 
 def identity(h: np.ndarray) -> tuple[int, int]:
