@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_extract, jaccard_join, mixing, quality, tiff, url_filter
+from . import bpe, exact_dedup, html_extract, jaccard_join, lm_score, mixing, quality, tiff, url_filter
 from .common import table
 
 
@@ -40,5 +40,9 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_exact_dedup, op3_html_extraction, op4_quality_classifier, op5_bpe, op6_media_tiff, op7_url_filter, op9_source_mixing)}
-ORACLE_SQL = {"op2_exact_dedup": exact_dedup.SQL, "op9_source_mixing": mixing.SQL}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_exact_dedup, op3_html_extraction, op4_quality_classifier, op5_bpe, op6_media_tiff, op7_url_filter, op9_source_mixing, op10_lm_scoring)}
+ORACLE_SQL = {"op2_exact_dedup": exact_dedup.SQL, "op9_source_mixing": mixing.SQL, "op10_lm_scoring": lm_score.SQL}
