@@ -11,8 +11,8 @@ the exploded bigrams, so neither the table nor its join is shuffled a second tim
 They travel as blocks of a few hundred documents, a bigram in six bytes and its
 count.  A bigram seen ``min_count`` times or more scores c(v w) / c(v), any other
 ``backoff`` * c(w) / N, and a text's first word c(w) / N.  Logarithms are rounded to
-millionths, so that sums are exact and agree in every order; they are summed per
-bucket and document, and then per document.
+millionths, so that sums are exact and agree in every order; a bucket returns each
+block's sums as one row, and they are added per block and then per document.
 
 A document has at most one entry for a bigram, however often it repeats, so a bucket
 of a very frequent bigram has one entry per document more than others.
@@ -67,13 +67,16 @@ def unigrams(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-_BUCKET = "bucket int, docs array<long>, doc binary, low binary, high binary, n binary"
+_BUCKET = "bucket int, block string, docs array<long>, doc binary, low binary, high binary, n binary"
 
 
 def bigrams(docs: DataFrame, vocabulary, buckets: int) -> DataFrame:
     """Blocks of the documents' bigrams, dealt by hash: each document's distinct bigrams with their counts."""
 
     def run(batches):
+        from pyspark import TaskContext
+
+        task, blocks = TaskContext.get().partitionId(), 0
         vocab = vocabulary.value[0]
         unknown, start = len(vocab), len(vocab) + 1
         for batch in batches:
@@ -98,13 +101,13 @@ def bigrams(docs: DataFrame, vocabulary, buckets: int) -> DataFrame:
                 bucket = (mix(key) % U(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                rows = []
+                rows, name, blocks = [], f"{task}-{blocks}", blocks + 1
                 for i in np.flatnonzero(np.diff(cut)):
                     one = order[cut[i] : cut[i + 1]]
                     present, local = np.unique(doc[one], return_inverse=True)
                     k = key[one]
-                    rows.append((int(i), [who[a + d] for d in present], local.astype(np.uint16).tobytes(), (k & U(0xFFFFFFFF)).astype(np.uint32).tobytes(), (k >> U(32)).astype(np.uint16).tobytes(), n[one].tobytes()))
-                types = [pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+                    rows.append((int(i), name, [who[a + d] for d in present], local.astype(np.uint16).tobytes(), (k & U(0xFFFFFFFF)).astype(np.uint32).tobytes(), (k >> U(32)).astype(np.uint16).tobytes(), n[one].tobytes()))
+                types = [pa.int32(), pa.string(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[c.split()[0] for c in _BUCKET.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, _BUCKET)
@@ -128,13 +131,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", backoff: flo
     def join(group: pa.Table) -> pa.Table:
         count = vocabulary.value[1]
         start = len(count)
-        parts, who, at = [], [], 0
+        parts, sizes = [], []
         for docs_, doc, low, high, n in zip(*(group.column(x) for x in ("docs", "doc", "low", "high", "n"))):
-            ids = docs_.as_py()
             k = np.frombuffer(low.as_py(), np.uint32).astype(np.int64) | (np.frombuffer(high.as_py(), np.uint16).astype(np.int64) << 32)
-            parts.append((k, np.frombuffer(n.as_py(), np.uint32), np.frombuffer(doc.as_py(), np.uint16).astype(np.int64) + at))
-            who.extend(ids)
-            at += len(ids)
+            parts.append((k, np.frombuffer(n.as_py(), np.uint32), np.frombuffer(doc.as_py(), np.uint16).astype(np.int64) + sum(sizes[-1:])))
+            sizes.append(sum(sizes[-1:]) + len(docs_))
+        at = sizes[-1]
         k, n, doc = (np.concatenate(x) for x in zip(*parts))
         distinct, place = np.unique(k, return_inverse=True)
         seen = np.bincount(place, n)  # this hash range of the bigram table
@@ -147,9 +149,23 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", backoff: flo
         out = [np.bincount(doc, n * x[place], at) for x in (np.ones(len(units)), missed.astype(float))]
         # sums of millionths stay whole numbers below 2**53
         logs = np.bincount(doc, n * units[place].astype(float), at)
-        return pa.table({"doc_id": pa.array(who, pa.int64()), "words": pa.array(out[0].astype(np.int64)), "missed": pa.array(out[1].astype(np.int64)), "units": pa.array(logs.astype(np.int64))})
-
-    partial = bigrams(docs, vocabulary, buckets).groupBy("bucket").applyInArrow(join, "doc_id long, words long, missed long, units long")
+        sums = np.stack([*out, logs]).astype(np.int64)
+        packed = [sums[:, x:y].tobytes() for x, y in zip([0, *sizes[:-1]], sizes)]
+        return pa.table({"block": group.column("block"), "docs": group.column("docs"), "sums": pa.array(packed, pa.binary())})
+
+    def add(group: pa.Table) -> pa.Table:
+        found: dict = {}
+        for docs_, sums in zip(group.column("docs"), group.column("sums")):
+            for who, *x in zip(docs_.as_py(), *np.frombuffer(sums.as_py(), np.int64).reshape(3, -1).tolist()):
+                if who in found:
+                    found[who] = [a + b for a, b in zip(found[who], x)]
+                else:
+                    found[who] = x
+        columns = zip(*found.values())
+        return pa.table({"doc_id": pa.array(list(found), pa.int64()), **{c: pa.array(x, pa.int64()) for c, x in zip(("words", "missed", "units"), columns)}})
+
+    parts = bigrams(docs, vocabulary, buckets).groupBy("bucket").applyInArrow(join, "block string, docs array<long>, sums binary")
+    partial = parts.groupBy("block").applyInArrow(add, "doc_id long, words long, missed long, units long")
     blank = docs.select("doc_id", *(F.lit(0).cast("long").alias(c) for c in ("words", "missed", "units")))
     sums = partial.unionByName(blank).groupBy("doc_id").agg(F.sum("words").alias("n_words"), F.sum("missed").alias("n_backoff"), F.sum("units").alias("units"))
     logprob = F.col("units") / F.lit(_MICRO)
