@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_extract, jaccard_join, lm_score, mixing, quality, tiff, url_filter
+from . import bpe, exact_dedup, html_extract, jaccard_join, lm_score, mixing, quality, suffix_dedup, tiff, url_filter
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -44,5 +48,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_exact_dedup, op3_html_extraction, op4_quality_classifier, op5_bpe, op6_media_tiff, op7_url_filter, op9_source_mixing, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_exact_dedup, op3_html_extraction, op4_quality_classifier, op5_bpe, op6_media_tiff, op7_url_filter, op8_suffix_dedup, op9_source_mixing, op10_lm_scoring)}
 ORACLE_SQL = {"op2_exact_dedup": exact_dedup.SQL, "op9_source_mixing": mixing.SQL, "op10_lm_scoring": lm_score.SQL}
