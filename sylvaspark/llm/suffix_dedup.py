@@ -4,12 +4,13 @@ A byte is removed when a string of ``length`` bytes that covers it also starts
 earlier: in a text with a smaller identifier, or earlier in the same text.
 
 Dealing.  Equal strings have to meet.  Every window of ``length`` bytes has an anchor,
-the least hash of its 32-byte grams (the leftmost of ties), so equal windows have
+the least hash of its 24-byte grams (the leftmost of ties), so equal windows have
 equal anchors at equal places.  Neighbouring windows with the same anchor form one
 segment.  Segments whose anchor occurs once in the corpus hold no repeated window and
 stop there; the others travel with their bytes to a bucket by anchor.
 
-Search.  A bucket's distinct segments are cut into shards.  Each shard gets a
+Search.  Equal segments are one string; an anchor with a single string needs no search.
+The strings of all other anchors of a bucket are cut into shards.  Each shard gets a
 Burrows-Wheeler transform of its strings (rotations sorted by prefix doubling,
 bounded by the window's length); shards are merged by iterative interleave
 refinement (Holt and McMillan, 2014): starting from the plain concatenation of the
@@ -37,10 +38,10 @@ from pyspark.sql import functions as F
 from .common import materialize, text_bytes, tune
 from .texthash import _BYTE, U, _powers, mix
 
-GRAM = 32
+GRAM = 24
 LENGTH = 100
 #: Windows hashed at once; bytes of a shard, and of the shards that are merged into one.
-BLOCK, SHARD, MERGED = 1 << 16, 1 << 17, 1 << 20
+BLOCK, SHARD, MERGED = 1 << 16, 1 << 14, 1 << 16
 _LAST = 2**63 - 1
 _TABLE = _BYTE.copy()
 _TABLE[65:91] = mix(np.arange(65, 91, dtype=np.uint64)) | U(1)  # here A-Z differ from a-z
@@ -110,6 +111,10 @@ class Shard:
         after = np.arange(1, n + 1)
         after[self.ends] = self.starts
         rank, width = self.symbols.astype(np.int64), 1
+        for _ in range(2):  # four symbols fit into one number
+            rank = rank * (int(rank.max()) + 1) + rank[after]
+            after, width = after[after], width * 2
+        rank = np.unique(rank, return_inverse=True)[1]
         while True:  # prefix doubling
             key = rank * (int(rank.max()) + 1) + rank[after]
             order = np.argsort(key, kind="stable")
@@ -170,38 +175,47 @@ def windows(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.nd
     return text[whole], start[whole], interval[whole]
 
 
-def marked(segment: np.ndarray, texts: list[bytes], tid: np.ndarray, first_id: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marked(segment: np.ndarray, texts: list[bytes], alone: np.ndarray, tid: np.ndarray, first_id: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(tid, from, to) byte ranges of windows that also start earlier.
 
     Occurrence i is text ``segment[i]`` in document ``tid[i]`` (of identifier ``first_id[i]``) from byte ``at[i]``.
+    A text that is ``alone`` is its anchor's only one: its windows occur where it does and nowhere else (two windows of
+    one segment have their anchor at different places, so they differ), and it needs no index.
     """
     sizes = np.array([len(t) for t in texts])
     least = np.full(len(texts), _LAST)
     np.minimum.at(least, segment, first_id)
     later = first_id > least[segment]  # all of its windows are in an earlier document
-    out = [(tid[later], at[later], at[later] + sizes[segment[later]])]
-    mine = np.flatnonzero(~later)
-    text, start, interval = windows(texts, length)
-    smallest = np.full(int(interval.max()) + 1, _LAST)
-    np.minimum.at(smallest, interval, least[text])
-    # each window of the segments' earliest occurrences
-    order = np.lexsort((start, text))
-    text, start, interval = text[order], start[order], interval[order]
-    cut = np.searchsorted(text, np.arange(len(texts) + 1))
-    n = np.diff(cut)[segment[mine]]
-    occurrence = np.repeat(mine, n)
-    window = np.repeat(cut[segment[mine]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    v, place = interval[window], at[occurrence] + start[window]
-    flag = first_id[occurrence] > smallest[v]
-    order = np.lexsort((place, tid[occurrence], v))
-    same = (v[order][1:] == v[order][:-1]) & (tid[occurrence][order][1:] == tid[occurrence][order][:-1]) & (place[order][1:] > place[order][:-1])
-    flag[order[1:][same]] = True
-    hit = np.flatnonzero(flag)
-    if len(hit):
-        new = np.concatenate([[True], (occurrence[hit][1:] != occurrence[hit][:-1]) | (place[hit][1:] != place[hit][:-1] + 1)])
-        begin = hit[new]
-        end = hit[np.concatenate([new[1:], [True]])]
-        out.append((tid[occurrence[begin]], place[begin], place[end] + length))
+    whole = later.copy()
+    mine = np.flatnonzero(~later & alone[segment])
+    order = mine[np.lexsort((at[mine], tid[mine], segment[mine]))]
+    whole[order[1:][(segment[order][1:] == segment[order][:-1]) & (tid[order][1:] == tid[order][:-1]) & (at[order][1:] > at[order][:-1])]] = True
+    out = [(tid[whole], at[whole], at[whole] + sizes[segment[whole]])]
+    several = np.flatnonzero(~alone)
+    if len(several):
+        text, start, interval = windows([texts[i] for i in several], length)
+        text = several[text]
+        smallest = np.full(int(interval.max()) + 1, _LAST)
+        np.minimum.at(smallest, interval, least[text])
+        # each window of the segments' earliest occurrences
+        order = np.lexsort((start, text))
+        text, start, interval = text[order], start[order], interval[order]
+        cut = np.searchsorted(text, np.arange(len(texts) + 1))
+        mine = np.flatnonzero(~later & ~alone[segment])
+        n = np.diff(cut)[segment[mine]]
+        occurrence = np.repeat(mine, n)
+        window = np.repeat(cut[segment[mine]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        v, place, owner = interval[window], at[occurrence] + start[window], tid[occurrence]
+        flag = first_id[occurrence] > smallest[v]
+        order = np.lexsort((place, owner, v))
+        same = (v[order][1:] == v[order][:-1]) & (owner[order][1:] == owner[order][:-1]) & (place[order][1:] > place[order][:-1])
+        flag[order[1:][same]] = True
+        hit = np.flatnonzero(flag)
+        if len(hit):
+            new = np.concatenate([[True], (occurrence[hit][1:] != occurrence[hit][:-1]) | (place[hit][1:] != place[hit][:-1] + 1)])
+            begin = hit[new]
+            end = hit[np.concatenate([new[1:], [True]])]
+            out.append((owner[begin], place[begin], place[end] + length))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -275,16 +289,17 @@ def _search(rows: DataFrame, length: int) -> DataFrame:
     """(tid, a, b): byte ranges to remove, from the segments dealt by anchor."""
 
     def run(batches):
-        texts: dict[bytes, int] = {}
+        texts: list[bytes] = []
+        alone: list[bool] = []
+        group: dict[bytes, int] = {}
         held: list[list] = [[], [], [], []]
         size, last = 0, None
 
         def flush():
             nonlocal size
             seg, tid, ids, first = (np.array(x, np.int64) for x in held)
-            out = marked(seg, list(texts), tid, ids, first, length)
-            texts.clear()
-            for x in held:
+            out = marked(seg, texts, np.array(alone), tid, ids, first, length)
+            for x in (texts, alone, *held):
                 x.clear()
             size = 0
             return pa.record_batch([pa.array(x.astype(np.int64)) for x in out], names=["tid", "a", "b"])
@@ -292,15 +307,25 @@ def _search(rows: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             anchors, tids, ids, firsts = (batch.column(i).to_pylist() for i in range(4))
             for anchor, tid, i, first, body in zip(anchors, tids, ids, firsts, batch.column(4).to_pylist()):
-                if size > MERGED and anchor != last:
-                    yield flush()
-                last = anchor
-                at = texts.setdefault(body, len(texts))
-                if at == len(texts) - 1:
-                    size += len(body)
+                if anchor != last:
+                    if len(group) == 1:
+                        alone[-1] = True
+                    group.clear()
+                    if size > MERGED:
+                        yield flush()
+                    last = anchor
+                at = group.get(body)
+                if at is None:
+                    at = group[body] = len(texts)
+                    texts.append(body)
+                    alone.append(False)
+                    if len(group) > 1:
+                        size += len(body)
                 size += 32
                 for x, v in zip(held, (at, tid, i, first)):
                     x.append(v)
+        if len(group) == 1:
+            alone[-1] = True
         if held[0]:
             yield flush()
 
