@@ -31,7 +31,7 @@ from .common import tune
 
 SHORT = 96
 #: Words kept ready in each worker; the memory is bounded.
-CACHE = 200_000
+CACHE = 400_000
 
 
 def byte_chars() -> list[str]:
