@@ -39,6 +39,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(at)
+    spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what is now written
     return spark.read.schema(df.schema).parquet(at)
 
 

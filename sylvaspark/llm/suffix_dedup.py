@@ -230,12 +230,23 @@ def _anchored(texts: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         seen: set[int] = set()
+        held: list[tuple] = []
+
+        def flush():
+            columns = [np.concatenate(x) for x in zip(*held)]
+            held.clear()
+            return pa.record_batch([pa.array(x) for x in columns], names=["anchor", "tid", "first", "size"])
+
         for batch in batches:
             for tid, body in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
                 if tid not in seen and len(body) >= length:
                     seen.add(tid)
                     a, first, size = segments(body, length)
-                    yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(np.full(len(a), tid)), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32))], names=["anchor", "tid", "first", "size"])
+                    held.append((a.view(np.int64), np.full(len(a), tid), first.astype(np.int32), size.astype(np.int32)))
+                    if len(held) == 256:
+                        yield flush()
+        if held:
+            yield flush()
 
     return texts.select("tid", "text").mapInArrow(run, "anchor long, tid long, first int, size int")
 
@@ -273,13 +284,27 @@ def _cut_out(packs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """(anchor, tid, id, first, body): the bytes of the segments, from the first copy of each text."""
 
     def run(batches):
+        held: list[tuple] = []
+        parts: list[bytes] = []
+
+        def flush():
+            columns = [pa.array(np.concatenate(x)) for x in zip(*held)]
+            out = pa.record_batch([*columns, pa.array(parts, pa.binary())], names=["anchor", "tid", "id", "first", "body"])
+            held.clear()
+            parts.clear()
+            return out
+
         for batch in batches:
             tids, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for tid, i, body, rows in zip(tids, ids, text_bytes(batch.column(2)), batch.column(3)):
                 v = rows.values
                 anchor, first, size = (v.field(x).to_numpy() for x in range(3))
-                parts = [body[f : f + n + length - 1] for f, n in zip(first.tolist(), size.tolist())]
-                yield pa.record_batch([pa.array(anchor), pa.array(np.full(len(parts), tid)), pa.array(np.full(len(parts), i)), pa.array(first), pa.array(parts, pa.binary())], names=["anchor", "tid", "id", "first", "body"])
+                parts.extend(body[f : f + n + length - 1] for f, n in zip(first.tolist(), size.tolist()))
+                held.append((anchor, np.full(len(first), tid), np.full(len(first), i), first))
+                if len(parts) > 10_000:
+                    yield flush()
+        if held:
+            yield flush()
 
     joined = texts.join(packs, ["tid", "id"]).select("tid", "id", "text", "rows")
     return joined.mapInArrow(run, "anchor long, tid long, id long, first int, body binary")
