@@ -17,9 +17,9 @@ def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
 
 def artifacts(spark: SparkSession, glob: str) -> DataFrame:
     """Parquet files of many runs with ``dataset``, ``method`` and ``seed`` from .../{dataset}/{method}_seed{n}.parquet."""
-    at = F.input_file_name()
+    at = F.regexp_replace(F.input_file_name(), r"/part-[^/]*$", "")  # a file, or a folder of part files
     df = spark.read.option("mergeSchema", True).parquet(glob)
-    return df.withColumns({"dataset": F.regexp_extract(at, r"/([^/]+)/[^/]+$", 1), "method": F.regexp_extract(at, r"/([^/]+)_seed\d+[^/]*$", 1), "seed": F.regexp_extract(at, r"_seed(\d+)[^/]*$", 1).cast("int")})
+    return df.withColumns({"dataset": F.regexp_extract(at, r"/([^/]+)/[^/]+$", 1), "method": F.regexp_extract(at, r"/([^/]+)_seed\d+[^/]*$", 1), "seed": F.regexp_extract(at, r"_seed(\d+)[^/]*$", 1).try_cast("int")})
 
 
 def save(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "errorifexists") -> None:
