@@ -38,8 +38,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(at)
-    spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what is now written
+    setting = "spark.sql.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")  # what is written needs its shuffle files no longer
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(at)
 
 
