@@ -150,23 +150,30 @@ def exact_dedup(docs: DataFrame, keep: str = "min", key: str = "doc_id", text: s
     ``keep`` is ``min`` or ``max``.  ``digest_bytes`` shortens the index's digest, for tests of collisions.
     """
     sign = {"min": 1, "max": -1}[keep]
-    spark = docs.sparkSession
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text"), *(F.col(c).alias(f"x_{c}") for c in extra))
+    return _grouped(rows, F.col("_text"), sign, buckets, memtable_rows, digest_bytes, extra)
+
+
+def _grouped(rows: DataFrame, text: Column, sign: int, buckets: int | None, memtable_rows: int, digest_bytes: int, extra: tuple[str, ...]) -> DataFrame:
+    """The verdicts of ``rows`` (doc_id, x_*...), whose text is the column ``text``; texts are only moved where they may be copies."""
+    spark = rows.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), normalized(F.col(text)).alias("body"), *(F.col(c).alias(f"x_{c}") for c in extra))
-    full = F.sha2(F.col("body"), 256)
+    full = F.sha2(normalized(text), 256)
     rows = rows.withColumn("text_sha256", full).withColumn("digest", F.rpad(F.substring(F.unhex(full), 1, digest_bytes), 32, F.lit(b"\0")))
-    order = F.coalesce(F.col("doc_id") * sign, F.lit(MISSING))
-    index = materialize(build_index(rows.select("digest", order.alias("key")), buckets, memtable_rows), "lsm").withColumnRenamed("key", "keep_key")
-    # only hits need a lookup's text; the others have their verdict from the index
-    joined = rows.withColumn("key", order).join(index, "digest")
-    several = index.where("n > 1").select("digest", "keep_key")
-    first = rows.withColumn("key", order).join(several, "digest").where("key = keep_key").groupBy("digest").agg(F.max("body").alias("kept_body"))
-    checked = joined.where("n > 1").join(first, "digest").withColumn("same", F.col("body") == F.col("kept_body")).drop("kept_body")
-    alone = joined.where("n = 1").withColumn("same", F.lit(True))
-    kept = ["doc_id", "key", "keep_key", "n", "same", "digest", "text_sha256", *(f"x_{c}" for c in extra)]
-    verdict = alone.select(*kept, F.lit(None).cast("string").alias("body")).unionByName(checked.select(*kept, F.when(F.col("same"), None).otherwise(F.col("body")).alias("body")))
-    verdict = materialize(verdict, "verdict")
-    return _resolve(verdict, sign, extra)
+    rows = rows.withColumn("key", F.coalesce(F.col("doc_id") * sign, F.lit(MISSING)))
+    index = materialize(build_index(rows.select("digest", "key"), buckets, memtable_rows), "lsm").withColumnRenamed("key", "keep_key")
+    several = index.where("n > 1")
+    kept = ["doc_id", "key", "digest", "text_sha256", *(f"x_{c}" for c in extra)]
+    alone = rows.join(several.select("digest"), "digest", "left_anti").select(*kept)
+    alone = alone.select("*", F.col("key").alias("keep_key"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("same"), F.lit(None).cast("string").alias("body"))
+    hits = materialize(rows.join(several, "digest"), "hits").withColumn("body", normalized(text))
+    first = hits.where("key = keep_key").groupBy("digest").agg(F.max("body").alias("kept_body"))
+    checked = hits.join(first, "digest").withColumn("same", F.col("body") == F.col("kept_body"))
+    checked = checked.select(*kept, "keep_key", "n", "same", F.when(F.col("same"), None).otherwise(F.col("body")).alias("body"))
+    found = _resolve(materialize(checked, "verdict"), sign, extra)
+    single = F.when(F.col("key") < MISSING, F.col("key") * sign)
+    unique = alone.select("doc_id", single.alias("keep_id"), F.col("n").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", *(F.col(f"x_{c}").alias(c) for c in extra))
+    return unique.unionByName(found)
 
 
 def _resolve(verdict: DataFrame, sign: int, extra: tuple[str, ...]) -> DataFrame:
@@ -192,8 +199,10 @@ def _resolve(verdict: DataFrame, sign: int, extra: tuple[str, ...]) -> DataFrame
 def deduplicate(docs: DataFrame, keep: str = "min", key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without the rows whose text an earlier (``keep`` = min) or later (max) row has; columns unchanged."""
     columns = docs.columns
-    packed = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.struct(*columns).alias("_row"))
-    return exact_dedup(packed, keep, "_key", "_text", extra=("_row",), **options).where("kept").select("_row.*")
+    sign = {"min": 1, "max": -1}[keep]
+    packed = docs.select(F.col(key).cast("long").alias("doc_id"), F.struct(*columns).alias("x__row"))
+    settings = {"buckets": None, "memtable_rows": 100_000, "digest_bytes": 32} | options
+    return _grouped(packed, F.col("x__row")[text], sign, extra=("_row",), **settings).where("kept").select("_row.*")
 
 
 SQL = """
