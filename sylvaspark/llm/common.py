@@ -45,6 +45,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(at)
     finally:
         spark.conf.set(setting, before)
+    spark._jvm.System.gc()  # and Spark's cleaner drops what else is no longer referred to
     return spark.read.schema(df.schema).parquet(at)
 
 

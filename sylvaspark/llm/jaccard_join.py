@@ -308,14 +308,13 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str =
     rate = np.array([r["n"] for r in top], dtype=float) / count
 
     entries = materialize(shared(index(docs, k, spaces, hot, rate)), "entries")
-    clash = F.when(F.min("twin") != F.max("twin"), F.raise_error(F.lit("two shingle sets share a fingerprint"))).otherwise(F.min("doc_id"))
-    wanted = nodes.join(entries.select("node").distinct(), "node", "left_semi").groupBy("node").agg(clash.alias("doc_id"))
-    texts = materialize(_texts(docs, wanted, k), "texts")
-
     degree = entries.groupBy("node").agg(F.count("*").alias("degree"))
     hubs = entries.join(degree, "node").groupBy("sig").agg(F.max(F.struct("degree", "node"))["node"].alias("hub"), F.max("probe").alias("any"))
     live = entries.join(hubs.where("any"), "sig")
     pairs = materialize(live.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    clash = F.when(F.min("twin") != F.max("twin"), F.raise_error(F.lit("two shingle sets share a fingerprint"))).otherwise(F.min("doc_id"))
+    wanted = nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi").groupBy("node").agg(clash.alias("doc_id"))
+    texts = materialize(_texts(docs, wanted, k), "texts")
     links = materialize(verify(pairs, texts, k, num, den), "links")
 
     label = components(links)
