@@ -87,6 +87,42 @@ def first_hit(ranking: DataFrame, key: str, column: str, truth: str) -> DataFram
     return t.select(key, F.coalesce("h", F.col("n") + 1).alias("rank"), F.coalesce(1.0 / F.col("h"), F.lit(0.0)).alias("mrr"), (F.coalesce("h", F.lit(0)) == 1).alias("top1"))
 
 
+def composition(rankings: DataFrame, key: str, column: str, groups: DataFrame, k: int, p: int) -> DataFrame:
+    """(key, grp, hits, share): how many of the first min(k, p) features are in each group of ``groups`` (feature, grp).
+
+    Features without a group count as ``other``; places that a short ranking leaves empty count as ``missing``.
+    """
+    wide = min(k, p)
+    top = rankings.select(key, F.slice(column, 1, wide).alias("_t"))
+    found = top.select(key, F.explode("_t").alias("feature")).join(groups, "feature", "left").select(key, F.coalesce("grp", F.lit("other")).alias("grp"), F.lit(1).alias("hits"))
+    empty = top.select(key, F.lit("missing").alias("grp"), (F.lit(wide) - F.size("_t")).alias("hits")).where("hits > 0")
+    return found.unionByName(empty).groupBy(key, "grp").agg(F.sum("hits").alias("hits")).withColumn("share", F.col("hits") / F.lit(float(max(wide, 1))))
+
+
+def nearest(train: DataFrame, test: DataFrame, row_id: str, features: list[str], target: str, k: int = 5) -> DataFrame:
+    """(row_id, y, d): the k nearest rows of ``train`` for each row of ``test``, by distance and then identifier.
+
+    The limit of k rows a query is applied before the shuffle as well as after it.
+    """
+    a = test.select(F.col(row_id).alias("row_id"), *(F.col(f).alias(f"_q_{f}") for f in features))
+    b = train.select(F.col(row_id).alias("_id"), F.col(target).alias("y"), *features)
+    d = F.sqrt(sum(((F.col(f) - F.col(f"_q_{f}")) * (F.col(f) - F.col(f"_q_{f}")) for f in features), F.lit(0.0)))
+    w = Window.partitionBy("row_id").orderBy("d", "_id")
+    return a.crossJoin(b).select("row_id", "_id", "y", d.alias("d")).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("row_id", "y", "d")
+
+
+def neighbour_predict(train: DataFrame, test: DataFrame, row_id: str, features: list[str], target: str, k: int = 5, task: str = "classification") -> DataFrame:
+    """(row_id, prediction): neighbours vote, or are averaged, by 1 / distance; rows at distance 0 decide alone."""
+    near = nearest(train, test, row_id, features, target, k)
+    zero = F.min("d").over(Window.partitionBy("row_id")) == 0
+    near = near.withColumn("w", F.when(zero, (F.col("d") == 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), F.col("d"))))
+    if task == "regression":
+        return near.groupBy("row_id").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("prediction"))
+    votes = near.groupBy("row_id", "y").agg(F.round(F.sum("w"), 9).alias("v"))
+    first = F.row_number().over(Window.partitionBy("row_id").orderBy(F.desc("v"), "y"))
+    return votes.withColumn("_r", first).where("_r = 1").select("row_id", F.col("y").alias("prediction"))
+
+
 def k_values(p: int, extra: tuple[int, ...] = (), fractions: tuple[float, ...] = ()) -> list[int]:
     """Evaluated feature counts up to p; extras count only beyond 100 features."""
     base = {k for k in (5, 10, 25, 50, 100) if k <= p}

@@ -13,7 +13,7 @@ from .operators import inference as I
 from .operators import permutation as P
 from .operators import sampling as S
 from .operators import splits, trees
-from .plans import ranking
+from .plans import ranking, wrappers
 from .sources.files import table
 
 QUERIES: dict = {}
@@ -571,3 +571,103 @@ def cohens_d_lineitem(spark, d):
     return rounded(I.cohens_d(_lineitem(spark, d), "l_linestatus", "O", "F", "l_quantity"))
 
 
+
+
+# --- rankings around a model -----------------------------------------------------------------
+
+
+def _named(spark, rows, schema):
+    return rounded(spark.createDataFrame(rows, schema))
+
+
+@query()
+def permutation_importance_embeddings(spark, d):
+    return rounded(wrappers.permutation_importance(_vectors(spark, d), "vec_id", PARTS, "label", seed=3, repeats=5))
+
+
+@query()
+def conditional_importance_embeddings(spark, d):
+    return rounded(wrappers.permutation_importance(_vectors(spark, d), "vec_id", PARTS, "label", seed=3, repeats=5, conditional=0.02))
+
+
+@query()
+def permutation_importance_orders(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", (F.col("o_custkey") % 100).cast("double").alias("c"), F.month("o_orderdate").cast("double").alias("m"))
+    return rounded(wrappers.permutation_importance(o, "o_orderkey", ["c", "m"], "o_totalprice", "regression", seed=3, repeats=3))
+
+
+@query()
+def boruta_embeddings(spark, d):
+    return _named(spark, wrappers.boruta(_vectors(spark, d), "vec_id", PARTS, "label", seed=1, rounds=10), "feature string, decision string, hits int, rank int")
+
+
+@query()
+def elimination_embeddings(spark, d):
+    return _named(spark, wrappers.eliminate(_vectors(spark, d), PARTS, "label", seed=1), "feature string, rank int")
+
+
+@query()
+def model_importance_embeddings(spark, d):
+    rows = [(m, f, float(v)) for m in ("dt", "rf") for f, v in wrappers.importances(_vectors(spark, d), "vec_id", PARTS, "label", m).items()]
+    return _named(spark, rows, "model string, feature string, importance double")
+
+
+@query()
+def split_counts_embeddings(spark, d):
+    v = _vectors(spark, d)
+    m = trees.grow(v, "vec_id", PARTS, "label", trees.TreeParams(trees=3, max_depth=2, min_leaf=5, max_features="sqrt"), S.bootstrap(v, "vec_id", 3, 1, "label", "stratified"))
+    return ranking.split_counts(m.table(spark))
+
+
+@query("""WITH v AS (SELECT vec_id AS row_id, f.* FROM embeddings, LATERAL (VALUES ('e0', CAST(embedding[1] AS DOUBLE)), ('e1', CAST(embedding[2] AS DOUBLE))) f(feature, x)),
+r AS (SELECT v.*, b, label, md5('5|' || feature || '|' || b || '|' || row_id) AS h FROM v JOIN embeddings ON vec_id = row_id, range(1, 4) g(b))
+SELECT feature, CAST(b AS INT) AS b, row_id, round(coalesce(lead(x) OVER w, first(x) OVER w), 6) AS x FROM r WINDOW w AS (PARTITION BY feature, b, label ORDER BY h, row_id)""")
+def donated_embeddings(spark, d):
+    within = dict.fromkeys(("e0", "e1"), F.col("label"))
+    return rounded(wrappers.donated(_vectors(spark, d), "vec_id", ["e0", "e1"], 5, 3, within))
+
+
+@query("""WITH c AS (SELECT list_sort(list_distinct(quantile_cont(l_quantity, [0, 0.2, 0.4, 0.6, 0.8, 1]))) AS a, list_sort(list_distinct(quantile_cont(l_discount, [0, 0.2, 0.4, 0.6, 0.8, 1]))) AS z FROM lineitem),
+s AS (SELECT 5 * len(list_filter(a[2:-2], lambda t: t <= l_quantity)) + len(list_filter(z[2:-2], lambda t: t <= l_discount)) AS stratum FROM lineitem, c)
+SELECT CAST(stratum AS BIGINT) AS stratum, count(*) AS n FROM s GROUP BY ALL""")
+def strata_lineitem(spark, d):
+    rows = _lineitem(spark, d)
+    return rows.groupBy(wrappers.strata(rows, ["l_quantity", "l_discount"]).alias("stratum")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH d AS (SELECT vec_id, (row_number() OVER (PARTITION BY label ORDER BY md5('2|c|' || vec_id), vec_id) - 1) % 5 AS fold FROM embeddings), all_l AS ({_VL}),
+l0 AS (SELECT g.f AS held, a.* FROM all_l a JOIN d ON vec_id = row_id JOIN range(5) g(f) ON g.f <> fold),
+cells AS (SELECT held, feature, y, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM l0 GROUP BY ALL),
+e AS (SELECT held, feature, (sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (sum(q) - sum(s) * sum(s) / sum(n)) AS eta FROM cells GROUP BY held, feature)
+SELECT CAST(held AS INT) AS fold, CAST(row_number() OVER (PARTITION BY held ORDER BY eta DESC, feature) AS INT) AS rank, feature FROM e""")
+def ranking_over_folds_embeddings(spark, d):
+    def rank(train, seed):
+        t = ranking.rank_by_score(association.correlation_ratio(association.long_table(train, "vec_id", PARTS, "label")), "eta")
+        return [r["feature"] for r in t.orderBy("rank").collect()]
+
+    rows = [(fold, i + 1, f) for fold, order in wrappers.rank_over_folds(_vectors(spark, d), "vec_id", PARTS, "label", rank, seed=2) for i, f in enumerate(order)]
+    return spark.createDataFrame(rows, "fold int, rank int, feature string")
+
+
+_KNN = "WITH v AS (SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(4)) + ", (row_number() OVER (PARTITION BY label ORDER BY md5('7|c|' || vec_id), vec_id) - 1) % 5 AS fold FROM embeddings), j AS (SELECT q.vec_id AS row_id, t.vec_id AS id, t.label AS y, sqrt(" + " + ".join(f"(q.e{i} - t.e{i}) * (q.e{i} - t.e{i})" for i in range(4)) + ") AS d FROM v q JOIN v t ON q.fold = 0 AND t.fold > 0), n AS (SELECT *, min(d) OVER (PARTITION BY row_id) AS m FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d, id) AS r FROM j) WHERE r <= 5), s AS (SELECT *, CASE WHEN m = 0 THEN CASE WHEN d = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE 1 / d END AS w FROM n) "
+
+
+def _knn(spark, d, target, task):
+    f = E.folds(_vectors(spark, d), "vec_id", 5, 7, "label")
+    return E.neighbour_predict(f.where("fold > 0"), f.where("fold = 0"), "vec_id", PARTS, target, 5, task)
+
+
+@query(_KNN + "SELECT row_id, y AS prediction FROM (SELECT row_id, y, row_number() OVER (PARTITION BY row_id ORDER BY v DESC, y) AS r FROM (SELECT row_id, y, round(sum(w), 9) AS v FROM s GROUP BY ALL)) WHERE r = 1")
+def neighbour_class_embeddings(spark, d):
+    return _knn(spark, d, "label", "classification")
+
+
+@query(_KNN + "SELECT row_id, round(sum(w * e4) / sum(w), 6) AS prediction FROM s JOIN (SELECT vec_id AS id, CAST(embedding[5] AS DOUBLE) AS e4 FROM embeddings) USING (id) GROUP BY row_id")
+def neighbour_value_embeddings(spark, d):
+    return rounded(_knn(spark, d, "e4", "regression"))
+
+
+@query(_RANK + ", p AS (SELECT s_nationkey, unnest(r[1:6]) AS f FROM g), u AS (SELECT s_nationkey, CASE f % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' ELSE 'other' END AS grp, 1 AS hits FROM p UNION ALL SELECT s_nationkey, 'missing', 6 - len(r[1:6]) FROM g WHERE len(r) < 6) SELECT s_nationkey, grp, CAST(sum(hits) AS BIGINT) AS hits, round(sum(hits) / 6.0::DOUBLE, 6) AS share FROM u GROUP BY ALL")
+def composition_supplier(spark, d):
+    groups = table(spark, d, "supplier").where("s_suppkey % 4 < 3").select(F.col("s_suppkey").alias("feature"), F.element_at(F.array(*(F.lit(g) for g in "abc")), (F.col("s_suppkey") % 4 + 1).cast("int")).alias("grp"))
+    return rounded(E.composition(_rankings(spark, d), "s_nationkey", "ranking", groups, 6, 100))

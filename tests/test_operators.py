@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sylvaspark.functions import association, impurity
 from sylvaspark.functions.distributions import beta_cdf, budget, chi2_sf, stop_table
 from sylvaspark.operators import board, evaluation, inference, permutation, sampling, splits, trees
+from sylvaspark.plans import wrappers
 from sylvaspark.registry import SAMPLING_METHODS, THRESHOLD_METHODS
 from sylvaspark.sources import files
 from sylvaspark.streaming.scoring import score_stream
@@ -191,3 +192,59 @@ def test_files_and_stream(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/d1/cif_seed3.parquet")
     score_stream(stream, m, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").where("prediction = y").count() == 40
+
+
+@pytest.fixture(scope="module")
+def signal(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4))
+    y = np.where(x[:, 0] + 0.3 * rng.normal(size=300) > 0, "b", "a")
+    near = x[:, 0] + 0.05 * rng.normal(size=300)
+    return spark.createDataFrame([(i, *(float(v) for v in r), float(w), k) for i, (r, w, k) in enumerate(zip(x, near, y.tolist()))], "id int, f0 double, f1 double, f2 double, f3 double, g double, y string").cache()
+
+
+def test_wrappers_put_the_signal_first(signal):
+    names = ["f1", "f0", "f2", "f3"]
+    assert wrappers.permutation_importance(signal, "id", names, "y", repeats=3).where("rank = 1").first()["feature"] == "f0"
+    assert wrappers.eliminate(signal, names, "y")[0] == ("f0", 1)
+    found = {f: (decision, rank) for f, decision, _, rank in wrappers.boruta(signal, "id", names, "y", rounds=8)}
+    assert found["f0"] == ("confirmed", 1) and all(found[f][0] != "confirmed" for f in ("f1", "f2", "f3"))
+    for model in ("dt", "rf", "gbt", "et"):
+        weight = wrappers.importances(signal, "id", names, "y", model, trees=3, depth=2)
+        assert max(weight, key=weight.get) == "f0"
+
+
+def test_permuting_within_strata_shrinks_a_copied_signal(signal):
+    names = ["f0", "f1", "g"]
+    whole, within = ({r["feature"]: r["importance"] for r in wrappers.permutation_importance(signal, "id", names, "y", repeats=5, conditional=c).collect()} for c in (None, 0.9))
+    assert within["f0"] + within["g"] < whole["f0"] + whole["g"]
+    assert within["f1"] == pytest.approx(whole["f1"])
+
+
+def test_donated_values_are_a_permutation(signal):
+    moved = wrappers.donated(signal, "id", ["f0"], 1, 2, {"f0": F.when(F.col("id") == 7, 1).otherwise(0)})
+    own = {r["id"]: r["f0"] for r in signal.collect()}
+    for b in (1, 2):
+        got = {r["row_id"]: r["x"] for r in moved.where(F.col("b") == b).collect()}
+        assert sorted(got.values()) == sorted(own.values())
+        assert [i for i in own if got[i] == own[i]] == [7]
+
+
+def test_constant_column_makes_no_stratum(spark):
+    df = spark.createDataFrame([(float(i), 1.0) for i in range(10)], ["a", "k"])
+    strata = lambda c: [r[0] for r in df.orderBy("a").select(wrappers.strata(df, c)).collect()]
+    assert strata(["k"]) == strata([]) == [0] * 10
+    assert strata(["k", "a"]) == strata(["a"]) == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4]
+
+
+def test_neighbours_at_distance_zero_decide_alone(spark):
+    train = spark.createDataFrame([(1, 0.0, 5.0), (2, 0.0, 7.0), (3, 1.0, 100.0)], ["id", "x", "v"])
+    test = spark.createDataFrame([(9, 0.0), (10, 3.0)], ["id", "x"])
+    got = {r["row_id"]: r["prediction"] for r in evaluation.neighbour_predict(train, test, "id", ["x"], "v", 3, "regression").collect()}
+    assert got[9] == 6.0
+    assert got[10] == pytest.approx((5 / 3 + 7 / 3 + 100 / 2) / (1 / 3 + 1 / 3 + 1 / 2))
+
+
+def test_coverage_probability():
+    assert wrappers.coverage_probability(10, 10, 1) == 1.0
+    assert wrappers.coverage_probability(10, 3, 1) == pytest.approx(0.3)
