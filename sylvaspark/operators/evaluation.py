@@ -7,11 +7,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import blocks_for, digest_block, number
+
 
 def folds(df: DataFrame, row_id: str, n: int, seed: int, label: str | None = None) -> DataFrame:
     """``df`` with ``fold``: hash order dealt round, within each class if a label is given."""
-    w = Window.partitionBy(*([label] if label else [F.lit(1)])).orderBy(F.md5(F.concat(F.lit(f"{seed}|c|"), F.col(row_id).cast("string"))), row_id)
-    return df.withColumn("fold", (F.row_number().over(w) - 1) % n)
+    digest = F.coalesce(F.md5(F.concat(F.lit(f"{seed}|c|"), F.col(row_id).cast("string"))), F.lit(""))
+    blocks = blocks_for(df)
+    dealt = number(df, [label] if label else [], [digest, row_id], F.coalesce(digest_block(digest, blocks), F.lit(0)), blocks, "fold")
+    return dealt.withColumn("fold", ((F.col("fold") - 1) % n).cast("int"))
 
 
 def standardize(df: DataFrame, columns: list[str], fold: str) -> DataFrame:

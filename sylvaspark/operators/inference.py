@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_sf
+from .numbering import blocks_for, number, value_block
 
 
 def draws(n_draws: int, rows: DataFrame, seed: int) -> DataFrame:
@@ -18,7 +19,8 @@ def draws(n_draws: int, rows: DataFrame, seed: int) -> DataFrame:
 
 def bootstrap_mean(rows: DataFrame, order: str, value: str, n_draws: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
     """Percentile interval of the mean of ``value``."""
-    numbered = rows.select(F.row_number().over(Window.orderBy(order)).alias("i"), F.col(value).alias("v"))
+    blocks = blocks_for(rows)
+    numbered = number(rows, [], [order], value_block(rows, order, blocks), blocks, "i").select("i", F.col(value).alias("v"))
     means = draws(n_draws, rows, seed).join(numbered, "i").groupBy("b").agg(F.avg("v").alias("m"))
     low = (1 - level) / 2
     ci = means.agg(F.percentile("m", F.lit(low)).alias("low"), F.percentile("m", F.lit(1 - low)).alias("high"))

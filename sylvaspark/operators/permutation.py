@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import stop_table
+from .numbering import blocks_for, digest_block, number, value_block
 
 SLACK = 1e-9
 
@@ -24,9 +25,11 @@ def permuted(rows: DataFrame, n: int, seed: int, by: list[str] | None = None) ->
     """(*by, b, row_id, y): the target under each permutation 0..n, where 0 is the observed order."""
     by = by or []
     rows = rows.select(*by, "row_id", "y")
-    numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("row_id")) if by else F.row_number().over(Window.orderBy("row_id")))
+    blocks = blocks_for(rows)
+    numbered = number(rows, by, ["row_id"], value_block(rows, "row_id", blocks), blocks, "i")
     spread = rows.select(*by, "row_id", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("b"))
-    placed = spread.withColumn("i", F.row_number().over(Window.partitionBy(*by, "b").orderBy(key(seed, F.col("b"), F.col("row_id")), "row_id")))
+    spread = spread.withColumn("_key", key(seed, F.col("b"), F.col("row_id")))
+    placed = number(spread, [*by, "b"], ["_key", "row_id"], digest_block(F.col("_key"), blocks), blocks, "i")
     shuffled = placed.join(numbered.select(*by, "i", "y"), [*by, "i"]).select(*by, "b", "row_id", "y")
     return shuffled.unionByName(rows.select(*by, F.lit(0).alias("b"), "row_id", "y"))
 

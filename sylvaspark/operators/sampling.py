@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import blocks_for, number, value_block
+
 
 def apportion(df: DataFrame, weight: str, total: int, order: str, out: str = "allocated") -> DataFrame:
     """Largest-remainder allocation of ``total``; zero weights share equally, remainders to the first."""
@@ -29,7 +31,8 @@ def bootstrap(rows: DataFrame, row_id: str, trees: int, seed: int, label: str |
     """
     group = [F.col(label).alias("_g")] if label and kind != "classic" else [F.lit(0).alias("_g")]
     base = rows.select(F.col(row_id).alias("row_id"), *group)
-    base = base.withColumn("_i", F.row_number().over(Window.partitionBy("_g").orderBy("row_id")))
+    blocks = blocks_for(base)
+    base = number(base, ["_g"], ["row_id"], value_block(base, "row_id", blocks), blocks, "_i")
     sizes = base.groupBy("_g").agg(F.count("*").alias("_n"))
     every = Window.partitionBy(F.lit(1))
     if kind in ("classic", "stratified"):

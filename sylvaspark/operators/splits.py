@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,8 +39,8 @@ def thresholds(long: DataFrame, method: str = "exact", most: int = 256, seed: in
     return keep.unionByName(out)
 
 
-def gini_sweep(long: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(*by, feature, threshold, n_left, n_right, impurity): weighted child gini of every midpoint.
+def _class_sweep(long: DataFrame, by: list[str] | None, part, merge) -> DataFrame:
+    """Weighted child impurity from a sum of ``part(c)`` over a child's class counts and ``merge(n, sum)``.
 
     Counts per (feature, value, class) are summed along the values; rows are never copied.
     """
@@ -51,13 +51,44 @@ def gini_sweep(long: DataFrame, by: list[str] | None = None) -> DataFrame:
     grid = values.join(total, [*by, "feature"]).join(cells, [*by, "feature", "x", "y"], "left")
     along = Window.partitionBy(*by, "feature", "y").orderBy("x")
     cum = grid.withColumn("l", F.sum(F.coalesce("c", F.lit(0))).over(along))
-    t = cum.groupBy(*by, "feature", "x").agg(F.sum("l").alias("n_left"), F.sum("ct").alias("n"), F.sum(F.col("l") * F.col("l")).alias("ql"), F.sum((F.col("ct") - F.col("l")) * (F.col("ct") - F.col("l"))).alias("qr"))
+    t = cum.groupBy(*by, "feature", "x").agg(F.sum("l").alias("n_left"), F.sum("ct").alias("n"), F.sum(part(F.col("l"))).alias("ql"), F.sum(part(F.col("ct") - F.col("l"))).alias("qr"))
     t = t.withColumn("next", F.lead("x").over(Window.partitionBy(*by, "feature").orderBy("x"))).where("next IS NOT NULL")
     n_right = F.col("n") - F.col("n_left")
-    impurity = (F.col("n_left") - F.col("ql") / F.col("n_left") + n_right - F.col("qr") / n_right) / F.col("n")
+    impurity = (merge(F.col("n_left"), F.col("ql")) + merge(n_right, F.col("qr"))) / F.col("n")
     return t.select(*by, "feature", ((F.col("x") + F.col("next")) / 2).alias("threshold"), "n_left", n_right.alias("n_right"), impurity.alias("impurity"))
 
 
+def gini_sweep(long: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(*by, feature, threshold, n_left, n_right, impurity): weighted child gini of every midpoint."""
+    return _class_sweep(long, by, lambda c: c * c, lambda n, q: n - q / n)
+
+
+def bits(c: Column) -> Column:
+    """c log2 c of a count, 0 at 0."""
+    return F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(0.0)
+
+
+def entropy_sweep(long: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """As :func:`gini_sweep`, for entropy in bits."""
+    return _class_sweep(long, by, bits, lambda n, q: bits(n) - q)
+
+
+def mae_sweep(long: DataFrame, by: list[str] | None = None, at: DataFrame | None = None) -> DataFrame:
+    """As :func:`gini_sweep`, for numeric y and the mean distance from a child's median, at thresholds ``at`` or every midpoint.
+
+    Medians have no prefix sums: each threshold reads the counts per (feature, x, y) once,
+    so a feature of many values needs few thresholds.
+    """
+    by = by or []
+    cells = long.groupBy(*by, "feature", "x", F.col("y").cast("double").alias("y")).agg(F.count("*").alias("c"))
+    sided = cells.join(at if at is not None else midpoints(long, by), [*by, "feature"]).withColumn("side", (F.col("x") > F.col("threshold")).cast("int"))
+    keys = [*by, "feature", "threshold"]
+    middle = sided.groupBy(*keys, "side").agg(F.percentile("y", F.lit(0.5), F.col("c")).alias("m"))
+    off = sided.join(middle, [*keys, "side"]).withColumn("d", F.col("c") * F.abs(F.col("y") - F.col("m")))
+    count = lambda side: F.sum(F.when(F.col("side") == side, F.col("c")).otherwise(0))
+    return off.groupBy(*keys).agg(count(0).alias("n_left"), count(1).alias("n_right"), (F.sum("d") / F.sum("c")).alias("impurity")).where("n_left > 0 AND n_right > 0")
+
+
 def mse_sweep(long: DataFrame, by: list[str] | None = None) -> DataFrame:
     """As :func:`gini_sweep`, for numeric y and population variance."""
     by = by or []

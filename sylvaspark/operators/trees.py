@@ -16,8 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.association import correlation_ratio, pearson
+from ..functions.impurity import value_impurity
 from .permutation import SLACK, permutation_test, permuted
-from .splits import best_split, gini_sweep, mse_sweep, thresholds
+from .splits import best_split, bits, entropy_sweep, gini_sweep, mae_sweep, mse_sweep, thresholds
+
+SWEEPS = {"gini": gini_sweep, "entropy": entropy_sweep, "mse": mse_sweep, "mae": mae_sweep}
 
 
 def feature_count(p: int, most: str | int | float | None) -> int:
@@ -58,10 +61,15 @@ class TreeParams:
     threshold_method: str = "exact"
     max_thresholds: int = 32
     seed: int = 0
+    criterion: str | None = None
 
     def __post_init__(self):
         if self.task not in ("classification", "regression"):
             raise ValueError("task is classification or regression")
+        allowed = ("gini", "entropy") if self.task == "classification" else ("mse", "mae")
+        self.criterion = self.criterion or allowed[0]
+        if self.criterion not in allowed:
+            raise ValueError(f"criterion of {self.task} is one of {', '.join(allowed)}")
         if not (0 < self.alpha_feature <= 1 and 0 < self.alpha_threshold <= 1):
             raise ValueError("alpha is in (0, 1]")
         if self.n_resamples is not None and self.n_resamples < math.ceil(1 / min(self.alpha_feature, self.alpha_threshold)):
@@ -174,9 +182,14 @@ def _leaves(model: TreeModel, rows: DataFrame, by: list[str], depth: int, classe
             counts.setdefault((r["tree_id"], r["node"]), {})[r["y"]] = r["count"]
         for (t, node), c in counts.items():
             n = sum(c.values())
-            model.nodes[t, node] = Node(t, node, depth, n, [c.get(k, 0) / n for k in classes], 1 - sum((v / n) ** 2 for v in c.values()))
+            p = [v / n for v in c.values()]
+            impurity = 1 - sum(v * v for v in p) if model.params.criterion == "gini" else -sum(v * math.log2(v) for v in p)
+            model.nodes[t, node] = Node(t, node, depth, n, [c.get(k, 0) / n for k in classes], impurity)
     else:
-        for r in rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("y").alias("m"), F.var_pop("y").alias("v")).collect():
+        stats = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("y").alias("m"), F.var_pop("y").alias("v"))
+        if model.params.criterion == "mae":
+            stats = stats.drop("v").join(value_impurity(rows, by, "y").select(*by, F.col("mae").alias("v")), by)
+        for r in stats.collect():
             model.nodes[r["tree_id"], r["node"]] = Node(r["tree_id"], r["node"], depth, r["n"], [r["m"]], r["v"])
 
 
@@ -203,14 +216,15 @@ def _choose(spark, model, rows, by, open_nodes, features, params, clf) -> dict:
         return {}
     best = F.broadcast(spark.createDataFrame([tuple(r) for r in best_rows], "tree_id int, node long, feature string, p_value double"))
     one = long.join(best.select(*by, "feature"), [*by, "feature"])
-    sweep = (gini_sweep if clf else mse_sweep)(one, by)
-    if params.threshold_method != "exact":
+    if params.threshold_method == "exact":
+        sweep = SWEEPS[params.criterion](one, by)
+    else:
         # thresholds between two values split rows as the midpoint of these values does
         at = thresholds(one, params.threshold_method, params.max_thresholds, params.seed, by)
-        sweep = _sweep_at(one, at, by, clf)
+        sweep = mae_sweep(one, by, at) if params.criterion == "mae" else _sweep_at(one, at, by, params.criterion)
     split = best_split(sweep, by, params.min_leaf).collect()
     chosen, p_feature = {}, {(r["tree_id"], r["node"]): (r["feature"], r["p_value"]) for r in best_rows}
-    p_threshold = _threshold_p(spark, one, split, by, params, clf) if params.n_resamples and split else {}
+    p_threshold = _threshold_p(spark, one, split, by, params) if params.n_resamples and split else {}
     for r in split:
         at = r["tree_id"], r["node"]
         node = model.nodes[at]
@@ -224,28 +238,32 @@ def _choose(spark, model, rows, by, open_nodes, features, params, clf) -> dict:
     return chosen
 
 
-def _impurity_at(rows: DataFrame, keys: list[str], clf: bool) -> DataFrame:
+def _impurity_at(rows: DataFrame, keys: list[str], criterion: str) -> DataFrame:
     """(*keys, n_left, n_right, impurity) of rows that carry ``side`` (0 left, 1 right) and y."""
-    if clf:
-        c = rows.groupBy(*keys, "side", "y").agg(F.count("*").alias("c")).groupBy(*keys, "side").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        part = F.col("n") - F.col("q") / F.col("n")
+    if criterion in ("gini", "entropy"):
+        each = F.col("c") * F.col("c") if criterion == "gini" else bits(F.col("c"))
+        c = rows.groupBy(*keys, "side", "y").agg(F.count("*").alias("c")).groupBy(*keys, "side").agg(F.sum("c").alias("n"), F.sum(each).alias("q"))
+        part = F.col("n") - F.col("q") / F.col("n") if criterion == "gini" else bits(F.col("n")) - F.col("q")
+    elif criterion == "mae":
+        c = value_impurity(rows, [*keys, "side"], "y")
+        part = F.col("n") * F.col("mae")
     else:
         c = rows.groupBy(*keys, "side").agg(F.count("*").alias("n"), F.var_pop("y").alias("v"))
         part = F.col("n") * F.col("v")
     return c.groupBy(*keys).agg(F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("n_left"), F.sum(F.when(F.col("side") == 1, F.col("n")).otherwise(0)).alias("n_right"), (F.sum(part) / F.sum("n")).alias("impurity"))
 
 
-def _sweep_at(one: DataFrame, at: DataFrame, by: list[str], clf: bool) -> DataFrame:
+def _sweep_at(one: DataFrame, at: DataFrame, by: list[str], criterion: str) -> DataFrame:
     sided = one.join(F.broadcast(at), [*by, "feature"]).withColumn("side", (F.col("x") > F.col("threshold")).cast("int"))
-    return _impurity_at(sided, [*by, "feature", "threshold"], clf)
+    return _impurity_at(sided, [*by, "feature", "threshold"], criterion)
 
 
-def _threshold_p(spark, one, split, by, params, clf) -> dict:
+def _threshold_p(spark, one, split, by, params) -> dict:
     """Left-tailed permutation p-value of each chosen split, on its own seed per stage."""
     plan = F.broadcast(spark.createDataFrame([(r["tree_id"], r["node"], r["threshold"]) for r in split], "tree_id int, node long, threshold double"))
     sided = one.join(plan, by).select(*by, "row_id", "y", (F.col("x") > F.col("threshold")).cast("int").alias("side"))
     every = permuted(sided, params.n_resamples, params.seed + 1, by).join(sided.drop("y"), [*by, "row_id"])
-    s = _impurity_at(every, [*by, "b"], clf)
+    s = _impurity_at(every, [*by, "b"], params.criterion)
     observed = s.where("b = 0").select(*by, F.col("impurity").alias("o"))
     t = s.where("b > 0").join(observed, by).groupBy(*by).agg(((F.count_if(F.col("impurity") <= F.col("o") + SLACK) + 1) / F.lit(params.n_resamples + 1.0)).alias("p"))
     return {(r["tree_id"], r["node"]): r["p"] for r in t.collect()}

@@ -222,6 +222,26 @@ def mse_sweep_lineitem(spark, d):
     return s.withColumns({"threshold": F.round("threshold", 6), "impurity": F.round(F.col("impurity") / 1000000, 4)})
 
 
+@query(f"""WITH l AS ({_LL}), c AS (SELECT feature, x, y, count(*) AS c FROM l WHERE feature <> 'l_extendedprice' GROUP BY ALL),
+m AS (SELECT feature, x, (x + lead(x) OVER (PARTITION BY feature ORDER BY x)) / 2 AS threshold FROM (SELECT DISTINCT feature, x FROM c)),
+k AS (SELECT feature, threshold, c.x > threshold AS side, y, sum(c) AS c FROM c JOIN m USING (feature) WHERE threshold IS NOT NULL GROUP BY ALL),
+s AS (SELECT feature, threshold, side, CAST(sum(c) AS DOUBLE) AS n, sum(c * log2(CAST(c AS DOUBLE))) AS e FROM k GROUP BY ALL)
+SELECT feature, round(threshold, 6) AS threshold, CAST(sum(n) FILTER (NOT side) AS BIGINT) AS n_left, CAST(sum(n) FILTER (side) AS BIGINT) AS n_right, round(sum(n * log2(n) - e) / sum(n), 9) AS impurity FROM s GROUP BY feature, s.threshold""")
+def entropy_sweep_lineitem(spark, d):
+    long = _line_long(spark, d, features=["l_quantity", "l_discount", "l_tax"])
+    return splits.entropy_sweep(long).withColumns({"threshold": F.round("threshold", 6), "impurity": F.round("impurity", 9)})
+
+
+@query("""WITH l AS (SELECT l_quantity AS y, f.* FROM lineitem, LATERAL (VALUES ('l_discount', l_discount), ('l_tax', l_tax)) f(feature, x)),
+m AS (SELECT feature, x, (x + lead(x) OVER (PARTITION BY feature ORDER BY x)) / 2 AS threshold FROM (SELECT DISTINCT feature, x FROM l)),
+s AS (SELECT feature, threshold, l.x > threshold AS side, y FROM l JOIN m USING (feature) WHERE threshold IS NOT NULL),
+w AS (SELECT *, median(y) OVER (PARTITION BY feature, threshold, side) AS md FROM s)
+SELECT feature, round(threshold, 6) AS threshold, count(*) FILTER (NOT side) AS n_left, count(*) FILTER (side) AS n_right, round(avg(abs(y - md)), 6) AS impurity FROM w GROUP BY feature, w.threshold""")
+def mae_sweep_lineitem(spark, d):
+    s = splits.mae_sweep(_line_long(spark, d, "l_quantity", ["l_discount", "l_tax"]))
+    return s.withColumns({"threshold": F.round("threshold", 6), "impurity": F.round("impurity", 6)})
+
+
 @query(f"""WITH l AS ({_LL}), {_ETA}, {_GINI}, e AS (SELECT feature, sqrt(greatest(0, (b - s * s / n) / (q - s * s / n))) AS eta FROM t),
 bs AS (SELECT feature, threshold, impurity FROM sw QUALIFY row_number() OVER (PARTITION BY feature ORDER BY round(impurity, 12), threshold) = 1)
 SELECT feature, round(eta, 6) AS eta, CAST(row_number() OVER (ORDER BY round(eta, 12) DESC, feature) AS INT) AS rank, round(threshold, 6) AS threshold, round(impurity, 6) AS impurity FROM e LEFT JOIN bs USING (feature)""")

@@ -44,7 +44,7 @@ def _load() -> tuple[Registry, ...]:
     return (
         _filled("classifier statistic", mc=a.correlation_ratio, mi=a.mutual_information, rdc=a.rdc),
         _filled("regressor statistic", pc=a.pearson, dc=a.distance_correlation, rdc=a.rdc),
-        _filled("split criterion", gini=splits.gini_sweep, mse=splits.mse_sweep),
+        _filled("split criterion", gini=splits.gini_sweep, entropy=splits.entropy_sweep, mse=splits.mse_sweep, mae=splits.mae_sweep),
         _filled("threshold method", **{m: (lambda long, m=m, **k: splits.thresholds(long, m, **k)) for m in ("exact", "random", "percentile", "histogram")}),
         _filled("sampling method", **{m: (lambda rows, row_id, trees, seed, label=None, m=m: sampling.bootstrap(rows, row_id, trees, seed, label, m)) for m in ("classic", "stratified", "undersample", "oversample")}),
     )
