@@ -1,15 +1,19 @@
 """LM scoring [operator 10]: stupid backoff of order two, computed relationally.
 
-Words are runs other than white space, A-Z lower-cased.  The vocabulary has the words
-with a share of 1/``VOCABULARY`` or more of all words, at most that many, which bounds
-what is broadcast; all other words are one unknown word.  Unigram counts are one
-pre-aggregated table over all documents.
+Words are runs other than white space, A-Z lower-cased, and every word keeps its own
+count.  Unigram counts are one pre-aggregated table over all documents.  Words with a
+share of 1/``VOCABULARY`` or more of all words, at most that many, have their counts
+broadcast; the others are rare words, whose counts are dealt by hash.  This steers the
+work and never the result.
 
 The bigrams of the documents, counted per document, are dealt by the hash of the
 bigram: the part of the count table with that hash is summed where it is joined to
 the exploded bigrams, so neither the table nor its join is shuffled a second time.
 They travel as blocks of a few hundred documents, a bigram in six bytes and its
-count.  A bigram seen ``min_count`` times or more scores c(v w) / c(v), any other
+count.  A bigram with one rare word is dealt by that word instead, as fingerprint, and
+meets the word's count in its bucket; bigrams of two rare words are rows of their own,
+joined by hash with the one count they need.  A rare word has few occurrences, so no
+key of these is frequent.  A bigram seen ``min_count`` times or more scores c(v w) / c(v), any other
 ``backoff`` * c(w) / N, and a text's first word c(w) / N.  Logarithms are rounded to
 millionths, so that sums are exact and agree in every order; a bucket returns each
 block's sums as one row, and they are added per block and then per document.
@@ -26,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, materialize, text_bytes, tune
@@ -34,7 +38,7 @@ from .texthash import U, mix, words
 
 VOCABULARY = 1_000_000
 BLOCK = 3_000_000
-_BITS = 21  # ids of words, the unknown one and the start
+_BITS = 21  # ids of frequent words, of any rare one and of the start
 _MICRO = 1e6
 
 
@@ -67,52 +71,88 @@ def unigrams(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-_BUCKET = "bucket int, block string, docs array<long>, doc binary, low binary, high binary, n binary"
+_BUCKET = "bucket int, block string, docs array<long>, doc binary, low binary, high binary, n binary, rare binary"
+_PAIR = "doc_id long, v long, w long, n long"
+
+
+def _deal(words_: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(words_) % U(buckets)).astype(np.int32)
+
+
+def _distinct(doc: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each document's distinct keys with their counts: (doc, *keys, n)."""
+    order = np.lexsort((*keys, doc))
+    columns = [x[order] for x in (doc, *keys)]
+    new = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in columns], axis=0)])) if len(order) else order
+    return *(x[new] for x in columns), np.diff(np.append(new, len(order)))
+
+
+def _pairs(h: np.ndarray, at: np.ndarray, vocab: np.ndarray):
+    """Every word's document, id, fingerprint, and the same of the word before it."""
+    unknown, start = len(vocab), len(vocab) + 1
+    ids = np.full(len(h), unknown, np.int64)
+    if len(vocab):
+        place = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
+        ids = np.where(vocab[place] == h, place, unknown)
+    before = np.concatenate([[start], ids[:-1]])
+    begins = at[:-1][at[1:] > at[:-1]]
+    before[begins] = start
+    return np.repeat(np.arange(len(at) - 1), np.diff(at)), ids, before, np.concatenate([h[:1], h[:-1]])
 
 
 def bigrams(docs: DataFrame, vocabulary, buckets: int) -> DataFrame:
-    """Blocks of the documents' bigrams, dealt by hash: each document's distinct bigrams with their counts."""
+    """Blocks of the documents' bigrams, dealt by hash: each document's distinct bigrams with their counts, but for those of two rare words."""
 
     def run(batches):
         from pyspark import TaskContext
 
         task, blocks = TaskContext.get().partitionId(), 0
         vocab = vocabulary.value[0]
-        unknown, start = len(vocab), len(vocab) + 1
+        unknown = len(vocab)
         for batch in batches:
             who = batch.column(0).to_pylist()
-            for a, b, h, at in _blocks(batch.column(1)):
+            for a, _, h, at in _blocks(batch.column(1)):
                 if not len(h):
                     continue
-                ids = np.full(len(h), unknown, np.int64)
-                if len(vocab):
-                    place = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
-                    ids = np.where(vocab[place] == h, place, unknown)
-                before = np.concatenate([[start], ids[:-1]])
-                begins = at[:-1][at[1:] > at[:-1]]
-                before[begins] = start
-                doc = np.repeat(np.arange(b - a), np.diff(at))
+                doc, ids, before, last = _pairs(h, at, vocab)
                 key = (before << _BITS) | ids
-                order = np.lexsort((key, doc))
-                doc, key = doc[order], key[order]
-                new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]))
-                n = np.diff(np.append(new, len(key))).astype(np.uint32)
-                doc, key = doc[new].astype(np.uint32), key[new].astype(np.uint64)
-                bucket = (mix(key) % U(buckets)).astype(np.int32)
+                second, first = ids == unknown, before == unknown
+                plain, mixed = ~(second | first), second ^ first
+                doc1, key1, n1 = _distinct(doc[plain], key[plain])
+                doc2, key2, rare, n2 = _distinct(doc[mixed], key[mixed], np.where(second, h, last)[mixed])
+                doc, key, n = np.concatenate([doc1, doc2]), np.concatenate([key1, key2]).astype(np.uint64), np.concatenate([n1, n2]).astype(np.uint32)
+                bucket = np.concatenate([_deal(key1.astype(np.uint64), buckets), _deal(rare, buckets)])
                 order = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 rows, name, blocks = [], f"{task}-{blocks}", blocks + 1
                 for i in np.flatnonzero(np.diff(cut)):
                     one = order[cut[i] : cut[i + 1]]
                     present, local = np.unique(doc[one], return_inverse=True)
-                    k = key[one]
-                    rows.append((int(i), name, [who[a + d] for d in present], local.astype(np.uint16).tobytes(), (k & U(0xFFFFFFFF)).astype(np.uint32).tobytes(), (k >> U(32)).astype(np.uint16).tobytes(), n[one].tobytes()))
-                types = [pa.int32(), pa.string(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+                    k, late = key[one], one[one >= len(key1)] - len(key1)
+                    rows.append((int(i), name, [who[a + d] for d in present], local.astype(np.uint16).tobytes(), (k & U(0xFFFFFFFF)).astype(np.uint32).tobytes(), (k >> U(32)).astype(np.uint16).tobytes(), n[one].tobytes(), rare[late].tobytes()))
+                types = [pa.int32(), pa.string(), pa.list_(pa.int64()), *[pa.binary()] * 5]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[c.split()[0] for c in _BUCKET.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, _BUCKET)
 
 
+def rare_bigrams(docs: DataFrame, vocabulary) -> DataFrame:
+    """(doc_id, v, w, n): the distinct bigrams of two rare words, as fingerprints."""
+
+    def run(batches):
+        vocab = vocabulary.value[0]
+        for batch in batches:
+            for a, _, h, at in _blocks(batch.column(1)):
+                if not len(h):
+                    continue
+                doc, ids, before, last = _pairs(h, at, vocab)
+                both = (ids == len(vocab)) & (before == len(vocab))
+                doc, v, w, n = _distinct(doc[both], last[both], h[both])
+                yield pa.record_batch([batch.column(0).take(pa.array(doc + a)), pa.array(v.view(np.int64)), pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], names=["doc_id", "v", "w", "n"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, _PAIR)
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", backoff: float = 0.4, min_count: int = 2, most: int = VOCABULARY, buckets: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_backoff, logprob, avg_logprob): one row for each identifier of ``docs``."""
     spark = docs.sparkSession
@@ -121,29 +161,50 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", backoff: flo
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     counts = materialize(unigrams(docs), "unigrams")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    known = counts.where(F.col("n") * most >= total).toArrow()
+    frequent = F.col("n") * most >= total
+    known = counts.where(frequent).toArrow()
     h, c = known.column("word").to_numpy().view(np.uint64), known.column("n").to_numpy()
     order = np.argsort(h)
     vocab, c = h[order], c[order]
-    rest = total - int(c.sum())
-    vocabulary = spark.sparkContext.broadcast((vocab, np.append(c, rest).astype(np.float64)))
+    vocabulary = spark.sparkContext.broadcast((vocab, np.append(c, [0, 1]).astype(np.float64)))
+    rare_counts = counts.where(~frequent)
+
+    def dealt(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array(_deal(batch.column(0).to_numpy().view(np.uint64), buckets)), batch.column(0), batch.column(1)], names=["bucket", "word", "n"])
 
-    def join(group: pa.Table) -> pa.Table:
+    def join(group: pa.Table, rare: pa.Table) -> pa.Table:
+        if not group.num_rows:  # rare words that only follow or precede rare words
+            return pa.table({"block": pa.array([], pa.string()), "docs": pa.array([], pa.list_(pa.int64())), "sums": pa.array([], pa.binary())})
         count = vocabulary.value[1]
-        start = len(count)
+        unknown, start = len(count) - 2, len(count) - 1
+        word, times = rare.column("word").to_numpy().view(np.uint64), rare.column("n").to_numpy().astype(np.float64)
+        order = np.argsort(word)
+        word, times = word[order], np.append(times[order], 0.0)
         parts, sizes = [], []
-        for docs_, doc, low, high, n in zip(*(group.column(x) for x in ("docs", "doc", "low", "high", "n"))):
+        for docs_, doc, low, high, n, fingerprints in zip(*(group.column(x) for x in ("docs", "doc", "low", "high", "n", "rare"))):
             k = np.frombuffer(low.as_py(), np.uint32).astype(np.int64) | (np.frombuffer(high.as_py(), np.uint16).astype(np.int64) << 32)
+            v, w = k >> _BITS, k & ((1 << _BITS) - 1)
+            mixed = (v == unknown) | (w == unknown)
+            if mixed.any():  # the rare word's place in this bucket, the other word and the side
+                v, w = v[mixed], w[mixed]
+                place = np.searchsorted(word, np.frombuffer(fingerprints.as_py(), np.uint64))
+                k[mixed] = (1 << 62) | (place << (_BITS + 1)) | (np.where(w == unknown, v, w) << 1) | (w == unknown)
             parts.append((k, np.frombuffer(n.as_py(), np.uint32), np.frombuffer(doc.as_py(), np.uint16).astype(np.int64) + sum(sizes[-1:])))
             sizes.append(sum(sizes[-1:]) + len(docs_))
         at = sizes[-1]
         k, n, doc = (np.concatenate(x) for x in zip(*parts))
         distinct, place = np.unique(k, return_inverse=True)
         seen = np.bincount(place, n)  # this hash range of the bigram table
-        v, w = distinct >> _BITS, distinct & ((1 << _BITS) - 1)
+        mixed, second = distinct >> 62 == 1, (distinct & 1).astype(bool)
+        other = (distinct >> 1) & ((1 << _BITS) - 1)
+        own = times[np.where(mixed, (distinct & ~(1 << 62)) >> (_BITS + 1), -1)]
+        v = np.where(mixed, np.where(second, other, unknown), distinct >> _BITS)
+        w = np.where(mixed, np.where(second, unknown, other), distinct & ((1 << _BITS) - 1))
+        cv, cw = np.where(mixed & ~second, own, count[v]), np.where(mixed & second, own, count[w])
         first = v == start
         hit = (seen >= min_count) & ~first
-        s = np.where(hit, seen / np.append(count, 1.0)[v], np.where(first, 1.0, backoff) * count[w] / total)
+        s = np.where(hit, seen / cv, np.where(first, 1.0, backoff) * cw / total)
         units = np.rint(np.log(s) * _MICRO).astype(np.int64)
         missed = ~hit & ~first
         out = [np.bincount(doc, n * x[place], at) for x in (np.ones(len(units)), missed.astype(float))]
@@ -164,10 +225,17 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", backoff: flo
         columns = zip(*found.values())
         return pa.table({"doc_id": pa.array(list(found), pa.int64()), **{c: pa.array(x, pa.int64()) for c, x in zip(("words", "missed", "units"), columns)}})
 
-    parts = bigrams(docs, vocabulary, buckets).groupBy("bucket").applyInArrow(join, "block string, docs array<long>, sums binary")
+    table = rare_counts.mapInArrow(dealt, "bucket int, word long, n long")
+    parts = bigrams(docs, vocabulary, buckets).groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(join, "block string, docs array<long>, sums binary")
     partial = parts.groupBy("block").applyInArrow(add, "doc_id long, words long, missed long, units long")
     blank = docs.select("doc_id", *(F.lit(0).cast("long").alias(c) for c in ("words", "missed", "units")))
-    sums = partial.unionByName(blank).groupBy("doc_id").agg(F.sum("words").alias("n_words"), F.sum("missed").alias("n_backoff"), F.sum("units").alias("units"))
+    seen = rare_bigrams(docs, vocabulary).withColumn("seen", F.sum("n").over(Window.partitionBy("v", "w")))
+    hit = F.col("seen") >= min_count
+    met = seen.withColumn("word", F.when(hit, F.col("v")).otherwise(F.col("w"))).join(rare_counts.select("word", F.col("n").cast("double").alias("c")), "word")
+    s = F.when(hit, F.col("seen") / F.col("c")).otherwise(F.lit(float(backoff)) * F.col("c") / F.lit(float(total)))
+    units = F.rint(F.log(s) * _MICRO).cast("long")
+    rare = met.groupBy("doc_id").agg(F.sum("n").alias("words"), F.sum(F.when(hit, 0).otherwise(F.col("n"))).alias("missed"), F.sum(F.col("n") * units).alias("units"))
+    sums = partial.unionByName(rare).unionByName(blank).groupBy("doc_id").agg(F.sum("words").alias("n_words"), F.sum("missed").alias("n_backoff"), F.sum("units").alias("units"))
     logprob = F.col("units") / F.lit(_MICRO)
     return sums.select("doc_id", "n_words", "n_backoff", logprob.alias("logprob"), F.when(F.col("n_words") > 0, logprob / F.col("n_words")).alias("avg_logprob"))
 

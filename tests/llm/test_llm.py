@@ -264,6 +264,34 @@ def test_merged_intervals_are_the_equal_windows(monkeypatch):
         assert len(seen) == len({t[i : i + 8] for t in texts for i in range(len(t) - 7)})
 
 
+def brute_scores(rows):
+    texts = [(d, (t or "").split()) for d, t in rows]
+    one, two = Counter(w for _, ws in texts for w in ws), Counter(p for _, ws in texts for p in zip(ws, ws[1:]))
+    total, out = sum(one.values()), {}
+    for d, ws in texts:
+        s = [one[w] / total if i == 0 else two[ws[i - 1], w] / one[ws[i - 1]] if two[ws[i - 1], w] >= 2 else 0.4 * one[w] / total for i, w in enumerate(ws)]
+        missed = sum(two[p] < 2 for p in zip(ws, ws[1:]))
+        n, m, units = out.get(d, (0, 0, 0))
+        out[d] = (n + len(ws), m + missed, units + sum(round(float(np.log(x)) * 1e6) for x in s))
+    return out
+
+
+@pytest.mark.parametrize("most", [3, 40, 1_000_000])
+def test_lm_score_keeps_every_word(spark, most):
+    rng = random.Random(most)
+    rows = [(i // 2 if i % 5 else None, " ".join(f"w{int(rng.paretovariate(0.6)) % 900}" for _ in range(rng.randint(0, 60)))) for i in range(80)]
+    rows += [(900, "rare pair rare pair"), (901, "lone"), (902, None)]
+    got = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), most=most).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_backoff"], round(r["logprob"] * 1e6)) for r in got} == brute_scores(rows)
+
+
+def test_lm_score_of_more_than_a_million_words(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 3000) % 500_000)) for i in range(400)]
+    got = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_backoff"], round(r["logprob"] * 1e6)) for r in got} == brute_scores(rows)
+
+
 def test_mixing(spark, docs):
     t = mixing.targets(spark.createDataFrame([("a", 10), ("b", 1000), ("c", 100), (None, 0)], "source string, source_size long")).collect()
     by = {r["source"]: r["target"] for r in t}
