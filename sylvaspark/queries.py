@@ -422,6 +422,11 @@ def complete_cases_board(spark, d):
     return B.complete_cases(_board(spark, d).where("seed = 0"), ["dataset", "config", "learner"], "method").groupBy("learner").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH b AS ({_BOARD}), n AS (SELECT dataset, config, learner FROM b GROUP BY ALL HAVING count(DISTINCT method) = (SELECT count(DISTINCT method) FROM b)) SELECT b.learner, count(*) AS n FROM b SEMI JOIN n USING (dataset, config, learner) GROUP BY 1")
+def complete_cases_whole_board(spark, d):
+    return B.complete_cases(_board(spark, d), ["dataset", "config", "learner"], "method").groupBy("learner").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH b AS ({_BOARD}), f AS (SELECT dataset, config, learner FROM b GROUP BY ALL HAVING count(DISTINCT method) = (SELECT count(DISTINCT method) FROM b)) SELECT dataset FROM f GROUP BY dataset HAVING count(*) = (SELECT count(*) FROM (SELECT DISTINCT config, learner FROM b))")
 def fixed_panel_board(spark, d):
     return B.fixed_panel(_board(spark, d), ["config", "learner"], "dataset", "method")
@@ -492,6 +497,21 @@ def completeness_board(spark, d):
     return B.completeness(_board(spark, d).where("seed = 0 AND id % 7 = 0"), ["dataset", "method", "learner"])
 
 
+@query(f"WITH b AS ({_BOARD}), s AS (SELECT dataset, method, learner, count(*) AS n FROM b GROUP BY ALL) SELECT dataset, method, learner, coalesce(n, 0) AS n FROM (SELECT DISTINCT dataset FROM b) CROSS JOIN (SELECT DISTINCT method FROM b) CROSS JOIN (SELECT DISTINCT learner FROM b) LEFT JOIN s USING (dataset, method, learner)")
+def completeness_whole_board(spark, d):
+    return B.completeness(_board(spark, d), ["dataset", "method", "learner"])
+
+
+@query("""WITH b AS (SELECT p_type AS part, n_name AS nation, l_linestatus AS status, l_linenumber AS line FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+s AS (SELECT part, nation, status, line, count(*) AS n FROM b GROUP BY ALL)
+SELECT part, nation, status, line, coalesce(n, 0) AS n FROM (SELECT DISTINCT part FROM b) CROSS JOIN (SELECT DISTINCT nation FROM b) CROSS JOIN (SELECT DISTINCT status FROM b) CROSS JOIN (SELECT DISTINCT line FROM b) LEFT JOIN s USING (part, nation, status, line)""")
+def completeness_lines(spark, d):
+    p, s, n = (table(spark, d, t) for t in ("part", "supplier", "nation"))
+    j = _lineitem(spark, d).join(p, F.col("l_partkey") == F.col("p_partkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    b = j.select(F.col("p_type").alias("part"), F.col("n_name").alias("nation"), F.col("l_linestatus").alias("status"), F.col("l_linenumber").alias("line"))
+    return B.completeness(b, ["part", "nation", "status", "line"])
+
+
 @query(f"WITH b AS ({_BOARD}) SELECT method, count(*) AS n, round(median(score), 4) AS p50, round(quantile_cont(score, 0.25), 4) AS p25, round(quantile_cont(score, 0.75), 4) AS p75, round(stddev_samp(score), 4) AS sd, count(DISTINCT dataset) AS datasets FROM b GROUP BY 1")
 def quantiles_board(spark, d):
     return rounded(_board(spark, d).groupBy("method").agg(F.count("*").alias("n"), F.median("score").alias("p50"), F.percentile("score", F.lit(0.25)).alias("p25"), F.percentile("score", F.lit(0.75)).alias("p75"), F.stddev_samp("score").alias("sd"), F.countDistinct("dataset").alias("datasets")), 4)

@@ -1,8 +1,10 @@
 """Every query with an SQL twin equals it; the others return rows."""
 
+from collections import Counter
+
 import pytest
 
-from sylvaspark.queries import ORACLE_SQL, QUERIES
+from sylvaspark.queries import ORACLE_SQL, QUERIES, _board
 from tests.oracle import connect, same
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +30,16 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 4
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_board_queries_take_the_whole_board(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet").count()
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    total = lambda name: sum(r["n"] for r in QUERIES[name](spark, SF).collect())
+    assert total("completeness_whole_board") == orders and total("completeness_lines") == lines
+    assert QUERIES["completeness_lines"](spark, SF).where("n = 0").count() > 0
+    rows = [(r["dataset"], r["config"], r["learner"], r["method"]) for r in _board(spark, SF).collect()]
+    methods = {r[3] for r in rows}
+    full = [c for c in {r[:3] for r in rows} if {r[3] for r in rows if r[:3] == c} == methods]
+    want = Counter(r[2] for r in rows if r[:3] in full)
+    assert {r["learner"]: r["n"] for r in QUERIES["complete_cases_whole_board"](spark, SF).collect()} == want
