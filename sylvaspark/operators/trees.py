@@ -2,8 +2,9 @@
 
 Each level is a few grouped aggregates over a long table keyed by (tree_id, node):
 stage A picks a feature by association (and, with ``n_resamples``, a permutation
-p-value under Bonferroni), stage B picks a threshold by weighted child impurity
-(and a left-tailed permutation p-value).  Rows are never copied: a level only writes
+p-value under Bonferroni, with ``n_resamples`` for each of a node's features), stage B
+picks a threshold by weighted child impurity (and tests this one threshold by a
+left-tailed permutation p-value, at ``alpha_threshold`` without correction).  Rows are never copied: a level only writes
 each row's next node.  Rows go left iff x <= threshold; a missing x goes right.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -203,7 +205,7 @@ def _choose(spark, model, rows, by, open_nodes, features, params, clf) -> dict:
     long = long.join(pool, [*by, "feature"])
     tie = F.md5(F.concat_ws("|", F.lit(f"{params.seed}|t"), "tree_id", "node", "feature"))
     if params.n_resamples:
-        tests = permutation_test(long, params.n_resamples, params.seed, "mc" if clf else "pc", by)
+        tests = _feature_tests(spark, long, pool, params, "mc" if clf else "pc", by)
         tests = tests.withColumn("level", params.alpha_feature / F.count("*").over(Window.partitionBy(*by))).where("p_value < level")
         w = Window.partitionBy(*by).orderBy("p_value", F.desc(F.round("statistic", 12)), tie)
         best = tests.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*by, "feature", "p_value")
@@ -238,6 +240,18 @@ def _choose(spark, model, rows, by, open_nodes, features, params, clf) -> dict:
     return chosen
 
 
+def _feature_tests(spark, long, pool, params, kind, by) -> DataFrame:
+    """Permutation tests of the nodes' features: a node of k features takes k times the resamples, as its level is alpha / k."""
+    sizes: dict[int, list] = {}
+    for r in pool.groupBy(*by).count().collect():
+        sizes.setdefault(r["count"], []).append((r["tree_id"], r["node"]))
+    tests = []
+    for k, nodes in sorted(sizes.items()) or [(1, [])]:
+        some = F.broadcast(spark.createDataFrame(nodes, "tree_id int, node long"))
+        tests.append(permutation_test(long.join(some, by), params.n_resamples * k, params.seed, kind, by))
+    return reduce(DataFrame.unionByName, tests)
+
+
 def _impurity_at(rows: DataFrame, keys: list[str], criterion: str) -> DataFrame:
     """(*keys, n_left, n_right, impurity) of rows that carry ``side`` (0 left, 1 right) and y."""
     if criterion in ("gini", "entropy"):

@@ -248,3 +248,18 @@ def test_neighbours_at_distance_zero_decide_alone(spark):
 def test_coverage_probability():
     assert wrappers.coverage_probability(10, 10, 1) == 1.0
     assert wrappers.coverage_probability(10, 3, 1) == pytest.approx(0.3)
+
+
+def test_permutation_tree_splits_on_four_features(spark):
+    rows = [(i, (i * 37 % 101) / 101, (i * 53 % 97) / 97, (i * 29 % 89) / 89, (i * 41 % 83) / 83, int((i * 29 % 89) / 89 > 0.5)) for i in range(160)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double, y int")
+    root = trees.grow(df, "id", ["a", "b", "c", "d"], "y", trees.TreeParams(max_depth=1, n_resamples=40)).nodes[0, 1]
+    assert root.feature == "c" and 0.45 < root.threshold < 0.55
+    assert root.p_feature == pytest.approx(1 / 161)
+
+
+def test_permutation_tree_scales_resamples_by_the_features_that_vary(spark):
+    rows = [(i, i / 160, 1.0, (i * 29 % 89) / 89, int(i >= 80)) for i in range(160)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, y int")
+    root = trees.grow(df, "id", ["a", "b", "c"], "y", trees.TreeParams(max_depth=1, n_resamples=40)).nodes[0, 1]
+    assert root.feature == "a" and root.p_feature == pytest.approx(1 / 81)
