@@ -2,9 +2,10 @@
 
 Host labels are concatenated names; a unigram Viterbi search cuts them into
 words, and multinomial naive Bayes scores the words of host and path.  The unigram
-counts come from the corpus (titles of all pages; words with a share of 1/VOCABULARY
-or more, which bounds what is broadcast) with the words of the labelled names added;
-naive Bayes is trained on a small list of labelled names.  A word that neither
+counts come from the corpus (every word of the titles of all pages) with the words of
+the labelled names added.  The table of counts is never collected or broadcast as a
+whole: the substrings of the distinct names are joined to it, so that a name meets the
+counts of its own words.  Naive Bayes is trained on a small list of labelled names.  A word that neither
 class knows says nothing, so a host of unknown words keeps the prior.
 
 Nulls: a null url, or one without ``://``, has empty host and path; no rule fits
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, tune
 
-VOCABULARY = 50_000
+LONGEST = 24  # letters of a word
 #: Labelled names: (words, block).  Fixed training rows, a parameter of :func:`train`.
 NAMES = (
     *((w, True) for w in (
@@ -64,20 +65,18 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return chain
 
 
-def vocabulary(pages: DataFrame, html: str = "html", most: int = VOCABULARY) -> dict[str, int]:
-    """Counts of the titles' words over all pages, of words with a share of 1/``most`` or more: at most ``most`` words."""
+def vocabulary(pages: DataFrame, html: str = "html") -> DataFrame:
+    """(word, count): the titles' words over all pages."""
     title = F.regexp_extract(F.coalesce(F.col(html), F.lit("")), r"(?is)<title[^>]*>(.*?)</title", 1)
     word = F.explode(F.regexp_extract_all(F.lower(title), F.lit(r"([\p{L}]{2,})"), F.lit(1))).alias("word")
-    counts = materialize(pages.select(word).groupBy("word").count(), "words")
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    return {r["word"]: r["count"] for r in counts.where(F.col("count") * most >= total).collect()}
+    return materialize(pages.select(word).groupBy("word").count(), "words")
 
 
 class Segmenter:
     """The likeliest cut of a name into words, by unigram counts; unknown runs cost more with each letter."""
 
-    def __init__(self, counts: dict[str, int], longest: int = 24):
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], longest: int = LONGEST, total: int | None = None):
+        total = total or sum(counts.values()) + 1
         self.cost = {w: math.log(total / c) for w, c in counts.items()}
         self.longest, self.unknown = longest, math.log(total) + 2.3
 
@@ -107,32 +106,13 @@ def train(names=NAMES, alpha: float = 0.25, prior_block: float = 0.2) -> tuple[d
     return odds, math.log(prior_block / (1 - prior_block))
 
 
-class HostModel:
-    def __init__(self, counts: dict[str, int], names=NAMES):
-        self.odds, self.prior = train(names)
-        strong = max([100, *counts.values()]) // 10
-        both = Counter(counts)
-        both.update({w: strong for w in self.odds if len(w) > 1})
-        self.segmenter = Segmenter(both)
-        self.cache: dict[str, tuple[str, ...]] = {}
+def names_of(host: str, path: str) -> list[str]:
+    """The runs of letters of host and path; the public suffix says nothing."""
+    return [n for text in (host.rpartition(".")[0], path) for n in re.findall(r"[^\W\d_]+", text.lower())]
 
-    def tokens(self, text: str) -> list[str]:
-        out: list[str] = []
-        for name in re.findall(r"[^\W\d_]+", text.lower()):
-            if name not in self.cache:
-                if len(self.cache) > 100_000:
-                    self.cache.clear()
-                self.cache[name] = tuple(self.segmenter.cut(name))
-            out.extend(self.cache[name])
-        return out
 
-    def score(self, host: str, path: str) -> float:
-        """Log odds that the url is to be blocked; the public suffix says nothing."""
-        words = self.tokens(host.rpartition(".")[0]) + self.tokens(path)
-        return self.prior + sum(self.odds.get(w, 0.0) for w in words)
-
-    def verdict(self, host: str, path: str) -> str:
-        return "block" if self.score(host, path) > 0 else "allow"
+def substrings(name: str, longest: int = LONGEST) -> set[str]:
+    return {name[a:b] for a in range(len(name)) for b in range(a + 2, min(len(name), a + longest) + 1)}
 
 
 def filter_urls(pages: DataFrame, rules=RULES, names=NAMES, url: str = "url", html: str = "html", key: str = "page_id") -> DataFrame:
@@ -140,17 +120,49 @@ def filter_urls(pages: DataFrame, rules=RULES, names=NAMES, url: str = "url", ht
     spark = pages.sparkSession
     tune(spark)
     counts = vocabulary(pages, html)
+    odds, prior = train(names)
+    sums = counts.agg(F.sum("count").alias("total"), F.max("count").alias("most")).first()
+    labelled = [w for w in odds if len(w) > 1]
+    strong = max(100, sums["most"] or 0) // 10
+    replaced = counts.where(F.col("word").isin(labelled)).agg(F.sum("count")).first()[0] or 0
+    total = (sums["total"] or 0) - replaced + strong * len(labelled) + 1
+
+    parts = pages.select(F.col(key).cast("long").alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
 
-    def judge(batches):
-        model = HostModel(counts, names)
+    def split(batches):
         for batch in batches:
-            b = dict(zip(batch.schema.names, batch.columns))
-            hosts, paths = b["host"].to_pylist(), b["path"].to_pylist()
-            scores = [model.score(h, p) for h, p in zip(hosts, paths)]
-            verdicts = [v or ("block" if s > 0 else "allow") for v, s in zip(b["by_rule"].to_pylist(), scores)]
-            yield pa.record_batch([b["page_id"], b["host"], b["path"], b["rule"], pa.array(verdicts, pa.string()), pa.array(scores, pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "score"])
+            found = [(h, p, i, n) for h, p in zip(*(c.to_pylist() for c in batch.columns)) for i, n in enumerate(names_of(h, p))]
+            columns = list(zip(*found)) or [[]] * 4
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.string()))], names=["host", "path", "pos", "name"])
 
-    parts = pages.select(F.col(key).cast("long").alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    ruled = parts.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
-    ruled = ruled.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("by_rule"))
-    return ruled.mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string, score double")
+    def cut_out(batches):
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                words = list(substrings(name))
+                if words:
+                    yield pa.record_batch([pa.array([name] * len(words)), pa.array(words)], names=["name", "word"])
+
+    def segment(batches):
+        for batch in batches:
+            out = []
+            for name, found in zip(*(c.to_pylist() for c in batch.columns)):
+                known = {x["word"]: x["count"] for x in found} | dict.fromkeys(labelled, strong)
+                out.append([odds[w] for w in Segmenter(known, total=total).cut(name) if w in odds])
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["name", "odds"])
+
+    def add(batches):
+        for batch in batches:
+            scores = [prior + sum(x for _, o in sorted((f["pos"], f["odds"]) for f in found) for x in o) for found in batch.column(2).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["host", "path", "score"])
+
+    spelt = materialize(parts.select("host", "path").distinct().mapInArrow(split, "host string, path string, pos int, name string"), "names")
+    distinct = spelt.select("name").distinct()
+    hits = distinct.mapInArrow(cut_out, "name string, word string").join(counts, "word").select("name", F.struct("word", "count").alias("hit"))
+    bare = distinct.select("name", F.lit(None).cast(hits.schema["hit"].dataType).alias("hit"))
+    cuts = hits.unionByName(bare).groupBy("name").agg(F.collect_list("hit").alias("found")).mapInArrow(segment, "name string, odds array<double>")
+    told = spelt.join(cuts.where(F.size("odds") > 0), "name").groupBy("host", "path").agg(F.collect_list(F.struct("pos", "odds")).alias("found"))
+    scored = told.mapInArrow(add, "host string, path string, score double")
+    judged = parts.join(scored, ["host", "path"], "left").withColumn("score", F.coalesce("score", F.lit(float(prior))))
+    hit = rule_of(F.col("host"), F.col("path"), rules)
+    verdict = F.coalesce(F.col("hit.verdict"), F.when(F.col("score") > 0, "block").otherwise("allow"))
+    return judged.withColumn("hit", hit).select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), "score")

@@ -223,6 +223,22 @@ def test_url_filter(spark):
     assert url_filter.Segmenter({"cheap": 5, "pills": 5, "chea": 1}).cut("cheappills") == ["cheap", "pills"]
 
 
+def test_url_filter_keeps_rare_title_words(spark):
+    rng = random.Random(4)
+    words = [f"{a}{b}{c}q" for a in "bcdfghjk" for b in "aeiou" for c in "lmnprst"]
+    titles = [" ".join(["the"] * 200 + ["win"] * 40 + rng.choices(words, k=3700) + (["winnipeg"] if i < 2 else [])) for i in range(50)]
+    urls = ["https://winnipeg.example.com/", "https://winnipeg.example.com/", "https://winnipegs-win.example.com/Winnipeg/x1", None]
+    df = spark.createDataFrame([(i, urls[i] if i < 4 else "http://a.com", f"<title>{t}</title>") for i, t in enumerate(titles)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in url_filter.filter_urls(df.repartition(3)).collect()}
+    odds, prior = url_filter.train()
+    assert len(got) == 50 and all(got[i]["verdict"] == "allow" and got[i]["score"] == prior for i in (0, 1, 3))
+    full = Counter(w for t in titles for w in t.split())
+    full.update({w: 0 for w in odds})
+    full = {w: max(100, *full.values()) // 10 if w in odds else n for w, n in full.items()}
+    cut = url_filter.Segmenter(full).cut
+    assert got[2]["score"] == prior + sum(odds.get(w, 0.0) for n in ("winnipegs", "win", "example", "winnipeg", "x") for w in cut(n))
+
+
 def brute_repeats(rows, length=100):
     first = {}
     for d, b in rows:
