@@ -20,6 +20,7 @@ QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 LINEITEM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 PARTS = ["e0", "e1", "e2", "e3"]
+DIMENSIONS = [f"e{i}" for i in range(64)]
 
 
 def query(sql: str | None = None):
@@ -49,6 +50,11 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)))
 
 
+def _whole_vectors(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return e.select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(DIMENSIONS)))
+
+
 def _vector_long(spark: SparkSession, d: str) -> DataFrame:
     return association.long_table(_vectors(spark, d), "vec_id", PARTS, "label")
 
@@ -107,12 +113,12 @@ def distance_correlation_embeddings(spark, d):
 
 @query()
 def mutual_information_embeddings(spark, d):
-    return rounded(association.mutual_information(_vector_long(spark, d)))
+    return rounded(association.mutual_information(association.long_table(_whole_vectors(spark, d), "vec_id", DIMENSIONS, "label")))
 
 
 @query()
 def rdc_embeddings(spark, d):
-    return rounded(association.rdc(_vector_long(spark, d)))
+    return rounded(association.rdc(association.long_table(_whole_vectors(spark, d), "vec_id", DIMENSIONS, "label")))
 
 
 @query(f"""WITH l AS ({_VL}), {_ETA}, e AS (SELECT feature, sqrt(greatest(0, (b - s * s / n) / (q - s * s / n))) AS score, 'eta' AS name FROM t
@@ -263,7 +269,7 @@ def correlated_pairs_embeddings(spark, d):
 
 @query()
 def mrmr_embeddings(spark, d):
-    chosen = ranking.mrmr(_vectors(spark, d), "vec_id", [f"e{i}" for i in range(8)], "label", 5)
+    chosen = ranking.mrmr(_whole_vectors(spark, d), "vec_id", DIMENSIONS, "label", 5)
     return spark.createDataFrame([(i + 1, f) for i, f in enumerate(chosen)], "rank int, feature string")
 
 
@@ -272,21 +278,21 @@ def mrmr_embeddings(spark, d):
 
 @query()
 def tree_nodes_embeddings(spark, d):
-    m = trees.grow(_vectors(spark, d), "vec_id", PARTS, "label", trees.TreeParams(max_depth=3, min_leaf=5))
+    m = trees.grow(_whole_vectors(spark, d), "vec_id", DIMENSIONS, "label", trees.TreeParams(max_depth=3, min_leaf=5))
     return rounded(m.table(spark))
 
 
 @query()
 def tree_permutation_embeddings(spark, d):
-    m = trees.grow(_vectors(spark, d), "vec_id", PARTS, "label", trees.TreeParams(max_depth=2, min_leaf=5, n_resamples=40))
+    m = trees.grow(_whole_vectors(spark, d), "vec_id", DIMENSIONS, "label", trees.TreeParams(max_depth=2, min_leaf=5, n_resamples=40))
     return rounded(m.table(spark))
 
 
 @query()
 def forest_importance_embeddings(spark, d):
-    v = _vectors(spark, d)
+    v = _whole_vectors(spark, d)
     sample = S.bootstrap(v, "vec_id", 5, 1, "label", "stratified")
-    m = trees.grow(v, "vec_id", PARTS, "label", trees.TreeParams(trees=5, max_depth=3, min_leaf=5, max_features="sqrt"), sample)
+    m = trees.grow(v, "vec_id", DIMENSIONS, "label", trees.TreeParams(trees=5, max_depth=3, min_leaf=5, max_features="sqrt"), sample)
     return spark.createDataFrame([(f, round(v, 6)) for f, v in m.importances().items()], "feature string, importance double")
 
 
@@ -561,6 +567,11 @@ def explode_rankings_embeddings(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "element")).where("pos < 3").select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("element").cast("double").alias("element"))
 
 
+@query("SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding)::DOUBLE AS element FROM embeddings")
+def explode_whole_embeddings(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "element")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("element").cast("double").alias("element"))
+
+
 @query("SELECT event_type, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS k FROM events GROUP BY 1")
 def json_events(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"))
@@ -622,7 +633,7 @@ def _named(spark, rows, schema):
 
 @query()
 def permutation_importance_embeddings(spark, d):
-    return rounded(wrappers.permutation_importance(_vectors(spark, d), "vec_id", PARTS, "label", seed=3, repeats=5))
+    return rounded(wrappers.permutation_importance(_whole_vectors(spark, d), "vec_id", DIMENSIONS, "label", seed=3, repeats=5))
 
 
 @query()
@@ -648,14 +659,14 @@ def elimination_embeddings(spark, d):
 
 @query()
 def model_importance_embeddings(spark, d):
-    rows = [(m, f, float(v)) for m in ("dt", "rf") for f, v in wrappers.importances(_vectors(spark, d), "vec_id", PARTS, "label", m).items()]
+    rows = [(m, f, float(v)) for m in ("dt", "rf") for f, v in wrappers.importances(_whole_vectors(spark, d), "vec_id", DIMENSIONS, "label", m).items()]
     return _named(spark, rows, "model string, feature string, importance double")
 
 
 @query()
 def split_counts_embeddings(spark, d):
-    v = _vectors(spark, d)
-    m = trees.grow(v, "vec_id", PARTS, "label", trees.TreeParams(trees=3, max_depth=2, min_leaf=5, max_features="sqrt"), S.bootstrap(v, "vec_id", 3, 1, "label", "stratified"))
+    v = _whole_vectors(spark, d)
+    m = trees.grow(v, "vec_id", DIMENSIONS, "label", trees.TreeParams(trees=3, max_depth=2, min_leaf=5, max_features="sqrt"), S.bootstrap(v, "vec_id", 3, 1, "label", "stratified"))
     return ranking.split_counts(m.table(spark))
 
 

@@ -1,5 +1,6 @@
 """Every query with an SQL twin equals it; the others return rows."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -43,3 +44,17 @@ def test_board_queries_take_the_whole_board(spark):
     full = [c for c in {r[:3] for r in rows} if {r[3] for r in rows if r[:3] == c} == methods]
     want = Counter(r[2] for r in rows if r[:3] in full)
     assert {r["learner"]: r["n"] for r in QUERIES["complete_cases_whole_board"](spark, SF).collect()} == want
+
+
+def test_embedding_queries_see_all_dimensions(spark, tmp_path):
+    rng = random.Random(6)
+    rows = []
+    for i in range(200):
+        v = [rng.random() for _ in range(64)]
+        rows.append((i, v, int(v[40] > 0.5)))
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in run("explode_whole_embeddings")) == [(i, p, x) for i, v, _ in rows for p, x in enumerate(v)]
+    assert next(r["feature"] for r in run("tree_nodes_embeddings") if r["node"] == 1) == "e40"
+    assert run("mrmr_embeddings")[0]["feature"] == "e40"
+    assert max(run("model_importance_embeddings"), key=lambda r: r["importance"])["feature"] == "e40"
