@@ -33,8 +33,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids): the token ids of every document of the mixture (operator 5)."""
-    return bpe.encode(docs, bpe.vocabulary())
+    """(doc_id, ids, decoded_sha256): the token ids of every document of the mixture, and the hash of their decoded text (operator 5)."""
+    return bpe.encode_and_decode(docs, bpe.vocabulary())
 
 
 STAGES = [

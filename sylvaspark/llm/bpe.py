@@ -109,38 +109,39 @@ class WordBpe:
         text = self.space.sub(" ", unicodedata.normalize("NFC", text))
         return text.replace("Σ", "σ").lower()  # no word-final sigma
 
-    def word(self, word: str) -> tuple[int, str, str]:
-        """Number of ids, ids and tokens joined by spaces, of one word."""
+    def word(self, word: str) -> tuple[int, str]:
+        """Number of ids, and ids joined by spaces, of one word."""
         found = self.cache.get(word)
         if found is None:
             tokens = [t for t in self.merge(word) if t in self.vocab]
-            found = len(tokens), " ".join(str(self.vocab[t]) for t in tokens), " ".join(tokens)
+            found = len(tokens), " ".join(str(self.vocab[t]) for t in tokens)
             if len(self.cache) >= CACHE:
                 self.cache.clear()
             if len(word) <= SHORT:
                 self.cache[word] = found
         return found
 
-    def pieces(self, text: str) -> Iterator[tuple[int, str, str]]:
+    def pieces(self, text: str) -> Iterator[tuple[int, str]]:
         at = 0
         for m in self.special_at.finditer(text) if self.special_at and "<" in text else ():
             yield from map(self.word, self.pattern.findall(self.normalize(text[at : m.start()])))
-            yield 1, str(self.special[m[0]]), m[0]
+            yield 1, str(self.special[m[0]])
             at = m.end()
         yield from map(self.word, self.pattern.findall(self.normalize(text[at:] if at else text)))
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for n, ids, _ in self.pieces(text) if n for i in ids.split(" ")]
+        return [int(i) for n, ids in self.pieces(text) if n for i in ids.split(" ")]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by one space: the file names no decoder.  Unknown ids are left out."""
         return " ".join(self.names[i] for i in ids if i in self.names)
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids joined by spaces, SHA-256 of the decoded text."""
-        found = [p for p in self.pieces(text) if p[0]]
-        ids, decoded = " ".join([p[1] for p in found]), " ".join([p[2] for p in found])
-        return sum([p[0] for p in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        """Number of ids, SHA-256 of the ids joined by spaces, SHA-256 of the text decoded from the ids."""
+        ids = " ".join([p[1] for p in self.pieces(text) if p[0]])
+        numbers = [int(i) for i in ids.split()]
+        decoded = self.decode(numbers)
+        return len(numbers), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 @lru_cache(maxsize=2)
@@ -175,6 +176,17 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     return _mapped(docs, path, key, text, schema, lambda model, t: (model.encode(t),))
 
 
+def encode_and_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded_sha256): the ids of every text, and the SHA-256 of the text decoded from them."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
+
+    def row(model, t):
+        ids = model.encode(t)
+        return ids, hashlib.sha256(model.decode(ids).encode()).hexdigest()
+
+    return _mapped(docs, path, key, text, schema, row)
+
+
 def decode(ids: DataFrame, path: str, key: str = "doc_id", column: str = "ids") -> DataFrame:
     """(doc_id, text): the decoded text of every list of ids; null counts as empty."""
     tune(ids.sparkSession)

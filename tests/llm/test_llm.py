@@ -193,6 +193,18 @@ def test_bpe_equals_the_library(real):
     assert ours._scan(symbols) == ours._heap(symbols)
 
 
+def test_bpe_digest_and_pipeline_decode_the_ids(spark, docs):
+    import corpus_pipeline
+
+    path = bpe.vocabulary()
+    model = bpe.WordBpe(path)
+    ids = model.encode("hello world")
+    model.names = {i: n for i, n in model.names.items() if i != ids[0]}
+    assert model.digest("hello world")[2] == hashlib.sha256(model.decode(ids).encode()).hexdigest() != bpe.load(path).digest("hello world")[2]
+    got = Counter((r["doc_id"], r["decoded_sha256"]) for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect())
+    assert got == Counter((r["doc_id"], r["decoded_sha256"]) for r in bpe.digests(docs, path).collect())
+
+
 @pytest.mark.parametrize("codec", [tiff.PLAIN, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
 @pytest.mark.parametrize("predictor, tiled, order", [(1, False, "<"), (2, True, ">"), (2, False, ">"), (1, True, "<")])
 def test_tiff_round_trip(codec, predictor, tiled, order):
