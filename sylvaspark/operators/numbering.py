@@ -46,16 +46,53 @@ def value_block(df: DataFrame, column: str, blocks: int) -> Column:
     return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(at, low + step - 1) <= F.col(column), low + step).otherwise(low))
 
 
+def _starts(t: DataFrame, by: list[str], sums: dict[str, Column]) -> tuple[DataFrame, Column]:
+    """What the blocks before each block add up to, and the condition that joins it to the block's rows."""
+    totals = t.groupBy(*by, "_block").agg(*(F.sum(c).alias(f"_sum_{o}") for o, c in sums.items()))
+    w = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_block").alias("_at"), *(F.coalesce(F.sum(f"_sum_{o}").over(w), F.lit(0)).alias(f"_start_{o}") for o in sums))
+    same = F.col("_block") == F.col("_at")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    return starts, same
+
+
 def number(df: DataFrame, by: list[str], order: list[str | Column], block: Column, blocks: int, out: str) -> DataFrame:
     """``df`` with ``out``: 1, 2, ... in each group of ``by``; ``block`` must not fall along ``order``."""
     if blocks == 1:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*(by or [F.lit(1)])).orderBy(*order)).cast("long"))
     t = df.withColumn("_block", block)
-    sizes = t.groupBy(*by, "_block").agg(F.count("*").alias("_size"))
-    before = F.sum("_size").over(Window.partitionBy(*(by or [F.lit(1)])).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_block").alias("_at"), F.coalesce(before, F.lit(0)).alias("_start"))
+    starts, same = _starts(t, by, {"n": F.lit(1)})
     inside = t.withColumn(out, F.row_number().over(Window.partitionBy(*by, "_block").orderBy(*order)))
+    return inside.join(starts, same).withColumn(out, F.col(out) + F.col("_start_n")).select(*df.columns, out)
+
+
+def running(df: DataFrame, by: list[str], order: list[str | Column], sums: dict[str, Column], block: Column, blocks: int) -> DataFrame:
+    """``df`` with running sums along ``order`` in each group of ``by``, the row itself included; rows that tie share them.
+
+    ``block`` must not fall along ``order`` and must be the same for rows that tie.
+    """
+    if blocks == 1:
+        w = Window.partitionBy(*(by or [F.lit(1)])).orderBy(*order)
+        return df.withColumns({o: F.sum(c).over(w) for o, c in sums.items()})
+    t = df.withColumn("_block", block)
+    starts, same = _starts(t, by, sums)
+    w = Window.partitionBy(*by, "_block").orderBy(*order)
+    inside = t.withColumns({o: F.sum(c).over(w) for o, c in sums.items()})
+    return inside.join(starts, same).withColumns({o: F.col(o) + F.col(f"_start_{o}") for o in sums}).select(*df.columns, *sums)
+
+
+def following(df: DataFrame, by: list[str], column: str, block: Column, blocks: int, out: str) -> DataFrame:
+    """``df`` with the next value of ``column`` in each group of ``by``, null at the last; ``block`` rises with the column."""
+    w = Window.partitionBy(*(by or [F.lit(1)])).orderBy(column)
+    if blocks == 1:
+        return df.withColumn(out, F.lead(column).over(w))
+    t = df.withColumn("_block", block)
+    first = t.groupBy(*by, "_block").agg(F.min(column).alias("_first"))
+    over = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_block")
+    nexts = first.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_block").alias("_at"), F.lead("_first").over(over).alias("_next"))
     same = F.col("_block") == F.col("_at")
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
-    return inside.join(starts, same).withColumn(out, F.col(out) + F.col("_start")).select(*df.columns, out)
+    inside = t.withColumn(out, F.lead(column).over(Window.partitionBy(*by, "_block").orderBy(column)))
+    return inside.join(nexts, same).withColumn(out, F.coalesce(out, "_next")).select(*df.columns, out)
