@@ -9,8 +9,17 @@ lowest rank is found by a scan, its boundary deleted and the two neighbouring
 ranks refreshed.  Words longer than ``SHORT`` symbols use a heap over the same
 ranks, so no word costs the square of its length.
 
-Nulls count as empty; empty texts have no ids; an empty table gives an empty
-result; other columns of the input are never touched.
+The pattern drops white space and matches nothing across it, so a text is the ids of its
+chunks between white space, and each worker keeps the ids of the chunks it has met.
+
+The library's Unicode tables and Python's are of different versions.  Which code points
+they class or lower differently is asked of the library once per worker; chunks
+that have such a character, or one that Python does not know, are normalised by the
+library and split by its classes.  Ids are then those of the library for every code point.
+
+Nulls count as empty; empty texts and texts of white space have no ids; texts of any length are encoded whole;
+equal rows have equal results; an empty table gives an empty result; no column but the key and the text is read, so
+names cannot clash.
 """
 
 from __future__ import annotations
@@ -27,11 +36,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
-
 SHORT = 96
-#: Words kept ready in each worker; the memory is bounded.
-CACHE = 400_000
+#: Chunks kept ready in each worker; the memory is bounded.
+CACHE = 200_000
+_LETTER, _NUMBER, _SPACE, _OTHER = range(4)
 
 
 def byte_chars() -> list[str]:
@@ -41,10 +49,113 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+class Unicode:
+    """The library's character classes and lower case, and the code points at which Python's differ."""
+
+    def __init__(self):
+        from tokenizers import Regex, normalizers
+
+        points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+        everything = "".join(points)
+        self.nfc, self.lowercase = normalizers.NFC().normalize_str, normalizers.Lowercase().normalize_str
+        self.kind = bytearray([_OTHER]) * 0x110000
+        ours = bytearray([_OTHER]) * 0x110000
+        for name, kind in ((r"\p{L}", _LETTER), (r"\p{N}", _NUMBER), (r"\s", _SPACE)):
+            rest = set(normalizers.Replace(Regex(f"[{name}]+"), "").normalize_str(everything))
+            for c in points:
+                if c not in rest:
+                    self.kind[ord(c)] = kind
+            for c in regex.findall(f"[{name}]", everything):
+                ours[ord(c)] = kind
+        lowered = self.lowercase("\n".join(points)).split("\n")
+        if len(lowered) != len(points) + 1:  # the line feed itself makes one part more
+            raise RuntimeError("the library's lower case is not one of single characters")
+        at = ord("\n")
+        lowered[at : at + 2] = ["\n"]
+        self.odd = bytearray(0x110000)
+        for c, low in zip(points, lowered):
+            i = ord(c)
+            self.odd[i] = self.kind[i] != ours[i] or low != lower(c) or unicodedata.category(c) == "Cn"
+        for c in points:  # composed or reordered by one of them only
+            nfc, apart = unicodedata.normalize("NFC", c), unicodedata.normalize("NFD", c)
+            probes = [apart] if apart != c else []
+            if unicodedata.combining(c):
+                probes += [x + c for x in _MARKS] + [c + x for x in _MARKS]
+            if any(self.nfc(x) != unicodedata.normalize("NFC", x) for x in probes):
+                for x in c + nfc:
+                    self.odd[ord(x)] = 1
+        for c, low in zip(points, lowered):  # what becomes such a character is one
+            if any(self.odd[ord(x)] for x in low + unicodedata.normalize("NFC", c)):
+                self.odd[ord(c)] = 1
+        #: White space of Python alone or of the library alone.
+        self.unlike = [c for c in points if c.isspace() != (self.kind[ord(c)] == _SPACE)]
+        self.space = regex.compile("[" + "".join(regex.escape(c) for c in points if self.kind[ord(c)] == _SPACE) + "]+")
+
+    def chunks(self, text: str) -> list[str]:
+        """What stands between the library's white space."""
+        if any(c in text for c in self.unlike):
+            return [x for x in self.space.split(text) if x]
+        return text.split()
+
+    def is_odd(self, text: str) -> bool:
+        return not text.isascii() and any(self.odd[ord(c)] for c in text)
+
+    def pieces(self, chunk: str) -> Iterator[str]:
+        """The pattern's matches in a normalised chunk, by the library's classes."""
+        at, kind = 0, self.kind
+        while at < len(chunk):
+            end = at + 1
+            if suffix := next((x for x in _SUFFIXES if chunk.startswith(x, at)), None):
+                end = at + len(suffix)
+            elif (k := kind[ord(chunk[at])]) == _SPACE:
+                at = end
+                continue
+            elif k != _NUMBER:
+                while end < len(chunk) and kind[ord(chunk[end])] == k:
+                    end += 1
+            yield chunk[at:end]
+            at = end
+
+
+#: Old combining marks of several classes, to see where a mark is put among them.
+_MARKS = "\u0334\u0316\u0301\u0345"
+#: What the file's pattern matches before letters, in its order.
+_SUFFIXES = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def lower(text: str) -> str:
+    """Lower case character by character: no word-final sigma."""
+    return text.replace("Σ", "σ").lower()
+
+
+@lru_cache(maxsize=1)
+def unicode() -> Unicode:
+    return Unicode()
+
+
+class _Chunks(dict):
+    """Chunk to what ``make`` gives for it, for up to CACHE chunks and the text at hand."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, chunk: str):
+        value = self.make(chunk)
+        if len(chunk) <= SHORT:
+            self[chunk] = value
+        return value
+
+    def of(self, chunks: list[str]):
+        if len(self) > CACHE:
+            self.clear()
+        return map(self.__getitem__, chunks)
+
+
 class WordBpe:
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, content: str):
+        spec = json.loads(content)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         merges = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
@@ -54,11 +165,15 @@ class WordBpe:
         names = sorted(self.special, key=len, reverse=True)
         self.special_at = regex.compile("|".join(map(regex.escape, names))) if names else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pattern = regex.compile(split["pattern"]["Regex"])
-        self.space = regex.compile(r"\p{White_Space}+")
+        if split["pattern"]["Regex"] != _PATTERN:
+            raise ValueError("the file splits words by another pattern")
+        self.pattern = regex.compile(_PATTERN)
         self.chars = byte_chars()
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.cache: dict[str, tuple[int, str, str]] = {}
+        self.unicode = unicode()
+        self.numbers = _Chunks(lambda c: tuple(self._ids(c)))
+        self.texts = _Chunks(lambda c: " ".join(map(str, self._ids(c))))
+        self.shown = {str(i): t for i, t in self.names.items()}
 
     def merge(self, word: str) -> list[str]:
         """The tokens of one word."""
@@ -105,48 +220,68 @@ class WordBpe:
                     heapq.heappush(heap, (r, left, part[left], part[right]))
         return [p for p in part if p is not None]
 
-    def normalize(self, text: str) -> str:
-        text = self.space.sub(" ", unicodedata.normalize("NFC", text))
-        return text.replace("Σ", "σ").lower()  # no word-final sigma
-
-    def word(self, word: str) -> tuple[int, str]:
-        """Number of ids, and ids joined by spaces, of one word."""
-        found = self.cache.get(word)
-        if found is None:
-            tokens = [t for t in self.merge(word) if t in self.vocab]
-            found = len(tokens), " ".join(str(self.vocab[t]) for t in tokens)
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            if len(word) <= SHORT:
-                self.cache[word] = found
-        return found
-
-    def pieces(self, text: str) -> Iterator[tuple[int, str]]:
+    def split(self, chunk: str) -> list[str]:
+        """The normalised words of a chunk."""
+        u = self.unicode
+        if not u.is_odd(chunk) and not u.is_odd(normal := unicodedata.normalize("NFC", chunk)):
+            return self.pattern.findall(lower(normal))
+        return list(u.pieces(u.lowercase(u.nfc(chunk))))
+
+    def _ids(self, chunk: str) -> Iterator[int]:
+        for word in self.split(chunk):
+            for token in self.merge(word):
+                if token in self.vocab:
+                    yield self.vocab[token]
+
+    def parts(self, text: str) -> Iterator[str | int]:
+        """The stretches between special tokens, and the ids of these."""
         at = 0
         for m in self.special_at.finditer(text) if self.special_at and "<" in text else ():
-            yield from map(self.word, self.pattern.findall(self.normalize(text[at : m.start()])))
-            yield 1, str(self.special[m[0]])
+            yield text[at : m.start()]
+            yield self.special[m[0]]
             at = m.end()
-        yield from map(self.word, self.pattern.findall(self.normalize(text[at:] if at else text)))
+        yield text[at:] if at else text
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for n, ids in self.pieces(text) if n for i in ids.split(" ")]
+        out: list[int] = []
+        for part in self.parts(text):
+            if isinstance(part, int):
+                out.append(part)
+            else:
+                for ids in self.numbers.of(self.unicode.chunks(part)):
+                    out.extend(ids)
+        return out
+
+    def encode_text(self, text: str) -> str:
+        """The ids joined by one space."""
+        found = []
+        for part in self.parts(text):
+            found.append(str(part) if isinstance(part, int) else " ".join(filter(None, self.texts.of(self.unicode.chunks(part)))))
+        return " ".join(filter(None, found))
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by one space: the file names no decoder.  Unknown ids are left out."""
         return " ".join(self.names[i] for i in ids if i in self.names)
 
+    def decode_text(self, ids: str) -> str:
+        """:meth:`decode` of ids joined by one space."""
+        return " ".join(filter(None, map(self.shown.get, ids.split(" "))))
+
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids joined by spaces, SHA-256 of the text decoded from the ids."""
-        ids = " ".join([p[1] for p in self.pieces(text) if p[0]])
-        numbers = [int(i) for i in ids.split()]
-        decoded = self.decode(numbers)
-        return len(numbers), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        ids = self.encode_text(text)
+        decoded = self.decode_text(ids)
+        return ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 @lru_cache(maxsize=2)
+def parsed(content: str) -> WordBpe:
+    return WordBpe(content)
+
+
 def load(path: str) -> WordBpe:
-    return WordBpe(path)
+    with open(path, encoding="utf-8") as f:
+        return parsed(f.read())
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -155,13 +290,19 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def _broadcast(df: DataFrame, path: str):
+    """The vocabulary file of the driver, a few megabytes whatever the data, for workers that may not have the path."""
+    with open(path, encoding="utf-8") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
+
+
 def _mapped(docs: DataFrame, path: str, key: str, text: str, schema: pa.Schema, row) -> DataFrame:
-    tune(docs.sparkSession)
+    content = _broadcast(docs, path)
 
     def run(batches):
-        model = load(path)
+        model = parsed(content.value)
         for batch in batches:
-            rows = [row(model, t or "") for t in batch.column(1).to_pylist()]
+            rows = [row(model, t.as_py() or "") for t in batch.column(1)]
             columns = list(zip(*rows)) if rows else [[]] * (len(schema) - 1)
             yield pa.record_batch([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
 
@@ -189,10 +330,10 @@ def encode_and_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str
 
 def decode(ids: DataFrame, path: str, key: str = "doc_id", column: str = "ids") -> DataFrame:
     """(doc_id, text): the decoded text of every list of ids; null counts as empty."""
-    tune(ids.sparkSession)
+    content = _broadcast(ids, path)
 
     def run(batches):
-        model = load(path)
+        model = parsed(content.value)
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([model.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 

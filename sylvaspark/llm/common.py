@@ -5,12 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch: texts may be long, so batches stay small.
+#: Rows of an Arrow batch while a stage of texts is written: texts may be long, so batches stay small.
 ARROW_ROWS = 400
 
 
@@ -18,9 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for texts of any length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings for the length of one action (``__`` stands for a dot); the session's own come back after it."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,18 +49,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Shuffle files of the write go with it, as what is written needs them no longer.
+    """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    setting = "spark.sql.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "true")  # what is written needs its shuffle files no longer
-    try:
+    with settings(spark, spark__sql__shuffleDependency__fileCleanup__enabled="true", spark__sql__execution__arrow__maxRecordsPerBatch=str(ARROW_ROWS)):
         df.write.parquet(at)
-    finally:
-        spark.conf.set(setting, before)
-    spark._jvm.System.gc()  # and Spark's cleaner drops what else is no longer referred to
-    return spark.read.schema(df.schema).parquet(at)
+    back = spark.read.schema(df.schema).parquet(at)
+    back._written_at = at
+    return back
+
+
+def release(*stages: DataFrame) -> None:
+    """Empty the folders of written stages that nothing reads any more."""
+    for df in stages:
+        df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(df._written_at)
+
+
+def signed(hexadecimal) -> "F.Column":
+    """The first 16 hexadecimal digits of a string column, as a long that may be negative."""
+    return F.conv(F.substring(hexadecimal, 1, 16), 16, -10).cast("long")
 
 
 def text_bytes(column: pa.Array) -> Iterator[bytes]:

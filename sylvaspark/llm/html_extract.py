@@ -8,11 +8,13 @@ the node's link share.  The main text is in the subtree whose children's densiti
 have the largest sum.  The threshold is the least density on the path from that
 subtree to the body; siblings along this path that reach it are text as well.
 
-Elements that are never main text (menus, forms, scripts and the like, by tag, role,
-class or id) are cut before densities are taken.
+Menus, notices, forms and the like (by tag, role, or a whole word of a class or id) are cut before densities
+are taken, unless such an element holds an article, the main heading or nearly all of the page's
+characters: then it is the page's frame, and only what is marked inside it is cut.
 
-Nulls: a null or empty page has no text.  Markup may be broken in any way: what
-cannot be parsed is text, and an unclosed script runs to the end of the page.
+Nulls and the like: a null or empty page has no text, as has one of markup only; equal pages have equal texts; pages of any
+length and depth are read whole; an empty table gives an empty result; no column but those named is read, so names cannot
+clash.  Markup may be broken in any way: what cannot be parsed is text, and an unclosed script runs to the end of the page.
 """
 
 from __future__ import annotations
@@ -25,17 +27,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
-_NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_RAW = {t: re.compile(rf"</{t}\s*>|</{t}\s[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "xmp")}
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>|<[!?/][^>]*>""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_RAW = {t: re.compile(rf"</{t}\s*>|</{t}\s[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
 _CUT_TAGS = frozenset("nav footer aside form button select input menu dialog head object embed audio video canvas label fieldset".split())
-_CUT_NAME = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|adsense|banner|sponsor(?:ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|sidebar|side-?bar|aside|widgets?|menu|nav(?:bar|igation)?|topbar|toolbar|breadcrumbs?|"
-    r"footer|foot|site-?header|page-?header|masthead|header|comments?|commentlist|respond|replies|disqus|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|sign-?up|login|search(?:form|box)?|pagination|pager|skip(?:-?link)?|complementary|contentinfo|navigation)(?=$|[-_\s\d])", re.I)
+#: Words of classes, ids and roles that mark what is not main text; those of a heading only outside an article.
+_CUT_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertisements adsense banner sponsor sponsored promo promos promotion promotions cookie cookies consent gdpr notice notices alert alerts "
+    "popup popups modal overlay sidebar aside widget widgets menu nav navbar navigation topbar toolbar breadcrumb breadcrumbs footer foot comment comments commentlist respond replies disqus "
+    "share sharing social related recommended newsletter subscribe subscription signup login searchform searchbox pagination pager skip skiplink complementary contentinfo".split()
+)
+_CUT_HEADS = frozenset("header masthead".split())
+#: Words that turn the meaning of the next one round.
+_TURNS = frozenset("no not non has have with without is hide disable".split())
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: A marked element of more than this share of the page's characters is its frame.
+FRAME = 0.9
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: An open element of these ends when one of these begins, up to the fence.
 _ENDS = {
@@ -48,24 +58,43 @@ _ENDS = {
     "th": (frozenset(("td", "th", "p")), frozenset(("table", "tr"))),
     "option": (frozenset(("option",)), frozenset(("select",))),
 }
-_DEEP = 400
 
 
 class Page:
     """The node table of one page: parents stand before their children."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.cut = ["#root"], [0], [False]
-        self.chars, self.link_chars, self.tags, self.link_tags = [0], [0], [0], [0]
+        self.tag, self.parent, self.marked = ["#root"], [0], [False]
+        self.chars, self.link_chars = [0], [0]
         self.text: list[tuple[int, str]] = []  # (node, run); a run of "" with node -1 ends a block
         self._scan(source)
-        for i in range(len(self.tag) - 1, 0, -1):
+        n = len(self.tag)
+        self.cut = self._cuts()
+        for i in range(n):
+            if self.cut[i]:
+                self.chars[i] = self.link_chars[i] = 0
+        self.tags, self.link_tags = [0] * n, [0] * n
+        for i in range(n - 1, 0, -1):
             up = self.parent[i]
             self.chars[up] += self.chars[i]
             self.link_chars[up] += self.link_chars[i]
             self.tags[up] += self.tags[i] + (not self.cut[i])
             self.link_tags[up] += self.link_tags[i] + (self.tag[i] == "a" and not self.cut[i])
 
+    def _cuts(self) -> list[bool]:
+        """What is marked and not a frame, with all below it."""
+        n = len(self.tag)
+        held = [t in ("article", "main", "h1") for t in self.tag]
+        chars = list(self.chars)
+        for i in range(n - 1, 0, -1):
+            chars[self.parent[i]] += chars[i]
+            held[self.parent[i]] |= held[i]
+        cut = [False] * n
+        for i in range(1, n):
+            frame = chars[i] > FRAME * chars[0] or (held[i] and self.tag[i] != "h1")
+            cut[i] = cut[self.parent[i]] or (self.marked[i] and not frame)
+        return cut
+
     def _scan(self, source: str) -> None:
         stack, links, at = [0], 0, 0
         open_tags: dict[str, int] = {}
@@ -79,8 +108,8 @@ class Page:
                 self.text.append((-1, ""))
 
         def run(raw: str) -> None:
-            node = stack[-1]
-            if raw and not self.cut[node]:
+            if raw:
+                node = stack[-1]
                 self.text.append((node, words := html.unescape(raw)))
                 n = len(words) if words.strip() else 0
                 self.chars[node] += n
@@ -94,11 +123,11 @@ class Page:
                 break
             run(source[at : m.start()])
             at = m.end()
-            name = m[2] or m[5]
+            name = m[2]
             if not name:
                 continue
-            name, attributes = name.lower(), m[3] or m[6] or ""
-            if m[1] or m[4]:
+            name, attributes = name.lower(), m[3] or ""
+            if m[1]:
                 if name in _BLOCK:
                     self.text.append((-1, ""))
                 if open_tags.get(name):
@@ -130,30 +159,36 @@ class Page:
                 continue
             if name in ("td", "th"):
                 run(" ")
-            if len(stack) > _DEEP and name not in _BLOCK:
-                continue
-            up = stack[-1]
             self.tag.append(name)
-            self.parent.append(up)
-            self.cut.append(self.cut[up] or self._never(name, attributes, open_tags))
-            for counts in (self.chars, self.link_chars, self.tags, self.link_tags):
-                counts.append(0)
+            self.parent.append(stack[-1])
+            self.marked.append(self._never(name, attributes, open_tags))
+            self.chars.append(0)
+            self.link_chars.append(0)
             stack.append(len(self.tag) - 1)
             open_tags[name] = open_tags.get(name, 0) + 1
             links += name == "a"
 
     @staticmethod
     def _never(name: str, attributes: str, open_tags: dict[str, int]) -> bool:
+        """Whether an element is marked as something else than main text."""
         if name in _CUT_TAGS:
             return True
-        inside = open_tags.get("article") or open_tags.get("main")
+        inside = bool(open_tags.get("article") or open_tags.get("main"))
         if name == "header":
             return not inside
-        if name in ("html", "body", "main", "article") or name in _HEADINGS:
+        if not attributes or name in ("html", "body", "main", "article") or name in _HEADINGS:
             return False
-        if attributes and (m := _NAME.findall(attributes)):
-            return any(_CUT_NAME.search("".join(x)) for x in m)
-        return bool(re.search(r"\bhidden\b|display\s*:\s*none", attributes, re.I)) if attributes else False
+        values = {}
+        for key, *value in _ATTRIBUTE.findall(attributes):
+            values.setdefault(key.lower(), "".join(value))
+        if "hidden" in values or values.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", values.get("style", ""), re.I):
+            return True
+        for token in " ".join(values.get(k, "") for k in ("class", "id", "role")).split():
+            words = [w.lower() for w in _WORD.findall(token)]
+            for before, word in zip(["", *words], words):
+                if before not in _TURNS and (word in _CUT_WORDS or (word in _CUT_HEADS and not inside)):
+                    return True
+        return False
 
     def density(self, i: int, body: int) -> float:
         c, t = self.chars[i], max(1, self.tags[i])
@@ -178,14 +213,10 @@ class Page:
         path = [best]
         while path[-1] not in (body, 0):
             path.append(self.parent[path[-1]])
-        known = [i for i in path if self.tag[i] in ("article", "main")]
-        if known:  # the page says where its text is
-            best = known[-1]
-            path = path[path.index(best) :]
         threshold = min(dense[i] for i in path)
-        chosen, steps = {best}, dict.fromkeys(path[1:])
+        chosen, steps, on = {best}, set(path[1:]), set(path)
         for i in range(1, n):
-            if self.parent[i] in steps and i not in path and not self.cut[i] and self.chars[i] and dense[i] >= threshold and (not known or self.tag[i] == "article"):
+            if self.parent[i] in steps and i not in on and not self.cut[i] and self.chars[i] and dense[i] >= threshold:
                 chosen.add(i)
         return chosen
 
@@ -213,7 +244,6 @@ def extract(source: str | None) -> str:
 
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", column: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars): one row for each row of ``pages``."""
-    tune(pages.sparkSession)
 
     def run(batches):
         for batch in batches:

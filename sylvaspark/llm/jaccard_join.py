@@ -1,7 +1,9 @@
 """N-gram Jaccard join [operator 1]: universe-partition pigeonhole.
 
 A document's set holds its distinct k-word shingles.  Documents with equal sets are
-one node; from there on only nodes are compared.
+one node; from there on only nodes are compared.  A set is identified by 128 bits; where
+64 of them agree for two sets, the other 64 name the node.  Texts of a node that are not
+the same text are compared with the node's first text, shingle by shingle.
 
 Bands.  Sizes fall into bands so that a partner's size is in the same band or the
 next.  Space j holds the pairs whose smaller set is in band j, so a set is indexed in
@@ -20,20 +22,23 @@ probe; a bucket in which nobody probes makes no pair.  Costs steer the work only
 every allocation is exact.
 
 Verification.  In each bucket the member that shares most buckets is the hub, and all
-others are compared with it, on the shingles themselves.  Components follow, and only
-hubs whose nodes are still in several components are looked at again: their nodes are
-compared in blocks, and only links that join components leave a task.  So groups of
-copies never become rows of pairs, and no link between components is lost.
+others are compared with it, on the shingles themselves; components follow.  A link
+between two components is met wherever its end in the smaller component probes, so in
+each hub's group the probing nodes of smaller components are compared with the nodes of
+larger ones, in blocks of bounded rows and shingles, and only links that join components
+leave a task.  A group of copies is one component after its hub and is not looked at again.
+:func:`linked_pairs` compares in the same blocks and gives every link.
 
 Nulls and the like: a null or blank text has an empty set and is linked with nothing;
-a null identifier takes part and gets the component's least identifier; equal rows
-are equal sets; an empty table gives an empty result.  Sets are identified by two
-64-bit fingerprints; should two sets share one of them, the job stops with an error
-instead of a wrong result.
+a null identifier takes part and gets the component's least identifier, or null; equal rows
+are equal sets; texts of any length are read whole; an empty table gives an empty result;
+other columns are never read, so their names cannot clash (:func:`keep_one` returns them
+unchanged).  Should two different sets share all 128 bits, the job stops with an error.
 """
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 from collections import Counter
 
@@ -42,14 +47,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, text_bytes, tune
+from .common import materialize, release, text_bytes
 from .components import components
-from .texthash import U, mix, shingles, words
+from .texthash import U, Words, mix, shingles
 
-#: Bytes of text hashed at once.
-BLOCK = 2_000_000
-#: Shingles of a block of nodes that is compared at once.
-BLOCK_TOKENS = 100_000
+#: Shingles and rows of a block of nodes that is compared at once.
+BLOCK_TOKENS, BLOCK_ROWS = 200_000, 2_000
 #: Most frequent shingles that the cost model knows; a task counts in at most this times 32 entries.
 FREQUENT = 4096
 
@@ -84,20 +87,18 @@ class Spaces:
         return [j for j in ((b - 1, b) if below else (b,)) if self.shape(j)[0] > 1]
 
 
-def identity(h: np.ndarray) -> tuple[int, int]:
-    """Two fingerprints of a set of shingle fingerprints."""
-    a = mix(np.sum(mix(h ^ U(0x51ED270B7A1F39E5)), dtype=np.uint64, keepdims=True) + U(len(h)))
-    b = mix(np.sum(mix(h + U(0x2545F4914F6CDD1D)), dtype=np.uint64, keepdims=True) ^ U(len(h)))
-    return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
+def identity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set of shingles, from their two lanes."""
+    x, y = mix(a ^ (b * U(0x51ED270B7A1F39E5))), mix(b + a * U(0x2545F4914F6CDD1D))
+    n = U(len(a))
+    both = mix(np.array([np.sum(x, dtype=np.uint64) + n, np.sum(y, dtype=np.uint64) ^ n], dtype=np.uint64)).view(np.int64)
+    return int(both[0]), int(both[1])
 
 
-def _sets(column: pa.Array, k: int):
-    """(row, sorted shingle fingerprints) of each text."""
-    bodies = list(text_bytes(column))
-    for a, b in chunks(np.array([len(x) for x in bodies]), BLOCK):
-        hashed, at = words(bodies[a:b])
-        for i in range(b - a):
-            yield a + i, shingles(hashed[at[i] : at[i + 1]], k)
+def _sets(column: pa.Array, k: int, words: Words):
+    """(row, text, lanes of its shingles) of each text."""
+    for i, body in enumerate(text_bytes(column)):
+        yield i, body, *shingles(words.of(body), k)
 
 
 def allocate(h: np.ndarray, space: int, shape: tuple[int, int, int], hot: np.ndarray, rate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,11 +133,10 @@ def allocate(h: np.ndarray, space: int, shape: tuple[int, int, int], hot: np.nda
 
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """(kind, doc_id, n, node, twin): kind 0 is a document's set; kind 1 a frequent shingle (node) and its count n."""
+    """(kind, doc_id, n, a, b, sha): kind 0 is a document's set; kind 1 a frequent shingle (a) and its count n."""
 
     def run(batches):
-        seen: set[int] = set()
-        counts: Counter = Counter()
+        words, seen, counts = Words(), set(), Counter()
         gathered: list[np.ndarray] = []
         held = 0
 
@@ -153,35 +153,35 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
             gathered.clear()
             held = 0
 
-        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("twin", pa.int64())])
+        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("sha", pa.binary())])
         for batch in batches:
             rows = []
-            for _, h in _sets(batch.column(1), k):
-                node, twin = identity(h) if len(h) else (None, None)
-                rows.append((len(h), node, twin))
-                if len(h) and node not in seen:
-                    seen.add(node)
+            for _, body, h, twin in _sets(batch.column(1), k, words):
+                a, b = identity(h, twin) if len(h) else (None, None)
+                rows.append((len(h), a, b, hashlib.sha256(body).digest()))
+                if len(h) and a not in seen:
+                    seen.add(a)
                     gathered.append(h)
                     held += len(h)
                     if held > 1_000_000:
                         tally()
-            n, node, twin = zip(*rows) if rows else ((), (), ())
-            yield pa.record_batch([pa.array([0] * len(rows), pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(twin, pa.int64())], schema=schema)
+            n, a, b, sha = zip(*rows) if rows else ((), (), (), ())
+            yield pa.record_batch([pa.array([0] * len(rows), pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sha, pa.binary())], schema=schema)
         tally()
         top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:FREQUENT]
         if top:
             values = np.array([v for v, _ in top], dtype=np.uint64).view(np.int64)
             nothing = pa.nulls(len(top), pa.int64())
-            yield pa.record_batch([pa.array([1] * len(top), pa.int32()), nothing, pa.array([c for _, c in top], pa.int64()), pa.array(values), nothing], schema=schema)
+            yield pa.record_batch([pa.array([1] * len(top), pa.int32()), nothing, pa.array([c for _, c in top], pa.int64()), pa.array(values), nothing, pa.nulls(len(top), pa.binary())], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, node long, twin long")
+    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, a long, b long, sha binary")
 
 
-def index(docs: DataFrame, k: int, spaces: Spaces, hot: np.ndarray, rate: np.ndarray) -> DataFrame:
+def index(docs: DataFrame, k: int, spaces: Spaces, hot: np.ndarray, rate: np.ndarray, clash: frozenset) -> DataFrame:
     """(sig, node, probe): the index entries of every set, once per task."""
 
     def run(batches):
-        seen: set[int] = set()
+        words, seen = Words(), set()
         shapes: dict[int, tuple[int, int, int]] = {}
         for batch in batches:
             sigs, nodes, probes, held = [], [], [], 0
@@ -192,8 +192,8 @@ def index(docs: DataFrame, k: int, spaces: Spaces, hot: np.ndarray, rate: np.nda
                 sigs.clear(), nodes.clear(), probes.clear()
                 return out
 
-            for _, h in _sets(batch.column(1), k):
-                if not len(h) or (node := identity(h)[0]) in seen:
+            for _, _, h, twin in _sets(batch.column(1), k, words):
+                if not len(h) or (node := node_of(*identity(h, twin), clash)) in seen:
                     continue
                 seen.add(node)
                 for j in spaces.of(len(h)):
@@ -250,12 +250,12 @@ def shared(entries: DataFrame) -> DataFrame:
 
 
 def _grams(body: bytes, k: int) -> set:
-    w = body.lower().split()  # bytes: A-Z only, and exactly the six white-space bytes
+    w = body.lower().split()
     return set(zip(*(w[i:] for i in range(k)))) if len(w) >= k else ({tuple(w)} if w else set())
 
 
-def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose texts' shingles themselves reach the similarity."""
+def verify(rows: DataFrame, k: int, num: int, den: int, reach: bool = True) -> DataFrame:
+    """(a, b) of the rows (a, b, ta, tb) whose texts' shingles themselves reach the similarity, or of those that do not."""
 
     def run(batches):
         hub, grams = None, set()
@@ -266,103 +266,134 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
                     hub, grams = a, _grams(x.as_py().encode(), k)
                 other = _grams(y.as_py().encode(), k)
                 both = len(grams & other)
-                keep.append(den * both >= num * (len(grams) + len(other) - both))
+                keep.append((den * both >= num * (len(grams) + len(other) - both)) == reach)
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    withb = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    both = withb.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, text) of the wanted (node, doc_id); identifiers may repeat with other texts, so the text's node decides."""
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(*, text) of the rows of ``wanted`` (doc_id, sha, *); identifiers may repeat with other texts, so the text decides as well."""
+    w = wanted.withColumnsRenamed({"doc_id": "_id", "sha": "_sha"})
+    rows = docs.withColumn("_of", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    others = [F.col("_sha").alias("sha"), *(c for c in w.columns if c not in ("_id", "_sha"))]
+    return rows.join(w, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_sha"))).select(*others, "text")
 
-    def run(batches):
-        for batch in batches:
-            nodes = batch.column(0).to_pylist()
-            keep = [False] * len(nodes)
-            for i, h in _sets(batch.column(1), k):
-                keep[i] = len(h) > 0 and identity(h)[0] == nodes[i]
-            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    w = wanted.withColumnRenamed("doc_id", "_id")
-    rows = docs.join(w, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
-    return rows.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
+def node_of(a: int, b: int, clash: frozenset) -> int:
+    """The node of a set: its first 64 bits, or the others where two sets share the first."""
+    return b if a in clash else a
 
 
-def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Nodes (doc_id, n, node) of all documents, and components (node, label) of the linked nodes.
+def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Nodes (doc_id, n, node) of all documents, and components (node, label) of the linked nodes; with ``every`` all links (a, b) instead.
 
     Sets a and b are linked when den * |a & b| >= num * |a | b|.
     """
-    spark = docs.sparkSession
-    tune(spark)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     spaces = Spaces(num, den)
     found = materialize(describe(docs, k), "sets")
-    nodes = found.where("kind = 0").select("doc_id", "n", "node", "twin")
-    top = found.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT).collect()
-    top.sort(key=lambda r: r["node"] % 2**64)
-    hot = np.array([r["node"] for r in top], dtype=np.int64).view(np.uint64)
+    sets = found.where("kind = 0")
+    # 64 bits shared by two sets: N * N / 2**65 of them are to be expected, 300 among 10**11 sets
+    clash = frozenset(r["a"] for r in sets.where("a IS NOT NULL").groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low <> high").select("a").collect())
+    node = F.when(F.col("a").isin([*clash]), F.col("b")).otherwise(F.col("a")) if clash else F.col("a")
+    nodes = sets.select("doc_id", "n", node.alias("node"), "sha")
+    kinds = materialize(nodes.where("node IS NOT NULL").groupBy("node", "sha").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "kinds")
+    top = found.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(FREQUENT).collect()
+    top.sort(key=lambda r: r["a"] % 2**64)
+    hot = np.array([r["a"] for r in top], dtype=np.int64).view(np.uint64)
     count = max(1, nodes.count())
     rate = np.array([r["n"] for r in top], dtype=float) / count
 
-    entries = materialize(shared(index(docs, k, spaces, hot, rate)), "entries")
+    entries = materialize(shared(index(docs, k, spaces, hot, rate, clash)), "entries")
     degree = entries.groupBy("node").agg(F.count("*").alias("degree"))
     hubs = entries.join(degree, "node").groupBy("sig").agg(F.max(F.struct("degree", "node"))["node"].alias("hub"), F.max("probe").alias("any"))
-    live = entries.join(hubs.where("any"), "sig")
-    pairs = materialize(live.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    clash = F.when(F.min("twin") != F.max("twin"), F.raise_error(F.lit("two shingle sets share a fingerprint"))).otherwise(F.min("doc_id"))
-    wanted = nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi").groupBy("node").agg(clash.alias("doc_id"))
-    texts = materialize(_texts(docs, wanted, k), "texts")
-    links = materialize(verify(pairs, texts, k, num, den), "links")
+    hubs = materialize(hubs.where("any").select("sig", "hub"), "hubs")  # read from a table, so that a hot signature's join can be split
+    live = entries.join(hubs, "sig")
+    members = materialize(live.groupBy(F.col("hub").alias("a"), "node").agg(F.max("probe").alias("probe")), "members")
+    release(entries, hubs)
+    firsts = materialize(kinds.groupBy("node").agg(F.min("sha").alias("one"), F.count("*").alias("kinds"), F.max("n").alias("n")), "firsts")
+    size = firsts.select("node", "n")
+    met = members.select("node").distinct().withColumn("met", F.lit(True))
+    wanted = kinds.drop("n").join(firsts.drop("n").join(met, "node", "left"), "node").withColumn("first", F.col("sha") == F.col("one"))
+    wanted = wanted.where("kinds > 1 OR met").select("doc_id", "sha", "node", "first")
+    texts = materialize(_texts(docs, wanted).dropDuplicates(["node", "sha"]), "texts")
+    others, texts = texts.where("NOT first"), texts.where("first").select("node", "text")
+    left, right = (texts.select(F.col("node").alias(x), F.col("text").alias("t" + x)) for x in "ab")
+    same = others.select(F.col("node").alias("a"), F.lit(0).cast("long").alias("b"), F.col("text").alias("tb")).join(left, "a")
+    if not materialize(verify(same, k, 1, 1, reach=False), "clashes").isEmpty():
+        raise RuntimeError("two different sets share 128 bits")
+    if every:
+        return nodes, _across(members.withColumn("label", F.col("node")).withColumn("weight", F.lit(1)), size, texts, k, num, den, every=True)
+    pairs = members.where("a <> node").select("a", F.col("node").alias("b"))
+    links = materialize(verify(pairs.join(right, "b").join(left, "a"), k, num, den), "links")
 
     label = components(links)
-    more = materialize(_within(pairs, label, nodes, texts, k, num, den), "links")
+    weight = label.groupBy("label").agg(F.count("*").alias("weight"))
+    placed = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")).join(weight, "label", "left")
+    more = materialize(_across(placed.withColumn("weight", F.coalesce("weight", F.lit(1))), size, texts, k, num, den), "links")
     if not more.isEmpty():
         label = components(links.unionByName(more))
     return nodes, label
 
 
-def _within(pairs: DataFrame, label: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between components, among the nodes that share a hub: every pair of a bucket shares its hub.
+def _across(members: DataFrame, size: DataFrame, texts: DataFrame, k: int, num: int, den: int, every: bool = False) -> DataFrame:
+    """Links (a, b) between components among the nodes (a: hub, node, probe, label, weight) that share a hub; ``every`` gives all of them.
 
-    A hub's nodes are dealt to blocks of about ``BLOCK_TOKENS`` shingles; each pair of blocks is one small task unit,
-    in which overlaps are counted by a matrix product and only links that join two components leave.
+    A link is met in a bucket where its end in the smaller component probes, and every pair of a bucket shares its
+    hub.  So probing nodes that have a larger component beside them are seekers, and each is compared with all nodes
+    of larger components.  Seekers and nodes are dealt to blocks of bounded size; each pair of blocks is one small
+    task unit, in which overlaps are counted by a matrix product.
     """
-    size = nodes.where("node IS NOT NULL").groupBy("node").agg(F.max("n").alias("n"))
-    member = pairs.select("a", F.col("b").alias("node")).unionByName(pairs.select("a", F.col("a").alias("node")).distinct())
-    member = member.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")).join(size, "node")
-    groups = member.groupBy("a").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"), (F.min("label") != F.max("label")).alias("open")).where("open").drop("open")
-    dealt = member.join(groups, "a").withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("a", "node", "label", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    heavy = members.select("a", "node", "probe", F.struct("weight", "label").alias("rank")).join(size, "node")
+    heavy = materialize(heavy, "ranked")
+    top = materialize(heavy.groupBy("a").agg(F.max("rank").alias("top")), "tops")
+    seek = F.col("probe") & (F.col("rank") < F.col("top"))
+    heavy = materialize(heavy.join(top, "a").withColumn("seeks", seek).drop("probe", "top"), "seekers")
+
+    def blocks(of: str):
+        return F.greatest(F.ceil(F.sum(F.expr(f"CASE WHEN {of} THEN n ELSE 0 END")) / BLOCK_TOKENS), F.ceil(F.count_if(F.expr(of)) / BLOCK_ROWS), F.lit(1)).cast("int")
+
+    groups = materialize(heavy.groupBy("a").agg(blocks("seeks").alias("bs"), blocks("true").alias("bm"), F.max("seeks").alias("open")).where("open").drop("open"), "groups")
+    dealt = heavy.join(groups, "a")
+    deal = lambda b, salt: F.pmod(F.xxhash64("node", F.lit(salt)), b).cast("int")
+    other = lambda b: F.explode(F.sequence(F.lit(0), F.col(b) - 1))
+    left = dealt.where("seeks").select("a", "node", "rank", F.lit(True).alias("seeker"), deal("bs", 1).alias("i"), other("bm").alias("j"))
+    right = dealt.select("a", "node", "rank", F.lit(False).alias("seeker"), deal("bm", 2).alias("j"), other("bs").alias("i"))
+    units = left.unionByName(right).select("a", "node", F.col("rank.weight").alias("weight"), F.col("rank.label").alias("label"), "seeker", "i", "j")
 
     def compare(group: pa.Table) -> pa.Table:
-        node, labels, side = (group.column(c).to_numpy() for c in ("node", "label", "side"))
+        seeker = group.column("seeker").to_numpy()
         found = []
-        if len(np.unique(labels)) > 1:
+        if seeker.any() and not seeker.all():
+            node, label, weight = (group.column(c).to_numpy() for c in ("node", "label", "weight"))
             text = group.column("text").combine_chunks()
-            across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
-            sets = [h for _, h in _sets(text, k)]
+            words = Words()
+            sets = [h for _, _, h, _ in _sets(text, k, words)]
             n = np.array([len(h) for h in sets])
-            which, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
-            column = np.cumsum(counts > 1) - 1
-            row = np.repeat(np.arange(len(sets)), n)[counts[which] > 1]
-            column = column[which[counts[which] > 1]]
-            both = np.zeros((len(sets), len(sets)), np.float32)
+            which = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            row = np.repeat(np.arange(len(sets)), n)
+            sides = [np.bincount(which[seeker[row] == s], minlength=int(which.max()) + 1) > 0 for s in (True, False)]
+            column = np.cumsum(sides[0] & sides[1]) - 1
+            kept = (sides[0] & sides[1])[which]
+            row, column = row[kept], column[which[kept]]
             order = np.argsort(column, kind="stable")
             row, column = row[order], column[order]
-            for c in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
-                at = slice(*np.searchsorted(column, [c, c + 2048]))
-                part = np.zeros((len(sets), 2048), np.float32)
-                part[row[at], column[at] - c] = 1
-                both += part @ part.T
-            linked = den * both >= num * (n[:, None] + n[None, :] - both)
-            linked &= labels[:, None] < labels[None, :]
-            if across:
-                linked &= side[:, None] != side[None, :]
-            root = {x: x for x in labels.tolist()}
+            ours, theirs = np.flatnonzero(seeker), np.flatnonzero(~seeker)
+            place = np.empty(len(sets), np.int64)
+            place[ours], place[theirs] = np.arange(len(ours)), np.arange(len(theirs))
+            both = np.zeros((len(ours), len(theirs)), np.float32)
+            for c in range(0, int(column[-1]) + 1 if len(column) else 0, 1024):
+                at = slice(*np.searchsorted(column, [c, c + 1024]))
+                parts = [np.zeros((len(x), 1024), np.float32) for x in (ours, theirs)]
+                for part, s in zip(parts, (True, False)):
+                    mine = seeker[row[at]] == s
+                    part[place[row[at][mine]], column[at][mine] - c] = 1
+                both += parts[0] @ parts[1].T
+            linked = den * both >= num * (n[ours][:, None] + n[theirs][None, :] - both)
+            w, v, a, b = weight[ours][:, None], weight[theirs][None, :], label[ours][:, None], label[theirs][None, :]
+            linked &= (w < v) | ((w == v) & (a < b))
+            root = {x: x for x in label.tolist()}
 
             def find(x: int) -> int:
                 while root[x] != x:
@@ -371,14 +402,15 @@ def _within(pairs: DataFrame, label: DataFrame, nodes: DataFrame, texts: DataFra
 
             grams: dict[int, set] = {}
             for x, y in zip(*np.nonzero(linked)):
-                p, q = find(int(labels[x])), find(int(labels[y]))
-                if p != q:
+                x, y = int(ours[x]), int(theirs[y])
+                p, q = find(int(label[x])), find(int(label[y]))
+                if every or p != q:
                     for z in (x, y):
                         if z not in grams:
                             if len(grams) > 64:
                                 grams.clear()
-                            grams[z] = _grams(text[int(z)].as_py().encode(), k)
-                    a, b = (grams.get(z) or _grams(text[int(z)].as_py().encode(), k) for z in (x, y))
+                            grams[z] = _grams(text[z].as_py().encode(), k)
+                    a, b = (grams.get(z) or _grams(text[z].as_py().encode(), k) for z in (x, y))
                     common = len(a & b)
                     if den * common >= num * (len(a) + len(b) - common):
                         root[q] = p
@@ -386,7 +418,17 @@ def _within(pairs: DataFrame, label: DataFrame, nodes: DataFrame, texts: DataFra
         a, b = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.join(texts, "node").groupBy("a", "i", "j").applyInArrow(compare, "a long, b long")
+    return units.join(texts, "node").groupBy("a", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def linked_pairs(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, node) of every row, and all linked nodes (a, b): rows of one node have equal sets.
+
+    The number of links grows with the square of a group of different near copies; copies are one node.
+    """
+    nodes, links = link(docs, k, num, den, key, text, every=True)
+    out = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return nodes.select("doc_id", F.col("n").alias("n_shingles"), "node"), out
 
 
 def near_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -394,7 +436,8 @@ def near_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key:
     nodes, label = link(docs, k, num, den, key, text)
     per_node = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     per_node = per_node.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = per_node.groupBy("label").agg(F.min("least").alias("component_id"))
+    per_node = materialize(per_node, "placed")  # read from tables, so that a hot component's join can be split
+    least = materialize(per_node.groupBy("label").agg(F.min("least").alias("component_id")), "least")
     placed = per_node.join(least, "label").select("node", "component_id")
     out = nodes.join(placed, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

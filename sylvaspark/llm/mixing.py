@@ -12,16 +12,22 @@ L that spends the total, which a running sum over the sources in order of
 cap * size / weight finds without a loop.
 
 Nulls, ties and the like: a null text has size 0; a null source is a source of
-its own, the last; a source without words has target 0 and takes nothing; equal
-rows take the same decision; an empty table gives an empty result.
+its own, the last; a source without words has target 0 and takes nothing; a null identifier
+has a hash like any other; equal rows take the same decision; texts of any length are counted whole;
+an empty table gives an empty result.  Columns of the table that are named like those the plan adds
+are replaced in :func:`plan` and kept in :func:`mix_sources`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import blocks_for, number, running, value_block
+from .common import materialize
+
 WORD = r"[^\x20\x09-\x0D]+"
+ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
 def size_of(text: Column) -> Column:
@@ -32,21 +38,26 @@ def size_of(text: Column) -> Column:
 def targets(sizes: DataFrame, cap: float = 3.0, weights: int = 3) -> DataFrame:
     """``sizes`` (source, source_size) with ``target``: one row per source.
 
-    Weights are 1..``weights``, repeating over the sources by code point, null last.
+    Weights are 1..``weights``, repeating over the sources by code point, null last.  Sources are numbered
+    and summed in blocks, so their number is not bounded by one task.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    s = sizes.withColumn("weight", (((F.row_number().over(by_name) - 1) % weights) + 1).cast("double"))
+    sizes = materialize(sizes.select("source", "source_size"), "sources")
+    blocks = blocks_for(sizes)
+    named = F.when(F.col("source").isNull(), F.lit(blocks)).otherwise(value_block(sizes, "source", blocks))
+    s = number(sizes, [], [F.col("source").asc_nulls_last()], named, blocks, "place")
+    s = s.withColumn("weight", (((F.col("place") - 1) % weights) + 1).cast("double"))
     s = s.withColumn("bound", F.col("source_size") * F.lit(cap)).withColumn("ratio", F.col("bound") / F.col("weight"))
-    order = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumn("total", F.sum("source_size").over(everything).cast("double"))
-    s = s.withColumn("full", F.coalesce(F.sum("bound").over(before), F.lit(0.0)))
-    s = s.withColumn("open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    s = s.withColumn("level", (F.col("total") - F.col("full")) / F.col("open"))
+    s = materialize(s, "weighted")
+    sums = s.agg(F.sum("source_size").cast("double").alias("total"), F.sum("weight").alias("weight")).first()
+    if sums["total"] is None:
+        return s.select("source", "source_size", F.lit(0.0).alias("target"))
+    order = ["ratio", F.col("source").asc_nulls_last()]
+    s = running(s, [], order, {"full": F.col("bound"), "used": F.col("weight")}, value_block(s, "ratio", blocks), blocks)
     # the first source, in that order, that stays at or below its bound sets the level of all after it
-    s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(everything)["level"])
-    t = F.when(F.col("level").isNull(), F.col("bound")).otherwise(F.least("bound", F.col("level") * F.col("weight")))
+    before = F.lit(sums["total"]) - (F.col("full") - F.col("bound"))
+    level = before / (F.lit(sums["weight"]) - (F.col("used") - F.col("weight")))
+    found = s.select("ratio", level.alias("level")).where("level <= ratio").agg(F.min(F.struct("ratio", "level")).alias("l")).first()["l"]
+    t = F.col("bound") if found is None else F.least("bound", F.lit(found["level"]) * F.col("weight"))
     return s.select("source", "source_size", F.when(F.col("source_size") > 0, t).otherwise(0.0).alias("target"))
 
 
@@ -56,24 +67,26 @@ def uniform(key: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def plan(docs: DataFrame, cap: float = 3.0, weights: int = 3, seed: int = 0, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """All rows of ``docs`` with size, source_size, target, copies and taken (size times copies)."""
-    sized = docs.withColumn("size", size_of(F.col(text)))
-    per_source = sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"))
-    t = targets(per_source, cap, weights).withColumnRenamed("source", "_source")
-    out = sized.join(t, F.col(source).eqNullSafe(F.col("_source")), "left").drop("_source")
+def _planned(docs: DataFrame, cap: float, weights: int, seed: int, text: str, source: str, key: str) -> DataFrame:
+    """(row, size, source_size, target, copies, taken), the row whole."""
+    sized = docs.select(F.struct(*docs.columns).alias("row"), size_of(F.col(text)).alias("size"), F.col(source).alias("source"), uniform(F.col(key), seed).alias("chance"))
+    t = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cap, weights)
+    out = sized.join(t.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named")), "left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    extra = (uniform(F.col(key), seed) < rate - F.floor(rate)).cast("int")
-    return out.withColumn("copies", (F.floor(rate) + extra).cast("int")).withColumn("taken", F.col("size") * F.col("copies"))
+    copies = (F.floor(rate) + (F.col("chance") < rate - F.floor(rate)).cast("int")).cast("int")
+    return out.select("row", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+
+
+def plan(docs: DataFrame, cap: float = 3.0, weights: int = 3, seed: int = 0, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+    """All rows of ``docs`` with size, source_size, target, copies and taken (size times copies), in place of columns of these names."""
+    planned = _planned(docs, cap, weights, seed, text, source, key)
+    return planned.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in ADDED), *ADDED)
 
 
-def mix_sources(docs: DataFrame, **options) -> DataFrame:
+def mix_sources(docs: DataFrame, cap: float = 3.0, weights: int = 3, seed: int = 0, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """The mixture itself: each row of ``docs`` as many times as :func:`plan` says, columns unchanged."""
-    columns = docs.columns
-    rows = docs.withColumn("_row", F.struct(*columns))  # the names that plan adds may clash with the table's
-    named = rows.select("_row", *(F.col(options.get(k, k)).alias(k) for k in ("text", "source")), F.col(options.get("key", "doc_id")).alias("doc_id"))
-    kept = plan(named, **{k: v for k, v in options.items() if k not in ("text", "source", "key")}).where("copies > 0")
-    return kept.select("_row", F.explode(F.sequence(F.lit(1), "copies"))).select("_row.*")
+    kept = _planned(docs, cap, weights, seed, text, source, key).where("copies > 0")
+    return kept.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 SQL = r"""

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_bytes, tune
+from .common import materialize, text_bytes
 
 FEATURES, GAMMA, RIDGE, SEED, BINS, DEFAULT = 192, 2.0, 1e-3, 7, 1024, 0.5
 _UNIT = 2048.0
@@ -81,7 +81,6 @@ def fold(key: Column) -> Column:
 
 def featurize(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, stats array<float>, *carry) for each row of ``docs``."""
-    tune(docs.sparkSession)
     rows = docs.select(F.col(text).cast("string").alias("_text"), F.col(key).cast("long").alias("doc_id"), *carry)
 
     def run(batches):
@@ -213,7 +212,6 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.3, **options) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``; columns unchanged."""
     columns = docs.columns
-    tune(docs.sparkSession)
     stats = materialize(featurize(docs, key, text), "stats")
     model = fit(stats, labels, key=key, **options)
     packed = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), F.struct(*columns).alias("_row"))

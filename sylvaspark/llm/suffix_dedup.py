@@ -7,44 +7,65 @@ Dealing.  Equal strings have to meet.  Every window of ``length`` bytes has an a
 the least hash of its 24-byte grams (the leftmost of ties), so equal windows have
 equal anchors at equal places.  Neighbouring windows with the same anchor form one
 segment.  Segments whose anchor occurs once in the corpus hold no repeated window and
-stop there; the others travel with their bytes to a bucket by anchor.
+stop there; the others travel with their bytes to a bucket by anchor.  Of equal segments only a task's earliest
+travels with its bytes: the others start later and are removed whole.  Segments of an anchor
+with more than ``HOT`` rows are dealt window by window, by the hash of the window's bytes, so no
+bucket grows with a hot passage.
 
-Search.  Equal segments are one string; an anchor with a single string needs no search.
-The strings of all other anchors of a bucket are cut into shards.  Each shard gets a
+Search.  The strings of a bucket are cut into shards.  Each shard gets a
 Burrows-Wheeler transform of its strings (rotations sorted by prefix doubling,
 bounded by the window's length); shards are merged by iterative interleave
 refinement (Holt and McMillan, 2014): starting from the plain concatenation of the
 shards' orders, a stable sort by the transforms' symbols refines the interleave, up to
-four symbols a round, without sorting suffixes again.  The round in which two
-neighbours part bounds their common prefix; neighbours that have not parted after
-``length`` symbols are one repeated interval.  In each interval all occurrences but the earliest are marked.
+four symbols a round, without sorting suffixes again.  The round at which two
+neighbours part, told from the transforms' own symbols, gives their common prefix; neighbours whose common prefix
+reaches ``length`` are in one repeated interval.  In each interval all occurrences but the earliest are marked.
 
 Marked windows return to their texts as intervals, and the remaining bytes are
 joined.  Copies of a whole text are collapsed by digest before, and get their result
-from the first copy.
+from the first copy.  Texts are numbered by 64 bits of their digest; texts that share these take the next 64.
 
 Nulls and the like: a null text is empty; a null identifier counts as the largest;
-rows that repeat an identifier are not earlier than each other; texts shorter than
-the length lose nothing; an empty table gives an empty result.
+rows that repeat an identifier are not earlier than each other; equal rows lose the same bytes; texts shorter than
+the length lose nothing; texts of any length are read whole; an empty table gives an empty result; no column but
+those named is read, so names cannot clash.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_bytes, tune
-from .texthash import _BYTE, U, _powers, mix
+from .common import materialize, release, signed, text_bytes
+from .texthash import U, mix
 
 GRAM = 24
 LENGTH = 100
-#: Windows hashed at once; bytes of a shard, and of the shards that are merged into one.
-BLOCK, SHARD, MERGED = 1 << 16, 1 << 14, 1 << 16
+#: Windows hashed at once; bytes of a shard (its ranks must fit 16 bits), and of the shards that are merged into one.
+BLOCK, SHARD, MERGED = 1 << 16, 1 << 15, 1 << 17
+#: Bytes of segments that a task remembers while it looks for equal ones.
+KEPT = 48_000_000
+#: Rows of an anchor from which on its segments are dealt window by window.
+HOT = 100_000
 _LAST = 2**63 - 1
-_TABLE = _BYTE.copy()
-_TABLE[65:91] = mix(np.arange(65, 91, dtype=np.uint64)) | U(1)  # here A-Z differ from a-z
+_TABLE = np.random.Generator(np.random.PCG64(20240601)).integers(1, 2**63, 256, dtype=np.uint64) | U(1)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 2**64)
+_power = np.ones(1, dtype=np.uint64)
+_unpower = np.ones(1, dtype=np.uint64)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the rolling hash's base and of its inverse.  The hash deals windows; strings are compared by their bytes."""
+    global _power, _unpower
+    if len(_power) < n:
+        size = 1 << max(12, (n - 1).bit_length())
+        _power, _unpower = (np.cumprod(np.concatenate([np.ones(1, U), np.full(size - 1, b, U)])) for b in (_BASE, _INVERSE))
+    return _power[:n], _unpower[:n]
 
 
 def segments(body: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,7 +123,7 @@ class Shard:
     """
 
     def __init__(self, texts: list[bytes], depth: int):
-        joined = np.frombuffer(b"".join(texts), np.uint8).astype(np.int16) + 1
+        joined = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + np.uint16(1)
         cut = np.cumsum([len(t) for t in texts])
         self.symbols = np.insert(joined, cut, 0)
         n = len(self.symbols)
@@ -110,19 +131,21 @@ class Shard:
         self.starts = np.concatenate([[0], self.ends[:-1] + 1])
         after = np.arange(1, n + 1)
         after[self.ends] = self.starts
-        rank, width = self.symbols.astype(np.int64), 1
-        for _ in range(2):  # four symbols fit into one number
-            rank = rank * (int(rank.max()) + 1) + rank[after]
-            after, width = after[after], width * 2
-        rank = np.unique(rank, return_inverse=True)[1]
+        small = n <= 1 << 16  # then ranks fit the sixteen bits that NumPy sorts by radix
+        rank, width = self.symbols, 1
         while True:  # prefix doubling
-            key = rank * (int(rank.max()) + 1) + rank[after]
-            order = np.argsort(key, kind="stable")
-            placed = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.concatenate([[0], np.cumsum(placed[1:] != placed[:-1])])
+            second = rank[after]
+            if small:
+                order = np.argsort(second, kind="stable")
+                order = order[np.argsort(rank[order], kind="stable")]
+            else:
+                order = np.lexsort((second, rank))
+            a, b = rank[order], second[order]
+            place = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
+            rank = np.empty(n, np.uint16 if small else np.int64)
+            rank[order] = place
             after, width = after[after], width * 2
-            if width >= depth or rank[order[-1]] == n - 1:
+            if width >= depth or place[-1] == n - 1:
                 break
         self.order = order
         self.before = np.arange(-1, n - 1)
@@ -130,13 +153,14 @@ class Shard:
 
 
 def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, interval) of all suffixes in merged order; a place counts through the shards' symbols one after the other.
+    """(place, common) of all suffixes in merged order; a place counts through the shards' symbols one after the other.
 
     The interleave starts as the shards' orders one after the other and is refined by the
     transforms: in each round the suffixes stand in the order of their first r symbols, each
     is preceded by the symbols of its transform, and a stable sort by these gives the order
-    of the suffixes that begin there.  The shards' suffixes are never compared.  Interval
-    numbers rise where neighbours part; equal numbers share ``depth`` symbols.
+    of the suffixes that begin there.  The shards' suffixes are never compared to order them.  In the end neighbours are
+    compared by the same codes, a round's symbols at a time and as long as they agree: ``common`` is the number of symbols that a
+    suffix shares with the one before it, at most ``depth`` and rounded down to a round's symbols.
     """
     sizes = np.array([len(s.symbols) for s in shards])
     base = np.concatenate([[0], np.cumsum(sizes)])
@@ -146,28 +170,34 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     if depth % width:
         code, jump, width = symbols[before].astype(np.uint16), before, 1
     now = np.concatenate([s.order + b for s, b in zip(shards, base)])
-    interval = np.zeros(len(now), np.int32)
     for _ in range(depth // width):
-        c = code[now]
-        order = np.argsort(c, kind="stable")
-        c, parts = c[order], interval[order]
-        now = jump[now[order]]
-        interval = np.concatenate([[0], np.cumsum((c[1:] != c[:-1]) | (parts[1:] != parts[:-1]))]).astype(np.int32)
-    return now, interval
+        now = jump[now[np.argsort(code[now], kind="stable")]]
+    on = np.empty_like(jump)
+    on[jump] = np.arange(len(jump))  # the position ``width`` symbols on
+    common = np.full(len(now), depth, np.int32)
+    common[0] = 0
+    alike, left, right = np.arange(1, len(now)), now[:-1], now[1:]
+    for r in range(depth // width):
+        left, right = on[left], on[right]
+        agree = code[left] == code[right]
+        common[alike[~agree]] = r * width
+        alike, left, right = alike[agree], left[agree], right[agree]
+    return now, common
 
 
 def windows(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, interval) of all windows of ``length`` bytes; equal windows, and only they, share an interval."""
     shards, held, at = [], [], 0
     for t in texts:
-        if held and at + len(t) > SHARD:
+        if held and at + len(t) + len(held) > SHARD:
             shards.append(Shard(held, length))
             held, at = [], 0
         held.append(t)
         at += len(t)
     if held:
         shards.append(Shard(held, length))
-    place, interval = merge(shards, length)
+    place, common = merge(shards, length)
+    interval = np.cumsum(common < length) - 1
     starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     text = np.searchsorted(starts, place, "right") - 1
     start = place - starts[text]
@@ -175,54 +205,56 @@ def windows(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.nd
     return text[whole], start[whole], interval[whole]
 
 
-def marked(segment: np.ndarray, texts: list[bytes], alone: np.ndarray, tid: np.ndarray, first_id: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marked(segment: np.ndarray, texts: list[bytes], tid: np.ndarray, first_id: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(tid, from, to) byte ranges of windows that also start earlier.
 
     Occurrence i is text ``segment[i]`` in document ``tid[i]`` (of identifier ``first_id[i]``) from byte ``at[i]``.
-    A text that is ``alone`` is its anchor's only one: its windows occur where it does and nowhere else (two windows of
-    one segment have their anchor at different places, so they differ), and it needs no index.
     """
     sizes = np.array([len(t) for t in texts])
     least = np.full(len(texts), _LAST)
     np.minimum.at(least, segment, first_id)
     later = first_id > least[segment]  # all of its windows are in an earlier document
-    whole = later.copy()
-    mine = np.flatnonzero(~later & alone[segment])
-    order = mine[np.lexsort((at[mine], tid[mine], segment[mine]))]
-    whole[order[1:][(segment[order][1:] == segment[order][:-1]) & (tid[order][1:] == tid[order][:-1]) & (at[order][1:] > at[order][:-1])]] = True
-    out = [(tid[whole], at[whole], at[whole] + sizes[segment[whole]])]
-    several = np.flatnonzero(~alone)
-    if len(several):
-        text, start, interval = windows([texts[i] for i in several], length)
-        text = several[text]
-        smallest = np.full(int(interval.max()) + 1, _LAST)
-        np.minimum.at(smallest, interval, least[text])
-        # each window of the segments' earliest occurrences
-        order = np.lexsort((start, text))
-        text, start, interval = text[order], start[order], interval[order]
-        cut = np.searchsorted(text, np.arange(len(texts) + 1))
-        mine = np.flatnonzero(~later & ~alone[segment])
-        n = np.diff(cut)[segment[mine]]
-        occurrence = np.repeat(mine, n)
-        window = np.repeat(cut[segment[mine]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        v, place, owner = interval[window], at[occurrence] + start[window], tid[occurrence]
-        flag = first_id[occurrence] > smallest[v]
-        order = np.lexsort((place, owner, v))
-        same = (v[order][1:] == v[order][:-1]) & (owner[order][1:] == owner[order][:-1]) & (place[order][1:] > place[order][:-1])
-        flag[order[1:][same]] = True
-        hit = np.flatnonzero(flag)
-        if len(hit):
-            new = np.concatenate([[True], (occurrence[hit][1:] != occurrence[hit][:-1]) | (place[hit][1:] != place[hit][:-1] + 1)])
-            begin = hit[new]
-            end = hit[np.concatenate([new[1:], [True]])]
-            out.append((owner[begin], place[begin], place[end] + length))
+    out = [(tid[later], at[later], at[later] + sizes[segment[later]])]
+    text, start, interval = windows(texts, length)
+    smallest = np.full(int(interval.max()) + 1, _LAST)
+    np.minimum.at(smallest, interval, least[text])
+    # each window of the segments' earliest occurrences
+    order = np.lexsort((start, text))
+    text, start, interval = text[order], start[order], interval[order]
+    cut = np.searchsorted(text, np.arange(len(texts) + 1))
+    mine = np.flatnonzero(~later)
+    n = np.diff(cut)[segment[mine]]
+    occurrence = np.repeat(mine, n)
+    window = np.repeat(cut[segment[mine]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    v, place, owner = interval[window], at[occurrence] + start[window], tid[occurrence]
+    flag = first_id[occurrence] > smallest[v]
+    often = np.flatnonzero(np.bincount(v, minlength=len(smallest))[v] > 1)
+    order = often[np.lexsort((place[often], owner[often], v[often]))]
+    same = (v[order][1:] == v[order][:-1]) & (owner[order][1:] == owner[order][:-1]) & (place[order][1:] > place[order][:-1])
+    flag[order[1:][same]] = True
+    hit = np.flatnonzero(flag)
+    if len(hit):
+        new = np.concatenate([[True], (occurrence[hit][1:] != occurrence[hit][:-1]) | (place[hit][1:] != place[hit][:-1] + 1)])
+        begin = hit[new]
+        end = hit[np.concatenate([new[1:], [True]])]
+        out.append((owner[begin], place[begin], place[end] + length))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, doc_id, text, one, two): the identifier with null last, and two halves of the text's digest."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     d = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("id"), F.col(key).cast("long").alias("doc_id"), body.alias("text"))
-    return d.withColumn("sha", F.sha2("text", 256)).withColumn("tid", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long"))
+    sha = F.sha2("text", 256)
+    return d.withColumn("one", signed(sha)).withColumn("two", signed(F.substring(sha, 17, 16)))
+
+
+def _numbered(texts: DataFrame) -> DataFrame:
+    """``texts`` with ``tid`` instead of the halves: the first, or the second where two texts share the first."""
+    # N * N / 2**65 shared halves are to be expected, 300 among 10**11 texts
+    clash = [r["one"] for r in texts.groupBy("one").agg(F.min("two").alias("low"), F.max("two").alias("high")).where("low <> high").select("one").collect()]
+    tid = F.when(F.col("one").isin(clash), F.col("two")).otherwise(F.col("one")) if clash else F.col("one")
+    return texts.select("id", "doc_id", "text", tid.alias("tid"))
 
 
 def _anchored(texts: DataFrame, length: int) -> DataFrame:
@@ -239,7 +271,7 @@ def _anchored(texts: DataFrame, length: int) -> DataFrame:
 
         for batch in batches:
             for tid, body in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-                if tid not in seen and len(body) >= length:
+                if len(body) >= length and tid not in seen:
                     seen.add(tid)
                     a, first, size = segments(body, length)
                     held.append((a.view(np.int64), np.full(len(a), tid), first.astype(np.int32), size.astype(np.int32)))
@@ -281,33 +313,62 @@ def _several(rows: DataFrame) -> DataFrame:
 
 
 def _cut_out(packs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """(anchor, tid, id, first, body): the bytes of the segments, from the first copy of each text."""
+    """(anchor, tid, id, first, size, body): the bytes of the segments of each text's first copy, as far as a task meets them first.
+
+    A later occurrence of the same bytes has no body: all of it is removed.  Segments of hot anchors are cut into windows.
+    """
 
     def run(batches):
+        seen: dict[tuple[int, bytes], int] = {}
         held: list[tuple] = []
-        parts: list[bytes] = []
+        size = 0
 
         def flush():
-            columns = [pa.array(np.concatenate(x)) for x in zip(*held)]
-            out = pa.record_batch([*columns, pa.array(parts, pa.binary())], names=["anchor", "tid", "id", "first", "body"])
+            columns = zip(*held)
+            out = pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=names)
             held.clear()
-            parts.clear()
             return out
 
+        def put(anchor, tid, i, first, body) -> bool:
+            """Whether the task meets these bytes for the first time."""
+            nonlocal size
+            before = seen.get((anchor, body))
+            if before is not None and before < i:
+                held.append((mix(np.array([tid], np.int64).view(np.uint64)).view(np.int64)[0] ^ first, tid, i, first, len(body), None))
+                return False
+            if before is None:
+                size += len(body) + 200
+            seen[anchor, body] = i
+            held.append((anchor, tid, i, first, len(body), body))
+            return True
+
         for batch in batches:
             tids, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for tid, i, body, rows in zip(tids, ids, text_bytes(batch.column(2)), batch.column(3)):
-                v = rows.values
-                anchor, first, size = (v.field(x).to_numpy() for x in range(3))
-                parts.extend(body[f : f + n + length - 1] for f, n in zip(first.tolist(), size.tolist()))
-                held.append((anchor, np.full(len(first), tid), np.full(len(first), i), first))
-                if len(parts) > 10_000:
+                for anchor, first, n, hot in zip(*(rows.values.field(x).to_pylist() for x in range(4))):
+                    part = body[first : first + n + length - 1]
+                    if not hot:
+                        put(anchor, tid, i, first, part)
+                    elif seen.get((anchor, part), i) >= i:
+                        seen[anchor, part] = i
+                        size += len(part) + 200
+                        for j in range(n):
+                            window = part[j : j + length]
+                            put(int.from_bytes(blake2b(window, digest_size=8).digest(), "little", signed=True), tid, i, first + j, window)
+                    else:
+                        held.append((tid ^ first, tid, i, first, len(part), None))
+                if len(held) > 10_000:
                     yield flush()
+                if size > KEPT:
+                    seen.clear()
+                    size = 0
         if held:
             yield flush()
 
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["anchor", "tid", "id", "first", "size", "body"]
     joined = texts.join(packs, ["tid", "id"]).select("tid", "id", "text", "rows")
-    return joined.mapInArrow(run, "anchor long, tid long, id long, first int, body binary")
+    return joined.mapInArrow(run, "anchor long, tid long, id long, first int, size int, body binary")
 
 
 def _search(rows: DataFrame, length: int) -> DataFrame:
@@ -315,7 +376,6 @@ def _search(rows: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         texts: list[bytes] = []
-        alone: list[bool] = []
         group: dict[bytes, int] = {}
         held: list[list] = [[], [], [], []]
         size, last = 0, None
@@ -323,18 +383,21 @@ def _search(rows: DataFrame, length: int) -> DataFrame:
         def flush():
             nonlocal size
             seg, tid, ids, first = (np.array(x, np.int64) for x in held)
-            out = marked(seg, texts, np.array(alone), tid, ids, first, length)
-            for x in (texts, alone, *held):
+            out = marked(seg, texts, tid, ids, first, length)
+            for x in (texts, *held):
                 x.clear()
             size = 0
             return pa.record_batch([pa.array(x.astype(np.int64)) for x in out], names=["tid", "a", "b"])
 
         for batch in batches:
+            gone = batch.filter(batch.column(5).is_null())
+            if gone.num_rows:
+                tid, first, n = (gone.column(i).to_numpy().astype(np.int64) for i in (1, 3, 4))
+                yield pa.record_batch([pa.array(tid), pa.array(first), pa.array(first + n)], names=["tid", "a", "b"])
+                batch = batch.filter(batch.column(5).is_valid())
             anchors, tids, ids, firsts = (batch.column(i).to_pylist() for i in range(4))
-            for anchor, tid, i, first, body in zip(anchors, tids, ids, firsts, batch.column(4).to_pylist()):
+            for anchor, tid, i, first, body in zip(anchors, tids, ids, firsts, batch.column(5).to_pylist()):
                 if anchor != last:
-                    if len(group) == 1:
-                        alone[-1] = True
                     group.clear()
                     if size > MERGED:
                         yield flush()
@@ -343,14 +406,10 @@ def _search(rows: DataFrame, length: int) -> DataFrame:
                 if at is None:
                     at = group[body] = len(texts)
                     texts.append(body)
-                    alone.append(False)
-                    if len(group) > 1:
-                        size += len(body)
+                    size += len(body)
                 size += 32
                 for x, v in zip(held, (at, tid, i, first)):
                     x.append(v)
-        if len(group) == 1:
-            alone[-1] = True
         if held[0]:
             yield flush()
 
@@ -362,15 +421,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     """(doc_id, n_bytes, n_removed, n_spans, spans, kept): one row for each row of ``docs``; kept is the remaining bytes."""
     if length % 4 or length < 2 * GRAM:
         raise ValueError(f"length must be a multiple of 4 and at least {2 * GRAM}")
-    tune(docs.sparkSession)
-    texts = _identified(docs, key, text)
-    one = F.when(F.min("sha") != F.max("sha"), F.raise_error(F.lit("two texts share a fingerprint"))).otherwise(F.min("id"))
-    firsts = materialize(texts.groupBy("tid").agg(one.cast("long").alias("id")), "firsts")
+    texts = _numbered(_identified(docs, key, text))
+    firsts = materialize(texts.groupBy("tid").agg(F.min("id").alias("id")), "firsts")
     found = materialize(_several(_anchored(texts, length)), "segments")
-    packs = found.groupBy("tid").agg(F.collect_list(F.struct("anchor", "first", "size")).alias("rows")).join(firsts, "tid")
+    hot = materialize(found.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor"), "hot")
+    if hot.isEmpty():
+        flagged = found.withColumn("hot", F.lit(False))
+    else:
+        flagged = found.join(hot.withColumn("_hot", F.lit(True)), "anchor", "left").withColumn("hot", F.coalesce("_hot", F.lit(False)))
+    packs = flagged.groupBy("tid").agg(F.collect_list(F.struct("anchor", "first", "size", "hot")).alias("rows")).join(firsts, "tid")
     ranges = materialize(_search(_cut_out(packs, texts, length), length), "ranges")
+    release(found)
     per_text = ranges.groupBy("tid").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    facts = firsts.withColumnRenamed("id", "first_id").join(per_text, "tid", "left")
+    # read from a table, so that the join of a text with very many copies can be split
+    facts = materialize(firsts.withColumnRenamed("id", "first_id").join(per_text, "tid", "left"), "facts")
+    release(ranges)
 
     def run(batches):
         for batch in batches:

@@ -1,32 +1,21 @@
-"""Vectorised word and shingle fingerprints over blocks of UTF-8 texts.
+"""Strong fingerprints of words and shingles.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased.  Its
-fingerprint is a polynomial in random byte values modulo 2**64, taken for all
-words of a block from one running sum, and then mixed.
+fingerprint is 128 bits of keyed BLAKE2b, kept in a table of bounded size, so texts
+built to collide under a rolling hash do not.  Shingles are linear combinations of
+their words' fingerprints, mixed; sums of 128 independent bits stay 128 bits.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 U = np.uint64
-_rng = np.random.Generator(np.random.PCG64(20240601))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
-_BYTE[65:91] = _BYTE[97:123]
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
-SPACE = np.zeros(256, dtype=bool)
-SPACE[[32, *range(9, 14)]] = True
-_power = np.ones(1, dtype=np.uint64)
-_unpower = np.ones(1, dtype=np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _power, _unpower
-    if len(_power) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        _power, _unpower = (np.cumprod(np.concatenate([np.ones(1, U), np.full(size - 1, b, U)])) for b in (_BASE, _INVERSE))
-    return _power[:n], _unpower[:n]
+_KEY = b"words and shingles"
+#: Words kept ready in each worker, about; a single text may add its own on top.
+KEPT = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -38,31 +27,56 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of all words of a block, and where each text's words begin (len(texts) + 1 offsets)."""
-    block = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    offset = np.concatenate([[0], np.cumsum(lengths)])
-    inside = ~SPACE[block]
-    edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0))
-    starts, ends = edge[::2], edge[1::2]
-    power, unpower = _powers(len(block) + 1)
-    total = np.cumsum(_BYTE[block] * power[: len(block)], dtype=np.uint64)
-    total = np.concatenate([np.zeros(1, U), total])
-    return mix((total[ends] - total[starts]) * unpower[starts]), np.searchsorted(starts, offset)
+class Words(dict):
+    """Word to its row in ``table``, two lanes of 64 bits each; unknown words are hashed when first met."""
+
+    def __init__(self):
+        super().__init__()
+        self.table = np.empty((1 << 12, 2), np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        n = len(self)
+        if n == len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        self.table[n] = np.frombuffer(blake2b(word, digest_size=16, key=_KEY).digest(), np.uint64)
+        self[word] = n
+        return n
+
+    def of(self, text: bytes) -> np.ndarray:
+        """(words x 2) fingerprints of a text's words in order."""
+        if len(self) > KEPT:
+            self.clear()
+        words = text.lower().split()  # bytes: A-Z only, and exactly the six white-space bytes
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.table[at]
 
 
-_STEP = [U(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0xC2B2AE3D27D4EB4F)]
+_STEP = [
+    [U(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0xC2B2AE3D27D4EB4F)],
+    [U(x) for x in (0x9E3779B185EBCA87, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0xDA942042E4DD58B5)],
+]
 
 
-def shingles(h: np.ndarray, k: int) -> np.ndarray:
-    """Sorted distinct fingerprints of the k-word shingles of one text's words; of all words if fewer."""
-    n = len(h)
+def shingles(words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two lanes of one text's distinct k-word shingles, rising in the first; of all words if fewer."""
+    n = len(words)
     if n == 0:
-        return h
-    if n < k:
-        return mix(np.array([np.sum(h * np.array(_STEP[:n], dtype=np.uint64), dtype=np.uint64) + U(n)], dtype=np.uint64))
-    s = h[: n - k + 1] * _STEP[0]
-    for j in range(1, k):
-        s = s + h[j : n - k + 1 + j] * _STEP[j]
-    return np.unique(mix(s + U(k)))
+        return words[:, 0], words[:, 1]
+    width = min(n, k)
+    lanes = []
+    for lane in range(2):
+        h = words[:, lane]
+        s = h[: n - width + 1] * _STEP[lane][0]
+        for j in range(1, width):
+            s = s + h[j : n - width + 1 + j] * _STEP[lane][j]
+        lanes.append(mix(s + U(width)))
+    a, b = lanes
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    same = a[1:] == a[:-1]
+    if (same & (b[1:] != b[:-1])).any():  # one lane alone agrees
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    new = np.concatenate([[True], ~same])
+    return a[new], b[new]

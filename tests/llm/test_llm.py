@@ -1,7 +1,9 @@
 """The training-data operators against brute force, libraries and SQL, and on awkward rows."""
 
 import hashlib
+import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -57,7 +59,7 @@ def test_awkward_rows_and_empty_tables(spark, docs, empty, labels):
     assert bpe.digests(docs, path).count() == n
     assert tiff.media_digests(tiff.to_media(docs)).count() == n
     assert suffix_dedup.digests(docs).count() == n
-    assert mixing.plan(docs.drop("size")).count() == n
+    assert mixing.plan(docs).count() == n
     assert lm_score.score(docs).count() == 13  # 9 and null repeat
     for f in (exact_dedup.exact_dedup, exact_dedup.deduplicate, jaccard_join.near_groups, jaccard_join.keep_one, suffix_dedup.digests, lm_score.score, mixing.mix_sources, lambda d: quality.score(d, labels), lambda d: quality.keep_good(d, labels.limit(0)), lambda d: bpe.encode(d, path), lambda d: tiff.to_pages(tiff.to_media(d))):
         assert f(empty).count() == 0
@@ -110,6 +112,54 @@ def test_jaccard_join_is_exact(spark, docs, k, num, den):
     assert Counter(tuple(r) for r in jaccard_join.near_groups(df, k, num, den).collect()) == brute_groups(many, k, num, den)
 
 
+def test_jaccard_identities(spark, monkeypatch):
+    """Words built to collide under a rolling hash, sets that share 64 bits, and sets that equal texts of other words do not have."""
+    a = "a"
+    for _ in range(11):  # Thue-Morse: 2,048 letters
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a), (2, b), (3, BASE), (4, "  " + BASE.replace(" ", "\n\t")), (5, "x y z w x y z w x"), (6, "x y z w x y z w x y z w x"), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_groups(rows, 4, 85, 100)
+    assert Counter(tuple(r) for r in jaccard_join.near_groups(df, 4, 85, 100).collect()) == want
+    assert (1, 1, 1) in want and (2, 1, 2) in want and (4, 117, 3) in want
+    plain = jaccard_join.identity
+    monkeypatch.setattr(jaccard_join, "identity", lambda x, y: (plain(x, y)[0] & 1, plain(x, y)[1]))
+    assert Counter(tuple(r) for r in jaccard_join.near_groups(df, 4, 85, 100).collect()) == want
+    monkeypatch.setattr(jaccard_join, "identity", lambda x, y: (1, 1))
+    with pytest.raises(RuntimeError, match="128 bits"):
+        jaccard_join.near_groups(df, 4, 85, 100).count()
+
+
+def test_jaccard_group_of_many_small_sets(spark):
+    """A base text and thousands of copies with a word of their own: linked with the base, not with each other."""
+    base = "a b c d e f g h i"
+    rows = [(0, base)] + [(i, f"{base} v{i}") for i in range(1, 6001)]
+    got = jaccard_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 4, 85, 100)
+    assert [tuple(r) for r in got.groupBy("component_id").count().collect()] == [(0, 6001)]
+
+
+def test_jaccard_gives_every_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 7)
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(40)]
+    rows = []
+    for g in range(5):
+        w = rng.choices(vocabulary, k=60)
+        for _ in range(15):
+            v = list(w)
+            for _ in range(rng.randint(0, 2)):
+                v[rng.randrange(len(v))] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(v)))
+    sets = {d: frozenset(grams(t, 4)) for d, t in rows}
+    nodes, links = jaccard_join.linked_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 85, 100)
+    of = {r["doc_id"]: r["node"] for r in nodes.collect()}
+    some = {n: sets[d] for d, n in of.items()}
+    assert len(set(of.values())) == len(set(sets.values()))
+    want = {(min(a, b), max(a, b)) for a in some for b in some if a != b and 100 * len(some[a] & some[b]) >= 85 * len(some[a] | some[b])}
+    assert {(r["a"], r["b"]) for r in links.collect()} == want
+
+
 def test_allocation_covers_every_linked_pair():
     spaces = jaccard_join.Spaces(85, 100)
     rng = np.random.default_rng(0)
@@ -193,13 +243,34 @@ def test_bpe_equals_the_library(real):
     assert ours._scan(symbols) == ours._heap(symbols)
 
 
+def test_bpe_equals_the_library_at_every_code_point():
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary()
+    theirs, ours = Tokenizer.from_file(path), bpe.load(path)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for form in ("a{}b", "{}{} 1{}'s"):
+        for i in range(0, len(points), 100_000):
+            texts = [form.replace("{}", c) for c in points[i : i + 100_000]]
+            for t, e in zip(texts, theirs.encode_batch(texts, add_special_tokens=False)):
+                assert ours.encode(t) == e.ids, ascii(t)
+    rng = random.Random(1)
+    for _ in range(5_000):  # marks in any order, special tokens, white space of all kinds
+        t = "".join(rng.choice(points[:0x3000]) if rng.random() < 0.6 else rng.choice(" abS'sT\u0301ΣI\n\x1c\x85") for _ in range(rng.randint(1, 40)))
+        ids = theirs.encode(t, add_special_tokens=False).ids
+        assert ours.encode(t) == ids and ours.encode_text(t) == " ".join(map(str, ids))
+        assert ours.decode(ids) == ours.decode_text(ours.encode_text(t)) == theirs.decode(ids, skip_special_tokens=False)
+
+
 def test_bpe_digest_and_pipeline_decode_the_ids(spark, docs):
     import corpus_pipeline
 
     path = bpe.vocabulary()
-    model = bpe.WordBpe(path)
+    with open(path, encoding="utf-8") as f:
+        model = bpe.WordBpe(f.read())
     ids = model.encode("hello world")
-    model.names = {i: n for i, n in model.names.items() if i != ids[0]}
+    model.names.pop(ids[0])
+    model.shown.pop(str(ids[0]))
     assert model.digest("hello world")[2] == hashlib.sha256(model.decode(ids).encode()).hexdigest() != bpe.load(path).digest("hello world")[2]
     got = Counter((r["doc_id"], r["decoded_sha256"]) for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect())
     assert got == Counter((r["doc_id"], r["decoded_sha256"]) for r in bpe.digests(docs, path).collect())
@@ -214,12 +285,77 @@ def test_tiff_round_trip(codec, predictor, tiled, order):
     assert all((a == b).all() for a, b in zip(got, pages)) and len(got) == 3
 
 
+def _image_io(spark):
+    jvm = spark._jvm
+    readers = jvm.javax.imageio.ImageIO.getImageReadersByFormatName("tiff")
+    if not readers.hasNext():
+        pytest.skip("this Java has no TIFF codec")
+    return jvm
+
+
+def _java_read(jvm, data):
+    reader = jvm.javax.imageio.ImageIO.getImageReadersByFormatName("tiff").next()
+    reader.setInput(jvm.javax.imageio.ImageIO.createImageInputStream(jvm.java.io.ByteArrayInputStream(data)))
+    return [bytes(reader.read(i).getRaster().getDataBuffer().getData()) for i in range(reader.getNumImages(True))]
+
+
+@pytest.mark.parametrize("codec, predictor, tiled", tiff.FORMS)
+def test_another_reader_reads_what_is_written(spark, codec, predictor, tiled):
+    jvm, rng = _image_io(spark), np.random.default_rng(2)
+    text = (b"the quick brown fox " * 600)[:9216]
+    pages = [rng.integers(0, 256, (50, 288), dtype=np.uint8), np.frombuffer(text, np.uint8).reshape(16, 576), np.zeros((40, 160), np.uint8)]
+    assert _java_read(jvm, tiff.write([(p, codec, predictor, tiled) for p in pages])) == [p.tobytes() for p in pages]
+
+
+@pytest.mark.parametrize("compression", ["LZW", "PackBits", "Deflate", "ZLib", None])
+def test_what_another_writer_writes_is_read(spark, compression):
+    jvm, rng = _image_io(spark), np.random.default_rng(3)
+    want = np.concatenate([rng.integers(97, 123, (30, 50), dtype=np.uint8), np.full((30, 50), 7, np.uint8)])
+    image = jvm.java.awt.image.BufferedImage(50, 60, 10)
+    image.getRaster().setDataElements(0, 0, 50, 60, bytearray(want.tobytes()))
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("tiff").next()
+    params = writer.getDefaultWriteParam()
+    if compression:
+        params.setCompressionMode(2)  # explicit
+        params.setCompressionType(compression)
+    out = jvm.java.io.ByteArrayOutputStream()
+    stream = jvm.javax.imageio.ImageIO.createImageOutputStream(out)
+    writer.setOutput(stream)
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), params)
+    stream.flush()
+    pages = list(tiff.read_pages(bytes(out.toByteArray())))
+    assert len(pages) == 1 and (pages[0][:, :, 0] == want).all()
+
+
+def test_tiff_query_against_independent_digests(spark):
+    rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    seen = set()
+    for r in queries.op6_media_tiff(spark, SF).collect():
+        body = (rows[r["doc_id"]] or "").encode()
+        payload = body + b"\xff" * ((-len(body)) % 576 or (576 if not body else 0))
+        a = np.frombuffer(payload, np.uint8).reshape(-1, 576).astype(float)
+        share = np.bincount(a.astype(int).ravel(), minlength=256) / a.size
+        entropy = -sum(p * math.log2(p) for p in share if p)
+        dy = np.abs(a[1:] - a[:-1]).mean() if len(a) > 1 else 0.0
+        feature = f"pages={-(-len(a) // 64)};width=576;rows={len(a)};mean={a.mean():.4f};std={a.std():.4f};entropy={entropy:.4f};dx={np.abs(a[:, 1:] - a[:, :-1]).mean():.4f};dy={dy:.4f}"
+        media = tiff.store(payload)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(body), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(media), hashlib.sha256(media).hexdigest(), feature)
+        seen.add(zlib.crc32(payload) % len(tiff.FORMS))
+    assert len(seen) == len(tiff.FORMS)  # every codec has its share of the table
+
+
 def test_tiff_pages_and_damage(spark, docs):
-    pages = tiff.to_pages(tiff.to_media(docs.where("doc_id = 12")))
+    media = tiff.to_media(docs.where("doc_id = 12"))
+    pages = tiff.to_pages(media)
     data = b"".join(bytes(r["samples"]) for r in pages.orderBy("page").collect())
     assert data.rstrip(b"\xff") == b"word " * 20_000 and len(data) % 576 == 0
-    bad = spark.createDataFrame([(1, bytearray(b"no tiff")), (2, None)], "doc_id long, media binary")
-    assert all(r["error"] for r in tiff.to_pages(bad).collect())
+    whole = media.first()["media"]
+    bad = spark.createDataFrame([(1, 3, bytearray(b"no tiff")), (2, 0, None), (3, 5, whole[: len(whole) // 2])], "doc_id long, n_bytes long, media binary")
+    rows = tiff.to_pages(bad).collect()
+    assert {r["doc_id"] for r in rows if r["error"]} == {1, 2, 3} and all(r["samples"] is None for r in rows if r["error"])
+    digests = {r["doc_id"]: r for r in tiff.media_digests(bad).collect()}
+    assert all(r["feature"].startswith("error=") and r["payload_sha256"] is None for r in digests.values()) and digests[2]["media_bytes"] is None
 
 
 def test_url_filter(spark):
@@ -231,24 +367,70 @@ def test_url_filter(spark):
     df = spark.createDataFrame([(i, u, "<title>city library news</title>") for i, u in enumerate(urls)], "page_id long, url string, html string")
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(df).collect()}
     assert got == dict(enumerate(urls.values()))
+    labelled = url_filter.labelled_names()
+    assert len(labelled) < 10_000
+    trained = dict(url_filter._without_hosts(spark.createDataFrame([("www.cheap-pills.example.com",), ("citylibrary.org",)], "host string"), [(w, b) for w, b, _ in labelled]))
+    assert "cheap pills" not in trained and "city library" not in trained and "free pills" in trained
     assert url_filter.filter_urls(df.limit(0)).count() == 0
     assert url_filter.Segmenter({"cheap": 5, "pills": 5, "chea": 1}).cut("cheappills") == ["cheap", "pills"]
 
 
-def test_url_filter_keeps_rare_title_words(spark):
+def test_url_model_on_names_held_out():
+    odds, prior = url_filter.train()
+    cut = url_filter.Segmenter({w: 100 for w in odds if len(w) > 1} | {"the": 1000, "of": 900}).cut
+    held = [(w, b) for w, b, out in url_filter.labelled_names() if out]
+    right = [(prior + sum(odds.get(x, 0.0) for x in cut(w.replace(" ", ""))) > 0) == b for w, b in held]
+    assert len(held) > 1500 and sum(right) > 0.98 * len(held)
+
+
+def brute_cut(name, cost, unknown):
+    """The cheapest of all cuts of a short name."""
+    best = None
+    for mask in range(2 ** (len(name) - 1)):
+        words, at = [], 0
+        for i in range(1, len(name)):
+            if mask >> (i - 1) & 1:
+                words.append(name[at:i])
+                at = i
+        words.append(name[at:])
+        total = sum(cost.get(w, unknown + 2.3 * len(w)) for w in words)
+        if best is None or total < best:
+            best = total
+    return best
+
+
+def test_viterbi_is_the_cheapest_cut():
+    rng = random.Random(2)
+    counts = {"".join(rng.choices("abc", k=rng.randint(1, 4))): rng.randint(1, 50) for _ in range(25)}
+    s = url_filter.Segmenter(counts)
+    for _ in range(60):
+        name = "".join(rng.choices("abcd", k=rng.randint(1, 11)))
+        words = s.cut(name)
+        assert "".join(words) == name
+        assert sum(s.cost.get(w, s.unknown + 2.3 * len(w)) for w in words) == pytest.approx(brute_cut(name, s.cost, s.unknown))
+
+
+def test_url_filter_against_brute_force(spark):
+    """Every word of the pages' texts counts, rare and long ones too, and whatever the hosts spell is left out of training."""
     rng = random.Random(4)
-    words = [f"{a}{b}{c}q" for a in "bcdfghjk" for b in "aeiou" for c in "lmnprst"]
-    titles = [" ".join(["the"] * 200 + ["win"] * 40 + rng.choices(words, k=3700) + (["winnipeg"] if i < 2 else [])) for i in range(50)]
-    urls = ["https://winnipeg.example.com/", "https://winnipeg.example.com/", "https://winnipegs-win.example.com/Winnipeg/x1", None]
-    df = spark.createDataFrame([(i, urls[i] if i < 4 else "http://a.com", f"<title>{t}</title>") for i, t in enumerate(titles)], "page_id long, url string, html string")
+    words = [f"{a}{b}{c}q" for a in "bcdfghjk" for b in "aeiou" for c in "lmnprst"] + ["longest" * 6]
+    texts = [" ".join(["the"] * 200 + ["win"] * 40 + rng.choices(words, k=3700) + (["winnipeg"] if i < 2 else [])) for i in range(50)]
+    urls = ["https://winnipeg.example.com/", "https://winnipeg.example.com/", "https://winnipegs-win.example.com/Winnipeg/x1", None, "http://" + "longest" * 6 + "casinospins.org/spam/", "http://freebets.com"]
+    df = spark.createDataFrame([(i, urls[i] if i < 6 else "http://a.com", f"<title>{t}</title><script>var hidden</script><p class=x>") for i, t in enumerate(texts)], "page_id long, url string, html string")
     got = {r["page_id"]: r for r in url_filter.filter_urls(df.repartition(3)).collect()}
-    odds, prior = url_filter.train()
-    assert len(got) == 50 and all(got[i]["verdict"] == "allow" and got[i]["score"] == prior for i in (0, 1, 3))
-    full = Counter(w for t in titles for w in t.split())
-    full.update({w: 0 for w in odds})
-    full = {w: max(100, *full.values()) // 10 if w in odds else n for w, n in full.items()}
-    cut = url_filter.Segmenter(full).cut
-    assert got[2]["score"] == prior + sum(odds.get(w, 0.0) for n in ("winnipegs", "win", "example", "winnipeg", "x") for w in cut(n))
+    spelt = {"a", "winnipeg", "winnipegswin", "longest" * 6 + "casinospins", "freebets", "example", "com", "org"}
+    odds, prior = url_filter.train([(w, b) for w, b, held in url_filter.labelled_names() if not held and w.replace(" ", "") not in spelt])
+    full = Counter(w for t in texts for w in t.split())
+    labelled = [w for w in odds if len(w) > 1]
+    strong = max(full.values()) // 10
+    counts = {**full, **dict.fromkeys(labelled, strong)}
+    cut = url_filter.Segmenter(counts, sum(n for w, n in full.items() if w not in labelled) + strong * len(labelled) + 1).cut
+    for i in range(50):
+        host, path = (url_filter.re.match(r"[^:]*://([^/?#]*)([^?#]*)", urls[i] or "x://").groups()) if i < 6 and urls[i] else (("a.com", "") if i >= 6 else ("", ""))
+        score = prior + sum(odds.get(w, 0.0) for n in url_filter.names_of(host, path) for w in cut(n))
+        assert got[i]["score"] == pytest.approx(score), i
+        assert got[i]["verdict"] == ("block" if score > 0 else "allow")
+    assert got[0]["verdict"] == "allow" and got[4]["verdict"] == got[5]["verdict"] == "block"
 
 
 def brute_repeats(rows, length=100):
@@ -279,6 +461,21 @@ def test_suffix_dedup_is_exact(spark):
     assert {r[0]: tuple(r[1:]) for r in got} == brute_repeats([(d, t.encode()) for d, t in rows])
 
 
+def test_suffix_dedup_of_hot_anchors_and_shared_digests(spark, monkeypatch):
+    rng = random.Random(17)
+    piece = lambda n: "".join(rng.choices("abcdef ", k=n))
+    passage = piece(180)
+    rows = [(i, piece(rng.randint(0, 60)) + passage[: rng.randint(120, 180)] + piece(rng.randint(0, 60)) + (passage if i % 7 == 0 else "")) for i in range(70)]
+    rows += [(100, rows[3][1]), (101, "q" * 300), (102, "q" * 250)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_repeats([(d, t.encode()) for d, t in rows])
+    monkeypatch.setattr(suffix_dedup, "HOT", 20)
+    assert {r[0]: tuple(r[1:]) for r in suffix_dedup.digests(df).collect()} == want
+    plain = suffix_dedup._identified
+    monkeypatch.setattr(suffix_dedup, "_identified", lambda *x: plain(*x).withColumn("one", F.lit(5).cast("long")))
+    assert {r[0]: tuple(r[1:]) for r in suffix_dedup.digests(df).collect()} == want
+
+
 def test_merged_intervals_are_the_equal_windows(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SHARD", 60)
     rng = random.Random(5)
@@ -309,10 +506,37 @@ def test_lm_score_keeps_every_word(spark, most):
     rng = random.Random(most)
     rows = [(i // 2 if i % 5 else None, " ".join(f"w{int(rng.paretovariate(0.6)) % 900}" for _ in range(rng.randint(0, 60)))) for i in range(80)]
     rows += [(900, "rare pair rare pair"), (901, "lone"), (902, None)]
-    got = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), most=most).collect()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for share in (lm_score.HOT_SHARE, 0.01, 2.0):  # all, some and no bigrams are hot
+        got = lm_score.score(df, most=most, hot_share=share).collect()
+        assert {r["doc_id"]: (r["n_words"], r["n_backoff"], round(r["logprob"] * 1e6)) for r in got} == brute_scores(rows)
+    got = lm_score.score_by_tables(df, order=2).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_backoff"], round(r["logprob"] * 1e6)) for r in got} == brute_scores(rows)
 
 
+def test_lm_score_of_order_three(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices("abcde", k=rng.randint(0, 30)))) for i in range(40)] + [(40, None), (41, "a")]
+    seen = Counter(tuple(ws[i : i + k]) for _, t in rows for ws in [(t or "").split()] for k in (1, 2, 3) for i in range(len(ws) - k + 1))
+    total = sum(n for g, n in seen.items() if len(g) == 1)
+
+    def s(gram):
+        if len(gram) == 1:
+            return seen[gram] / total, False
+        if seen[gram] >= 2:
+            return seen[gram] / seen[gram[:-1]], False
+        return 0.4 * s(gram[1:])[0], True
+
+    want = {}
+    for d, t in rows:
+        ws = (t or "").split()
+        scores = [s(tuple(ws[max(0, i - 2) : i + 1])) for i in range(len(ws))]
+        want[d] = (len(ws), sum(m for _, m in scores), sum(round(math.log(x) * 1e6) for x, _ in scores))
+    got = lm_score.score_by_tables(spark.createDataFrame(rows, "doc_id long, text string"), order=3).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_backoff"]) for r in got} == {d: w[:2] for d, w in want.items()}
+    assert all(abs(r["logprob"] * 1e6 - want[r["doc_id"]][2]) <= 1 + want[r["doc_id"]][0] for r in got)
+
+
 def test_lm_score_of_more_than_a_million_words(spark):
     rng = np.random.default_rng(2)
     rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 3000) % 500_000)) for i in range(400)]
