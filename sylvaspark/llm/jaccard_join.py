@@ -47,9 +47,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, text_bytes
+from .common import chunks, materialize, release, text_bytes
 from .components import components
-from .texthash import U, Words, mix, shingles
+from .texthash import BLOCK, U, mix, shingles
 
 #: Shingles and rows of a block of nodes that is compared at once.
 BLOCK_TOKENS, BLOCK_ROWS = 200_000, 2_000
@@ -95,10 +95,12 @@ def identity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return int(both[0]), int(both[1])
 
 
-def _sets(column: pa.Array, k: int, words: Words):
+def _sets(column: pa.Array, k: int):
     """(row, text, lanes of its shingles) of each text."""
-    for i, body in enumerate(text_bytes(column)):
-        yield i, body, *shingles(words.of(body), k)
+    bodies = list(text_bytes(column))
+    for a, b in chunks(np.array([len(x) for x in bodies]), BLOCK):
+        for i, lanes in enumerate(shingles(bodies[a:b], k), a):
+            yield i, bodies[i], *lanes
 
 
 def allocate(h: np.ndarray, space: int, shape: tuple[int, int, int], hot: np.ndarray, rate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +138,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
     """(kind, doc_id, n, a, b, sha): kind 0 is a document's set; kind 1 a frequent shingle (a) and its count n."""
 
     def run(batches):
-        words, seen, counts = Words(), set(), Counter()
+        seen, counts = set(), Counter()
         gathered: list[np.ndarray] = []
         held = 0
 
@@ -156,7 +158,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
         schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("sha", pa.binary())])
         for batch in batches:
             rows = []
-            for _, body, h, twin in _sets(batch.column(1), k, words):
+            for _, body, h, twin in _sets(batch.column(1), k):
                 a, b = identity(h, twin) if len(h) else (None, None)
                 rows.append((len(h), a, b, hashlib.sha256(body).digest()))
                 if len(h) and a not in seen:
@@ -181,7 +183,7 @@ def index(docs: DataFrame, k: int, spaces: Spaces, hot: np.ndarray, rate: np.nda
     """(sig, node, probe): the index entries of every set, once per task."""
 
     def run(batches):
-        words, seen = Words(), set()
+        seen: set[int] = set()
         shapes: dict[int, tuple[int, int, int]] = {}
         for batch in batches:
             sigs, nodes, probes, held = [], [], [], 0
@@ -192,7 +194,7 @@ def index(docs: DataFrame, k: int, spaces: Spaces, hot: np.ndarray, rate: np.nda
                 sigs.clear(), nodes.clear(), probes.clear()
                 return out
 
-            for _, _, h, twin in _sets(batch.column(1), k, words):
+            for _, _, h, twin in _sets(batch.column(1), k):
                 if not len(h) or (node := node_of(*identity(h, twin), clash)) in seen:
                     continue
                 seen.add(node)
@@ -368,8 +370,7 @@ def _across(members: DataFrame, size: DataFrame, texts: DataFrame, k: int, num:
         if seeker.any() and not seeker.all():
             node, label, weight = (group.column(c).to_numpy() for c in ("node", "label", "weight"))
             text = group.column("text").combine_chunks()
-            words = Words()
-            sets = [h for _, _, h, _ in _sets(text, k, words)]
+            sets = [h for _, _, h, _ in _sets(text, k)]
             n = np.array([len(h) for h in sets])
             which = np.unique(np.concatenate(sets), return_inverse=True)[1]
             row = np.repeat(np.arange(len(sets)), n)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, materialize, text_bytes
-from .texthash import U, Words, mix
+from .texthash import U, mix, words
 
 VOCABULARY = 1_000_000
 HOT_SHARE = 1 / 16384
@@ -47,12 +47,12 @@ _BITS = 21  # ids of frequent words, of any rare one and of the start
 _MICRO = 1e6
 
 
-def _blocks(column: pa.Array, words: Words):
+def _blocks(column: pa.Array):
     """(first row, last row, fingerprints of all words, where each text's begin) of blocks of texts."""
     bodies = list(text_bytes(column))
     for a, b in chunks(np.array([len(x) for x in bodies]), BLOCK):
-        each = [words.of(x)[:, 0] for x in bodies[a:b]]
-        yield a, b, np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+        (h,), at = words(bodies[a:b], 1)
+        yield a, b, h, at
 
 
 def unigrams(docs: DataFrame, hot_share: float = HOT_SHARE) -> DataFrame:
@@ -62,7 +62,6 @@ def unigrams(docs: DataFrame, hot_share: float = HOT_SHARE) -> DataFrame:
     """
 
     def run(batches):
-        words = Words()
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged():
@@ -74,7 +73,7 @@ def unigrams(docs: DataFrame, hot_share: float = HOT_SHARE) -> DataFrame:
             return pa.record_batch([pa.array(w.view(np.int64)), follows, pa.array(n)], names=["word", "after", "n"])
 
         for batch in batches:
-            for _, _, h, at in _blocks(batch.column(0), words):
+            for _, _, h, at in _blocks(batch.column(0)):
                 held.append(np.unique(h, return_counts=True))
                 if len(h) > 1:
                     inside = np.ones(len(h), dtype=bool)
@@ -100,9 +99,9 @@ def hot_bigrams(docs: DataFrame, vocabulary, hot: np.ndarray) -> dict[int, int]:
 
     def run(batches):
         vocab = vocabulary.value[0]
-        words, total = Words(), np.zeros(len(hot), np.int64)
+        total = np.zeros(len(hot), np.int64)
         for batch in batches:
-            for _, _, h, at in _blocks(batch.column(0), words):
+            for _, _, h, at in _blocks(batch.column(0)):
                 if len(h):
                     _, ids, before, _ = _pairs(h, at, vocab)
                     place, known = _among((before << _BITS) | ids, hot)
@@ -184,10 +183,9 @@ def bigrams(docs: DataFrame, vocabulary, hot, rule: Rule, buckets: int) -> DataF
         vocab, count = vocabulary.value
         hot_keys, hot_seen = hot.value
         unknown, start = len(vocab), len(vocab) + 1
-        words = Words()
         for batch in batches:
             who = batch.column(0).to_pylist()
-            for a, b, h, at in _blocks(batch.column(1), words):
+            for a, b, h, at in _blocks(batch.column(1)):
                 if not len(h):
                     continue
                 doc, ids, before, last = _pairs(h, at, vocab)
@@ -224,9 +222,9 @@ def rare_bigrams(docs: DataFrame, vocabulary) -> DataFrame:
     """(doc_id, v, w, n): the distinct bigrams of two rare words, as fingerprints."""
 
     def run(batches):
-        vocab, words = vocabulary.value[0], Words()
+        vocab = vocabulary.value[0]
         for batch in batches:
-            for a, _, h, at in _blocks(batch.column(1), words):
+            for a, _, h, at in _blocks(batch.column(1)):
                 if not len(h):
                     continue
                 doc, ids, before, last = _pairs(h, at, vocab)

@@ -1,21 +1,29 @@
-"""Strong fingerprints of words and shingles.
-
-A word is a run of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased.  Its
-fingerprint is 128 bits of keyed BLAKE2b, kept in a table of bounded size, so texts
-built to collide under a rolling hash do not.  Shingles are linear combinations of
-their words' fingerprints, mixed; sums of 128 independent bits stay 128 bits.
+"""Strong fingerprints of words and shingles, over blocks of texts at once.
+
+A word is a run of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased.  Its bytes are read
+eight at a time, each eight are mixed into the state of two lanes with keys of their own, and
+the length is mixed in last.  Every step is a bijection of the state that is not linear, so
+texts built to collide under a rolling hash do not.  Very long words are digested by BLAKE2b.
+Shingles are linear combinations of their words' fingerprints, mixed again; sums of 128 independent bits
+stay 128 bits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
 
 U = np.uint64
-_KEY = b"words and shingles"
-#: Words kept ready in each worker, about; a single text may add its own on top.
-KEPT = 1 << 18
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[32, *range(9, 14)]] = True
+_KEY = [U(0x243F6A8885A308D3), U(0x13198A2E03707344)]
+_MASK = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [2**64 - 1], dtype=np.uint64)
+#: Bytes from which on a word is digested alone.
+LONG = 512
+#: Bytes of text hashed at once, about.
+BLOCK = 1_000_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -27,28 +35,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-class Words(dict):
-    """Word to its row in ``table``, two lanes of 64 bits each; unknown words are hashed when first met."""
-
-    def __init__(self):
-        super().__init__()
-        self.table = np.empty((1 << 12, 2), np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        n = len(self)
-        if n == len(self.table):
-            self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        self.table[n] = np.frombuffer(blake2b(word, digest_size=16, key=_KEY).digest(), np.uint64)
-        self[word] = n
-        return n
-
-    def of(self, text: bytes) -> np.ndarray:
-        """(words x 2) fingerprints of a text's words in order."""
-        if len(self) > KEPT:
-            self.clear()
-        words = text.lower().split()  # bytes: A-Z only, and exactly the six white-space bytes
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.table[at]
+def words(texts: list[bytes], lanes: int = 2) -> tuple[list[np.ndarray], np.ndarray]:
+    """The lanes of all words of some texts, and where each text's words begin (len(texts) + 1 offsets)."""
+    joined = b" ".join(texts).lower() + b" " * 9  # bytes: A-Z only
+    block = np.frombuffer(joined, dtype=np.uint8)
+    lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+    offset = np.concatenate([[0], np.cumsum(lengths)])
+    inside = ~SPACE[block]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        edge = np.concatenate([[0], edge])
+    starts, size = edge[::2], edge[1::2] - edge[::2]
+    eights = np.ndarray(len(block) - 7, "<u8", joined, strides=(1,))  # the eight bytes from each place on
+    state = [np.full(len(starts), k) for k in _KEY[:lanes]]
+    open_, at = np.flatnonzero(size < LONG), 0
+    while len(open_):
+        left = size[open_] - at
+        w = eights[starts[open_] + at] & _MASK[np.minimum(left, 8)]
+        for lane, h in enumerate(state):
+            if len(open_) == len(h):
+                state[lane] = mix((h ^ w) + _KEY[lane])
+            else:
+                h[open_] = mix((h[open_] ^ w) + _KEY[lane])
+        at += 8
+        open_ = open_[left > 8]
+    out = [mix(h + size.astype(np.uint64)) for h in state]
+    for i in np.flatnonzero(size >= LONG):
+        digest = np.frombuffer(blake2b(joined[starts[i] : starts[i] + size[i]], digest_size=16, key=b"words").digest(), np.uint64)
+        for lane, h in enumerate(out):
+            h[i] = digest[lane]
+    return out, np.searchsorted(starts, offset)
 
 
 _STEP = [
@@ -57,26 +73,34 @@ _STEP = [
 ]
 
 
-def shingles(words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two lanes of one text's distinct k-word shingles, rising in the first; of all words if fewer."""
-    n = len(words)
-    if n == 0:
-        return words[:, 0], words[:, 1]
-    width = min(n, k)
-    lanes = []
-    for lane in range(2):
-        h = words[:, lane]
-        s = h[: n - width + 1] * _STEP[lane][0]
-        for j in range(1, width):
-            s = s + h[j : n - width + 1 + j] * _STEP[lane][j]
-        lanes.append(mix(s + U(width)))
-    a, b = lanes
-    order = np.argsort(a, kind="stable")
-    a, b = a[order], b[order]
-    same = a[1:] == a[:-1]
-    if (same & (b[1:] != b[:-1])).any():  # one lane alone agrees
-        order = np.lexsort((b, a))
+def _windows(h: np.ndarray, lane: int, k: int) -> np.ndarray:
+    s = h[: len(h) - k + 1] * _STEP[lane][0]
+    for j in range(1, k):
+        s = s + h[j : len(h) - k + 1 + j] * _STEP[lane][j]
+    return mix(s + U(k))
+
+
+def shingles(texts: list[bytes], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The two lanes of each text's distinct k-word shingles, rising in the first; of all words if fewer."""
+    lanes, at = words(texts)
+    whole = [_windows(h, lane, k) if len(h) >= k else h[:0] for lane, h in enumerate(lanes)]
+    for first, last in zip(at[:-1].tolist(), at[1:].tolist()):
+        n = last - first
+        if n == 0:
+            yield lanes[0][:0], lanes[1][:0]
+            continue
+        if n < k:
+            yield tuple(_windows(h[first:last], lane, n) for lane, h in enumerate(lanes))
+            continue
+        a, b = whole[0][first : last - k + 1], whole[1][first : last - k + 1]
+        order = np.argsort(a)
         a, b = a[order], b[order]
-        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-    new = np.concatenate([[True], ~same])
-    return a[new], b[new]
+        same = a[1:] == a[:-1]
+        if same.any():
+            if (b[1:][same] != b[:-1][same]).any():  # one lane alone agrees
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+            new = np.concatenate([[True], ~same])
+            a, b = a[new], b[new]
+        yield a, b
