@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.numbering import ROWS, blocks_for, number, running, value_block
+
 
 def long_table(df: DataFrame, row_id: str, features: list[str], target: str, keep: list[str] | None = None) -> DataFrame:
     """(row_id, *keep, feature, x, y): one row per row and feature, x double."""
@@ -20,7 +20,7 @@ def long_table(df: DataFrame, row_id: str, features: list[str], target: str, kee
 def encode_labels(df: DataFrame, label: str, out: str = "label_id") -> DataFrame:
     """Labels to 0..K-1 in sorted order; the mapping is a small distinct table joined back."""
     codes = df.select(F.col(label).alias("_l")).distinct().withColumn(out, F.dense_rank().over(Window.orderBy("_l")) - 1)
-    return df.join(F.broadcast(codes), F.col(label) == F.col("_l")).drop("_l")
+    return df.join(codes, F.col(label) == F.col("_l")).drop("_l")
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -48,91 +48,189 @@ def pearson(long: DataFrame, standardize: bool = True, by: list[str] | None = No
     return t.select(*by, "feature", value.alias("pearson" if standardize else "covariance"))
 
 
-def _mean_products(x: np.ndarray, y: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray, float]:
-    """Row means of |x-x'| and |y-y'|, and the mean of their products; blocks bound the memory."""
-    a, b, ab = np.empty(len(x)), np.empty(len(x)), 0.0
+def _products(x: np.ndarray, y: np.ndarray, block: int = 1024) -> float:
+    """The sum over all pairs of |x - x'| |y - y'|; blocks bound the memory."""
+    total = 0.0
     for i in range(0, len(x), block):
-        dx, dy = np.abs(x[i : i + block, None] - x), np.abs(y[i : i + block, None] - y)
-        a[i : i + block], b[i : i + block] = dx.mean(1), dy.mean(1)
-        ab += float((dx * dy).sum())
-    return a, b, ab / len(x) ** 2
-
-
-def dcov2(x: np.ndarray, y: np.ndarray) -> float:
-    """Squared distance covariance: E[ab] - 2 E[a. b.] + a.. b.."""
-    a, b, ab = _mean_products(x, y)
-    return ab - 2 * float((a * b).mean()) + float(a.mean() * b.mean())
-
-
-def distance_correlation(long: DataFrame) -> DataFrame:
-    """Distance correlation of x and numeric y per feature: a kernel per feature."""
-
-    def one(key, g: pd.DataFrame) -> pd.DataFrame:
-        x, y = g["x"].to_numpy(float), g["y"].to_numpy(float)
-        bottom = math.sqrt(max(0.0, dcov2(x, x)) * max(0.0, dcov2(y, y)))
-        value = math.sqrt(max(0.0, dcov2(x, y)) / bottom) if bottom > 1e-15 else 0.0
-        return pd.DataFrame({"feature": [key[0]], "dcor": [value]})
-
-    return long.select("feature", "x", F.col("y").cast("double").alias("y")).groupBy("feature").applyInPandas(one, "feature string, dcor double")
-
-
-def digamma(x: np.ndarray) -> np.ndarray:
-    x = np.asarray(x, float).copy()
-    out = np.zeros_like(x)
-    while (low := x < 8).any():
-        out[low] -= 1 / x[low]
-        x[low] += 1
-    r = 1 / (x * x)
-    return out + np.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r / 252))
-
-
-def mutual_information(long: DataFrame, neighbours: int = 3) -> DataFrame:
-    """Mutual information of continuous x and a class, by nearest neighbours in x; 0 at least."""
-
-    def one(key, g: pd.DataFrame) -> pd.DataFrame:
-        x = g["x"].to_numpy(float)
-        order, radius, ks, ns = np.sort(x), [], [], []
-        for _, c in g.groupby("y"):
-            v = np.sort(c["x"].to_numpy(float))
-            if len(v) < 2:
-                continue
-            k = min(neighbours, len(v) - 1)
-            padded = np.concatenate([np.full(k, -np.inf), v, np.full(k, np.inf)])
-            near = np.sort(np.abs(np.stack([padded[k + s : k + s + len(v)] for s in range(-k, k + 1) if s]) - v), axis=0)[k - 1]
-            radius.append(np.stack([v, near]))
-            ks.append(np.full(len(v), k))
-            ns.append(np.full(len(v), len(v)))
-        if not radius:
-            return pd.DataFrame({"feature": [key[0]], "mi": [0.0]})
-        v, near = np.concatenate(radius, axis=1)
-        near = np.nextafter(near, 0)
-        m = np.searchsorted(order, v + near, "right") - np.searchsorted(order, v - near, "left")
-        mi = digamma(np.array([len(v)]))[0] + digamma(np.concatenate(ks)).mean() - digamma(np.concatenate(ns)).mean() - digamma(np.maximum(m, 1)).mean()
-        return pd.DataFrame({"feature": [key[0]], "mi": [max(0.0, float(mi))]})
-
-    return long.select("feature", "x", "y").groupBy("feature").applyInPandas(one, "feature string, mi double")
+        total += float((np.abs(x[i : i + block, None] - x) * np.abs(y[i : i + block, None] - y)).sum())
+    return total
+
+
+#: Rows of a feature that meet in one task, in the pairwise sums of distance correlation and in random waves.
+KERNEL_ROWS = 8192
+
+
+def _distances(rows: DataFrame, keys: list[str], c: str, blocks: int) -> DataFrame:
+    """``rows`` (*keys, row_id, ...) with ``r_c``, the place of c in its group, and ``d_c``, the sum of its distances from all values of the group."""
+    at = value_block(rows, c, blocks)
+    t = number(rows, keys, [c, "row_id"], at, blocks, f"r_{c}")
+    t = running(t, keys, [c, "row_id"], {"_p": F.col(c)}, at, blocks)
+    group = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum(c).alias("_s"))
+    far = F.col(c) * (2 * F.col(f"r_{c}") - F.col("_n")) + F.col("_s") - 2 * F.col("_p")
+    return t.join(group, keys).withColumn(f"d_{c}", far).drop("_p", "_n", "_s")
+
+
+def _cross(t: DataFrame, keys: list[str], kernel_rows: int, blocks: int) -> DataFrame:
+    """(*keys, xy): the sum over all ordered pairs of a group of |x - x'| |y - y'|.
+
+    Pairs inside a stretch of ``kernel_rows`` places of x meet in one task.  Others part at one level of a binary tree
+    of stretches, where the left ones' running sums in order of y give each right row its share.
+    """
+
+    def inside(key, g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, "xy": [_products(g["x"].to_numpy(float), g["y"].to_numpy(float))]})
+
+    place = F.col("r_x") - 1
+    kinds = dict(t.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "xy double"])
+    parts = t.withColumn("_stretch", F.floor(place / kernel_rows)).groupBy(*keys, "_stretch").applyInPandas(inside, schema)
+    most = t.agg(F.max("r_x").alias("m")).first()["m"] or 0
+    width = kernel_rows
+    while width < most:
+        side = t.withColumn("_pair", F.floor(place / (2 * width))).withColumn("_left", (F.floor(place / width) % 2 == 0).cast("double"))
+        sums = {"_c": F.col("_left"), "_x": F.col("_left") * F.col("x"), "_y": F.col("_left") * F.col("y"), "_xy": F.col("_left") * F.col("x") * F.col("y")}
+        run = running(side, [*keys, "_pair"], ["r_y"], sums, value_block(side, "r_y", blocks), blocks)
+        total = side.groupBy(*keys, "_pair").agg(*(F.sum(v).alias(f"t{k}") for k, v in sums.items()))
+        x, y = F.col("x"), F.col("y")
+        below = x * y * F.col("_c") - x * F.col("_y") - y * F.col("_x") + F.col("_xy")
+        above = x * (F.col("t_y") - F.col("_y")) - x * y * (F.col("t_c") - F.col("_c")) - (F.col("t_xy") - F.col("_xy")) + y * (F.col("t_x") - F.col("_x"))
+        parts = parts.unionByName(run.where("_left = 0").join(total, [*keys, "_pair"]).select(*keys, (2 * (below + above)).alias("xy")))
+        width *= 2
+    return parts.groupBy(*keys).agg(F.sum("xy").alias("xy"))
+
+
+def distance_correlation(long: DataFrame, by: list[str] | None = None, standardize: bool = True, kernel_rows: int = KERNEL_ROWS) -> DataFrame:
+    """Distance correlation, or covariance, of x and numeric y per feature.
+
+    Row means come from running sums along the sorted values, the mean product from :func:`_cross`; no task holds a feature.
+    """
+    keys = [*(by or []), "feature"]
+    rows = long.select(*keys, "row_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    blocks = blocks_for(rows)
+    t = _distances(_distances(rows, keys, "x", blocks), keys, "y", blocks)
+    cross = _cross(t, keys, kernel_rows, blocks)
+    a, b = F.col("d_x"), F.col("d_y")
+    m = t.groupBy(*keys).agg(F.count("*").cast("double").alias("n"), F.sum(a).alias("a"), F.sum(b).alias("b"), F.sum(a * b).alias("ab"), F.sum(a * a).alias("aa"), F.sum(b * b).alias("bb"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
+    n = F.col("n")
+
+    def square(products: Column, p: str, q: str, pq: str) -> Column:
+        return products - 2 * F.col(pq) / (n * n * n) + F.col(p) * F.col(q) / (n * n * n * n)
+
+    xy = square(F.col("xy") / (n * n), "a", "b", "ab")
+    if not standardize:
+        return m.join(cross, keys).select(*keys, F.sqrt(F.greatest(F.lit(0.0), xy)).alias("dcov"))
+    xx, yy = square(2 * F.col("vx"), "a", "a", "aa"), square(2 * F.col("vy"), "b", "b", "bb")
+    bottom = F.sqrt(F.greatest(F.lit(0.0), xx) * F.greatest(F.lit(0.0), yy))
+    value = F.when(bottom > 1e-15, F.sqrt(F.greatest(F.lit(0.0), F.try_divide(xy, bottom)))).otherwise(0.0)
+    return m.join(cross, keys).select(*keys, value.alias("dcor"))
+
+
+def digamma(x: Column) -> Column:
+    """The digamma function of a number from 1 on: its asymptotic series eight steps up."""
+    up = x + 8.0
+    r = 1.0 / (up * up)
+    steps = sum((1.0 / (x + float(i)) for i in range(8)), F.lit(0.0))
+    return F.log(up) - 0.5 / up - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r / 240))) - steps
+
+
+def mutual_information(long: DataFrame, neighbours: int = 3, by: list[str] | None = None) -> DataFrame:
+    """Mutual information of continuous x and a class, by nearest neighbours in x; 0 at least.
+
+    A row's neighbours of its class are the rows a few places before and behind it; how many rows of any class are
+    nearer than the last of them is the difference of two running counts.
+    """
+    keys = [*(by or []), "feature"]
+    rows = long.select(*keys, "y", "row_id", F.col("x").cast("double").alias("x"))
+    sizes = rows.groupBy(*keys, "y").agg(F.count("*").alias("nc")).where("nc > 1")
+    rows = rows.join(sizes, [*keys, "y"])
+    blocks = blocks_for(rows)
+    placed = number(rows, [*keys, "y"], ["x", "row_id"], value_block(rows, "x", blocks), blocks, "r")
+    placed = placed.withColumn("k", F.least(F.lit(neighbours).cast("long"), F.col("nc") - 1))
+    steps = F.array(*(F.lit(s).cast("long") for s in range(-neighbours, neighbours + 1) if s))
+    shifted = placed.select(*keys, "y", F.explode(steps).alias("s"), "r", F.col("x").alias("nx")).select(*keys, "y", (F.col("r") + F.col("s")).alias("r"), "nx")
+    pairs = placed.join(shifted, [*keys, "y", "r"])
+    near = pairs.groupBy(*keys, "y", "r").agg(F.first("x").alias("x"), F.first("k").alias("k"), F.first("nc").alias("nc"), F.sort_array(F.collect_list(F.abs(F.col("nx") - F.col("x")))).alias("d"))
+    d = F.element_at("d", F.col("k").cast("int")) * (1 - 1e-10)  # nearer than the last neighbour
+    near = near.select(*keys, "y", "r", "k", "nc", (F.col("x") - d).alias("low"), (F.col("x") + d).alias("high"))
+    lows = near.select(*keys, "y", "r", F.col("low").alias("v"), F.lit(0).alias("kind"), F.lit(0).alias("one"))
+    points = rows.select(*keys, "y", F.lit(None).cast("long").alias("r"), F.col("x").alias("v"), F.lit(1).alias("kind"), F.lit(1).alias("one"))
+    highs = near.select(*keys, "y", "r", F.col("high").alias("v"), F.lit(2).alias("kind"), F.lit(0).alias("one"))
+    line = lows.unionByName(points).unionByName(highs)
+    counted = running(line, keys, ["v", "kind"], {"c": F.col("one")}, value_block(line, "v", blocks), blocks).where("kind <> 1")
+    m = counted.groupBy(*keys, "y", "r").agg(F.sum(F.when(F.col("kind") == 2, F.col("c")).otherwise(-F.col("c"))).alias("m"))
+    t = near.join(m, [*keys, "y", "r"]).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(digamma(F.col("k"))).alias("pk"), F.avg(digamma(F.col("nc"))).alias("pc"), F.avg(digamma(F.greatest(F.col("m"), F.lit(1)))).alias("pm"))
+    value = F.greatest(F.lit(0.0), digamma(F.col("n")) + F.col("pk") - F.col("pc") - F.col("pm"))
+    every = long.select(*keys).distinct()
+    return every.join(t.select(*keys, value.alias("mi")), keys, "left").select(*keys, F.coalesce("mi", F.lit(0.0)).alias("mi"))
 
 
 def _weights(k: int, s: float, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).normal(0.0, s, (k, 2))
 
 
-def rdc(long: DataFrame, k: int = 10, s: float = 1 / 6, seed: int = 42) -> DataFrame:
-    """Randomised dependence of x and numeric y: the largest absolute correlation between random waves of their ordinal ranks."""
-    w = Window.partitionBy("feature")
-    n = F.count("*").over(w)
-    ranked = long.select("feature", (F.row_number().over(w.orderBy("x", "row_id")) / n).alias("u"), (F.row_number().over(w.orderBy("y", "row_id")) / n).alias("v"), n.alias("n"), (F.max("x").over(w) > F.min("x").over(w)).alias("varies"))
-
-    def waves(c: str, seed: int) -> list[Column]:
-        return [f(F.col(c) * float(a) + float(b)) for a, b in _weights(k, s, seed) for f in (F.cos, F.sin)]
-
-    left, right = waves("u", seed), waves("v", seed + 1000)
-    wide = ranked.select("feature", "n", "varies", *(c.alias(f"a{i}") for i, c in enumerate(left)), *(c.alias(f"b{i}") for i, c in enumerate(right)))
-    pairs = [(i, j) for i in range(2 * k) for j in range(2 * k)]
-    aggs = [F.avg(f"{c}{i}").alias(f"m{c}{i}") for c in "ab" for i in range(2 * k)] + [F.var_pop(f"{c}{i}").alias(f"v{c}{i}") for c in "ab" for i in range(2 * k)] + [F.avg(F.col(f"a{i}") * F.col(f"b{j}")).alias(f"p{i}_{j}") for i, j in pairs]
-    t = wide.groupBy("feature").agg(F.min("n").alias("n"), F.max("varies").alias("varies"), *aggs)
-    best = F.array_max(F.array(*(_ratio(F.abs(F.col(f"p{i}_{j}") - F.col(f"ma{i}") * F.col(f"mb{j}")), F.sqrt(F.col(f"va{i}") * F.col(f"vb{j}"))) for i, j in pairs)))
-    return t.select("feature", F.when((F.col("n") >= 3) & F.col("varies"), F.least(best, F.lit(1.0))).otherwise(0.0).alias("rdc"))
+def ordinal(rows: DataFrame, keys: list[str], column: str, out: str, blocks: int) -> DataFrame:
+    """``rows`` with the empirical distribution function of a column at each row: ordinal places over n, ties by row_id."""
+    placed = number(rows, keys, [column, "row_id"], value_block(rows, column, blocks), blocks, "_r")
+    n = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return placed.join(n, keys).withColumn(out, F.col("_r") / F.col("_n")).drop("_r", "_n")
+
+
+def waves(v: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The random features of places v: cosines and sines of v w0 + w1."""
+    at = np.outer(v, weights[:, 0]) + weights[:, 1]
+    return np.concatenate([np.cos(at), np.sin(at)], axis=1)
+
+
+def rdc(long: DataFrame, k: int = 10, s: float = 1 / 6, seed: int = 42, by: list[str] | None = None, task: str = "regression") -> DataFrame:
+    """Randomised dependence of x and y: the largest absolute correlation between random waves of their ordinal places.
+
+    ``classification`` takes classes: two as their number, more as the largest over one class against the others.
+    Products are summed over stretches of rows; what leaves a task is one vector of fixed length.
+    """
+    keys = [*(by or []), "feature"]
+    rows = long.select(*keys, "row_id", F.col("x").cast("double").alias("x"), "y")
+    if task == "classification":
+        classes = sorted(r[0] for r in rows.select("y").distinct().collect())
+        if len(classes) > 2:
+            each = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.lit(c).alias("y")) for i, c in enumerate(classes))))
+            rows = rows.withColumn("_e", each).withColumn("y", (F.col("y") == F.col("_e.y")).cast("double")).withColumn("_c", F.col("_e.c"))
+        else:
+            rows = rows.withColumn("y", (F.col("y") == F.lit(classes[-1] if classes else 0)).cast("double")).withColumn("_c", F.lit(0))
+    else:
+        rows = rows.withColumn("y", F.col("y").cast("double")).withColumn("_c", F.lit(0))
+    keyed = [*keys, "_c"]
+    rows = rows.select(*keyed, "row_id", "x", "y")
+    blocks = blocks_for(rows)
+    both = ordinal(ordinal(rows, keyed, "x", "u", blocks), keyed, "y", "v", blocks)
+    fixed = rows.groupBy(*keyed).agg(F.count("*").alias("_n"), ((F.max("x") > F.min("x")) & (F.max("y") > F.min("y"))).alias("_varies"))
+
+    def sums(key, g: pd.DataFrame) -> pd.DataFrame:
+        c = int(key[len(keyed) - 1])
+        a, b = waves(g["u"].to_numpy(float), _weights(k, s, seed + c)), waves(g["v"].to_numpy(float), _weights(k, s, seed + c + 1000))
+        total = np.concatenate([a.sum(0), b.sum(0), (a * a).sum(0), (b * b).sum(0), (a.T @ b).ravel()])
+        return pd.DataFrame({**{name: [v] for name, v in zip(keyed, key)}, "sums": [total.tolist()]})
+
+    kinds = dict(both.dtypes)
+    named = ", ".join(f"`{c}` {kinds[c]}" for c in keyed)
+    part = both.withColumn("_stretch", F.pmod(F.xxhash64("row_id"), F.lit(max(1, -(-blocks * ROWS // KERNEL_ROWS)) if blocks > 1 else 1)))
+    part = part.groupBy(*keyed, "_stretch").applyInPandas(sums, f"{named}, sums array<double>")
+    summed = part.select(*keyed, F.posexplode("sums").alias("pos", "v")).groupBy(*keyed, "pos").agg(F.sum("v").alias("v"))
+    gathered = summed.groupBy(*keyed).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("_s")).join(fixed, keyed)
+
+    @F.pandas_udf("double")
+    def best(vectors: pd.Series, n: pd.Series) -> pd.Series:
+        out = []
+        for v, m in zip(vectors, n):
+            v, w = np.asarray(v, float), 2 * k
+            ma, mb, qa, qb = (v[i * w : (i + 1) * w] / m for i in range(4))
+            products = v[4 * w :].reshape(w, w) - m * np.outer(ma, mb)
+            # columns that do not vary are left as they are, centred
+            sa, sb = (np.where(m * (q - c * c) > 1e-10, np.sqrt(np.maximum(m * (q - c * c), 1e-300)), 1.0) for q, c in ((qa, ma), (qb, mb)))
+            out.append(min(1.0, float(np.abs(products / np.outer(sa, sb)).max())))
+        return pd.Series(out)
+
+    value = F.when((F.col("_n") >= 3) & F.col("_varies"), best(F.transform("_s", lambda p: p["v"]), F.col("_n"))).otherwise(0.0)
+    return gathered.withColumn("rdc", value).groupBy(*keys).agg(F.max("rdc").alias("rdc"))
 
 
 def strongest(*scores: DataFrame) -> DataFrame:

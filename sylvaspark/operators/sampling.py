@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .numbering import blocks_for, number, value_block
+from .numbering import blocks_for, digest_block, number, value_block
 
 
 def apportion(df: DataFrame, weight: str, total: int, order: str, out: str = "allocated") -> DataFrame:
@@ -23,29 +23,44 @@ def _hash(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def bootstrap(rows: DataFrame, row_id: str, trees: int, seed: int, label: str | None = None, kind: str = "classic") -> DataFrame:
+def bootstrap(rows: DataFrame, row_id: str, trees: int, seed: int, label: str | None = None, kind: str = "classic", max_samples: int | None = None) -> DataFrame:
     """(tree_id, draw, row_id): samples with replacement.
 
     ``classic`` over all rows, ``stratified`` per class, ``undersample`` as many per class as the least,
     ``oversample`` class counts that differ by one at most and sum to the number of rows.
+
+    ``max_samples`` caps a tree's sample.  A capped stratum keeps the draws that are first in hash order: ``classic`` that many,
+    ``stratified`` its share by largest remainder, ``undersample`` and ``oversample`` shares as equal as possible.
     """
     group = [F.col(label).alias("_g")] if label and kind != "classic" else [F.lit(0).alias("_g")]
     base = rows.select(F.col(row_id).alias("row_id"), *group)
     blocks = blocks_for(base)
     base = number(base, ["_g"], ["row_id"], value_block(base, "row_id", blocks), blocks, "_i")
     sizes = base.groupBy("_g").agg(F.count("*").alias("_n"))
-    every = Window.partitionBy(F.lit(1))
+    every = Window.partitionBy(F.lit(1))  # a row per class
+    k, place = F.count("*").over(every), F.row_number().over(Window.orderBy("_g"))
+    even = lambda total: F.floor(total / k) + (place <= total % k).cast("int")
     if kind in ("classic", "stratified"):
         sizes = sizes.withColumn("_m", F.col("_n"))
     elif kind == "undersample":
         sizes = sizes.withColumn("_m", F.min("_n").over(every))
     elif kind == "oversample":
-        k, n = F.count("*").over(every), F.sum("_n").over(every)
-        sizes = sizes.withColumn("_m", F.floor(n / k) + (F.row_number().over(Window.orderBy("_g")) <= n % k).cast("int"))
+        sizes = sizes.withColumn("_m", even(F.sum("_n").over(every) if max_samples is None else F.lit(max_samples)))
     else:
         raise ValueError(f"unknown sampling method {kind!r}")
-    spread = sizes.select("_g", "_n", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree_id"), F.col("_m").cast("long").alias("_m"))
-    spread = spread.where("_m > 0").select("_g", "_n", "tree_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m"))).alias("draw"))
+    sizes = sizes.withColumn("_keep", F.col("_m"))
+    if max_samples is not None and kind != "oversample":
+        if kind == "stratified":
+            sizes = apportion(sizes, "_m", max_samples, "_g", "_share")
+        else:
+            sizes = sizes.withColumn("_share", even(F.lit(max_samples)))
+        sizes = sizes.withColumn("_keep", F.when(F.sum("_m").over(every) > max_samples, F.least("_m", "_share")).otherwise(F.col("_m"))).drop("_share")
+    spread = sizes.select("_g", "_n", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree_id"), F.col("_m").cast("long").alias("_m"), F.col("_keep").cast("long").alias("_keep"))
+    spread = spread.where("_m > 0 AND _keep > 0").select("_g", "_n", "tree_id", "_m", "_keep", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m"))).alias("draw"))
+    if max_samples is not None:
+        order = F.md5(F.concat_ws("|", F.lit(f"{seed}|k"), F.col("tree_id").cast("string"), F.col("_g").cast("string"), F.col("draw").cast("string")))
+        spread = spread.withColumn("_d", order)
+        spread = number(spread, ["tree_id", "_g"], ["_d", "draw"], digest_block(F.col("_d"), blocks), blocks, "_r").where(F.col("_r") <= F.col("_keep"))
     drawn = spread.withColumn("_i", _hash(seed, F.col("tree_id"), F.col("_g"), F.col("draw")) % F.col("_n") + 1)
     return drawn.join(base, ["_g", "_i"]).select("tree_id", F.col("_g").alias("stratum"), "draw", "row_id")
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import blocks_for, following, running, value_block
+
 
 def midpoints(long: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(*by, feature, threshold): midpoints of neighbouring distinct values."""
     by = by or []
     v = long.select(*by, "feature", "x").distinct()
-    nxt = F.lead("x").over(Window.partitionBy(*by, "feature").orderBy("x"))
-    return v.withColumn("next", nxt).where("next IS NOT NULL").select(*by, "feature", ((F.col("x") + F.col("next")) / 2).alias("threshold"))
+    blocks = blocks_for(long)
+    v = following(v, [*by, "feature"], "x", value_block(long, "x", blocks), blocks, "next")
+    return v.where("next IS NOT NULL").select(*by, "feature", ((F.col("x") + F.col("next")) / 2).alias("threshold"))
 
 
 def thresholds(long: DataFrame, method: str = "exact", most: int = 256, seed: int = 0, by: list[str] | None = None) -> DataFrame:
@@ -42,17 +45,24 @@ def thresholds(long: DataFrame, method: str = "exact", most: int = 256, seed: in
 def _class_sweep(long: DataFrame, by: list[str] | None, part, merge) -> DataFrame:
     """Weighted child impurity from a sum of ``part(c)`` over a child's class counts and ``merge(n, sum)``.
 
-    Counts per (feature, value, class) are summed along the values; rows are never copied.
+    Counts per feature and value, a column for each class, are summed along the values in blocks; rows are never copied.
     """
     by = by or []
-    cells = long.groupBy(*by, "feature", "x", "y").agg(F.count("*").alias("c"))
-    total = cells.groupBy(*by, "feature", "y").agg(F.sum("c").alias("ct"))
-    values = cells.select(*by, "feature", "x").distinct()
-    grid = values.join(total, [*by, "feature"]).join(cells, [*by, "feature", "x", "y"], "left")
-    along = Window.partitionBy(*by, "feature", "y").orderBy("x")
-    cum = grid.withColumn("l", F.sum(F.coalesce("c", F.lit(0))).over(along))
-    t = cum.groupBy(*by, "feature", "x").agg(F.sum("l").alias("n_left"), F.sum("ct").alias("n"), F.sum(part(F.col("l"))).alias("ql"), F.sum(part(F.col("ct") - F.col("l"))).alias("qr"))
-    t = t.withColumn("next", F.lead("x").over(Window.partitionBy(*by, "feature").orderBy("x"))).where("next IS NOT NULL")
+    keys = [*by, "feature"]
+    classes = sorted(r[0] for r in long.select("y").distinct().collect())  # a column for each
+    counted = [F.count_if(F.col("y") == F.lit(c)).alias(f"_c{i}") for i, c in enumerate(classes)]
+    cells = long.groupBy(*keys, "x").agg(*counted)
+    blocks = blocks_for(long)
+    at = value_block(long, "x", blocks)
+    cum = running(cells, keys, ["x"], {f"_l{i}": F.col(f"_c{i}") for i in range(len(classes))}, at, blocks)
+    cum = following(cum, keys, "x", at, blocks, "next").where("next IS NOT NULL")
+    total = cells.groupBy(*keys).agg(*(F.sum(f"_c{i}").alias(f"_t{i}") for i in range(len(classes))))
+    t = cum.join(total, keys)
+    over = lambda f: sum((f(i) for i in range(len(classes))), F.lit(0))
+    t = t.withColumns({
+        "n_left": over(lambda i: F.col(f"_l{i}")).cast("long"), "n": over(lambda i: F.col(f"_t{i}")).cast("long"),
+        "ql": over(lambda i: part(F.col(f"_l{i}"))), "qr": over(lambda i: part(F.col(f"_t{i}") - F.col(f"_l{i}"))),
+    })
     n_right = F.col("n") - F.col("n_left")
     impurity = (merge(F.col("n_left"), F.col("ql")) + merge(n_right, F.col("qr"))) / F.col("n")
     return t.select(*by, "feature", ((F.col("x") + F.col("next")) / 2).alias("threshold"), "n_left", n_right.alias("n_right"), impurity.alias("impurity"))
@@ -94,11 +104,12 @@ def mse_sweep(long: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or []
     y = F.col("y").cast("double")
     v = long.groupBy(*by, "feature", "x").agg(F.count("*").alias("c"), F.sum(y).alias("s"), F.sum(y * y).alias("q"))
-    w = Window.partitionBy(*by, "feature")
-    along = w.orderBy("x")
-    everything = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    t = v.select(*by, "feature", "x", *(F.sum(c).over(along).alias(f"{c}l") for c in "csq"), *(F.sum(c).over(everything).alias(f"{c}t") for c in "csq"), F.lead("x").over(along).alias("next"))
-    t = t.where("next IS NOT NULL")
+    keys = [*by, "feature"]
+    blocks = blocks_for(long)
+    at = value_block(long, "x", blocks)
+    t = running(v, keys, ["x"], {f"{c}l": F.col(c) for c in "csq"}, at, blocks)
+    t = following(t, keys, "x", at, blocks, "next").where("next IS NOT NULL")
+    t = t.join(v.groupBy(*keys).agg(*(F.sum(c).alias(f"{c}t") for c in "csq")), keys)
     cr, sr = F.col("ct") - F.col("cl"), F.col("st") - F.col("sl")
     sse = F.col("qt") - F.col("sl") * F.col("sl") / F.col("cl") - sr * sr / cr
     return t.select(*by, "feature", ((F.col("x") + F.col("next")) / 2).alias("threshold"), F.col("cl").alias("n_left"), cr.alias("n_right"), (sse / F.col("ct")).alias("impurity"))

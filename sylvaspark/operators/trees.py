@@ -1,28 +1,36 @@
 """Conditional-inference trees and forests, grown level by level for all trees at once.
 
-Each level is a few grouped aggregates over a long table keyed by (tree_id, node):
-stage A picks a feature by association (and, with ``n_resamples``, a permutation
-p-value under Bonferroni, with ``n_resamples`` for each of a node's features), stage B
-picks a threshold by weighted child impurity (and tests this one threshold by a
-left-tailed permutation p-value, at ``alpha_threshold`` without correction).  Rows are never copied: a level only writes
-each row's next node.  Rows go left iff x <= threshold; a missing x goes right.
+Each level is a few grouped aggregates over a long table keyed by (tree_id, node): stage A picks a feature by
+association, stage B a threshold by weighted child impurity.  With resamples, both are permutation tests: stage A of all
+features of a node, stage B of all thresholds of the chosen feature, each under Bonferroni, with budgets that grow as the
+levels shrink.  With early stopping, tests are taken in order of promise (the strongest feature, the least impure
+threshold first) and end at the first that is accepted; features that fail are muted for the node's descendants.
+
+Rows are never copied: a level only writes each row's next node, to a stage of its own.  Rows go left iff x <= threshold;
+a missing x goes right.  The model (node table, class shares, muted features) is on the driver; rows never are.
 """
 
 from __future__ import annotations
 
+import json
 import math
-from dataclasses import dataclass, field
+import warnings
+from dataclasses import asdict, dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.association import correlation_ratio, pearson
+from ..functions import association
+from ..functions.distributions import budget
 from ..functions.impurity import value_impurity
-from .permutation import SLACK, permutation_test, permuted
+from ..sources.stages import release, stage
+from . import permutation
 from .splits import best_split, bits, entropy_sweep, gini_sweep, mae_sweep, mse_sweep, thresholds
 
 SWEEPS = {"gini": gini_sweep, "entropy": entropy_sweep, "mse": mse_sweep, "mae": mae_sweep}
+SELECTORS = {"classification": ("mc", "mi", "rdc"), "regression": ("pc", "dc", "rdc")}
+_SLACK = 1e-12
 
 
 def feature_count(p: int, most: str | int | float | None) -> int:
@@ -47,21 +55,40 @@ class Node:
     p_feature: float | None = None
     p_threshold: float | None = None
     decrease: float = 0.0
+    parent: int | None = None
+    left: int | None = None
+    right: int | None = None
 
 
 @dataclass
 class TreeParams:
+    """``n_resamples`` is for both stages where their own is not given: a number (times the tests of a node, where levels are
+    corrected), ``minimum``, ``auto`` or ``maximum`` for the corrected level, or None for no tests."""
+
     task: str = "classification"
     trees: int = 1
     max_depth: int = 3
     min_split: int = 2
     min_leaf: int = 1
+    min_decrease: float = 0.0
+    selector: str | tuple[str, ...] | None = None
     alpha_feature: float = 0.05
     alpha_threshold: float = 0.05
-    n_resamples: int | None = None
+    n_resamples: int | str | None = None
+    n_resamples_feature: int | str | None = None
+    n_resamples_threshold: int | str | None = None
+    adjust_feature: bool = True
+    adjust_threshold: bool = True
+    early_stopping: str | None = None
+    confidence: float = 0.95
+    muting: bool = True
+    feature_scanning: bool = True
+    threshold_scanning: bool = True
     max_features: str | int | float | None = None
     threshold_method: str = "exact"
-    max_thresholds: int = 32
+    max_thresholds: int | None = 32
+    honesty: bool = False
+    honesty_fraction: float = 0.5
     seed: int = 0
     criterion: str | None = None
 
@@ -72,12 +99,54 @@ class TreeParams:
         self.criterion = self.criterion or allowed[0]
         if self.criterion not in allowed:
             raise ValueError(f"criterion of {self.task} is one of {', '.join(allowed)}")
+        names = SELECTORS[self.task]
+        self.selector = names[0] if self.selector is None else self.selector
+        chosen = (self.selector,) if isinstance(self.selector, str) else tuple(self.selector)
+        if not chosen or len(set(chosen)) < len(chosen) or not set(chosen) <= set(names):
+            raise ValueError(f"selectors of {self.task} are different ones of {', '.join(names)}")
+        if len(chosen) > 1 and "mi" in chosen:
+            raise ValueError("mi cannot be one of several selectors: its scale differs")
+        self.selector = chosen[0] if len(chosen) == 1 else chosen
         if not (0 < self.alpha_feature <= 1 and 0 < self.alpha_threshold <= 1):
             raise ValueError("alpha is in (0, 1]")
-        if self.n_resamples is not None and self.n_resamples < math.ceil(1 / min(self.alpha_feature, self.alpha_threshold)):
-            raise ValueError("n_resamples must be at least ceil(1 / alpha)")
-        if self.min_split < 2 or self.min_leaf < 1 or self.max_depth < 0:
-            raise ValueError("min_split >= 2, min_leaf >= 1, max_depth >= 0")
+        if not 0.5 < self.confidence < 1 or not 0 < self.honesty_fraction < 1:
+            raise ValueError("confidence is in (0.5, 1) and honesty_fraction in (0, 1)")
+        for alpha, n in ((self.alpha_feature, self.feature_budget), (self.alpha_threshold, self.threshold_budget)):
+            if isinstance(n, str) and n not in ("minimum", "auto", "maximum"):
+                raise ValueError("resamples are a number, minimum, auto or maximum")
+            if isinstance(n, int) and n < math.ceil(1 / alpha):
+                raise ValueError("n_resamples must be at least ceil(1 / alpha)")
+        if self.early_stopping not in (None, "adaptive", "simple"):
+            raise ValueError("early_stopping is adaptive, simple or None")
+        if self.min_split < 2 or self.min_leaf < 1 or self.max_depth < 0 or self.min_decrease < 0:
+            raise ValueError("min_split >= 2, min_leaf >= 1, max_depth >= 0, min_decrease >= 0")
+        for n in (self.max_features, self.max_thresholds):
+            if isinstance(n, bool) or (isinstance(n, float) and not 0 < n <= 1) or (isinstance(n, int) and n < 1):
+                raise ValueError("shares are in (0, 1], numbers at least 1")
+        for message in self.ineffective():
+            warnings.warn(message, stacklevel=3)
+
+    @property
+    def feature_budget(self) -> int | str | None:
+        return self.n_resamples if self.n_resamples_feature is None else self.n_resamples_feature
+
+    @property
+    def threshold_budget(self) -> int | str | None:
+        return self.n_resamples if self.n_resamples_threshold is None else self.n_resamples_threshold
+
+    def ineffective(self) -> list[str]:
+        """Parameters that have no effect beside the others."""
+        default, out = {f.name: f.default for f in self.__dataclass_fields__.values()}, []
+        changed = lambda name: getattr(self, name) != default[name]
+        if self.feature_budget is None and self.threshold_budget is None:
+            out += [f"{x} has no effect without resamples" for x in ("early_stopping", "adjust_feature", "adjust_threshold", "alpha_feature", "alpha_threshold") if changed(x)]
+        elif self.early_stopping is None:
+            out += [f"{x} has no effect without early stopping" for x in ("confidence", "feature_scanning", "threshold_scanning") if changed(x)]
+        if not self.honesty and changed("honesty_fraction"):
+            out.append("honesty_fraction has no effect without honesty")
+        if self.threshold_method == "exact" and changed("max_thresholds") and self.max_thresholds is not None:
+            out.append("max_thresholds has no effect with exact thresholds")
+        return out
 
 
 @dataclass
@@ -87,33 +156,82 @@ class TreeModel:
     classes: list
     nodes: dict[tuple[int, int], Node] = field(default_factory=dict)
 
+    def order(self, tree: int) -> list[int]:
+        """A tree's nodes, each before its children, left before right."""
+        out, stack = [], [1]
+        while stack:
+            node = self.nodes[tree, stack.pop()]
+            out.append(node.node)
+            if node.feature is not None:
+                stack += [node.right, node.left]
+        return out
+
+    def node_ids(self) -> dict[tuple[int, int], int]:
+        """Preorder numbers from 0 of each tree's nodes."""
+        return {(t, n): i for t in range(self.params.trees) for i, n in enumerate(self.order(t))}
+
+    def n_nodes_ptr(self) -> list[int]:
+        """Where each tree's nodes begin when the trees' paths are put side by side, and the number of all."""
+        out = [0]
+        for t in range(self.params.trees):
+            out.append(out[-1] + len(self.order(t)))
+        return out
+
     def table(self, spark: SparkSession) -> DataFrame:
-        """The node table: node numbers are 1 for the root, 2n and 2n + 1 for its children."""
-        rows = [(n.tree_id, n.node, n.node // 2 or None, n.depth, n.feature, n.threshold, n.p_feature, n.p_threshold, n.impurity, n.decrease, n.n, [float(v) for v in n.value]) for n in self.nodes.values()]
-        return spark.createDataFrame(rows, "tree_id int, node long, parent long, depth int, feature string, threshold double, p_feature double, p_threshold double, impurity double, decrease double, n long, value array<double>")
+        """The node table, one row a node."""
+        ids = self.node_ids()
+        rows = [(n.tree_id, n.node, n.parent, ids[n.tree_id, n.node], n.depth, n.feature, n.threshold, n.p_feature, n.p_threshold, n.impurity, n.decrease, n.n, [float(v) for v in n.value], n.left, n.right) for n in self.nodes.values()]
+        return spark.createDataFrame(rows, "tree_id int, node long, parent long, node_id int, depth int, feature string, threshold double, p_feature double, p_threshold double, impurity double, decrease double, n long, value array<double>, left long, right long")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The node table and the parameters as two Parquet tables."""
+        self.table(spark).write.mode("overwrite").parquet(f"{path}/nodes")
+        state = json.dumps({"params": asdict(self.params), "features": self.features, "classes": self.classes})
+        spark.createDataFrame([(state,)], "state string").write.mode("overwrite").parquet(f"{path}/state")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TreeModel:
+        state = json.loads(spark.read.parquet(f"{path}/state").first()["state"])
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            params = TreeParams(**state["params"])
+        model = cls(params, state["features"], state["classes"])
+        for r in spark.read.parquet(f"{path}/nodes").collect():
+            model.nodes[r["tree_id"], r["node"]] = Node(r["tree_id"], r["node"], r["depth"], r["n"], list(r["value"]), r["impurity"], r["feature"], r["threshold"], r["p_feature"], r["p_threshold"], r["decrease"], r["parent"], r["left"], r["right"])
+        return model
 
     def importances(self) -> dict[str, float]:
         total = {f: 0.0 for f in self.features}
-        for n in self.nodes.values():
-            if n.feature:
-                total[n.feature] += n.decrease
+        for t in range(self.params.trees):
+            own = {f: 0.0 for f in self.features}
+            for (tree, _), n in self.nodes.items():
+                if tree == t and n.feature:
+                    own[n.feature] += n.decrease
+            s = sum(own.values())
+            for f, v in own.items():
+                total[f] += v / s if s else 0.0
         s = sum(total.values())
         return {f: v / s if s else 0.0 for f, v in total.items()}
 
-    def _route(self, tree: int, node: int, leaf) -> Column:
+    def _route(self, tree: int, leaf, node: int = 1) -> Column:
         n = self.nodes[tree, node]
         if n.feature is None:
             return leaf(n)
         left = F.coalesce(F.col(n.feature).cast("double"), F.lit(float("nan"))) <= n.threshold
-        return F.when(left, self._route(tree, 2 * node, leaf)).otherwise(self._route(tree, 2 * node + 1, leaf))
+        return F.when(left, self._route(tree, leaf, n.left)).otherwise(self._route(tree, leaf, n.right))
 
     def leaf(self, tree: int = 0) -> Column:
         """The leaf's node number as an expression."""
-        return self._route(tree, 1, lambda n: F.lit(n.node).cast("long"))
+        return self._route(tree, lambda n: F.lit(n.node).cast("long"))
+
+    def apply(self, df: DataFrame, row_id: str) -> DataFrame:
+        """(row_id, tree_id, leaf): the leaf of each row in each tree."""
+        leaves = F.array(*(self.leaf(t) for t in range(self.params.trees)))
+        return df.select(F.col(row_id).alias("row_id"), F.posexplode(leaves).alias("tree_id", "leaf"))
 
     def proba(self) -> Column:
         """Mean leaf value over the trees."""
-        values = [self._route(t, 1, lambda n: F.array(*(F.lit(float(v)) for v in n.value))) for t in range(self.params.trees)]
+        values = [self._route(t, lambda n: F.array(*(F.lit(float(v)) for v in n.value))) for t in range(self.params.trees)]
         out = values[0]
         for v in values[1:]:
             out = F.zip_with(out, v, lambda a, b: a + b)
@@ -126,12 +244,21 @@ class TreeModel:
         p = self.proba()
         return F.element_at(names, F.array_position(p, F.array_max(p)).cast("int"))
 
-    def decision_path(self, df: DataFrame, row_id: str, tree: int = 0) -> DataFrame:
-        """(row_id, node): the nodes that each row visits: the leaf and its halvings."""
-        at = df.select(F.col(row_id).alias("row_id"), self.leaf(tree).alias("leaf"))
-        depth = max(n.depth for n in self.nodes.values())
-        steps = F.filter(F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda i: F.shiftright("leaf", 0) if depth == 0 else F.floor(F.col("leaf") / F.pow(F.lit(2.0), i)).cast("long")), lambda v: v >= 1)
-        return at.select("row_id", F.explode(F.array_distinct(steps)).alias("node"))
+    def _path(self, tree: int, node: int) -> list[int]:
+        out = []
+        at: int | None = node
+        while at is not None:
+            out.append(at)
+            at = self.nodes[tree, at].parent
+        return out[::-1]
+
+    def decision_path(self, df: DataFrame, row_id: str, tree: int | None = 0) -> DataFrame:
+        """(row_id, node): the nodes that each row visits, from the root to its leaf; for all trees (row_id, tree_id, node) with ``tree`` None."""
+        trees = range(self.params.trees) if tree is None else [tree]
+        paths = F.array(*(self._route(t, lambda n: F.array(*(F.lit(v).cast("long") for v in self._path(n.tree_id, n.node)))) for t in trees))
+        rows = df.select(F.col(row_id).alias("row_id"), F.posexplode(paths).alias("tree_id", "path"))
+        rows = rows.select("row_id", "tree_id", F.explode("path").alias("node"))
+        return rows if tree is None else rows.drop("tree_id")
 
 
 def _validate(df: DataFrame, features: list[str], target: str, task: str) -> None:
@@ -144,40 +271,78 @@ def _validate(df: DataFrame, features: list[str], target: str, task: str) -> Non
         raise ValueError("features and numeric targets must be finite")
 
 
+def validate_columns(df: DataFrame, model: TreeModel) -> None:
+    """Rows to predict must have all features of the fit."""
+    missing = [f for f in model.features if f not in df.columns]
+    if missing:
+        raise ValueError(f"missing features: {', '.join(missing)}")
+
+
+def honest_parts(rows: DataFrame, params: TreeParams) -> DataFrame:
+    """``rows`` (tree_id, row_id, ...) with ``estimates``: the share ``honesty_fraction`` of each tree's rows, first by hash, that gives leaves their values."""
+    digest = F.md5(F.concat_ws("|", F.lit(f"{params.seed}|h"), "tree_id", "row_id"))
+    blocks = permutation.blocks_for(rows)
+    placed = permutation.number(rows.withColumn("_d", digest), ["tree_id"], ["_d", "row_id"], permutation.digest_block(F.col("_d"), blocks), blocks, "_i")
+    sizes = rows.groupBy("tree_id").agg(F.ceil(F.count("*") * F.lit(params.honesty_fraction)).alias("_m"))
+    return placed.join(sizes, "tree_id").withColumn("estimates", F.col("_i") <= F.col("_m")).drop("_d", "_i", "_m")
+
+
 def grow(df: DataFrame, row_id: str, features: list[str], target: str, params: TreeParams, sample: DataFrame | None = None) -> TreeModel:
     """Fit ``params.trees`` trees; ``sample`` (tree_id, draw, row_id) gives each tree's rows, else all rows."""
     _validate(df, features, target, params.task)
     spark = df.sparkSession
     clf = params.task == "classification"
-    classes = sorted(r[0] for r in df.select(target).distinct().collect()) if clf else []
+    classes = sorted(r[0] for r in df.select(target).distinct().collect()) if clf else []  # a leaf holds a share of each
     base = df.select(F.col(row_id).alias("_id"), F.col(target).alias("y"), *(F.col(f).cast("double").alias(f) for f in features))
     if sample is None:
         rows = base.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(params.trees - 1)))).withColumn("row_id", F.col("_id").cast("string"))
     else:
         rows = sample.withColumnRenamed("row_id", "_id").join(base, "_id").withColumn("row_id", F.concat_ws(":", *(c for c in ("stratum", "draw") if c in sample.columns)))
-    rows = rows.select("tree_id", "row_id", "y", *features).withColumn("node", F.lit(1).cast("long")).persist()
+    rows = rows.select("tree_id", "row_id", "y", *features)
+    if params.honesty:
+        parted = stage(honest_parts(rows, params), "honest")
+        rows, estimates = parted.where("NOT estimates").drop("estimates"), parted.where("estimates").drop("estimates")
     model = TreeModel(params, list(features), classes)
     by = ["tree_id", "node"]
-    assigned = rows
+    assigned = stage(rows.withColumn("node", F.lit(1).cast("long")), "level")
+    muted: dict[tuple[int, int], frozenset] = {}
+    following = {t: 2 for t in range(params.trees)}
+    fresh = [(t, 1, None) for t in range(params.trees)]
     for depth in range(params.max_depth + 1):
-        _leaves(model, assigned, by, depth, classes, clf)
+        _leaves(model, assigned, by, depth, classes, clf, {(t, n): p for t, n, p in fresh})
         if depth == params.max_depth:
             break
-        open_nodes = [(n.tree_id, n.node) for n in model.nodes.values() if n.depth == depth and n.n >= params.min_split and n.impurity > 1e-12]
+        open_nodes = [(n.tree_id, n.node) for n in model.nodes.values() if n.depth == depth and n.n >= params.min_split and n.impurity > _SLACK]
         if not open_nodes:
             break
-        chosen = _choose(spark, model, assigned, by, open_nodes, features, params, clf)
+        chosen, failed = _choose(spark, model, assigned, by, open_nodes, features, params, clf, muted)
         if not chosen:
             break
-        plan = spark.createDataFrame([(t, n, s[0], s[1]) for (t, n), s in chosen.items()], "tree_id int, node long, feature string, threshold double")
+        fresh, plan = [], []
+        for (t, n), (feature, threshold) in sorted(chosen.items()):
+            node = model.nodes[t, n]
+            node.left, node.right = following[t], following[t] + 1
+            following[t] += 2
+            plan.append((t, n, feature, threshold, node.left, node.right))
+            for child in (node.left, node.right):
+                fresh.append((t, child, n))
+                muted[t, child] = muted.get((t, n), frozenset()) | failed.get((t, n), frozenset())
+        plan = spark.createDataFrame(plan, "tree_id int, node long, feature string, threshold double, _l long, _r long")
         x = F.element_at(F.create_map(*(v for f in features for v in (F.lit(f), F.col(f)))), F.col("feature"))
-        routed = assigned.join(F.broadcast(plan), by)
-        assigned = routed.withColumn("node", F.when(x <= F.col("threshold"), F.col("node") * 2).otherwise(F.col("node") * 2 + 1)).drop("feature", "threshold").persist()
-    rows.unpersist()
+        routed = assigned.join(plan, by)
+        routed = routed.withColumn("node", F.when(x <= F.col("threshold"), F.col("_l")).otherwise(F.col("_r"))).drop("feature", "threshold", "_l", "_r")
+        after = stage(routed, "level")
+        release(assigned)
+        assigned = after
+    release(assigned)
+    if params.honesty:
+        reestimate(model, estimates, "y", None)
+        release(parted)
     return model
 
 
-def _leaves(model: TreeModel, rows: DataFrame, by: list[str], depth: int, classes: list, clf: bool) -> None:
+def _leaves(model: TreeModel, rows: DataFrame, by: list[str], depth: int, classes: list, clf: bool, parents: dict) -> None:
+    """Nodes of a level, from one row per node and class: they are the model, which is on the driver."""
     if clf:
         counts: dict[tuple[int, int], dict] = {}
         for r in rows.groupBy(*by, "y").count().collect():
@@ -186,70 +351,141 @@ def _leaves(model: TreeModel, rows: DataFrame, by: list[str], depth: int, classe
             n = sum(c.values())
             p = [v / n for v in c.values()]
             impurity = 1 - sum(v * v for v in p) if model.params.criterion == "gini" else -sum(v * math.log2(v) for v in p)
-            model.nodes[t, node] = Node(t, node, depth, n, [c.get(k, 0) / n for k in classes], impurity)
+            model.nodes[t, node] = Node(t, node, depth, n, [c.get(k, 0) / n for k in classes], impurity, parent=parents[t, node])
     else:
         stats = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("y").alias("m"), F.var_pop("y").alias("v"))
         if model.params.criterion == "mae":
             stats = stats.drop("v").join(value_impurity(rows, by, "y").select(*by, F.col("mae").alias("v")), by)
         for r in stats.collect():
-            model.nodes[r["tree_id"], r["node"]] = Node(r["tree_id"], r["node"], depth, r["n"], [r["m"]], r["v"])
-
-
-def _choose(spark, model, rows, by, open_nodes, features, params, clf) -> dict:
-    """Stage A and stage B of all open nodes of a level: (tree, node) to (feature, threshold)."""
-    todo = F.broadcast(spark.createDataFrame(open_nodes, "tree_id int, node long"))
+            at = r["tree_id"], r["node"]
+            model.nodes[at] = Node(*at, depth, r["n"], [r["m"]], r["v"], parent=parents[at])
+
+
+def _scores(long: DataFrame, selector: str | tuple, task: str, by: list[str]) -> DataFrame:
+    """(*by, feature, s): the strength of each feature, the largest of several selectors."""
+    parts = []
+    for name in (selector,) if isinstance(selector, str) else selector:
+        if name == "mc":
+            s = association.correlation_ratio(long, by).select(*by, "feature", F.col("eta").alias("s"))
+        elif name == "pc":
+            s = association.pearson(long, True, by).select(*by, "feature", F.abs("pearson").alias("s"))
+        elif name == "mi":
+            s = association.mutual_information(long, by=by).select(*by, "feature", F.col("mi").alias("s"))
+        elif name == "dc":
+            s = association.distance_correlation(long, by).select(*by, "feature", F.col("dcor").alias("s"))
+        else:
+            s = association.rdc(long, by=by, task=task).select(*by, "feature", F.col("rdc").alias("s"))
+        parts.append(s)
+    return parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, parts).groupBy(*by, "feature").agg(F.max("s").alias("s"))
+
+
+def _resamples(kind: int | str, alpha: float, tests: int, adjust: bool) -> tuple[int, float]:
+    """Permutations of one test, and its level, where a node takes ``tests`` of them."""
+    tests = max(1, tests) if adjust else 1
+    return (kind * tests if isinstance(kind, int) else budget(alpha / tests, kind)), alpha / tests
+
+
+def _choose(spark, model, rows, by, open_nodes, features, params, clf, muted) -> tuple[dict, dict]:
+    """Stage A and stage B of all open nodes of a level: (tree, node) to (feature, threshold), and to the features that failed."""
+    todo = spark.createDataFrame(open_nodes, "tree_id int, node long")
     long = rows.join(todo, by).unpivot(["tree_id", "node", "row_id", "y"], features, "feature", "x")
+    gone = [(t, n, f) for t, n in open_nodes for f in muted.get((t, n), ())]
+    if gone:
+        long = long.join(spark.createDataFrame(gone, "tree_id int, node long, feature string"), [*by, "feature"], "left_anti")
     varied = long.groupBy(*by, "feature").agg(F.min("x").alias("a"), F.max("x").alias("z")).where("a < z").select(*by, "feature")
+    left = varied.groupBy(*by).agg(F.count("*").alias("_p"))
     order = F.md5(F.concat_ws("|", F.lit(f"{params.seed}|f"), "tree_id", "node", "feature"))
-    pool = varied.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where(F.col("_r") <= feature_count(len(features), params.max_features)).drop("_r")
-    long = long.join(pool, [*by, "feature"])
+    pool = varied.join(left, by).withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
+    # at most p different sizes, so the number of features to look at is a case of the number left
+    most = F.element_at(F.array(*(F.lit(feature_count(p, params.max_features)) for p in range(1, len(features) + 1))), F.col("_p").cast("int"))
+    pool = pool.where(F.col("_r") <= most).select(*by, "feature")
+    long = stage(long.join(pool, [*by, "feature"]), "pool")
     tie = F.md5(F.concat_ws("|", F.lit(f"{params.seed}|t"), "tree_id", "node", "feature"))
-    if params.n_resamples:
-        tests = _feature_tests(spark, long, pool, params, "mc" if clf else "pc", by)
-        tests = tests.withColumn("level", params.alpha_feature / F.count("*").over(Window.partitionBy(*by))).where("p_value < level")
-        w = Window.partitionBy(*by).orderBy("p_value", F.desc(F.round("statistic", 12)), tie)
-        best = tests.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*by, "feature", "p_value")
+    failed: dict[tuple[int, int], frozenset] = {}
+    scores = _scores(long, params.selector, params.task, by)
+    if params.feature_budget is not None:
+        tests = stage(_feature_tests(spark, long, params, clf, by, scores), "tests")
+        scan = [F.desc(F.round("s", 12)), tie] if params.feature_scanning else [tie]
+        order = scan if params.early_stopping else ["p_value", *scan]
+        taken = permutation.first_accepted(tests, by, order, F.col("level"), params.early_stopping is not None)
+        best_rows = taken.where("reject").select(*by, "feature", "p_value").collect()
+        if params.muting:
+            for r in taken.where("tested AND p_value >= level").select(*by, "feature").collect():  # the model's own state
+                failed.setdefault((r["tree_id"], r["node"]), set()).add(r["feature"])
+        failed = {k: frozenset(v) for k, v in failed.items()}
+        release(tests)
     else:
-        scores = correlation_ratio(long, by).withColumnRenamed("eta", "s") if clf else pearson(long, True, by).withColumn("s", F.abs("pearson"))
         w = Window.partitionBy(*by).orderBy(F.desc(F.round("s", 12)), tie)
-        best = scores.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*by, "feature", F.lit(None).cast("double").alias("p_value"))
-    best_rows = best.collect()
+        best_rows = scores.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*by, "feature", F.lit(None).cast("double").alias("p_value")).collect()
     if not best_rows:
-        return {}
-    best = F.broadcast(spark.createDataFrame([tuple(r) for r in best_rows], "tree_id int, node long, feature string, p_value double"))
-    one = long.join(best.select(*by, "feature"), [*by, "feature"])
+        release(long)
+        return {}, failed
+    best = spark.createDataFrame([tuple(r) for r in best_rows], "tree_id int, node long, feature string, p_value double")
+    one = stage(long.join(best.select(*by, "feature"), [*by, "feature"]), "feature")
+    release(long)
     if params.threshold_method == "exact":
         sweep = SWEEPS[params.criterion](one, by)
     else:
         # thresholds between two values split rows as the midpoint of these values does
-        at = thresholds(one, params.threshold_method, params.max_thresholds, params.seed, by)
+        at = thresholds(one, params.threshold_method, params.max_thresholds or 256, params.seed, by)
         sweep = mae_sweep(one, by, at) if params.criterion == "mae" else _sweep_at(one, at, by, params.criterion)
-    split = best_split(sweep, by, params.min_leaf).collect()
-    chosen, p_feature = {}, {(r["tree_id"], r["node"]): (r["feature"], r["p_value"]) for r in best_rows}
-    p_threshold = _threshold_p(spark, one, split, by, params) if params.n_resamples and split else {}
+    p_feature = {(r["tree_id"], r["node"]): (r["feature"], r["p_value"]) for r in best_rows}
+    if params.threshold_budget is None:
+        split = best_split(sweep, by, params.min_leaf).select(*by, "feature", "threshold", "impurity", F.lit(None).cast("double").alias("p_value")).collect()
+    else:
+        split = _threshold_tests(spark, one, sweep, params, by).collect()
+    release(one)
+    chosen = {}
     for r in split:
         at = r["tree_id"], r["node"]
         node = model.nodes[at]
-        if params.n_resamples and p_threshold.get(at, 1.0) >= params.alpha_threshold:
-            continue
-        if node.impurity - r["impurity"] <= 1e-12:
+        if node.impurity - r["impurity"] < params.min_decrease - _SLACK:
             continue
         node.feature, node.threshold, node.p_feature = r["feature"], r["threshold"], p_feature[at][1]
-        node.p_threshold, node.decrease = p_threshold.get(at), node.impurity - r["impurity"]
+        node.p_threshold, node.decrease = r["p_value"], max(0.0, node.impurity - r["impurity"])
         chosen[at] = (r["feature"], r["threshold"])
-    return chosen
+    return chosen, failed
 
 
-def _feature_tests(spark, long, pool, params, kind, by) -> DataFrame:
-    """Permutation tests of the nodes' features: a node of k features takes k times the resamples, as its level is alpha / k."""
+def _feature_tests(spark, long, params, clf, by, scores) -> DataFrame:
+    """(*by, feature, p_value, level, s): tests of the nodes' features, with the budget and level of a node of as many features."""
+    names = {"mc": "mc", "pc": "pc", "mi": "mi", "dc": "dc", "rdc": "rdc_class" if clf else "rdc"}
+    kinds = (params.selector,) if isinstance(params.selector, str) else params.selector
+    kind = names[kinds[0]] if len(kinds) == 1 else tuple(names[k] for k in kinds)
     sizes: dict[int, list] = {}
-    for r in pool.groupBy(*by).count().collect():
+    for r in long.select(*by, "feature").distinct().groupBy(*by).count().collect():
         sizes.setdefault(r["count"], []).append((r["tree_id"], r["node"]))
     tests = []
     for k, nodes in sorted(sizes.items()) or [(1, [])]:
-        some = F.broadcast(spark.createDataFrame(nodes, "tree_id int, node long"))
-        tests.append(permutation_test(long.join(some, by), params.n_resamples * k, params.seed, kind, by))
-    return reduce(DataFrame.unionByName, tests)
+        some = long.join(spark.createDataFrame(nodes, "tree_id int, node long"), by)
+        n, level = _resamples(params.feature_budget, params.alpha_feature, k, params.adjust_feature)
+        if params.early_stopping:
+            t = permutation.sequential_test(some, n, params.seed, kind, level, params.confidence, 32, params.early_stopping, by)
+        elif isinstance(kind, tuple):
+            t = permutation.max_t_test(some, n, params.seed, kind, by)
+        else:
+            t = permutation.permutation_test(some, n, params.seed, kind, by)
+        tests.append(t.select(*by, "feature", "p_value", F.lit(level).alias("level")))
+    return reduce(DataFrame.unionByName, tests).join(scores, [*by, "feature"])
+
+
+def _threshold_tests(spark, one, sweep, params, by) -> DataFrame:
+    """(*by, feature, threshold, impurity, p_value) of the accepted thresholds: all of a node's are tested under its level."""
+    sweep = stage(sweep.where((F.col("n_left") >= params.min_leaf) & (F.col("n_right") >= params.min_leaf)).select(*by, "feature", "threshold", "impurity"), "sweep")
+    sizes: dict[int, list] = {}
+    for r in sweep.groupBy(*by).count().collect():
+        sizes.setdefault(r["count"], []).append((r["tree_id"], r["node"]))
+    parts = []
+    for k, nodes in sorted(sizes.items()) or [(1, [])]:
+        some = spark.createDataFrame(nodes, "tree_id int, node long")
+        n, level = _resamples(params.threshold_budget, params.alpha_threshold, k, params.adjust_threshold)
+        t = permutation.threshold_test(one.join(some, by), sweep.join(some, by).select(*by, "feature", "threshold"), n, params.seed + 1, params.criterion, by, params.early_stopping, level, params.confidence)
+        parts.append(t.select(*by, "feature", "threshold", "p_value", F.lit(level).alias("level")))
+    tests = reduce(DataFrame.unionByName, parts).join(sweep, [*by, "feature", "threshold"])
+    least = [F.round("impurity", 12), "threshold"]
+    random = [F.md5(F.concat_ws("|", F.lit(f"{params.seed}|s"), *by, F.col("threshold").cast("string")))]
+    order = (least if params.threshold_scanning else random) if params.early_stopping else ["p_value", *least]
+    return permutation.first_accepted(tests, by, order, F.col("level"), params.early_stopping is not None).where("reject").select(*by, "feature", "threshold", "impurity", "p_value")
 
 
 def _impurity_at(rows: DataFrame, keys: list[str], criterion: str) -> DataFrame:
@@ -268,43 +504,56 @@ def _impurity_at(rows: DataFrame, keys: list[str], criterion: str) -> DataFrame:
 
 
 def _sweep_at(one: DataFrame, at: DataFrame, by: list[str], criterion: str) -> DataFrame:
-    sided = one.join(F.broadcast(at), [*by, "feature"]).withColumn("side", (F.col("x") > F.col("threshold")).cast("int"))
+    sided = one.join(at, [*by, "feature"]).withColumn("side", (F.col("x") > F.col("threshold")).cast("int"))
     return _impurity_at(sided, [*by, "feature", "threshold"], criterion)
 
 
-def _threshold_p(spark, one, split, by, params) -> dict:
-    """Left-tailed permutation p-value of each chosen split, on its own seed per stage."""
-    plan = F.broadcast(spark.createDataFrame([(r["tree_id"], r["node"], r["threshold"]) for r in split], "tree_id int, node long, threshold double"))
-    sided = one.join(plan, by).select(*by, "row_id", "y", (F.col("x") > F.col("threshold")).cast("int").alias("side"))
-    every = permuted(sided, params.n_resamples, params.seed + 1, by).join(sided.drop("y"), [*by, "row_id"])
-    s = _impurity_at(every, [*by, "b"], params.criterion)
-    observed = s.where("b = 0").select(*by, F.col("impurity").alias("o"))
-    t = s.where("b > 0").join(observed, by).groupBy(*by).agg(((F.count_if(F.col("impurity") <= F.col("o") + SLACK) + 1) / F.lit(params.n_resamples + 1.0)).alias("p"))
-    return {(r["tree_id"], r["node"]): r["p"] for r in t.collect()}
+def reestimate(model: TreeModel, df: DataFrame, target: str, tree: int | None = 0) -> TreeModel:
+    """Honest leaves: values and sizes from the rows of ``df``; a leaf without rows keeps its own.
 
-
-def reestimate(model: TreeModel, df: DataFrame, target: str, tree: int = 0) -> TreeModel:
-    """Honest leaves: values and sizes from the rows of ``df``; a leaf without rows keeps its own."""
+    With ``tree`` None all trees take theirs, from the rows of ``df`` that have their ``tree_id`` where it has that column.
+    """
     clf = model.params.task == "classification"
-    at = df.select(model.leaf(tree).alias("leaf"), F.col(target).alias("y"))
+    trees = range(model.params.trees) if tree is None else [tree]
+    leaves = F.array(*(F.struct(F.lit(t).alias("tree_id"), model.leaf(t).alias("leaf")) for t in trees))
+    own = "tree_id" in df.columns and tree is None
+    at = df.withColumn("_at", F.explode(leaves))
+    if own:
+        at = at.where(F.col("_at.tree_id") == F.col("tree_id"))
+    at = at.select("_at.*", F.col(target).alias("y"))
     if clf:
-        counts: dict[int, dict] = {}
-        for r in at.groupBy("leaf", "y").count().collect():
-            counts.setdefault(r["leaf"], {})[r["y"]] = r["count"]
-        for leaf, c in counts.items():
+        counts: dict[tuple[int, int], dict] = {}
+        for r in at.groupBy("tree_id", "leaf", "y").count().collect():
+            counts.setdefault((r["tree_id"], r["leaf"]), {})[r["y"]] = r["count"]
+        for key, c in counts.items():
             n = sum(c.values())
-            model.nodes[tree, leaf].value, model.nodes[tree, leaf].n = [c.get(k, 0) / n for k in model.classes], n
+            model.nodes[key].value, model.nodes[key].n = [c.get(k, 0) / n for k in model.classes], n
     else:
-        for r in at.groupBy("leaf").agg(F.avg("y").alias("m"), F.count("*").alias("n")).collect():
-            model.nodes[tree, r["leaf"]].value, model.nodes[tree, r["leaf"]].n = [r["m"]], r["n"]
+        for r in at.groupBy("tree_id", "leaf").agg(F.avg("y").alias("m"), F.count("*").alias("n")).collect():
+            model.nodes[r["tree_id"], r["leaf"]].value, model.nodes[r["tree_id"], r["leaf"]].n = [r["m"]], r["n"]
     return model
 
 
 def out_of_bag(model: TreeModel, df: DataFrame, row_id: str, target: str, oob: DataFrame) -> DataFrame:
     """(row_id, y, value): mean value over the trees that did not draw the row (``oob``: tree_id, row_id)."""
     t = model.params.trees
-    values = F.array(*(model._route(i, 1, lambda n: F.array(*(F.lit(float(v)) for v in n.value))) for i in range(t)))
+    values = F.array(*(model._route(i, lambda n: F.array(*(F.lit(float(v)) for v in n.value))) for i in range(t)))
     scored = df.select(F.col(row_id).alias("row_id"), F.col(target).alias("y"), values.alias("v"))
     one = oob.join(scored, "row_id").select("row_id", "y", F.posexplode(F.col("v")[F.col("tree_id")]))
     mean = one.groupBy("row_id", "y", "pos").agg(F.avg("col").alias("p"))
     return mean.groupBy("row_id", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda s: s["p"]).alias("value"))
+
+
+def oob_score(model: TreeModel, df: DataFrame, row_id: str, target: str, oob: DataFrame) -> DataFrame:
+    """(n, score): accuracy, or r2, of the out-of-bag values over the ``n`` rows that have one; rows without one give a warning."""
+    found = out_of_bag(model, df, row_id, target, oob)
+    if model.params.task == "classification":
+        names = F.array(*(F.lit(c) for c in model.classes))
+        guess = F.element_at(names, F.array_position("value", F.array_max("value")).cast("int"))
+        score = found.agg(F.count("*").alias("n"), F.avg((guess == F.col("y")).cast("double")).alias("score"))
+    else:
+        e = F.col("y") - F.col("value")[0]
+        score = found.agg(F.count("*").alias("n"), F.avg(e * e).alias("mse"), F.var_pop("y").alias("v")).select("n", (1 - F.try_divide("mse", "v")).alias("score"))
+    if score.first()["n"] < df.count():
+        warnings.warn("some rows have no out-of-bag value: more trees are needed", stacklevel=2)
+    return score

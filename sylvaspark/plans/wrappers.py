@@ -17,11 +17,12 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomFor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.association import long_table
 from ..functions.distributions import beta_cdf
 from ..operators.evaluation import folds
 from ..operators.sampling import bootstrap
 from ..operators.trees import TreeParams, grow
-from .ranking import correlated_pairs
+from .ranking import correlated_pairs, filter_ranking, mrmr, permutation_ranking
 
 #: Rows that exchange values with each other; larger tables are cut into random blocks of about this size.
 BLOCK = 65536
@@ -53,13 +54,13 @@ def fit(df: DataFrame, features: list[str], task: str, model: str = "rf", seed:
 def importances(df: DataFrame, row_id: str, features: list[str], target: str, model: str, task: str = "classification", seed: int = 0, trees: int = 20, depth: int = 5) -> dict[str, float]:
     """Impurity importance of each feature in a fitted model.
 
-    ``dt``, ``rf`` and ``gbt`` are Spark's; ``rt`` and ``et`` split at random thresholds; ``cit`` and ``cif`` are
-    this library's tree and forest.  Boosting of several classes is the mean of its one-against-rest models.
+    ``dt``, ``rf`` and ``gbt`` are Spark's; ``rt`` and ``et`` split at random thresholds; ``tree`` and ``forest`` are
+    this library's.  Boosting of several classes is the mean of its one-against-rest models.
     """
-    if model in ("rt", "et", "cit", "cif"):
-        many, random = model in ("et", "cif"), model in ("rt", "et")
+    if model in ("rt", "et", "tree", "forest"):
+        many, random = model in ("et", "forest"), model in ("rt", "et")
         params = TreeParams(task=task, trees=trees if many else 1, max_depth=depth, seed=seed, max_features="sqrt" if many else None, threshold_method="random" if random else "exact", max_thresholds=1 if random else 32)
-        sample = bootstrap(df, row_id, trees, seed, target if task == "classification" else None, "stratified" if task == "classification" else "classic") if model == "cif" else None
+        sample = bootstrap(df, row_id, trees, seed, target if task == "classification" else None, "stratified" if task == "classification" else "classic") if model == "forest" else None
         return grow(df, row_id, features, target, params, sample).importances()
     rows = encoded(df, target, task)
     many = int(rows.agg(F.max("_y")).first()[0]) + 1 if model == "gbt" and task == "classification" else 2
@@ -110,15 +111,22 @@ def _score(rows: DataFrame, task: str, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.coalesce(1 - F.try_divide(F.avg(e * e), F.var_pop("_y")), F.lit(0.0)).alias("score"))
 
 
-def permutation_importance(df: DataFrame, row_id: str, features: list[str], target: str, task: str = "classification", seed: int = 0, repeats: int = 10, conditional: float | None = None, trees: int = 20) -> DataFrame:
+def permutation_importance(df: DataFrame, row_id: str, features: list[str], target: str, task: str = "classification", seed: int = 0, repeats: int = 10, conditional: float | None = None, trees: int = 20, model: str = "rf") -> DataFrame:
     """(feature, importance, rank): the loss of held-out score when a feature is permuted.
 
-    A forest is fitted on four fifths of the rows.  With ``conditional`` a feature is permuted within strata of
+    A model is fitted on four fifths of the rows: Spark's forest, or with ``model`` ``forest`` this library's.  With ``conditional`` a feature is permuted within strata of
     the features whose absolute correlation with it is above that threshold.
     """
     rows = encoded(df, target, task)
     rows = folds(rows, row_id, 5, seed, target if task == "classification" else None)
-    model = fit(rows.where("fold > 0"), features, task, "rf", seed, trees)
+    train = rows.where("fold > 0")
+    if model == "forest":
+        sample = bootstrap(train, row_id, trees, seed, "_y" if task == "classification" else None, "stratified" if task == "classification" else "classic")
+        fitted = grow(train, row_id, features, "_y", TreeParams(task=task, trees=trees, max_depth=4, min_leaf=5, max_features="sqrt", seed=seed, threshold_method="histogram", max_thresholds=16), sample)
+        predicted = lambda t: t.withColumn("prediction", fitted.predict())
+    else:
+        vector, fitted = VectorAssembler(inputCols=features, outputCol="_x"), fit(train, features, task, model, seed, trees)
+        predicted = lambda t: fitted.transform(vector.transform(t))
     held = rows.where("fold = 0").select(F.col(row_id).alias("row_id"), "_y", *features)
     within: dict[str, Column] = {}
     if conditional is not None and len(features) > 1:
@@ -129,13 +137,47 @@ def permutation_importance(df: DataFrame, row_id: str, features: list[str], targ
         within = {f: strata(held, sorted(c, key=features.index)) for f, c in near.items()}
     moved = donated(held, "row_id", features, seed, repeats, within).join(held, "row_id")
     moved = moved.select("feature", "b", "_y", *(F.when(F.col("feature") == f, F.col("x")).otherwise(F.col(f)).alias(f) for f in features))
-    vector = VectorAssembler(inputCols=features, outputCol="_x")
-    after = _score(model.transform(vector.transform(moved)), task, ["feature", "b"]).groupBy("feature").agg(F.avg("score").alias("after"))
-    before = _score(model.transform(vector.transform(held)).withColumn("_k", F.lit(0)), task, ["_k"]).first()["score"]
+    after = _score(predicted(moved), task, ["feature", "b"]).groupBy("feature").agg(F.avg("score").alias("after"))
+    before = _score(predicted(held).withColumn("_k", F.lit(0)), task, ["_k"]).first()["score"]
     t = after.select("feature", (F.lit(before) - F.col("after")).alias("importance"))
     return t.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("importance", 12)), "feature")))
 
 
+def split_count_ranking(df: DataFrame, row_id: str, features: list[str], target: str, params: TreeParams, sample: DataFrame | None = None) -> list[tuple[str, int, int]]:
+    """(feature, splits, rank): how often this library's tree or forest splits on each feature; ties in the features' order."""
+    used = dict.fromkeys(features, 0)
+    for n in grow(df, row_id, features, target, params, sample).nodes.values():
+        if n.feature is not None:
+            used[n.feature] += 1
+    order = sorted(features, key=lambda f: (-used[f], features.index(f)))
+    return [(f, used[f], i + 1) for i, f in enumerate(order)]
+
+
+def select(method: str, df: DataFrame, row_id: str, features: list[str], target: str, task: str = "classification", seed: int = 0, **options) -> list[str]:
+    """Features from first to last by a named method: ``boruta``, ``pi``, ``cpi``, ``mrmr``, ``rfe``, ``tree``, ``forest``, ``varimp``, a model of
+    :func:`importances`, a statistic of the filters (``mc``, ``mi``, ``pc``, ``dc``, ``rdc``), or its permutation test (``ptest_mc`` ...)."""
+    by = lambda rows: [r["feature"] for r in rows.orderBy("rank", "feature").collect()]
+    if method == "boruta":
+        return [f for f, _, _, _ in sorted(boruta(df, row_id, features, target, task, seed, **options), key=lambda r: (r[3], features.index(r[0])))]
+    if method in ("pi", "cpi", "varimp"):
+        extra = {"conditional": 0.5} if method == "cpi" else {"model": "forest"} if method == "varimp" else {}
+        return by(permutation_importance(df, row_id, features, target, task, seed, **(extra | options)))
+    if method == "rfe":
+        return [f for f, _ in sorted(eliminate(df, features, target, task, seed, **options), key=lambda r: (r[1], features.index(r[0])))]
+    if method == "mrmr":
+        first = mrmr(df, row_id, features, target, len(features))
+        return first + [f for f in features if f not in first]
+    name = method.removeprefix("ptest_")
+    if name in ("mc", "mi", "pc", "dc", "rdc"):
+        long = long_table(df, row_id, features, target)
+        if method != name:
+            kind = "rdc_class" if name == "rdc" and task == "classification" else name
+            return by(permutation_ranking(long, options.pop("n", 100), seed, kind, **options))
+        return by(filter_ranking(long, name, task))
+    weight = importances(df, row_id, features, target, method, task, seed, **options)
+    return sorted(features, key=lambda f: (-weight[f], features.index(f)))
+
+
 def eliminate(df: DataFrame, features: list[str], target: str, task: str = "classification", seed: int = 0, step: float = 0.1, trees: int = 20) -> list[tuple[str, int]]:
     """(feature, rank) by recursive elimination: the least important share goes each round, until one is left."""
     rows = encoded(df, target, task)

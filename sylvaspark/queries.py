@@ -19,7 +19,6 @@ from .sources.files import table
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 LINEITEM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-PARTS = ["e0", "e1", "e2", "e3"]
 DIMENSIONS = [f"e{i}" for i in range(64)]
 
 
@@ -46,17 +45,12 @@ def _line_long(spark: SparkSession, d: str, target: str = "l_returnflag", featur
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    return e.select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)))
-
-
-def _whole_vectors(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     return e.select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(DIMENSIONS)))
 
 
 def _vector_long(spark: SparkSession, d: str) -> DataFrame:
-    return association.long_table(_vectors(spark, d), "vec_id", PARTS, "label")
+    return association.long_table(_vectors(spark, d), "vec_id", DIMENSIONS, "label")
 
 
 def _board(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +60,7 @@ def _board(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LL = "SELECT l_orderkey AS row_id, l_returnflag AS y, f.* FROM lineitem, LATERAL (VALUES ('l_quantity', l_quantity), ('l_extendedprice', l_extendedprice), ('l_discount', l_discount), ('l_tax', l_tax)) f(feature, x)"
-_VL = "SELECT vec_id AS row_id, label AS y, f.* FROM embeddings, LATERAL (VALUES " + ", ".join(f"('e{i}', CAST(embedding[{i + 1}] AS DOUBLE))" for i in range(4)) + ") f(feature, x)"
+_VL = "SELECT vec_id AS row_id, label AS y, f.* FROM embeddings, LATERAL (VALUES " + ", ".join(f"('e{i}', CAST(embedding[{i + 1}] AS DOUBLE))" for i in range(64)) + ") f(feature, x)"
 _BOARD = "SELECT n_name AS dataset, c_mktsegment AS method, o_orderpriority AS config, o_orderstatus AS learner, o_orderkey % 3 AS seed, o_totalprice AS score, o_orderkey AS id FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
 _ETA = """cells AS (SELECT feature, y, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM l GROUP BY feature, y),
 t AS (SELECT feature, CAST(sum(n) AS BIGINT) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM cells GROUP BY feature)"""
@@ -111,14 +105,33 @@ def distance_correlation_embeddings(spark, d):
     return rounded(association.distance_correlation(_vector_long(spark, d)))
 
 
-@query()
+_NEAR = ", ".join(f"abs(x - lag(x, {s}) OVER w) AS b{s}, abs(x - lead(x, {s}) OVER w) AS f{s}" for s in (1, 2, 3))
+
+
+@query(f"""WITH l AS ({_VL}), c AS (SELECT *, count(*) OVER (PARTITION BY feature, y) AS nc FROM l), p AS (SELECT * FROM c WHERE nc > 1),
+w0 AS (SELECT *, least(3, nc - 1) AS k, {_NEAR} FROM p WINDOW w AS (PARTITION BY feature, y ORDER BY x, row_id)),
+r AS (SELECT feature, row_id, x, k, nc, list_sort(list_filter([b1, b2, b3, f1, f2, f3], lambda v: v IS NOT NULL))[k] * (1 - 1e-10::DOUBLE) AS d FROM w0),
+m AS (SELECT r.feature, r.row_id, any_value(k) AS k, any_value(nc) AS nc, count(*) AS m FROM r JOIN p ON p.feature = r.feature AND p.x BETWEEN r.x - d AND r.x + d GROUP BY ALL),
+dg AS (SELECT i, -0.5772156649015329::DOUBLE + coalesce(sum(1.0::DOUBLE / (i - 1)) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS psi FROM range(1, 200001) g(i) WHERE i > 1 UNION ALL SELECT 1, -0.5772156649015329::DOUBLE),
+n AS (SELECT feature, count(*) AS n FROM p GROUP BY 1)
+SELECT m.feature, round(greatest(0, any_value(dn.psi) + avg(dk.psi) - avg(dc.psi) - avg(dm.psi)), 6) AS mi FROM m JOIN n USING (feature) JOIN dg dn ON dn.i = n.n JOIN dg dk ON dk.i = m.k JOIN dg dc ON dc.i = m.nc JOIN dg dm ON dm.i = m.m GROUP BY m.feature""")
 def mutual_information_embeddings(spark, d):
-    return rounded(association.mutual_information(association.long_table(_whole_vectors(spark, d), "vec_id", DIMENSIONS, "label")))
+    return rounded(association.mutual_information(association.long_table(_vectors(spark, d), "vec_id", DIMENSIONS, "label")))
 
 
-@query()
+def _waves_sql(name: str, seed: int) -> str:
+    rows = ", ".join(f"({i}, {float(a)!r}::DOUBLE, {float(b)!r}::DOUBLE)" for i, (a, b) in enumerate(association._weights(10, 1 / 6, seed)))
+    return f"{name}(i, a, b) AS (VALUES {rows})"
+
+
+@query(f"""WITH l AS ({_VL}), {_waves_sql("wx", 42)}, {_waves_sql("wy", 1042)},
+k AS (SELECT feature, row_id, row_number() OVER (PARTITION BY feature ORDER BY x, row_id) / count(*) OVER (PARTITION BY feature)::DOUBLE AS u, row_number() OVER (PARTITION BY feature ORDER BY y, row_id) / count(*) OVER (PARTITION BY feature)::DOUBLE AS v FROM l),
+a AS (SELECT feature, row_id, i, s, CASE WHEN s = 0 THEN cos(u * a + b) ELSE sin(u * a + b) END AS p FROM k, wx, range(2) g(s)),
+b AS (SELECT feature, row_id, i, s, CASE WHEN s = 0 THEN cos(v * a + b) ELSE sin(v * a + b) END AS q FROM k, wy, range(2) g(s)),
+c AS (SELECT a.feature, a.i, a.s, b.i AS j, b.s AS r, abs(corr(p, q)) AS t FROM a JOIN b ON a.feature = b.feature AND a.row_id = b.row_id GROUP BY ALL)
+SELECT feature, round(least(1, max(t)), 6) AS rdc FROM c GROUP BY 1""")
 def rdc_embeddings(spark, d):
-    return rounded(association.rdc(association.long_table(_whole_vectors(spark, d), "vec_id", DIMENSIONS, "label")))
+    return rounded(association.rdc(association.long_table(_vectors(spark, d), "vec_id", DIMENSIONS, "label")))
 
 
 @query(f"""WITH l AS ({_VL}), {_ETA}, e AS (SELECT feature, sqrt(greatest(0, (b - s * s / n) / (q - s * s / n))) AS score, 'eta' AS name FROM t
@@ -163,7 +176,7 @@ def sequential_test_embeddings(spark, d):
     return rounded(P.sequential_test(_vector_long(spark, d), 100, 0))
 
 
-@query(f"WITH l AS ({_VL}), {_PERM}, {_MC}, pv AS ({_TAIL.format(s='smc')}) SELECT *, 0.0125::DOUBLE AS level, p_value < 0.0125 AS reject FROM pv")
+@query(f"WITH l AS ({_VL}), {_PERM}, {_MC}, pv AS ({_TAIL.format(s='smc')}) SELECT *, 0.0125::DOUBLE AS level, p_value < 0.0125 AS reject FROM pv".replace("0.0125", "0.00078125"))
 def bonferroni_embeddings(spark, d):
     return rounded(P.bonferroni(P.permutation_test(_vector_long(spark, d), 100, 0, "mc"), 0.05))
 
@@ -202,15 +215,14 @@ def thresholds_histogram_lineitem(spark, d):
     return rounded(splits.thresholds(_line_long(spark, d), "histogram", 8)).distinct()
 
 
-@query()
+@query(_MID + " SELECT feature, round(threshold, 6) AS threshold FROM (SELECT *, count(*) OVER (PARTITION BY feature) AS n, row_number() OVER (PARTITION BY feature ORDER BY md5('0|t|' || feature || '|' || CAST(threshold AS VARCHAR)), threshold) AS r FROM m) WHERE n <= 3 OR r <= 16")
 def thresholds_random_lineitem(spark, d):
     return rounded(splits.thresholds(_line_long(spark, d), "random", 16))
 
 
-@query(f"WITH l AS ({_LL}), {_GINI} SELECT feature, round(threshold, 6) AS threshold, n_left, n_right, round(impurity, 9) AS impurity FROM sw WHERE feature <> 'l_extendedprice'")
+@query(f"WITH l AS ({_LL}), {_GINI} SELECT feature, round(threshold, 6) AS threshold, n_left, n_right, round(impurity, 9) AS impurity FROM sw")
 def gini_sweep_lineitem(spark, d):
-    long = _line_long(spark, d, features=["l_quantity", "l_discount", "l_tax"])
-    return splits.gini_sweep(long).withColumns({"threshold": F.round("threshold", 6), "impurity": F.round("impurity", 9)})
+    return splits.gini_sweep(_line_long(spark, d)).withColumns({"threshold": F.round("threshold", 6), "impurity": F.round("impurity", 9)})
 
 
 @query(f"WITH l AS ({_LL}), {_GINI} SELECT feature, round(threshold, 6) AS threshold, n_left, n_right, round(impurity, 9) AS impurity FROM sw WHERE n_left >= 50 AND n_right >= 50 QUALIFY row_number() OVER (PARTITION BY feature ORDER BY round(impurity, 12), threshold) = 1")
@@ -228,26 +240,38 @@ def mse_sweep_lineitem(spark, d):
     return s.withColumns({"threshold": F.round("threshold", 6), "impurity": F.round(F.col("impurity") / 1000000, 4)})
 
 
-@query(f"""WITH l AS ({_LL}), c AS (SELECT feature, x, y, count(*) AS c FROM l WHERE feature <> 'l_extendedprice' GROUP BY ALL),
-m AS (SELECT feature, x, (x + lead(x) OVER (PARTITION BY feature ORDER BY x)) / 2 AS threshold FROM (SELECT DISTINCT feature, x FROM c)),
-k AS (SELECT feature, threshold, c.x > threshold AS side, y, sum(c) AS c FROM c JOIN m USING (feature) WHERE threshold IS NOT NULL GROUP BY ALL),
-s AS (SELECT feature, threshold, side, CAST(sum(c) AS DOUBLE) AS n, sum(c * log2(CAST(c AS DOUBLE))) AS e FROM k GROUP BY ALL)
-SELECT feature, round(threshold, 6) AS threshold, CAST(sum(n) FILTER (NOT side) AS BIGINT) AS n_left, CAST(sum(n) FILTER (side) AS BIGINT) AS n_right, round(sum(n * log2(n) - e) / sum(n), 9) AS impurity FROM s GROUP BY feature, s.threshold""")
+_BITS = "CASE WHEN {c} > 0 THEN {c} * log2({c}::DOUBLE) ELSE 0 END"
+
+
+@query(f"""WITH l AS ({_LL}), {_GINI}, en AS (SELECT feature, x, sum(cl) AS nl, sum(ct) AS n, sum({_BITS.format(c="cl")}) AS ql, sum({_BITS.format(c="(ct - cl)")}) AS qr, lead(x) OVER (PARTITION BY feature ORDER BY x) AS nx FROM cu GROUP BY feature, x)
+SELECT feature, round((x + nx) / 2, 6) AS threshold, CAST(nl AS BIGINT) AS n_left, CAST(n - nl AS BIGINT) AS n_right, round((nl * log2(nl::DOUBLE) - ql + (n - nl) * log2((n - nl)::DOUBLE) - qr) / n, 9) AS impurity FROM en WHERE nx IS NOT NULL""")
 def entropy_sweep_lineitem(spark, d):
-    long = _line_long(spark, d, features=["l_quantity", "l_discount", "l_tax"])
-    return splits.entropy_sweep(long).withColumns({"threshold": F.round("threshold", 6), "impurity": F.round("impurity", 9)})
+    return splits.entropy_sweep(_line_long(spark, d)).withColumns({"threshold": F.round("threshold", 6), "impurity": F.round("impurity", 9)})
 
 
-@query("""WITH l AS (SELECT l_quantity AS y, f.* FROM lineitem, LATERAL (VALUES ('l_discount', l_discount), ('l_tax', l_tax)) f(feature, x)),
-m AS (SELECT feature, x, (x + lead(x) OVER (PARTITION BY feature ORDER BY x)) / 2 AS threshold FROM (SELECT DISTINCT feature, x FROM l)),
-s AS (SELECT feature, threshold, l.x > threshold AS side, y FROM l JOIN m USING (feature) WHERE threshold IS NOT NULL),
+@query("""WITH l AS (SELECT l_quantity AS y, f.* FROM lineitem, LATERAL (VALUES ('l_extendedprice', l_extendedprice), ('l_discount', l_discount), ('l_tax', l_tax)) f(feature, x)),
+m AS (SELECT feature, (x + lead(x) OVER (PARTITION BY feature ORDER BY x)) / 2 AS threshold FROM (SELECT DISTINCT feature, x FROM l)),
+h AS (SELECT DISTINCT feature, a + i * (z - a) / 8 AS threshold FROM (SELECT feature, min(threshold) AS a, max(threshold) AS z FROM m WHERE threshold IS NOT NULL GROUP BY 1), range(9) g(i)),
+s AS (SELECT feature, threshold, l.x > threshold AS side, y FROM l JOIN h USING (feature)),
 w AS (SELECT *, median(y) OVER (PARTITION BY feature, threshold, side) AS md FROM s)
-SELECT feature, round(threshold, 6) AS threshold, count(*) FILTER (NOT side) AS n_left, count(*) FILTER (side) AS n_right, round(avg(abs(y - md)), 6) AS impurity FROM w GROUP BY feature, w.threshold""")
+SELECT feature, round(threshold, 6) AS threshold, count(*) FILTER (NOT side) AS n_left, count(*) FILTER (side) AS n_right, round(avg(abs(y - md)), 6) AS impurity FROM w GROUP BY feature, w.threshold HAVING count(*) FILTER (NOT side) > 0 AND count(*) FILTER (side) > 0""")
 def mae_sweep_lineitem(spark, d):
-    s = splits.mae_sweep(_line_long(spark, d, "l_quantity", ["l_discount", "l_tax"]))
+    long = _line_long(spark, d, "l_quantity", ["l_extendedprice", "l_discount", "l_tax"])
+    s = splits.mae_sweep(long, at=splits.thresholds(long, "histogram", 8))
     return s.withColumns({"threshold": F.round("threshold", 6), "impurity": F.round("impurity", 6)})
 
 
+@query(f"WITH l AS ({_LL}), {_GINI} SELECT feature, CAST(row_number() OVER (PARTITION BY feature ORDER BY round(impurity, 12), threshold) AS INT) AS rank, round(threshold, 6) AS threshold, round(impurity, 9) AS impurity FROM sw")
+def scan_thresholds_lineitem(spark, d):
+    s = ranking.scan_thresholds(splits.gini_sweep(_line_long(spark, d)))
+    return s.select("feature", "rank", F.round("threshold", 6).alias("threshold"), F.round("impurity", 9).alias("impurity"))
+
+
+@query(f"WITH l AS ({_VL}), {_ETA}, e AS (SELECT feature, sqrt(greatest(0, (b - s * s / n) / (q - s * s / n))) AS score FROM t) SELECT feature, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY round(score, 12) DESC, feature) AS INT) AS rank FROM e")
+def scan_features_embeddings(spark, d):
+    return rounded(ranking.filter_ranking(_vector_long(spark, d), "mc"))
+
+
 @query(f"""WITH l AS ({_LL}), {_ETA}, {_GINI}, e AS (SELECT feature, sqrt(greatest(0, (b - s * s / n) / (q - s * s / n))) AS eta FROM t),
 bs AS (SELECT feature, threshold, impurity FROM sw QUALIFY row_number() OVER (PARTITION BY feature ORDER BY round(impurity, 12), threshold) = 1)
 SELECT feature, round(eta, 6) AS eta, CAST(row_number() OVER (ORDER BY round(eta, 12) DESC, feature) AS INT) AS rank, round(threshold, 6) AS threshold, round(impurity, 6) AS impurity FROM e LEFT JOIN bs USING (feature)""")
@@ -260,16 +284,28 @@ def permutation_ranking_embeddings(spark, d):
     return rounded(ranking.permutation_ranking(_vector_long(spark, d), 100, 0))
 
 
-@query("""WITH e AS (SELECT CAST(embedding[1] AS DOUBLE) AS e0, CAST(embedding[2] AS DOUBLE) AS e1, CAST(embedding[3] AS DOUBLE) AS e2, CAST(embedding[4] AS DOUBLE) AS e3 FROM embeddings),
-r AS (SELECT unnest([{'a': 'e0', 'b': 'e1', 'r': corr(e0, e1)}, {'a': 'e0', 'b': 'e2', 'r': corr(e0, e2)}, {'a': 'e0', 'b': 'e3', 'r': corr(e0, e3)}, {'a': 'e1', 'b': 'e2', 'r': corr(e1, e2)}, {'a': 'e1', 'b': 'e3', 'r': corr(e1, e3)}, {'a': 'e2', 'b': 'e3', 'r': corr(e2, e3)}], recursive := true) FROM e)
-SELECT a, b, round(r, 6) AS r FROM r WHERE abs(r) > 0.01""")
+_COR = "cor AS (SELECT a.feature AS a, b.feature AS b, corr(a.x, b.x) AS r FROM l a JOIN l b ON a.row_id = b.row_id AND a.feature <> b.feature GROUP BY ALL)"
+
+
+@query(f"WITH l AS ({_VL}), {_COR} SELECT a, b, round(r, 6) AS r FROM cor WHERE CAST(a[2:] AS INT) < CAST(b[2:] AS INT) AND abs(r) > 0.05")
 def correlated_pairs_embeddings(spark, d):
-    return rounded(ranking.correlated_pairs(_vectors(spark, d), PARTS, 0.01))
+    return rounded(ranking.correlated_pairs(_vectors(spark, d), DIMENSIONS, 0.05))
 
 
-@query()
+def _greedy(steps: int) -> str:
+    """SQL of the greedy choice of :func:`ranking.mrmr`, a table for each step."""
+    out = []
+    for i in range(1, steps + 1):
+        before = " UNION ALL ".join(f"SELECT feature FROM s{j}" for j in range(1, i))
+        off = f" WHERE rel.feature NOT IN ({before})" if i > 1 else ""
+        cost = f" - (SELECT avg(abs(r)) FROM cor WHERE cor.a = rel.feature AND cor.b IN ({before}))" if i > 1 else ""
+        out.append(f"s{i} AS (SELECT rel.feature FROM rel{off} ORDER BY round(eta{cost}, 12) DESC, CAST(rel.feature[2:] AS INT) LIMIT 1)")
+    return ", ".join(out)
+
+
+@query(f"WITH l AS ({_VL}), {_ETA}, rel AS (SELECT feature, sqrt(greatest(0, (b - s * s / n) / (q - s * s / n))) AS eta FROM t), {_COR}, {_greedy(5)} " + " UNION ALL ".join(f"SELECT CAST({i} AS INT) AS rank, feature FROM s{i}" for i in range(1, 6)))
 def mrmr_embeddings(spark, d):
-    chosen = ranking.mrmr(_whole_vectors(spark, d), "vec_id", DIMENSIONS, "label", 5)
+    chosen = ranking.mrmr(_vectors(spark, d), "vec_id", DIMENSIONS, "label", 5)
     return spark.createDataFrame([(i + 1, f) for i, f in enumerate(chosen)], "rank int, feature string")
 
 
@@ -278,19 +314,19 @@ def mrmr_embeddings(spark, d):
 
 @query()
 def tree_nodes_embeddings(spark, d):
-    m = trees.grow(_whole_vectors(spark, d), "vec_id", DIMENSIONS, "label", trees.TreeParams(max_depth=3, min_leaf=5))
+    m = trees.grow(_vectors(spark, d), "vec_id", DIMENSIONS, "label", trees.TreeParams(max_depth=3, min_leaf=5))
     return rounded(m.table(spark))
 
 
 @query()
 def tree_permutation_embeddings(spark, d):
-    m = trees.grow(_whole_vectors(spark, d), "vec_id", DIMENSIONS, "label", trees.TreeParams(max_depth=2, min_leaf=5, n_resamples=40))
+    m = trees.grow(_vectors(spark, d), "vec_id", DIMENSIONS, "label", trees.TreeParams(max_depth=2, min_leaf=5, n_resamples=40))
     return rounded(m.table(spark))
 
 
 @query()
 def forest_importance_embeddings(spark, d):
-    v = _whole_vectors(spark, d)
+    v = _vectors(spark, d)
     sample = S.bootstrap(v, "vec_id", 5, 1, "label", "stratified")
     m = trees.grow(v, "vec_id", DIMENSIONS, "label", trees.TreeParams(trees=5, max_depth=3, min_leaf=5, max_features="sqrt"), sample)
     return spark.createDataFrame([(f, round(v, 6)) for f, v in m.importances().items()], "feature string, importance double")
@@ -315,7 +351,7 @@ def apportion_nation(spark, d):
 
 
 _BOOT = """WITH b AS (SELECT {g} AS g, vec_id, row_number() OVER (PARTITION BY {g} ORDER BY vec_id) AS i FROM embeddings), s AS (SELECT g, count(*) AS n FROM b GROUP BY g), z AS (SELECT *, {m} AS m FROM s),
-d AS (SELECT g, n, t, k, CAST('0x' || substr(md5('1|d|' || t || '|' || g || '|' || k), 1, 8) AS BIGINT) % n + 1 AS i FROM z, range(3) a(t), range(1, 501) c(k) WHERE k <= m)
+d AS (SELECT g, n, t, k, CAST('0x' || substr(md5('1|d|' || t || '|' || g || '|' || k), 1, 8) AS BIGINT) % n + 1 AS i FROM z, range(3) a(t), range(1, 500001) c(k) WHERE k <= m)
 SELECT CAST(t AS INT) AS tree_id, vec_id AS row_id, count(*) AS n FROM d JOIN b USING (g, i) GROUP BY ALL"""
 
 
@@ -358,12 +394,12 @@ def stratified_folds_embeddings(spark, d):
     return E.folds(_vectors(spark, d), "vec_id", 5, 7, "label").groupBy("label", "fold").agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"))
 
 
-@query("""WITH b AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS e0, (row_number() OVER (PARTITION BY label ORDER BY md5('7|c|' || vec_id), vec_id) - 1) % 5 AS fold FROM embeddings),
-s AS (SELECT f.fold, avg(e0) AS m, stddev_pop(e0) AS sd FROM (SELECT DISTINCT fold FROM b) f JOIN b ON b.fold <> f.fold GROUP BY 1)
-SELECT vec_id, round((e0 - m) / sd, 6) AS e0 FROM b JOIN s USING (fold)""")
+@query(f"""WITH b AS (SELECT vec_id, (row_number() OVER (PARTITION BY label ORDER BY md5('7|c|' || vec_id), vec_id) - 1) % 5 AS fold FROM embeddings), l AS ({_VL}), c AS (SELECT l.*, fold FROM l JOIN b ON vec_id = row_id),
+s AS (SELECT f.fold, feature, avg(x) AS m, stddev_pop(x) AS sd FROM (SELECT DISTINCT fold FROM b) f JOIN c ON c.fold <> f.fold GROUP BY ALL)
+SELECT row_id AS vec_id, feature, round((x - m) / sd, 6) AS x FROM c JOIN s USING (fold, feature)""")
 def standardize_embeddings(spark, d):
     v = E.folds(_vectors(spark, d), "vec_id", 5, 7, "label")
-    return rounded(E.standardize(v, ["e0"], "fold").select("vec_id", "e0"))
+    return rounded(E.standardize(v, DIMENSIONS, "fold").unpivot("vec_id", DIMENSIONS, "feature", "x"))
 
 
 _GUESS = "CASE WHEN l_quantity > 25 THEN 'A' WHEN l_discount > 0.05 THEN 'N' ELSE 'R' END"
@@ -423,13 +459,8 @@ def average_rank_board(spark, d):
     return B.average_rank(s, ["dataset"], "score")
 
 
-@query(f"WITH b AS ({_BOARD}), n AS (SELECT dataset, config, learner FROM b WHERE seed = 0 GROUP BY ALL HAVING count(DISTINCT method) = 5) SELECT b.learner, count(*) AS n FROM b SEMI JOIN n USING (dataset, config, learner) WHERE b.seed = 0 GROUP BY 1")
-def complete_cases_board(spark, d):
-    return B.complete_cases(_board(spark, d).where("seed = 0"), ["dataset", "config", "learner"], "method").groupBy("learner").agg(F.count("*").alias("n"))
-
-
 @query(f"WITH b AS ({_BOARD}), n AS (SELECT dataset, config, learner FROM b GROUP BY ALL HAVING count(DISTINCT method) = (SELECT count(DISTINCT method) FROM b)) SELECT b.learner, count(*) AS n FROM b SEMI JOIN n USING (dataset, config, learner) GROUP BY 1")
-def complete_cases_whole_board(spark, d):
+def complete_cases_board(spark, d):
     return B.complete_cases(_board(spark, d), ["dataset", "config", "learner"], "method").groupBy("learner").agg(F.count("*").alias("n"))
 
 
@@ -498,13 +529,8 @@ def pivot_board(spark, d):
     return rounded(p.select("dataset", F.col("F").alias("f"), F.col("O").alias("o"), F.col("P").alias("p")), 4)
 
 
-@query(f"WITH b AS (SELECT * FROM ({_BOARD}) WHERE seed = 0 AND id % 7 = 0) SELECT a.dataset, m.method, l.learner, (SELECT count(*) FROM b WHERE b.dataset = a.dataset AND b.method = m.method AND b.learner = l.learner) AS n FROM (SELECT DISTINCT dataset FROM b) a, (SELECT DISTINCT method FROM b) m, (SELECT DISTINCT learner FROM b) l")
-def completeness_board(spark, d):
-    return B.completeness(_board(spark, d).where("seed = 0 AND id % 7 = 0"), ["dataset", "method", "learner"])
-
-
 @query(f"WITH b AS ({_BOARD}), s AS (SELECT dataset, method, learner, count(*) AS n FROM b GROUP BY ALL) SELECT dataset, method, learner, coalesce(n, 0) AS n FROM (SELECT DISTINCT dataset FROM b) CROSS JOIN (SELECT DISTINCT method FROM b) CROSS JOIN (SELECT DISTINCT learner FROM b) LEFT JOIN s USING (dataset, method, learner)")
-def completeness_whole_board(spark, d):
+def completeness_board(spark, d):
     return B.completeness(_board(spark, d), ["dataset", "method", "learner"])
 
 
@@ -562,13 +588,8 @@ def validated_join_nation(spark, d):
     return B.unique_join(n, r, ["n_regionkey"]).select("n_name", "r_name", F.when(k < 8, "low").when(k < 16, "middle").otherwise("high").alias("bucket"))
 
 
-@query("SELECT vec_id, pos, element FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding)::DOUBLE AS element FROM embeddings) WHERE pos < 3")
-def explode_rankings_embeddings(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "element")).where("pos < 3").select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("element").cast("double").alias("element"))
-
-
 @query("SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding)::DOUBLE AS element FROM embeddings")
-def explode_whole_embeddings(spark, d):
+def explode_rankings_embeddings(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "element")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("element").cast("double").alias("element"))
 
 
@@ -580,11 +601,12 @@ def json_events(spark, d):
 # --- inference -----------------------------------------------------------------------------
 
 
-@query("""WITH r AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, CAST(embedding[1] AS DOUBLE) AS v FROM embeddings), n AS (SELECT count(*) AS n FROM r),
-d AS (SELECT b, CAST('0x' || substr(md5('3|d|' || b || '|' || j), 1, 8) AS BIGINT) % n + 1 AS i FROM n, range(1, 101) x(b), range(1, 501) y(j) WHERE j <= n), m AS (SELECT b, avg(v) AS m FROM d JOIN r USING (i) GROUP BY b)
+@query("""WITH r AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, list_sum(list_transform(embedding, lambda e: CAST(e AS DOUBLE) * CAST(e AS DOUBLE))) AS v FROM embeddings), n AS (SELECT count(*) AS n FROM r),
+d AS (SELECT b, CAST('0x' || substr(md5('3|d|' || b || '|' || j), 1, 8) AS BIGINT) % n + 1 AS i FROM n, range(1, 101) x(b), range(1, 500001) y(j) WHERE j <= n), m AS (SELECT b, avg(v) AS m FROM d JOIN r USING (i) GROUP BY b)
 SELECT (SELECT round(avg(v), 6) FROM r) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
 def bootstrap_mean_embeddings(spark, d):
-    return rounded(I.bootstrap_mean(_vectors(spark, d), "vec_id", "e0", 100, 3))
+    squares = F.aggregate("embedding", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double"))
+    return rounded(I.bootstrap_mean(table(spark, d, "embeddings").select("vec_id", squares.alias("v")), "vec_id", "v", 100, 3))
 
 
 _RANKED = f"WITH b AS ({_BOARD}), s AS (SELECT dataset, method, count(*) AS score FROM b GROUP BY ALL), r AS (SELECT dataset, method, rank() OVER (PARTITION BY dataset ORDER BY score DESC) + (count(*) OVER (PARTITION BY dataset, score) - 1) / 2.0::DOUBLE AS rank FROM s)"
@@ -633,12 +655,12 @@ def _named(spark, rows, schema):
 
 @query()
 def permutation_importance_embeddings(spark, d):
-    return rounded(wrappers.permutation_importance(_whole_vectors(spark, d), "vec_id", DIMENSIONS, "label", seed=3, repeats=5))
+    return rounded(wrappers.permutation_importance(_vectors(spark, d), "vec_id", DIMENSIONS, "label", seed=3, repeats=5))
 
 
 @query()
 def conditional_importance_embeddings(spark, d):
-    return rounded(wrappers.permutation_importance(_vectors(spark, d), "vec_id", PARTS, "label", seed=3, repeats=5, conditional=0.02))
+    return rounded(wrappers.permutation_importance(_vectors(spark, d), "vec_id", DIMENSIONS, "label", seed=3, repeats=5, conditional=0.1))
 
 
 @query()
@@ -649,33 +671,33 @@ def permutation_importance_orders(spark, d):
 
 @query()
 def boruta_embeddings(spark, d):
-    return _named(spark, wrappers.boruta(_vectors(spark, d), "vec_id", PARTS, "label", seed=1, rounds=10), "feature string, decision string, hits int, rank int")
+    return _named(spark, wrappers.boruta(_vectors(spark, d), "vec_id", DIMENSIONS, "label", seed=1, rounds=10), "feature string, decision string, hits int, rank int")
 
 
 @query()
 def elimination_embeddings(spark, d):
-    return _named(spark, wrappers.eliminate(_vectors(spark, d), PARTS, "label", seed=1), "feature string, rank int")
+    return _named(spark, wrappers.eliminate(_vectors(spark, d), DIMENSIONS, "label", seed=1), "feature string, rank int")
 
 
 @query()
 def model_importance_embeddings(spark, d):
-    rows = [(m, f, float(v)) for m in ("dt", "rf") for f, v in wrappers.importances(_whole_vectors(spark, d), "vec_id", DIMENSIONS, "label", m).items()]
+    rows = [(m, f, float(v)) for m in ("dt", "rf") for f, v in wrappers.importances(_vectors(spark, d), "vec_id", DIMENSIONS, "label", m).items()]
     return _named(spark, rows, "model string, feature string, importance double")
 
 
 @query()
 def split_counts_embeddings(spark, d):
-    v = _whole_vectors(spark, d)
+    v = _vectors(spark, d)
     m = trees.grow(v, "vec_id", DIMENSIONS, "label", trees.TreeParams(trees=3, max_depth=2, min_leaf=5, max_features="sqrt"), S.bootstrap(v, "vec_id", 3, 1, "label", "stratified"))
     return ranking.split_counts(m.table(spark))
 
 
-@query("""WITH v AS (SELECT vec_id AS row_id, f.* FROM embeddings, LATERAL (VALUES ('e0', CAST(embedding[1] AS DOUBLE)), ('e1', CAST(embedding[2] AS DOUBLE))) f(feature, x)),
+@query(f"""WITH v AS (SELECT row_id, feature, x FROM ({_VL})),
 r AS (SELECT v.*, b, label, md5('5|' || feature || '|' || b || '|' || row_id) AS h FROM v JOIN embeddings ON vec_id = row_id, range(1, 4) g(b))
 SELECT feature, CAST(b AS INT) AS b, row_id, round(coalesce(lead(x) OVER w, first(x) OVER w), 6) AS x FROM r WINDOW w AS (PARTITION BY feature, b, label ORDER BY h, row_id)""")
 def donated_embeddings(spark, d):
-    within = dict.fromkeys(("e0", "e1"), F.col("label"))
-    return rounded(wrappers.donated(_vectors(spark, d), "vec_id", ["e0", "e1"], 5, 3, within))
+    within = dict.fromkeys(DIMENSIONS, F.col("label"))
+    return rounded(wrappers.donated(_vectors(spark, d), "vec_id", DIMENSIONS, 5, 3, within))
 
 
 @query("""WITH c AS (SELECT list_sort(list_distinct(quantile_cont(l_quantity, [0, 0.2, 0.4, 0.6, 0.8, 1]))) AS a, list_sort(list_distinct(quantile_cont(l_discount, [0, 0.2, 0.4, 0.6, 0.8, 1]))) AS z FROM lineitem),
@@ -693,32 +715,35 @@ e AS (SELECT held, feature, (sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (sum(q
 SELECT CAST(held AS INT) AS fold, CAST(row_number() OVER (PARTITION BY held ORDER BY eta DESC, feature) AS INT) AS rank, feature FROM e""")
 def ranking_over_folds_embeddings(spark, d):
     def rank(train, seed):
-        t = ranking.rank_by_score(association.correlation_ratio(association.long_table(train, "vec_id", PARTS, "label")), "eta")
+        t = ranking.rank_by_score(association.correlation_ratio(association.long_table(train, "vec_id", DIMENSIONS, "label")), "eta")
         return [r["feature"] for r in t.orderBy("rank").collect()]
 
-    rows = [(fold, i + 1, f) for fold, order in wrappers.rank_over_folds(_vectors(spark, d), "vec_id", PARTS, "label", rank, seed=2) for i, f in enumerate(order)]
+    rows = [(fold, i + 1, f) for fold, order in wrappers.rank_over_folds(_vectors(spark, d), "vec_id", DIMENSIONS, "label", rank, seed=2) for i, f in enumerate(order)]
     return spark.createDataFrame(rows, "fold int, rank int, feature string")
 
 
-_KNN = "WITH v AS (SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(4)) + ", (row_number() OVER (PARTITION BY label ORDER BY md5('7|c|' || vec_id), vec_id) - 1) % 5 AS fold FROM embeddings), j AS (SELECT q.vec_id AS row_id, t.vec_id AS id, t.label AS y, sqrt(" + " + ".join(f"(q.e{i} - t.e{i}) * (q.e{i} - t.e{i})" for i in range(4)) + ") AS d FROM v q JOIN v t ON q.fold = 0 AND t.fold > 0), n AS (SELECT *, min(d) OVER (PARTITION BY row_id) AS m FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d, id) AS r FROM j) WHERE r <= 5), s AS (SELECT *, CASE WHEN m = 0 THEN CASE WHEN d = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE 1 / d END AS w FROM n) "
+_KNN = "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, (row_number() OVER (PARTITION BY label ORDER BY md5('7|c|' || vec_id), vec_id) - 1) % 5 AS fold FROM embeddings), j AS (SELECT q.vec_id AS row_id, t.vec_id AS id, t.label AS y, list_distance(q.v[1:{n}], t.v[1:{n}]) AS d FROM v q JOIN v t ON q.fold = 0 AND t.fold > 0), n AS (SELECT *, min(d) OVER (PARTITION BY row_id) AS m FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d, id) AS r FROM j) WHERE r <= 5), s AS (SELECT *, CASE WHEN m = 0 THEN CASE WHEN d = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE 1 / d END AS w FROM n) "
 
 
-def _knn(spark, d, target, task):
+def _knn(spark, d, features, target, task):
     f = E.folds(_vectors(spark, d), "vec_id", 5, 7, "label")
-    return E.neighbour_predict(f.where("fold > 0"), f.where("fold = 0"), "vec_id", PARTS, target, 5, task)
+    return E.neighbour_predict(f.where("fold > 0"), f.where("fold = 0"), "vec_id", features, target, 5, task)
 
 
-@query(_KNN + "SELECT row_id, y AS prediction FROM (SELECT row_id, y, row_number() OVER (PARTITION BY row_id ORDER BY v DESC, y) AS r FROM (SELECT row_id, y, round(sum(w), 9) AS v FROM s GROUP BY ALL)) WHERE r = 1")
+@query(_KNN.format(n=64) + "SELECT row_id, y AS prediction FROM (SELECT row_id, y, row_number() OVER (PARTITION BY row_id ORDER BY v DESC, y) AS r FROM (SELECT row_id, y, round(sum(w), 9) AS v FROM s GROUP BY ALL)) WHERE r = 1")
 def neighbour_class_embeddings(spark, d):
-    return _knn(spark, d, "label", "classification")
+    return _knn(spark, d, DIMENSIONS, "label", "classification")
 
 
-@query(_KNN + "SELECT row_id, round(sum(w * e4) / sum(w), 6) AS prediction FROM s JOIN (SELECT vec_id AS id, CAST(embedding[5] AS DOUBLE) AS e4 FROM embeddings) USING (id) GROUP BY row_id")
+@query(_KNN.format(n=63) + "SELECT row_id, round(sum(w * e63) / sum(w), 6) AS prediction FROM s JOIN (SELECT vec_id AS id, CAST(embedding[64] AS DOUBLE) AS e63 FROM embeddings) USING (id) GROUP BY row_id")
 def neighbour_value_embeddings(spark, d):
-    return rounded(_knn(spark, d, "e4", "regression"))
+    return rounded(_knn(spark, d, DIMENSIONS[:63], "e63", "regression"))
 
 
 @query(_RANK + ", p AS (SELECT s_nationkey, unnest(r[1:6]) AS f FROM g), u AS (SELECT s_nationkey, CASE f % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' ELSE 'other' END AS grp, 1 AS hits FROM p UNION ALL SELECT s_nationkey, 'missing', 6 - len(r[1:6]) FROM g WHERE len(r) < 6) SELECT s_nationkey, grp, CAST(sum(hits) AS BIGINT) AS hits, round(sum(hits) / 6.0::DOUBLE, 6) AS share FROM u GROUP BY ALL")
 def composition_supplier(spark, d):
     groups = table(spark, d, "supplier").where("s_suppkey % 4 < 3").select(F.col("s_suppkey").alias("feature"), F.element_at(F.array(*(F.lit(g) for g in "abc")), (F.col("s_suppkey") % 4 + 1).cast("int")).alias("grp"))
     return rounded(E.composition(_rankings(spark, d), "s_nationkey", "ranking", groups, 6, 100))
+
+
+from . import more_queries  # noqa: E402,F401 - registers its queries
