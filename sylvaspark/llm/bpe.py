@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,8 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHORT = 96
-#: Chunks kept ready in each worker; the memory is bounded.
-CACHE = 200_000
+#: Words, and chunks, kept ready in each worker, in two halves; the memory is bounded.
+WORDS, CHUNKS = 160_000, 120_000
 _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
 
 
@@ -121,6 +122,7 @@ class Unicode:
 _MARKS = "\u0334\u0316\u0301\u0345"
 #: What the file's pattern matches before letters, in its order.
 _SUFFIXES = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -134,23 +136,24 @@ def unicode() -> Unicode:
     return Unicode()
 
 
-class _Chunks(dict):
-    """Chunk to what ``make`` gives for it, for up to CACHE chunks and the text at hand."""
+class Kept(dict):
+    """Text to what ``make`` gives for it, for at most about twice ``most`` texts: when the newer half is full, the older one goes."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
-
-    def __missing__(self, chunk: str):
-        value = self.make(chunk)
-        if len(chunk) <= SHORT:
-            self[chunk] = value
-        return value
-
-    def of(self, chunks: list[str]):
-        if len(self) > CACHE:
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, text: str):
+        value = self.older.get(text)
+        if value is None:
+            value = self.make(text)
+            if len(text) > SHORT:
+                return value
+        if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        return map(self.__getitem__, chunks)
+        self[text] = value
+        return value
 
 
 class WordBpe:
@@ -158,8 +161,14 @@ class WordBpe:
         spec = json.loads(content)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
-        merges = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.ranks = {(a, b): i for i, (a, b) in enumerate(merges)}
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        # every part that can stand in a word has a number: its id, or one beyond for parts that have none
+        self.part: dict[str, int] = dict(self.vocab)
+        self.beyond = max(self.vocab.values(), default=-1) + 1
+        for a, b in merges:
+            for x in (a, b, a + b):
+                self.part.setdefault(x, self.beyond + len(self.part))
+        self.made = [self.part[a + b] for a, b in merges]
         self.end = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         names = sorted(self.special, key=len, reverse=True)
@@ -171,67 +180,79 @@ class WordBpe:
         self.chars = byte_chars()
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.unicode = unicode()
-        self.numbers = _Chunks(lambda c: tuple(self._ids(c)))
-        self.texts = _Chunks(lambda c: " ".join(map(str, self._ids(c))))
+        for c in self.chars:  # bytes that no merge and no id knows
+            for x in (c, c + self.end):
+                self.part.setdefault(x, self.beyond + len(self.part))
+        self.many = max(self.part.values()) + 1
+        #: the rank of a pair of parts; ``made`` is the part that each rank makes
+        self.ranks = {self.part[a] * self.many + self.part[b]: i for i, (a, b) in enumerate(merges)}
+        self.first = [self.part[c] for c in self.chars]
+        self.last = [self.part[c + self.end] for c in self.chars]
+        self.words = Kept(self._word, WORDS)
+        self.numbers = Kept(self._chunk, CHUNKS)
+        self.texts = Kept(lambda c: " ".join(map(str, self._chunk(c))), CHUNKS)
         self.shown = {str(i): t for i, t in self.names.items()}
 
-    def merge(self, word: str) -> list[str]:
-        """The tokens of one word."""
-        symbols = [self.chars[b] for b in word.encode()]
-        symbols[-1] += self.end
-        return self._scan(symbols) if len(symbols) <= SHORT else self._heap(symbols)
-
-    def _scan(self, symbols: list[str]) -> list[str]:
-        whole = "".join(symbols)
-        cut = [0]
-        for s in symbols:
-            cut.append(cut[-1] + len(s))
-        none, ranks = len(self.ranks), self.ranks
-        # rank[i] is that of the parts cut[i]:cut[i+1] and cut[i+1]:cut[i+2]
-        rank = [ranks.get((a, b), none) for a, b in zip(symbols, symbols[1:])]
+    def merge(self, word: str) -> list[int]:
+        """The parts of one word, as numbers."""
+        raw = word.encode()
+        parts = [self.first[b] for b in raw[:-1]]
+        parts.append(self.last[raw[-1]])
+        return self._scan(parts) if len(parts) <= SHORT else self._heap(parts)
+
+    def _scan(self, parts: list[int]) -> list[int]:
+        """The contiguous rank array: ``rank[i]`` is that of parts i and i + 1, whose boundary goes when it is the least."""
+        none, many, ranks, made = len(self.made), self.many, self.ranks, self.made
+        rank = [ranks.get(a * many + b, none) for a, b in zip(parts, parts[1:])]
         while rank:
             lowest = min(rank)
             if lowest == none:
                 break
             i = rank.index(lowest)
-            del cut[i + 1], rank[i]
+            part = parts[i] = made[lowest]
+            del parts[i + 1], rank[i]
             if i < len(rank):
-                rank[i] = ranks.get((whole[cut[i] : cut[i + 1]], whole[cut[i + 1] : cut[i + 2]]), none)
+                rank[i] = ranks.get(part * many + parts[i + 1], none)
             if i:
-                rank[i - 1] = ranks.get((whole[cut[i - 1] : cut[i]], whole[cut[i] : cut[i + 1]]), none)
-        return [whole[a:b] for a, b in zip(cut, cut[1:])]
+                rank[i - 1] = ranks.get(parts[i - 1] * many + part, none)
+        return parts
 
-    def _heap(self, symbols: list[str]) -> list[str]:
-        part: list[str | None] = list(symbols)
+    def _heap(self, parts: list[int]) -> list[int]:
+        part: list[int] = list(parts)
+        many, ranks = self.many, self.ranks
         after, before = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
-        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (r := self.ranks.get((a, b))) is not None]
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(part, part[1:])) if (r := ranks.get(a * many + b)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i]
             if part[i] != a or j >= len(part) or part[j] != b:
                 continue
-            part[i], part[j] = a + b, None
+            part[i], part[j] = self.made[r], -1
             after[i] = after[j]
             if after[i] < len(part):
                 before[after[i]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right < len(part) and (r := self.ranks.get((part[left], part[right]))) is not None:
+                if left >= 0 and right < len(part) and (r := ranks.get(part[left] * many + part[right])) is not None:
                     heapq.heappush(heap, (r, left, part[left], part[right]))
-        return [p for p in part if p is not None]
+        return [p for p in part if p >= 0]
 
     def split(self, chunk: str) -> list[str]:
         """The normalised words of a chunk."""
         u = self.unicode
+        if chunk.isascii():
+            return [chunk.lower()] if chunk.isalpha() else _ASCII.findall(chunk.lower())
         if not u.is_odd(chunk) and not u.is_odd(normal := unicodedata.normalize("NFC", chunk)):
             return self.pattern.findall(lower(normal))
         return list(u.pieces(u.lowercase(u.nfc(chunk))))
 
-    def _ids(self, chunk: str) -> Iterator[int]:
-        for word in self.split(chunk):
-            for token in self.merge(word):
-                if token in self.vocab:
-                    yield self.vocab[token]
+    def _word(self, word: str) -> tuple[int, ...]:
+        """The ids of a word; parts without one are left out."""
+        return tuple(p for p in self.merge(word) if p < self.beyond)
+
+    def _chunk(self, chunk: str) -> tuple[int, ...]:
+        words = self.split(chunk)
+        return self.words[words[0]] if len(words) == 1 else tuple(i for w in words for i in self.words[w])
 
     def parts(self, text: str) -> Iterator[str | int]:
         """The stretches between special tokens, and the ids of these."""
@@ -248,7 +269,7 @@ class WordBpe:
             if isinstance(part, int):
                 out.append(part)
             else:
-                for ids in self.numbers.of(self.unicode.chunks(part)):
+                for ids in map(self.numbers.__getitem__, self.unicode.chunks(part)):
                     out.extend(ids)
         return out
 
@@ -256,7 +277,7 @@ class WordBpe:
         """The ids joined by one space."""
         found = []
         for part in self.parts(text):
-            found.append(str(part) if isinstance(part, int) else " ".join(filter(None, self.texts.of(self.unicode.chunks(part)))))
+            found.append(str(part) if isinstance(part, int) else " ".join(filter(None, map(self.texts.__getitem__, self.unicode.chunks(part)))))
         return " ".join(filter(None, found))
 
     def decode(self, ids: list[int]) -> str:

@@ -239,8 +239,13 @@ def test_bpe_equals_the_library(real):
         assert ours.decode(ids) == decoded
         assert ours.digest(t) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
     word = "thequickbrownfox" * 4
-    symbols = [*word[:-1], word[-1] + "</w>"]
-    assert ours._scan(symbols) == ours._heap(symbols)
+    symbols = [*(ours.part[c] for c in word[:-1]), ours.part[word[-1] + "</w>"]]
+    assert ours._scan(list(symbols)) == ours._heap(symbols)
+    rng = random.Random(4)
+    for _ in range(300):
+        w = "".join(rng.choices("aeinrst'é漢", k=rng.randint(1, 90))).encode()
+        symbols = [*(ours.first[b] for b in w[:-1]), ours.last[w[-1]]]
+        assert ours._scan(list(symbols)) == ours._heap(symbols)
 
 
 def test_bpe_equals_the_library_at_every_code_point():
