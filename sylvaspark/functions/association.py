@@ -110,16 +110,16 @@ def distance_correlation(long: DataFrame, by: list[str] | None = None, standardi
     t = _distances(_distances(rows, keys, "x", blocks), keys, "y", blocks)
     cross = _cross(t, keys, kernel_rows, blocks)
     a, b = F.col("d_x"), F.col("d_y")
-    m = t.groupBy(*keys).agg(F.count("*").cast("double").alias("n"), F.sum(a).alias("a"), F.sum(b).alias("b"), F.sum(a * b).alias("ab"), F.sum(a * a).alias("aa"), F.sum(b * b).alias("bb"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
-    n = F.col("n")
+    m = t.groupBy(*keys).agg(F.count("*").cast("double").alias("_n"), F.sum(a).alias("_a"), F.sum(b).alias("_b"), F.sum(a * b).alias("_ab"), F.sum(a * a).alias("_aa"), F.sum(b * b).alias("_bb"), F.var_pop("x").alias("_vx"), F.var_pop("y").alias("_vy"))
+    n = F.col("_n")
 
     def square(products: Column, p: str, q: str, pq: str) -> Column:
         return products - 2 * F.col(pq) / (n * n * n) + F.col(p) * F.col(q) / (n * n * n * n)
 
-    xy = square(F.col("xy") / (n * n), "a", "b", "ab")
+    xy = square(F.col("xy") / (n * n), "_a", "_b", "_ab")
     if not standardize:
         return m.join(cross, keys).select(*keys, F.sqrt(F.greatest(F.lit(0.0), xy)).alias("dcov"))
-    xx, yy = square(2 * F.col("vx"), "a", "a", "aa"), square(2 * F.col("vy"), "b", "b", "bb")
+    xx, yy = square(2 * F.col("_vx"), "_a", "_a", "_aa"), square(2 * F.col("_vy"), "_b", "_b", "_bb")
     bottom = F.sqrt(F.greatest(F.lit(0.0), xx) * F.greatest(F.lit(0.0), yy))
     value = F.when(bottom > 1e-15, F.sqrt(F.greatest(F.lit(0.0), F.try_divide(xy, bottom)))).otherwise(0.0)
     return m.join(cross, keys).select(*keys, value.alias("dcor"))

@@ -14,7 +14,7 @@ from .operators import permutation as P
 from .operators import sampling as S
 from .operators import splits, trees
 from .plans import downstream, experiments, ranking, wrappers
-from .queries import _BOARD, _BOOT, _MC, _PERM, _RANK, _TAIL, _VL, DIMENSIONS, _board, _lineitem, _rankings, _vector_long, _vectors, query, rounded
+from .queries import _BOARD, _BOOT, _MC, _PERM, _PHI, _RANK, _TAIL, _VL, DIMENSIONS, _board, _lineitem, _rankings, _vector_long, _vectors, query, rounded
 from .sources import files, generators
 from .sources.files import table
 
@@ -55,7 +55,7 @@ sdc AS (SELECT b, feature, avg(ac) - 2 * avg(a * c) + avg(a) * avg(c) AS xy, avg
 sd AS (SELECT feature, b, CASE WHEN sqrt(greatest(0, xx) * greatest(0, yy)) > 1e-15 THEN sqrt(greatest(0, xy) / sqrt(greatest(0, xx) * greatest(0, yy))) ELSE 0 END AS t FROM sdc)"""
 
 
-@query(f"WITH l AS (SELECT * FROM ({_JL.format(y='n_chars')}) WHERE feature <> 'n_chars'), {_PERM.replace('range(1, 101)', 'range(1, 20)')}, {_PAIRS} " + _TAIL.format(s="sd").replace("101.0", "20.0"))
+@query(f"WITH l AS (SELECT * FROM ({_JL.format(y='n_chars')}) WHERE feature <> 'n_chars'), {_PERM.replace('range(1, 101)', 'range(1, 20)').replace('j AS (SELECT ev.b,', 'j AS (SELECT ev.b, ev.row_id,')}, {_PAIRS} " + _TAIL.format(s="sd").replace("101.0", "20.0"))
 def permutation_dc_documents(spark, d):
     return rounded(P.permutation_test(_judged(spark, d, "n_chars"), 19, 0, "dc"))
 
@@ -98,7 +98,7 @@ def features_until_accepted_embeddings(spark, d):
 
 _AT = """m AS (SELECT feature, (x + nx) / 2 AS t FROM (SELECT feature, x, lead(x) OVER (PARTITION BY feature ORDER BY x) AS nx FROM (SELECT DISTINCT feature, x FROM l)) WHERE nx IS NOT NULL),
 h AS (SELECT DISTINCT feature, a + i * (z - a) / 4 AS threshold FROM (SELECT feature, min(t) AS a, max(t) AS z, count(*) AS n FROM m GROUP BY 1), range(5) g(i) WHERE n > 3 UNION SELECT feature, t FROM m QUALIFY count(*) OVER (PARTITION BY feature) <= 3),
-pp AS (SELECT j.b, j.y, j.feature, j.row_id, h.threshold, j.x > h.threshold AS side FROM j JOIN h ON h.feature = j.feature)"""
+pp AS (SELECT j.b, j.y, j.feature, h.threshold, j.x > h.threshold AS side FROM j JOIN h ON h.feature = j.feature)"""
 _END = "SELECT o.feature, round(o.threshold, 6) AS threshold, round(any_value(o.t), {r}) AS statistic, count(*) FILTER (a.t <= o.t + 1e-9) AS hits, round((count(*) FILTER (a.t <= o.t + 1e-9) + 1) / 50.0::DOUBLE, 6) AS p_value FROM st a JOIN st o ON o.feature = a.feature AND o.threshold = a.threshold AND o.b = 0 WHERE a.b > 0 GROUP BY o.feature, o.threshold"
 
 
@@ -144,7 +144,7 @@ def threshold_test_mae_documents(spark, d):
 _KEPT = _BOOT.replace("k, CAST('0x'", "k, keep, CAST('0x'").replace("z AS (SELECT *, {m} AS m FROM s)", "z AS (SELECT *, {m} AS m, {keep} AS keep FROM s)").replace("d AS (SELECT g, n, t, k,", "d AS (SELECT g, n, t, k,").replace("SELECT CAST(t AS INT) AS tree_id", "SELECT CAST(t AS INT) AS tree_id").replace(
     "FROM d JOIN b USING (g, i) GROUP BY ALL", "FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY t, g ORDER BY md5('1|k|' || t || '|' || g || '|' || k), k) <= keep) d JOIN b USING (g, i) GROUP BY ALL")
 _EVEN = "100 // count(*) OVER () + CASE WHEN row_number() OVER (ORDER BY g) <= 100 % count(*) OVER () THEN 1 ELSE 0 END"
-_SHARE = "floor(round(n::DOUBLE / sum(n) OVER () * 100, 9)) + CASE WHEN row_number() OVER (ORDER BY round(n::DOUBLE / sum(n) OVER () * 100, 9) - floor(round(n::DOUBLE / sum(n) OVER () * 100, 9)) DESC, g) <= 100 - sum(floor(round(n::DOUBLE / sum(n) OVER () * 100, 9))) OVER () THEN 1 ELSE 0 END"
+_SHARED = "(SELECT *, floor(e) + CASE WHEN row_number() OVER (ORDER BY e - floor(e) DESC, g) <= 100 - sum(floor(e)) OVER () THEN 1 ELSE 0 END AS share FROM (SELECT *, round(n::DOUBLE / sum(n) OVER () * 100, 9) AS e, n AS m FROM s))"
 
 
 def _capped(spark, d, kind):
@@ -161,7 +161,7 @@ def bootstrap_classic_capped_embeddings(spark, d):
     return _capped(spark, d, "classic")
 
 
-@query(_kept_sql("label", "n", f"least(n, {_SHARE})"))
+@query(_kept_sql("label", "n", "least(n, share)").replace("(SELECT *, n AS m FROM s)", _SHARED))
 def bootstrap_stratified_capped_embeddings(spark, d):
     return _capped(spark, d, "stratified")
 
@@ -328,11 +328,6 @@ def family_part(spark, d):
     return p.select("p_type", F.when(F.contains("p_type", F.lit("STANDARD")), "x").otherwise("y").alias("kind"), B.family_of_name(F.col("p_type")).alias("family"), "n")
 
 
-_PHI = "1.0::DOUBLE"
-for _k in range(60, 0, -1):
-    _PHI = f"(1 + x * x / {2 * _k + 1}.0::DOUBLE * {_PHI})"
-
-
 @query(f"""WITH {_CELL}, p AS (SELECT a.method AS method1, c.method AS method2, a.score - c.score AS delta FROM s a JOIN s c USING (dataset, learner, seed) WHERE a.method < c.method), e AS (SELECT method1, method2 FROM p GROUP BY ALL HAVING count(*) >= 10),
 d AS (SELECT method1, method2, delta, {_TIED.format(p="method1, method2", o="abs(delta)", v="abs(delta)")} AS r, count(*) OVER (PARTITION BY method1, method2, abs(delta))::DOUBLE AS t FROM p JOIN e USING (method1, method2) WHERE delta <> 0),
 w AS (SELECT method1, method2, count(*)::DOUBLE AS n, sum(CASE WHEN delta > 0 THEN r ELSE 0 END) AS w_plus, sum(t * t - 1) AS tt FROM d GROUP BY ALL),

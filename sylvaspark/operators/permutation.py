@@ -161,8 +161,8 @@ def threshold_statistics(one: DataFrame, at: DataFrame, n: int, seed: int, crite
     """
     by = by or []
     keys = [*by, "feature"]
+    every = permuted(one.select(*by, "row_id", "y").distinct(), n, seed, by).withColumn("row_id", F.col("row_id").cast("string"))
     one = one.withColumn("row_id", F.col("row_id").cast("string"))
-    every = permuted(one.select(*by, "row_id", "y").distinct(), n, seed, by)
     if criterion == "mae":
         sided = one.select(*keys, "row_id", "x").join(at, keys).withColumn("side", (F.col("x") > F.col("threshold")).cast("int")).drop("x")
         moved = every.join(sided, [*by, "row_id"])

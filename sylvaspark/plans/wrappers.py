@@ -22,6 +22,7 @@ from ..functions.distributions import beta_cdf
 from ..operators.evaluation import folds
 from ..operators.sampling import bootstrap
 from ..operators.trees import TreeParams, grow
+from ..sources.stages import stage
 from .ranking import correlated_pairs, filter_ranking, mrmr, permutation_ranking
 
 #: Rows that exchange values with each other; larger tables are cut into random blocks of about this size.
@@ -88,21 +89,31 @@ def donated(df: DataFrame, row_id: str, features: list[str], seed: int, repeats:
     return t.select("feature", "b", "row_id", F.coalesce(F.lead(x).over(w), F.first(x).over(w))["x"].alias("x"))
 
 
-def strata(df: DataFrame, columns: list[str], bins: int = 5) -> Column:
-    """A row's stratum: bins between the distinct equal-share quantiles of each column, as digits to base ``bins``."""
-    at = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-    out = F.lit(0).cast("long")
+def bins_of(df: DataFrame, columns: list[str], bins: int = 5) -> dict[str, Column]:
+    """A row's bin of each column, between its distinct equal-share quantiles, and none for a column that does not vary."""
     if not columns:
-        return out
+        return {}
+    at = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
     cuts = df.agg(*(F.percentile(F.col(c).cast("double"), at).alias(c) for c in columns)).first()
-    for c in columns:
-        inner = sorted(set(cuts[c] or []))
-        if len(inner) > 1:
-            inside = sum(((F.col(c) >= v).cast("long") for v in inner[1:-1]), F.lit(0).cast("long"))
-            out = out * bins + inside
+    inner = {c: sorted(set(cuts[c] or [])) for c in columns}
+    return {c: sum(((F.col(c) >= v).cast("long") for v in inner[c][1:-1]), F.lit(0).cast("long")) for c in columns if len(inner[c]) > 1}
+
+
+def strata_code(digits: list[Column], bins: int = 5) -> Column:
+    """One number for some bins: digits to base ``bins``, or their hash where a long has no room for them."""
+    if len(digits) > 20:
+        return F.xxhash64(*digits)
+    out = F.lit(0).cast("long")
+    for d in digits:
+        out = out * bins + d
     return out
 
 
+def strata(df: DataFrame, columns: list[str], bins: int = 5) -> Column:
+    """A row's stratum: its bins of some columns as one number."""
+    return strata_code([*bins_of(df, columns, bins).values()], bins)
+
+
 def _score(rows: DataFrame, task: str, by: list[str]) -> DataFrame:
     """(*by, score): balanced accuracy, or the share of variance explained."""
     if task == "classification":
@@ -134,7 +145,9 @@ def permutation_importance(df: DataFrame, row_id: str, features: list[str], targ
         for r in correlated_pairs(held, features, conditional).collect():
             near.setdefault(r["a"], []).append(r["b"])
             near.setdefault(r["b"], []).append(r["a"])
-        within = {f: strata(held, sorted(c, key=features.index)) for f, c in near.items()}
+        digits = bins_of(held, sorted(near, key=features.index))
+        held = stage(held.withColumns({f"_bin_{c}": d for c, d in digits.items()}), "binned")
+        within = {f: strata_code([F.col(f"_bin_{c}") for c in sorted(cs, key=features.index) if c in digits]) for f, cs in near.items()}
     moved = donated(held, "row_id", features, seed, repeats, within).join(held, "row_id")
     moved = moved.select("feature", "b", "_y", *(F.when(F.col("feature") == f, F.col("x")).otherwise(F.col(f)).alias(f) for f in features))
     after = _score(predicted(moved), task, ["feature", "b"]).groupBy("feature").agg(F.avg("score").alias("after"))

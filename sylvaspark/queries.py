@@ -111,7 +111,7 @@ _NEAR = ", ".join(f"abs(x - lag(x, {s}) OVER w) AS b{s}, abs(x - lead(x, {s}) OV
 @query(f"""WITH l AS ({_VL}), c AS (SELECT *, count(*) OVER (PARTITION BY feature, y) AS nc FROM l), p AS (SELECT * FROM c WHERE nc > 1),
 w0 AS (SELECT *, least(3, nc - 1) AS k, {_NEAR} FROM p WINDOW w AS (PARTITION BY feature, y ORDER BY x, row_id)),
 r AS (SELECT feature, row_id, x, k, nc, list_sort(list_filter([b1, b2, b3, f1, f2, f3], lambda v: v IS NOT NULL))[k] * (1 - 1e-10::DOUBLE) AS d FROM w0),
-m AS (SELECT r.feature, r.row_id, any_value(k) AS k, any_value(nc) AS nc, count(*) AS m FROM r JOIN p ON p.feature = r.feature AND p.x BETWEEN r.x - d AND r.x + d GROUP BY ALL),
+m AS (SELECT r.feature, r.row_id, any_value(r.k) AS k, any_value(r.nc) AS nc, count(*) AS m FROM r JOIN p ON p.feature = r.feature AND p.x BETWEEN r.x - d AND r.x + d GROUP BY ALL),
 dg AS (SELECT i, -0.5772156649015329::DOUBLE + coalesce(sum(1.0::DOUBLE / (i - 1)) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS psi FROM range(1, 200001) g(i) WHERE i > 1 UNION ALL SELECT 1, -0.5772156649015329::DOUBLE),
 n AS (SELECT feature, count(*) AS n FROM p GROUP BY 1)
 SELECT m.feature, round(greatest(0, any_value(dn.psi) + avg(dk.psi) - avg(dc.psi) - avg(dm.psi)), 6) AS mi FROM m JOIN n USING (feature) JOIN dg dn ON dn.i = n.n JOIN dg dk ON dk.i = m.k JOIN dg dc ON dc.i = m.nc JOIN dg dm ON dm.i = m.m GROUP BY m.feature""")
@@ -619,7 +619,10 @@ def friedman_board(spark, d):
     return rounded(I.friedman(B.average_rank(s, ["dataset"], "score"), "dataset", "method", "rank"))
 
 
-_DELTA = f"WITH b AS ({_BOARD}), s AS (SELECT dataset, method, count(*)::DOUBLE AS score FROM b GROUP BY ALL), p AS (SELECT x.method, x.dataset, x.score - y.score AS delta FROM s x JOIN s y ON x.dataset = y.dataset AND y.method = 'BUILDING' AND x.method <> 'BUILDING'), d AS (SELECT method, delta, rank() OVER (PARTITION BY method ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY method, abs(delta)) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY method, abs(delta))::DOUBLE AS t FROM p WHERE delta <> 0), w AS (SELECT method, count(*) AS n, sum(CASE WHEN delta > 0 THEN r ELSE 0 END) AS w_plus, sum(t * t - 1) AS tt FROM d GROUP BY method), z AS (SELECT method, n, w_plus, round((w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2.0::DOUBLE * n + 1) / 24 - tt / 48), 6) AS z FROM w)"
+_PHI = "1.0::DOUBLE"
+for _k in range(60, 0, -1):
+    _PHI = f"(1 + x * x / {2 * _k + 1}.0::DOUBLE * {_PHI})"
+_DELTA = f"WITH b AS ({_BOARD}), s AS (SELECT dataset, method, count(*)::DOUBLE AS score FROM b GROUP BY ALL), p AS (SELECT x.method, x.dataset, x.score - y.score AS delta FROM s x JOIN s y ON x.dataset = y.dataset AND y.method = 'BUILDING' AND x.method <> 'BUILDING'), d AS (SELECT method, delta, rank() OVER (PARTITION BY method ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY method, abs(delta)) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY method, abs(delta))::DOUBLE AS t FROM p WHERE delta <> 0), w AS (SELECT method, count(*) AS n, sum(CASE WHEN delta > 0 THEN r ELSE 0 END) AS w_plus, sum(t * t - 1) AS tt FROM d GROUP BY method), z0 AS (SELECT method, n, w_plus, (w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2.0::DOUBLE * n + 1) / 24 - tt / 48) AS z FROM w), z1 AS (SELECT *, abs(z) AS x FROM z0), z AS (SELECT method, n, w_plus, round(z, 6) AS z, round(greatest(0, 1 - 2 * exp(-x * x / 2) / sqrt(2 * pi()) * x * {_PHI}), 6) AS p_value FROM z1)"
 
 
 def _signed(spark, d):
@@ -633,9 +636,9 @@ def wilcoxon_board(spark, d):
     return _signed(spark, d)
 
 
-@query(_DELTA + " , o AS (SELECT method, p, row_number() OVER (ORDER BY p, method) AS i, count(*) OVER () AS m FROM (SELECT method, 1 / (1 + abs(z)) AS p FROM z)) SELECT method, round(p, 6) AS p, round(max(least(1.0::DOUBLE, p * (m - i + 1))) OVER (ORDER BY i), 6) AS holm FROM o")
+@query(_DELTA + " , o AS (SELECT method, p, row_number() OVER (ORDER BY p, method) AS i, count(*) OVER () AS m FROM (SELECT method, p_value AS p FROM z)) SELECT method, round(p, 6) AS p, round(max(least(1.0::DOUBLE, p * (m - i + 1))) OVER (ORDER BY i), 6) AS holm FROM o")
 def holm_board(spark, d):
-    t = _signed(spark, d).select("method", (1 / (1 + F.abs("z"))).alias("p"))
+    t = _signed(spark, d).select("method", F.col("p_value").alias("p"))
     return rounded(I.holm(t, "p", ["method"]))
 
 
@@ -660,7 +663,7 @@ def permutation_importance_embeddings(spark, d):
 
 @query()
 def conditional_importance_embeddings(spark, d):
-    return rounded(wrappers.permutation_importance(_vectors(spark, d), "vec_id", DIMENSIONS, "label", seed=3, repeats=5, conditional=0.1))
+    return rounded(wrappers.permutation_importance(_vectors(spark, d), "vec_id", DIMENSIONS, "label", seed=3, repeats=5, conditional=0.2))
 
 
 @query()
