@@ -50,9 +50,9 @@ def predict(model: str, train: DataFrame, test: DataFrame, row_id: str, features
     vector = VectorAssembler(inputCols=features, outputCol="_x")
     a, b = vector.transform(train), vector.transform(test)
     columns = {"featuresCol": "_x", "labelCol": "_y"}
-    if model == "ridge":  # Spark's loss is a mean, so a strength of 1 for the sum is 1 / n
-        n = train.count()
-        fitted = LinearRegression(regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, solver="normal", **columns).fit(a)
+    if model == "ridge":  # Spark's loss is a mean over the label's deviation, so a strength of 1 for the sum is sd / n
+        facts = train.agg(F.count("*").alias("n"), F.stddev_pop("_y").alias("s")).first()
+        fitted = LinearRegression(regParam=(facts["s"] or 1.0) / max(facts["n"], 1), elasticNetParam=0.0, standardization=False, solver="normal", **columns).fit(a)
         return fitted.transform(b).select(*keep, "prediction")
     if model == "svr":
         return LinearRegression(loss="huber", maxIter=100, **columns).fit(a).transform(b).select(*keep, "prediction")

@@ -60,8 +60,8 @@ def test_mutual_information_is_that_of_all_pairs(spark, monkeypatch):
     rng = np.random.default_rng(2)
     for rows in (1 << 20, 9):
         monkeypatch.setattr(numbering, "ROWS", rows)
-        x = np.round(rng.normal(size=50), 1).tolist()
-        y = [int(v > 0) + (i % 7 == 0) for i, v in enumerate(x)] 
+        x = (np.round(rng.normal(size=50) * 8) / 8).tolist()  # distances without rounding
+        y = [int(v > 0) + (i % 7 == 0) for i, v in enumerate(x)]
         y[3] = 9  # alone in its class
         assert association.mutual_information(long(spark, x, y)).first()["mi"] == pytest.approx(brute_mi(x, y), abs=1e-6)
 
@@ -77,7 +77,7 @@ def brute_rdc(x, y, seed):
 def test_randomised_dependence_on_numbers_and_classes(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=60).tolist()
-    y = [v * v + 0.1 * w for v, w in zip(x, rng.normal(size=60))]
+    y = [float(v * v + 0.1 * w) for v, w in zip(x, rng.normal(size=60))]
     assert association.rdc(long(spark, x, y)).first()["rdc"] == pytest.approx(brute_rdc(x, y, 42), abs=1e-6)
     c = [int(v > 0.5) + int(v > 1) for v in y]
     want = max(brute_rdc(x, [float(v == k) for v in c], 42 + k) for k in range(3))
