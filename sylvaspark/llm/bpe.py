@@ -37,6 +37,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 SHORT = 96
 #: Words, and chunks, kept ready in each worker, in two halves; the memory is bounded.
 WORDS, CHUNKS = 160_000, 120_000
@@ -322,7 +324,7 @@ def _mapped(docs: DataFrame, path: str, key: str, text: str, schema: pa.Schema,
 
     def run(batches):
         model = parsed(content.value)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [row(model, t.as_py() or "") for t in batch.column(1)]
             columns = list(zip(*rows)) if rows else [[]] * (len(schema) - 1)
             yield pa.record_batch([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)

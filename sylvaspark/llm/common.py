@@ -68,6 +68,14 @@ def release(*stages: DataFrame) -> None:
         df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(df._written_at)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches cut to a few hundred rows, without copying: where the caller's session decides how large they come."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def signed(hexadecimal) -> "F.Column":
     """The first 16 hexadecimal digits of a string column, as a long that may be negative."""
     return F.conv(F.substring(hexadecimal, 1, 16), 16, -10).cast("long")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_bytes
+from .common import materialize, slices, text_bytes
 
 #: Runs that a compaction merges into one.
 FAN = 8
@@ -195,7 +195,7 @@ def _digested(docs: DataFrame, digest_bytes: int, keep: str, seen: "Hits | None"
     others = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             text = batch.column(batch.schema.get_field_index("row")).field(inside) if inside else batch.column(batch.schema.get_field_index("text"))
             bodies = [normalized(b) for b in text_bytes(text)]
             digests = [hashlib.sha256(b).digest() for b in bodies]

@@ -37,12 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, text_bytes
+from .common import chunks, materialize, slices, text_bytes
 from .texthash import U, mix, words
 
 VOCABULARY = 1_000_000
 HOT_SHARE = 1 / 16384
-BLOCK = 3_000_000
+BLOCK = 1_000_000
+#: Parts that a bucket is counted in, for the sake of memory.
+PARTS = 4
 _BITS = 21  # ids of frequent words, of any rare one and of the start
 _MICRO = 1e6
 
@@ -72,7 +74,7 @@ def unigrams(docs: DataFrame, hot_share: float = HOT_SHARE) -> DataFrame:
             follows = pa.nulls(len(w), pa.int64()) if after is None else pa.array(after.view(np.int64))
             return pa.record_batch([pa.array(w.view(np.int64)), follows, pa.array(n)], names=["word", "after", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for _, _, h, at in _blocks(batch.column(0)):
                 held.append(np.unique(h, return_counts=True))
                 if len(h) > 1:
@@ -100,7 +102,7 @@ def hot_bigrams(docs: DataFrame, vocabulary, hot: np.ndarray) -> dict[int, int]:
     def run(batches):
         vocab = vocabulary.value[0]
         total = np.zeros(len(hot), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for _, _, h, at in _blocks(batch.column(0)):
                 if len(h):
                     _, ids, before, _ = _pairs(h, at, vocab)
@@ -183,7 +185,7 @@ def bigrams(docs: DataFrame, vocabulary, hot, rule: Rule, buckets: int) -> DataF
         vocab, count = vocabulary.value
         hot_keys, hot_seen = hot.value
         unknown, start = len(vocab), len(vocab) + 1
-        for batch in batches:
+        for batch in slices(batches):
             who = batch.column(0).to_pylist()
             for a, b, h, at in _blocks(batch.column(1)):
                 if not len(h):
@@ -223,7 +225,7 @@ def rare_bigrams(docs: DataFrame, vocabulary) -> DataFrame:
 
     def run(batches):
         vocab = vocabulary.value[0]
-        for batch in batches:
+        for batch in slices(batches):
             for a, _, h, at in _blocks(batch.column(1)):
                 if not len(h):
                     continue
@@ -282,19 +284,24 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", backoff: flo
                 v, w = v[mixed], w[mixed]
                 place = np.searchsorted(word, np.frombuffer(fingerprints.as_py(), np.uint64))
                 k[mixed] = (1 << 62) | (place << (_BITS + 1)) | (np.where(w == unknown, v, w) << 1) | (w == unknown)
-            parts.append((k, np.frombuffer(n.as_py(), np.uint32), np.frombuffer(doc.as_py(), np.uint16).astype(np.int64) + sum(sizes[-1:])))
+            parts.append((k, np.frombuffer(n.as_py(), np.uint32), np.frombuffer(doc.as_py(), np.uint16).astype(np.int32) + np.int32(sum(sizes[-1:]))))
             sizes.append(sum(sizes[-1:]) + len(docs_))
         k, n, doc = (np.concatenate(x) for x in zip(*parts))
-        distinct, place = np.unique(k, return_inverse=True)
-        seen = np.bincount(place, n)  # this hash range of the bigram table
-        mixed, second = distinct >> 62 == 1, (distinct & 1).astype(bool)
-        other = (distinct >> 1) & ((1 << _BITS) - 1)
-        own = times[np.where(mixed, (distinct & ~(1 << 62)) >> (_BITS + 1), -1)]
-        v = np.where(mixed, np.where(second, other, unknown), distinct >> _BITS)
-        w = np.where(mixed, np.where(second, unknown, other), distinct & ((1 << _BITS) - 1))
-        cv, cw = np.where(mixed & ~second, own, count[v]), np.where(mixed & second, own, count[w])
-        units, missed = rule(seen, v == start, cv, cw)
-        sums = _sums(doc, n, units[place], missed[place], sizes[-1])
+        parts.clear()
+        part = (mix(k.view(np.uint64)) & U(PARTS - 1)).astype(np.uint8)
+        sums = np.zeros((3, sizes[-1]), np.int64)
+        for i in range(PARTS):  # this hash range of the bigram table, a part at a time
+            here = part == i
+            distinct, place = np.unique(k[here], return_inverse=True)
+            seen = np.bincount(place, n[here], len(distinct))
+            mixed, second = distinct >> 62 == 1, (distinct & 1).astype(bool)
+            other = (distinct >> 1) & ((1 << _BITS) - 1)
+            own = times[np.where(mixed, (distinct & ~(1 << 62)) >> (_BITS + 1), -1)]
+            v = np.where(mixed, np.where(second, other, unknown), distinct >> _BITS)
+            w = np.where(mixed, np.where(second, unknown, other), distinct & ((1 << _BITS) - 1))
+            cv, cw = np.where(mixed & ~second, own, count[v]), np.where(mixed & second, own, count[w])
+            units, missed = rule(seen, v == start, cv, cw)
+            sums += _sums(doc[here], n[here], units[place], missed[place], sizes[-1])
         packed = [sums[:, x:y].tobytes() for x, y in zip([0, *sizes[:-1]], sizes)]
         return pa.table({"block": group.column("block"), "docs": group.column("docs"), "sums": pa.array(packed, pa.binary())})
 

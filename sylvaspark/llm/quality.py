@@ -12,9 +12,11 @@ is one matrix of fixed size and one histogram of fixed size.
 
 Labels are learnt only from rows whose crc32(doc_id as text) mod 5 is not 0: 1 to 3
 for the ridge, 4 for the calibration.  Labels, language, source and doc_id are no
-inputs.  Nulls: a null text counts as empty and is scored like one; a null label or
+inputs.  Nulls and the like: a null text counts as empty and is scored like one; a null label or
 label id is no label; several labels of a document count as their maximum; without
-labels all scores are ``DEFAULT`` and nothing is rejected.
+labels all scores are ``DEFAULT`` and nothing is rejected; equal texts have equal scores; texts of any length are
+read whole; an empty table gives an empty result; columns of any other name are not read, and :func:`keep_good` returns them
+unchanged.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_bytes
+from .common import materialize, slices, text_bytes
 
 FEATURES, GAMMA, RIDGE, SEED, BINS, DEFAULT = 192, 2.0, 1e-3, 7, 1024, 0.5
 _UNIT = 2048.0
@@ -84,7 +86,7 @@ def featurize(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: t
     rows = docs.select(F.col(text).cast("string").alias("_text"), F.col(key).cast("long").alias("doc_id"), *carry)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             stats = [statistics(b) for b in text_bytes(batch.column(0))]
             yield pa.record_batch([*batch.columns[1:], pa.array(stats, pa.list_(pa.float32()))], names=[*batch.schema.names[1:], "stats"])
 
@@ -214,12 +216,14 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     columns = docs.columns
     stats = materialize(featurize(docs, key, text), "stats")
     model = fit(stats, labels, key=key, **options)
-    packed = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), F.struct(*columns).alias("_row"))
+    # the text is read where it stands in the row; a column of another type goes beside it as a string
+    inside = dict(docs.dtypes)[text] == "string"
+    packed = docs.select(F.struct(*columns).alias("_row"), *([] if inside else [F.col(text).cast("string").alias("_text")]))
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                s = model.score(np.array([statistics(b) for b in text_bytes(batch.column(0))], dtype=np.float32))
-                yield batch.filter(pa.array(s >= threshold))
+        for batch in slices(batches):
+            body = batch.column(0).field(text) if inside else batch.column(1)
+            s = model.score(np.array([statistics(b) for b in text_bytes(body)], dtype=np.float32))
+            yield batch.filter(pa.array(s >= threshold))
 
     return packed.mapInArrow(run, packed.schema).select("_row.*")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import slices, text_bytes
 
 #: Payload bytes of a sample row; and rows of a page and of a strip or tile.
 WIDTH, PAGE_ROWS, PART_ROWS, TILE_WIDTH = 576, 64, 16, 144
@@ -287,7 +287,7 @@ def to_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """(doc_id, n_bytes, media): every whole text, padded with bytes 255, as a TIFF."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             for i, body in enumerate(text_bytes(batch.column(1))):
                 yield pa.record_batch([batch.column(0).slice(i, 1), pa.array([len(body)], pa.int64()), pa.array([store(padded(body))], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
@@ -384,7 +384,7 @@ def media_digests(media: DataFrame) -> DataFrame:
     """Digests and features of the page rows that :func:`page_rows` reads back from each row (doc_id, n_bytes, media)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for who, n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 stored = data.as_py()
