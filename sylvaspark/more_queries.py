@@ -209,7 +209,7 @@ def forest_paths_embeddings(spark, d):
 @query()
 def evaluate_fold_embeddings(spark, d):
     v = E.folds(_vectors(spark, d), "vec_id", 5, 7, "label")
-    rows = downstream.evaluate_fold(v.where("fold > 0"), v.where("fold = 0"), "vec_id", DIMENSIONS, "label", ks=[5, 64])
+    rows = downstream.evaluate_fold(v.where("fold > 0"), v.where("fold = 0"), "vec_id", DIMENSIONS, "label", ks=[64], models=("lr", "knn"))
     names = list(rows[0])
     return rounded(spark.createDataFrame([tuple(r[c] for c in names) for r in rows], "k int, n_features_selected int, downstream_model string, accuracy double, f1 double, f1_macro double, balanced_accuracy double, roc_auc double, auc double"))
 

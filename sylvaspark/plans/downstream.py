@@ -48,19 +48,19 @@ def predict(model: str, train: DataFrame, test: DataFrame, row_id: str, features
         share = votes.groupBy("row_id").agg(*(F.try_divide(F.sum(F.when(F.col("y") == c, F.col("w")).otherwise(0.0)), F.sum("w")).alias(f"p{c}") for c in range(classes)))
         return out.join(share.select(F.col("row_id").alias(row_id), F.array(*(f"p{c}" for c in range(classes))).alias("proba")), row_id)
     vector = VectorAssembler(inputCols=features, outputCol="_x")
-    a, b = vector.transform(train), vector.transform(test)
+    a, b = vector.transform(train).select(*keep, "_x").cache(), vector.transform(test)  # read once for each step of a fit
     columns = {"featuresCol": "_x", "labelCol": "_y"}
     if model == "ridge":  # Spark's loss is a mean over the label's deviation, so a strength of 1 for the sum is sd / n
         facts = train.agg(F.count("*").alias("n"), F.stddev_pop("_y").alias("s")).first()
         fitted = LinearRegression(regParam=(facts["s"] or 1.0) / max(facts["n"], 1), elasticNetParam=0.0, standardization=False, solver="normal", **columns).fit(a)
         return fitted.transform(b).select(*keep, "prediction")
     if model == "svr":
-        return LinearRegression(loss="huber", maxIter=100, **columns).fit(a).transform(b).select(*keep, "prediction")
+        return LinearRegression(loss="huber", maxIter=100, tol=1e-3, **columns).fit(a).transform(b).select(*keep, "prediction")
     a = _weighted(a)
     if model == "lr":  # an inverse strength of 1 for the sum
-        fitted = LogisticRegression(maxIter=1000, regParam=1.0 / max(train.count(), 1), standardization=False, weightCol="_w", family="multinomial", **columns).fit(a)
+        fitted = LogisticRegression(maxIter=1000, tol=1e-4, regParam=1.0 / max(train.count(), 1), standardization=False, weightCol="_w", family="multinomial", **columns).fit(a)
         return fitted.transform(b).select(*keep, "prediction", vector_to_array("probability").alias("proba"))
-    one = LinearSVC(maxIter=100, regParam=0.01, weightCol="_w", **columns)
+    one = LinearSVC(maxIter=50, tol=1e-3, regParam=0.01, weightCol="_w", **columns)
     fitted = one.fit(a) if classes == 2 else OneVsRest(classifier=one, weightCol="_w", **columns).fit(a)
     raw = fitted.transform(b)
     # margins stand in for probabilities: the curve only needs their order

@@ -320,7 +320,7 @@ def tree_nodes_embeddings(spark, d):
 
 @query()
 def tree_permutation_embeddings(spark, d):
-    m = trees.grow(_vectors(spark, d), "vec_id", DIMENSIONS, "label", trees.TreeParams(max_depth=2, min_leaf=5, n_resamples=40))
+    m = trees.grow(_vectors(spark, d), "vec_id", DIMENSIONS, "label", trees.TreeParams(max_depth=2, min_leaf=5, n_resamples=40, threshold_method="histogram", max_thresholds=8))
     return rounded(m.table(spark))
 
 

@@ -122,7 +122,7 @@ def toy(spark, n=200):
 
 def test_tree_invariants(spark):
     df = toy(spark).cache()
-    m = trees.grow(df, "id", ["a", "b"], "y", trees.TreeParams(max_depth=3, n_resamples=40))
+    m = trees.grow(df, "id", ["a", "b"], "y", trees.TreeParams(max_depth=3, n_resamples=40, threshold_method="histogram", max_thresholds=8))
     root = m.nodes[0, 1]
     assert root.feature == "a" and 0.2 < root.threshold < 0.8
     leaves = [n for n in m.nodes.values() if n.feature is None]
@@ -253,7 +253,7 @@ def test_coverage_probability():
 def test_permutation_tree_splits_on_four_features(spark):
     rows = [(i, (i * 37 % 101) / 101, (i * 53 % 97) / 97, (i * 29 % 89) / 89, (i * 41 % 83) / 83, int((i * 29 % 89) / 89 > 0.5)) for i in range(160)]
     df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double, y int")
-    root = trees.grow(df, "id", ["a", "b", "c", "d"], "y", trees.TreeParams(max_depth=1, n_resamples=40)).nodes[0, 1]
+    root = trees.grow(df, "id", ["a", "b", "c", "d"], "y", trees.TreeParams(max_depth=1, n_resamples=40, threshold_method="percentile", max_thresholds=9)).nodes[0, 1]
     assert root.feature == "c" and 0.45 < root.threshold < 0.55
     assert root.p_feature == pytest.approx(1 / 161)
 
@@ -261,5 +261,5 @@ def test_permutation_tree_splits_on_four_features(spark):
 def test_permutation_tree_scales_resamples_by_the_features_that_vary(spark):
     rows = [(i, i / 160, 1.0, (i * 29 % 89) / 89, int(i >= 80)) for i in range(160)]
     df = spark.createDataFrame(rows, "id long, a double, b double, c double, y int")
-    root = trees.grow(df, "id", ["a", "b", "c"], "y", trees.TreeParams(max_depth=1, n_resamples=40)).nodes[0, 1]
+    root = trees.grow(df, "id", ["a", "b", "c"], "y", trees.TreeParams(max_depth=1, n_resamples=40, threshold_method="percentile", max_thresholds=9)).nodes[0, 1]
     assert root.feature == "a" and root.p_feature == pytest.approx(1 / 81)
