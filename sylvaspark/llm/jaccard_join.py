@@ -450,5 +450,6 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: st
     Rows with a null identifier stay (they cannot be told apart); of rows that repeat an identifier all stay or go.
     """
     groups = near_groups(docs, k, num, den, key, text)
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.struct(*docs.columns).alias("row"))
+    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
