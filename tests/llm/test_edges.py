@@ -165,3 +165,61 @@ def test_densities_are_those_of_the_tree():
     total = {i: sum(page.density(j, 2) for j in range(1, len(page.tag)) if page.parent[j] == i) for i in range(len(page.tag))}
     best = max(total, key=total.get)
     assert best in page.main()
+
+
+def test_quality_against_brute_force(spark):
+    """Kernel, normal equations, pooling and scores, one row at a time in plain Python."""
+    import math
+    import random
+    import zlib
+
+    import numpy as np
+
+    rng = random.Random(12)
+    rows, marks = [], []
+    for i in range(160):
+        good = rng.random() < 0.6
+        words = [rng.choice(("the", "report", "of", "results")) for _ in range(rng.randint(5, 40))] if good else [rng.choice(("###", "$$$", "BUY!!")) for _ in range(rng.randint(5, 40))]
+        rows.append((i, " ".join(words) + ("." if good else "")))
+        if i % 4:
+            marks.append((i, int(good) if rng.random() < 0.9 else int(not good)))
+    got = {r["doc_id"]: r["score"] for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(marks, "doc_id long, quality int")).collect()}
+    kernel = quality.Kernel()
+    label, fold = dict(marks), {i: zlib.crc32(str(i).encode()) % 5 for i, _ in rows}
+    z = {}
+    for i, t in rows:
+        x = np.float32(quality.statistics(t.encode())).astype(float)
+        z[i] = [round(math.cos(sum(a * b for a, b in zip(x, kernel.w[:, j])) + kernel.b[j]) * 2048) / 2048 for j in range(quality.FEATURES)] + [1.0]
+    train = [i for i in label if fold[i] in (1, 2, 3)]
+    size = quality.FEATURES + 1
+    a, b = [[0.0] * size for _ in range(size)], [0.0] * size
+    for i in train:
+        for p in range(size):
+            b[p] += z[i][p] * label[i]
+            for q in range(size):
+                a[p][q] += z[i][p] * z[i][q]
+    beta = np.linalg.solve(np.array(a) / len(train) + quality.RIDGE * np.eye(size), np.array(b) / len(train))
+    at = {i: min(max((float(np.dot(z[i], beta)) + 0.5) / 2 * (quality.BINS - 1), 0), quality.BINS - 1) for i in z}
+    bins: dict[int, list[int]] = {}
+    for i in label:
+        if fold[i] == 4:
+            bins.setdefault(int(np.rint(at[i])), []).append(label[i])
+    blocks = [[len(v), sum(v), k, k] for k, v in sorted(bins.items())]
+    while (bad := next((j for j in range(len(blocks) - 1) if blocks[j][1] * blocks[j + 1][0] >= blocks[j + 1][1] * blocks[j][0]), None)) is not None:
+        n, s, first, _ = blocks[bad]
+        m, t, _, last = blocks[bad + 1]
+        blocks[bad : bad + 2] = [[n + m, s + t, first, last]]
+    places, values = [(f + e) / 2 for _, _, f, e in blocks], [(s + 0.5) / (n + 1) for n, s, _, _ in blocks]
+    curve = np.interp(range(quality.BINS), places, values)
+    for i in z:
+        assert got[i] == pytest.approx(float(np.interp(at[i], range(quality.BINS), curve)), abs=2e-3), i
+
+
+def test_statistics_by_definition():
+    text = b"One two two.\n\nTHREE 45 | ok!\nx"
+    s = quality.statistics(text)
+    words = ["One", "two", "two.", "THREE", "45", "|", "ok!", "x"]
+    n = len(text)
+    assert s[2] == pytest.approx(len(set(words)) / 8) and s[3] == pytest.approx(1 / 8) and s[4] == 0
+    assert s[6] == pytest.approx(min(1, 4 * 3 / n)) and s[8] == pytest.approx(6 / n) and s[9] == pytest.approx(4 * 2 / n) and s[16] == pytest.approx(2 / 8)
+    assert s[13] == pytest.approx(2 / 3) and s[14] == 1 and quality.statistics(b"") == [0.0] * 17
