@@ -39,15 +39,25 @@ def _filled(kind: str, **items) -> Registry:
 
 def _load() -> tuple[Registry, ...]:
     from .functions import association as a
+    from .operators import permutation as p
     from .operators import sampling, splits
 
+    def test(kind: str):
+        return lambda long, n=100, seed=0, by=None: p.permutation_test(long, n, seed, kind, by)
+
+    def threshold_test(criterion: str):
+        return lambda one, at, n=100, seed=0, by=None: p.threshold_test(one, at, n, seed, criterion, by)
+
     return (
-        _filled("classifier statistic", mc=a.correlation_ratio, mi=a.mutual_information, rdc=a.rdc),
+        _filled("classifier statistic", mc=a.correlation_ratio, mi=a.mutual_information, rdc=lambda long, **k: a.rdc(long, task="classification", **k)),
         _filled("regressor statistic", pc=a.pearson, dc=a.distance_correlation, rdc=a.rdc),
+        _filled("classifier test", mc=test("mc"), mi=test("mi"), rdc=test("rdc_class")),
+        _filled("regressor test", pc=test("pc"), dc=test("dc"), rdc=test("rdc")),
         _filled("split criterion", gini=splits.gini_sweep, entropy=splits.entropy_sweep, mse=splits.mse_sweep, mae=splits.mae_sweep),
+        _filled("threshold test", **{c: threshold_test(c) for c in ("gini", "entropy", "mse", "mae")}),
         _filled("threshold method", **{m: (lambda long, m=m, **k: splits.thresholds(long, m, **k)) for m in ("exact", "random", "percentile", "histogram")}),
-        _filled("sampling method", **{m: (lambda rows, row_id, trees, seed, label=None, m=m: sampling.bootstrap(rows, row_id, trees, seed, label, m)) for m in ("classic", "stratified", "undersample", "oversample")}),
+        _filled("sampling method", **{m: (lambda rows, row_id, trees, seed, label=None, m=m, **k: sampling.bootstrap(rows, row_id, trees, seed, label, m, **k)) for m in ("classic", "stratified", "undersample", "oversample")}),
     )
 
 
-CLASSIFIER_STATISTICS, REGRESSOR_STATISTICS, SPLIT_CRITERIA, THRESHOLD_METHODS, SAMPLING_METHODS = _load()
+CLASSIFIER_STATISTICS, REGRESSOR_STATISTICS, CLASSIFIER_TESTS, REGRESSOR_TESTS, SPLIT_CRITERIA, THRESHOLD_TESTS, THRESHOLD_METHODS, SAMPLING_METHODS = _load()

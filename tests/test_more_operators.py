@@ -460,3 +460,16 @@ def test_sensitivity_tables_hand_values(spark):
         board.with_config(df.withColumnRenamed("method", "config_id"), spark.createDataFrame([("m1", 1)], "config_id string, p int"))
     nan = spark.createDataFrame([(1, float("nan")), (1, 2.0), (1, 4.0)], "g int, v double")
     assert board.aggregate_seeds(nan, ["g"], ["v"]).first()["v_mean"] == 3.0
+
+
+def test_registries(spark):
+    from sylvaspark import registry
+
+    assert registry.CLASSIFIER_TESTS.names() == ["mc", "mi", "rdc"] and registry.REGRESSOR_TESTS.names() == ["dc", "pc", "rdc"] and registry.THRESHOLD_TESTS.names() == ["entropy", "gini", "mae", "mse"]
+    df = long(spark, [0.0] * 15 + [1.0] * 15, [0] * 15 + [1] * 15)
+    assert registry.CLASSIFIER_TESTS["mc"](df, 39).first()["p_value"] == pytest.approx(1 / 40)
+    assert registry.THRESHOLD_TESTS["gini"](df, splits.midpoints(df), 39).first()["p_value"] == pytest.approx(1 / 40)
+    with pytest.raises(KeyError):
+        registry.CLASSIFIER_STATISTICS["pc"]
+    with pytest.raises(ValueError):
+        registry.SPLIT_CRITERIA.register("gini")(None)
