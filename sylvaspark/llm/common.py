@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stages import release, shared_dir
+
+__all__ = ["ARROW_ROWS", "chunks", "materialize", "release", "settings", "shared_dir", "signed", "slices", "table", "text_bytes"]
+
 #: Rows of an Arrow batch while a stage of texts is written: texts may be long, so batches stay small.
 ARROW_ROWS = 400
 
@@ -37,17 +40,6 @@ def settings(spark: SparkSession, **values: str):
                 spark.conf.set(k, v)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="sylvaspark-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -62,12 +54,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
-def release(*stages: DataFrame) -> None:
-    """Empty the folders of written stages that nothing reads any more."""
-    for df in stages:
-        df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(df._written_at)
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
     """Batches cut to a few hundred rows, without copying: where the caller's session decides how large they come."""
     for batch in batches:
