@@ -12,12 +12,20 @@ from ..functions.distributions import chi2_sf, wilcoxon_p
 from .numbering import blocks_for, number, value_block
 
 
+#: Draws of a task, about.
+DRAWS = 1 << 20
+
+
 def draws(n_draws: int, rows: DataFrame, seed: int) -> DataFrame:
-    """(b, i): the row numbers 1..n drawn with replacement for each replicate, by hash."""
-    n = rows.agg(F.count("*").alias("n"))
-    spread = n.select("n", F.explode(F.sequence(F.lit(1), F.lit(n_draws))).alias("b")).select("n", "b", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("j"))
+    """(b, i): the row numbers 1..n drawn with replacement for each replicate, by hash.
+
+    They come from a range, whose size the planner knows: it is dealt to tasks and never broadcast.
+    """
+    n = rows.count()
+    every = rows.sparkSession.range(0, n * n_draws, 1, max(1, math.ceil(n * n_draws / DRAWS)))
+    b, j = F.expr(f"id div {max(n, 1)}") + 1, F.col("id") % max(n, 1) + 1
     h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|d|"), F.col("b").cast("string"), F.lit("|"), F.col("j").cast("string"))), 1, 8), 16, 10).cast("long")
-    return spread.select("b", (h % F.col("n") + 1).alias("i"))
+    return every.select(b.cast("int").alias("b"), j.alias("j")).select("b", (h % max(n, 1) + 1).alias("i"))
 
 
 def bootstrap_mean(rows: DataFrame, order: str, value: str, n_draws: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:

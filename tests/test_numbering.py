@@ -65,6 +65,16 @@ def test_operators_do_not_depend_on_blocks(spark, monkeypatch):
     assert results() == whole
 
 
+def test_draws_are_dealt_to_tasks_and_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(inference, "DRAWS", 1000, raising=False)
+    df = data(spark)
+    drawn = inference.draws(20, df, 3)
+    assert sorted((r["b"], r["count"]) for r in drawn.groupBy("b").count().collect()) == [(b, 300) for b in range(1, 21)]
+    assert drawn.rdd.getNumPartitions() == 6
+    size = lambda t: int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert size(drawn) >= 20 * 300 * 8
+
+
 @pytest.mark.parametrize("task, criterion, method", [("classification", "entropy", "exact"), ("classification", "entropy", "histogram"), ("regression", "mae", "percentile"), ("regression", "mae", "exact")])
 def test_criteria_of_trees(spark, task, criterion, method):
     rows = [(i, float(i % 10), float(i * 7 % 13), int(i % 10 > 4), 5.0 * (i % 10 > 4) + i % 2) for i in range(120)]
