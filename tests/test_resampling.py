@@ -50,3 +50,9 @@ def test_rows_that_do_not_fit_take_windows(spark):
     assert resampling.statistics(r.where("NOT (row_id = 'r3' AND feature = 'a')"), 3, 0, "mc", ["node"]) is None
     assert resampling.statistics(r.withColumn("row_id", F.lit("same")), 3, 0, "mc", ["node"]) is None
     assert resampling.statistics(r.withColumn("y", F.when(F.col("row_id") != "r3", F.col("y"))), 3, 0, "mc", ["node"]) is None
+
+
+@pytest.mark.parametrize("criterion", ["gini", "entropy"])
+def test_threshold_statistics(spark, monkeypatch, criterion):
+    r = rows(spark, 3)
+    both_ways(monkeypatch, lambda: permutation.threshold_statistics(r, splits.thresholds(r, "histogram", 4, by=["node"]), 7, 1, criterion, ["node"]).select("node", "feature", "threshold", "b", "t"))
