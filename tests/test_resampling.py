@@ -56,3 +56,7 @@ def test_rows_that_do_not_fit_take_windows(spark):
 def test_threshold_statistics(spark, monkeypatch, criterion):
     r = rows(spark, 3)
     both_ways(monkeypatch, lambda: permutation.threshold_statistics(r, splits.thresholds(r, "histogram", 4, by=["node"]), 7, 1, criterion, ["node"]).select("node", "feature", "threshold", "b", "t"))
+
+
+def test_dependence_on_one_class_of_many(spark, monkeypatch):
+    both_ways(monkeypatch, lambda: association.rdc(rows(spark, 4), task="classification"))
