@@ -20,14 +20,12 @@ from pyspark.sql import functions as F
 from ..functions.association import long_table
 from ..functions.distributions import beta_cdf
 from ..operators.evaluation import folds
+from ..operators.numbering import blocks_for, digest_block
 from ..operators.sampling import bootstrap
 from ..operators.trees import TreeParams, grow
 from ..sources.stages import stage
 from .ranking import correlated_pairs, filter_ranking, mrmr, permutation_ranking
 
-#: Rows that exchange values with each other; larger tables are cut into random blocks of about this size.
-BLOCK = 65536
-
 MODELS = {
     "classification": {"dt": DecisionTreeClassifier, "rf": RandomForestClassifier, "gbt": GBTClassifier},
     "regression": {"dt": DecisionTreeRegressor, "rf": RandomForestRegressor, "gbt": GBTRegressor},
@@ -79,14 +77,24 @@ def donated(df: DataFrame, row_id: str, features: list[str], seed: int, repeats:
     so values are permuted in one cycle; with ``strata``, within each stratum.  A lone row keeps its value.
     """
     strata = strata or {}
-    blocks = max(1, math.ceil(df.count() / BLOCK))
+    blocks = blocks_for(df)
     cells = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x"), strata.get(f, F.lit(0)).cast("long").alias("stratum")) for f in features)))
     t = df.select(F.col(row_id).alias("row_id"), cells.alias("c")).select("row_id", "c.*", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("b"))
-    t = t.withColumn("block", F.pmod(F.xxhash64("row_id", "b", F.lit(seed)), F.lit(blocks)))
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), "feature", F.col("b").cast("string"), F.col("row_id").cast("string")))
-    w = Window.partitionBy("feature", "b", "stratum", "block").orderBy(order, "row_id")
-    x = F.struct("x")
-    return t.select("feature", "b", "row_id", F.coalesce(F.lead(x).over(w), F.first(x).over(w))["x"].alias("x"))
+    t = t.withColumn("_key", F.md5(F.concat_ws("|", F.lit(str(seed)), "feature", F.col("b").cast("string"), F.col("row_id").cast("string"))))
+    keys, x, order = ["feature", "b", "stratum"], F.struct("x"), ["_key", "row_id"]
+    if blocks == 1:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return t.select("feature", "b", "row_id", F.coalesce(F.lead(x).over(w), F.first(x).over(w))["x"].alias("x"))
+    # the last row of a block takes the first value of the next block that has rows, the last of all the first
+    t = t.withColumn("_block", digest_block(F.col("_key"), blocks))
+    first = t.groupBy(*keys, "_block").agg(F.min_by(x, F.struct(*order)).alias("_first"))
+    w = Window.partitionBy(*keys).orderBy("_block")
+    first = first.select(*(F.col(c).alias(f"_by_{c}") for c in keys), F.col("_block").alias("_at"), F.coalesce(F.lead("_first").over(w), F.first("_first").over(w)).alias("_next"))
+    same = F.col("_block") == F.col("_at")
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    inside = t.withColumn("_lead", F.lead(x).over(Window.partitionBy(*keys, "_block").orderBy(*order)))
+    return inside.join(first, same).select("feature", "b", "row_id", F.coalesce("_lead", "_next")["x"].alias("x"))
 
 
 def bins_of(df: DataFrame, columns: list[str], bins: int = 5) -> dict[str, Column]:

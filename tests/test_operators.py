@@ -1,5 +1,6 @@
 """Hand values, invariants and statistical checks of the analytics operators."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sylvaspark.functions import association, impurity
 from sylvaspark.functions.distributions import beta_cdf, budget, chi2_sf, stop_table
-from sylvaspark.operators import board, evaluation, inference, permutation, sampling, splits, trees
+from sylvaspark.operators import board, evaluation, inference, numbering, permutation, sampling, splits, trees
 from sylvaspark.plans import wrappers
 from sylvaspark.registry import SAMPLING_METHODS, THRESHOLD_METHODS
 from sylvaspark.sources import files
@@ -230,6 +231,19 @@ def test_donated_values_are_a_permutation(signal):
         assert [i for i in own if got[i] == own[i]] == [7]
 
 
+def test_donated_values_go_round_the_whole_stratum(spark, monkeypatch):
+    def cycle(n, strata):
+        order = lambda i: hashlib.md5(f"1|f|1|{i}".encode()).hexdigest()
+        rings = [sorted((i for i in range(n) if strata(i) == s), key=order) for s in {strata(i) for i in range(n)}]
+        return {a: float(b) for ring in rings for a, b in zip(ring, [*ring[1:], ring[0]])}
+
+    got = lambda n, **k: {r["row_id"]: r["x"] for r in wrappers.donated(spark.range(n).withColumn("f", F.col("id")), "id", ["f"], 1, 1, **k).collect()}
+    assert got(70_000) == cycle(70_000, lambda i: 0)
+    monkeypatch.setattr(numbering, "ROWS", 16)
+    within = F.when(F.col("id") % 3 > 0, F.col("id") % 3)
+    assert got(300, strata={"f": within}) == cycle(300, lambda i: i % 3)
+
+
 def test_constant_column_makes_no_stratum(spark):
     df = spark.createDataFrame([(float(i), 1.0) for i in range(10)], ["a", "k"])
     strata = lambda c: [r[0] for r in df.orderBy("a").select(wrappers.strata(df, c)).collect()]
