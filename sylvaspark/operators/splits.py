@@ -43,7 +43,7 @@ def thresholds(long: DataFrame, method: str = "exact", most: int = 256, seed: in
 
 
 def _class_sweep(long: DataFrame, by: list[str] | None, part, merge) -> DataFrame:
-    """Weighted child impurity from a sum of ``part(c)`` over a child's class counts and ``merge(n, sum)``.
+    """Weighted child impurity from a sum of ``part(c)`` over a child's class counts and ``merge(n_left, sum_left, n_right, sum_right)``.
 
     Counts per feature and value, a column for each class, are summed along the values in blocks; rows are never copied.
     """
@@ -64,13 +64,16 @@ def _class_sweep(long: DataFrame, by: list[str] | None, part, merge) -> DataFram
         "ql": over(lambda i: part(F.col(f"_l{i}"))), "qr": over(lambda i: part(F.col(f"_t{i}") - F.col(f"_l{i}"))),
     })
     n_right = F.col("n") - F.col("n_left")
-    impurity = (merge(F.col("n_left"), F.col("ql")) + merge(n_right, F.col("qr"))) / F.col("n")
+    impurity = merge(F.col("n_left"), F.col("ql"), n_right, F.col("qr")) / F.col("n")
     return t.select(*by, "feature", ((F.col("x") + F.col("next")) / 2).alias("threshold"), "n_left", n_right.alias("n_right"), impurity.alias("impurity"))
 
 
 def gini_sweep(long: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(*by, feature, threshold, n_left, n_right, impurity): weighted child gini of every midpoint."""
-    return _class_sweep(long, by, lambda c: c * c, lambda n, q: n - q / n)
+    """(*by, feature, threshold, n_left, n_right, impurity): weighted child gini of every midpoint.
+
+    The terms are added from left to right, as in the SQL twins: another order differs in the last digit, which orders near ties.
+    """
+    return _class_sweep(long, by, lambda c: c * c, lambda n, q, m, r: n - q / n + (n + m) - n - r / m)
 
 
 def bits(c: Column) -> Column:
@@ -80,7 +83,7 @@ def bits(c: Column) -> Column:
 
 def entropy_sweep(long: DataFrame, by: list[str] | None = None) -> DataFrame:
     """As :func:`gini_sweep`, for entropy in bits."""
-    return _class_sweep(long, by, bits, lambda n, q: bits(n) - q)
+    return _class_sweep(long, by, bits, lambda n, q, m, r: bits(n) - q + (bits(m) - r))
 
 
 def mae_sweep(long: DataFrame, by: list[str] | None = None, at: DataFrame | None = None) -> DataFrame:
@@ -115,7 +118,14 @@ def mse_sweep(long: DataFrame, by: list[str] | None = None) -> DataFrame:
     return t.select(*by, "feature", ((F.col("x") + F.col("next")) / 2).alias("threshold"), F.col("cl").alias("n_left"), cr.alias("n_right"), (sse / F.col("ct")).alias("impurity"))
 
 
+def twelfth(c: Column) -> Column:
+    """A value that is not negative to twelve digits, by scaled floats as DuckDB and numpy round: ``F.round`` goes by the decimal digits and differs near halves."""
+    scaled = c.cast("double") * 1e12
+    low = F.floor(scaled).cast("double")
+    return (low + F.when(scaled - low >= 0.5, 1.0).otherwise(0.0)) / 1e12
+
+
 def best_split(sweep: DataFrame, by: list[str], min_leaf: int = 1) -> DataFrame:
     """The least impure split of each group with ``min_leaf`` rows on both sides; ties by feature and threshold."""
-    w = Window.partitionBy(*by).orderBy(F.round("impurity", 12), "feature", "threshold")
+    w = Window.partitionBy(*by).orderBy(twelfth(F.col("impurity")), "feature", "threshold")
     return sweep.where((F.col("n_left") >= min_leaf) & (F.col("n_right") >= min_leaf)).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.association import correlation_ratio, distance_correlation, long_table, mutual_information, pearson, rdc
 from ..operators.permutation import permutation_test
-from ..operators.splits import best_split, gini_sweep
+from ..operators.splits import best_split, gini_sweep, twelfth
 
 
 def rank_by_score(scores: DataFrame, score: str) -> DataFrame:
@@ -33,7 +33,7 @@ def filter_ranking(long: DataFrame, kind: str, task: str = "classification") ->
 
 def scan_thresholds(sweep: DataFrame, by: list[str] | None = None) -> DataFrame:
     """A sweep's thresholds with ``rank``: the least impure first, equals by threshold."""
-    w = Window.partitionBy(*(by or []), "feature").orderBy(F.round("impurity", 12), "threshold")
+    w = Window.partitionBy(*(by or []), "feature").orderBy(twelfth(F.col("impurity")), "threshold")
     return sweep.withColumn("rank", F.row_number().over(w))
 
 

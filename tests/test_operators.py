@@ -277,3 +277,12 @@ def test_permutation_tree_scales_resamples_by_the_features_that_vary(spark):
     df = spark.createDataFrame(rows, "id long, a double, b double, c double, y int")
     root = trees.grow(df, "id", ["a", "b", "c"], "y", trees.TreeParams(max_depth=1, n_resamples=40, threshold_method="percentile", max_thresholds=9)).nodes[0, 1]
     assert root.feature == "a" and root.p_feature == pytest.approx(1 / 81)
+
+
+def test_twelve_digits_as_in_sql(spark):
+    import duckdb
+
+    half = [(500_000_000_000 + 37 * i + 0.5) * 1e-12 for i in range(2000)]
+    want = [r[0] for r in duckdb.sql(f"SELECT round(x, 12) FROM (SELECT unnest({half!r}::DOUBLE[]) AS x)").fetchall()]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(half)], "i int, x double").orderBy("i").select(splits.twelfth(F.col("x"))).collect()]
+    assert got == want
