@@ -58,5 +58,9 @@ def test_threshold_statistics(spark, monkeypatch, criterion):
     both_ways(monkeypatch, lambda: permutation.threshold_statistics(r, splits.thresholds(r, "histogram", 4, by=["node"]), 7, 1, criterion, ["node"]).select("node", "feature", "threshold", "b", "t"))
 
 
+def test_permuted_correlation_ratio(spark, monkeypatch):
+    both_ways(monkeypatch, lambda: permutation.statistics(rows(spark, 3), 7, 0, "mc", ["node"]).select("node", "feature", "b", "t"))
+
+
 def test_dependence_on_one_class_of_many(spark, monkeypatch):
     both_ways(monkeypatch, lambda: association.rdc(rows(spark, 4), task="classification"))
