@@ -25,12 +25,14 @@ from ..functions import association
 from ..functions.distributions import budget
 from ..functions.impurity import value_impurity
 from ..sources.stages import release, stage
-from . import permutation
+from . import permutation, resampling
 from .splits import best_split, bits, entropy_sweep, gini_sweep, mae_sweep, mse_sweep, thresholds
 
 SWEEPS = {"gini": gini_sweep, "entropy": entropy_sweep, "mse": mse_sweep, "mae": mae_sweep}
 SELECTORS = {"classification": ("mc", "mi", "rdc"), "regression": ("pc", "dc", "rdc")}
 _SLACK = 1e-12
+#: Thresholds of a node, at most, that are tested from wide rows: they are part of a task.
+PACKED_THRESHOLDS = 256
 
 
 def feature_count(p: int, most: str | int | float | None) -> int:
@@ -304,7 +306,15 @@ def grow(df: DataFrame, row_id: str, features: list[str], target: str, params: T
         rows, estimates = parted.where("NOT estimates").drop("estimates"), parted.where("estimates").drop("estimates")
     model = TreeModel(params, list(features), classes)
     by = ["tree_id", "node"]
-    assigned = stage(rows.withColumn("node", F.lit(1).cast("long")), "level")
+    rows = rows.withColumn("node", F.lit(1).cast("long"))
+    if clf and params.selector == "mc" and params.feature_budget is not None:
+        # tests by products read rows as they are, which need a block and the number of their class
+        drawn = rows if sample is None or params.honesty else stage(rows, "drawn")
+        packed = resampling.blocked(drawn, by)
+        assigned = stage(drawn if packed is None else packed, "level")
+        release(*([] if drawn is rows else [drawn]))
+    else:
+        assigned = stage(rows, "level")
     muted: dict[tuple[int, int], frozenset] = {}
     following = {t: 2 for t in range(params.trees)}
     fresh = [(t, 1, None) for t in range(params.trees)]
@@ -329,7 +339,7 @@ def grow(df: DataFrame, row_id: str, features: list[str], target: str, params: T
                 muted[t, child] = muted.get((t, n), frozenset()) | failed.get((t, n), frozenset())
         plan = spark.createDataFrame(plan, "tree_id int, node long, feature string, threshold double, _l long, _r long")
         x = F.element_at(F.create_map(*(v for f in features for v in (F.lit(f), F.col(f)))), F.col("feature"))
-        routed = assigned.join(plan, by)
+        routed = assigned.join(F.broadcast(plan), by)
         routed = routed.withColumn("node", F.when(x <= F.col("threshold"), F.col("_l")).otherwise(F.col("_r"))).drop("feature", "threshold", "_l", "_r")
         after = stage(routed, "level")
         release(assigned)
@@ -388,23 +398,35 @@ def _resamples(kind: int | str, alpha: float, tests: int, adjust: bool) -> tuple
 def _choose(spark, model, rows, by, open_nodes, features, params, clf, muted) -> tuple[dict, dict]:
     """Stage A and stage B of all open nodes of a level: (tree, node) to (feature, threshold), and to the features that failed."""
     todo = spark.createDataFrame(open_nodes, "tree_id int, node long")
-    long = rows.join(todo, by).unpivot(["tree_id", "node", "row_id", "y"], features, "feature", "x")
+    packed = "block" in rows.columns
+    rows = rows.join(F.broadcast(todo), by)  # by key, all rows of a node would meet in one task
     gone = [(t, n, f) for t, n in open_nodes for f in muted.get((t, n), ())]
-    if gone:
-        long = long.join(spark.createDataFrame(gone, "tree_id int, node long, feature string"), [*by, "feature"], "left_anti")
-    varied = long.groupBy(*by, "feature").agg(F.min("x").alias("a"), F.max("x").alias("z")).where("a < z").select(*by, "feature")
+    gone = spark.createDataFrame(gone, "tree_id int, node long, feature string") if gone else None
+    if packed:
+        ends = rows.groupBy(*by).agg(*(F.min(f).alias(f"a{i}") for i, f in enumerate(features)), *(F.max(f).alias(f"z{i}") for i, f in enumerate(features)))
+        differ = F.array(*(F.when(F.col(f"a{i}") < F.col(f"z{i}"), F.lit(f)) for i, f in enumerate(features)))
+        varied = ends.select(*by, F.explode(differ).alias("feature")).where("feature IS NOT NULL")
+        varied = varied if gone is None else varied.join(gone, [*by, "feature"], "left_anti")
+    else:
+        long = rows.unpivot(["tree_id", "node", "row_id", "y"], features, "feature", "x")
+        long = long if gone is None else long.join(gone, [*by, "feature"], "left_anti")
+        varied = long.groupBy(*by, "feature").agg(F.min("x").alias("a"), F.max("x").alias("z")).where("a < z").select(*by, "feature")
     left = varied.groupBy(*by).agg(F.count("*").alias("_p"))
     order = F.md5(F.concat_ws("|", F.lit(f"{params.seed}|f"), "tree_id", "node", "feature"))
     pool = varied.join(left, by).withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
     # at most p different sizes, so the number of features to look at is a case of the number left
     most = F.element_at(F.array(*(F.lit(feature_count(p, params.max_features)) for p in range(1, len(features) + 1))), F.col("_p").cast("int"))
     pool = pool.where(F.col("_r") <= most).select(*by, "feature")
-    long = stage(long.join(pool, [*by, "feature"]), "pool")
+    pool = pool.orderBy(*by, "feature") if packed else pool
+    long = None if packed else stage(long.join(pool, [*by, "feature"]), "pool")
     tie = F.md5(F.concat_ws("|", F.lit(f"{params.seed}|t"), "tree_id", "node", "feature"))
     failed: dict[tuple[int, int], frozenset] = {}
-    scores = _scores(long, params.selector, params.task, by)
+    scores = None if packed else _scores(long, params.selector, params.task, by)
     if params.feature_budget is not None:
-        tests = stage(_feature_tests(spark, long, params, clf, by, scores), "tests")
+        if packed:
+            tests = _packed_feature_tests(spark, model, rows, pool, features, params, by)
+        else:
+            tests = stage(_feature_tests(spark, long, params, clf, by, scores), "tests")
         scan = [F.desc(F.round("s", 12)), tie] if params.feature_scanning else [tie]
         order = scan if params.early_stopping else ["p_value", *scan]
         taken = permutation.first_accepted(tests, by, order, F.col("level"), params.early_stopping is not None)
@@ -418,11 +440,15 @@ def _choose(spark, model, rows, by, open_nodes, features, params, clf, muted) ->
         w = Window.partitionBy(*by).orderBy(F.desc(F.round("s", 12)), tie)
         best_rows = scores.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*by, "feature", F.lit(None).cast("double").alias("p_value")).collect()
     if not best_rows:
-        release(long)
+        release(*([] if packed else [long]))
         return {}, failed
     best = spark.createDataFrame([tuple(r) for r in best_rows], "tree_id int, node long, feature string, p_value double")
-    one = stage(long.join(best.select(*by, "feature"), [*by, "feature"]), "feature")
-    release(long)
+    if packed:
+        x = F.element_at(F.create_map(*(v for f in features for v in (F.lit(f), F.col(f)))), F.col("feature"))
+        one = stage(rows.join(F.broadcast(best.select(*by, "feature")), by).select(*by, "row_id", "y", "code", "block", "feature", x.alias("x")), "feature")
+    else:
+        one = stage(long.join(F.broadcast(best.select(*by, "feature")), [*by, "feature"]), "feature")
+        release(long)
     if params.threshold_method == "exact":
         sweep = SWEEPS[params.criterion](one, by)
     else:
@@ -433,7 +459,7 @@ def _choose(spark, model, rows, by, open_nodes, features, params, clf, muted) ->
     if params.threshold_budget is None:
         split = best_split(sweep, by, params.min_leaf).select(*by, "feature", "threshold", "impurity", F.lit(None).cast("double").alias("p_value")).collect()
     else:
-        split = _threshold_tests(spark, one, sweep, params, by).collect()
+        split = _threshold_tests(spark, model, one, sweep, params, by).collect()
     release(one)
     chosen = {}
     for r in split:
@@ -469,7 +495,41 @@ def _feature_tests(spark, long, params, clf, by, scores) -> DataFrame:
     return reduce(DataFrame.unionByName, tests).join(scores, [*by, "feature"])
 
 
-def _threshold_tests(spark, one, sweep, params, by) -> DataFrame:
+def _packed_feature_tests(spark, model, rows, pool, features, params, by) -> DataFrame:
+    """What :func:`_feature_tests` gives, from wide rows and all nodes at once; scores are the observed statistics."""
+    tests: dict[tuple, list] = {}
+    for r in pool.collect():  # at most all features of each node of the model
+        tests.setdefault((r["tree_id"], r["node"]), []).append((r["feature"], None))
+    if not tests:
+        return spark.createDataFrame([], "tree_id int, node long, feature string, p_value double, level double, s double")
+    plans, budgets = {}, {}
+    for at, of in tests.items():
+        n, level = _resamples(params.feature_budget, params.alpha_feature, len(of), params.adjust_feature)
+        budgets[at] = max(n, math.ceil(1 / level)) if params.early_stopping else n
+        plans.setdefault((n, level), []).append(at)
+    most = max(model.nodes[at].n for at in tests)
+    found = resampling.in_blocks(rows, by, features, tests, budgets, most, len(model.classes), params.seed, "mc")
+    out = []
+    for (n, level), nodes in sorted(plans.items()):
+        some = found.join(spark.createDataFrame(nodes, "tree_id int, node long"), by)
+        t = permutation.tested(some, n, level, params.confidence, 32, params.early_stopping, by)
+        out.append(t.select(*by, "feature", "p_value", F.lit(level).alias("level")))
+    observed = found.where("b = 0").select(*by, "feature", F.col("t").alias("s"))
+    tests = stage(reduce(DataFrame.unionByName, out).join(observed, [*by, "feature"]), "tests")
+    release(found)
+    return tests
+
+
+def _packed_threshold_statistics(model, one, at, n, params, by) -> DataFrame:
+    tests: dict[tuple, list] = {}
+    for r in at.orderBy(*by, "feature", "threshold").collect():
+        tests.setdefault((r["tree_id"], r["node"]), []).append(("x", r["threshold"]))
+    most = max(model.nodes[k].n for k in tests)
+    found = resampling.in_blocks(one, by, ["x"], tests, dict.fromkeys(tests, n), most, len(model.classes), params.seed + 1, params.criterion)
+    return found.drop("feature").join(one.select(*by, "feature").distinct(), by)
+
+
+def _threshold_tests(spark, model, one, sweep, params, by) -> DataFrame:
     """(*by, feature, threshold, impurity, p_value) of the accepted thresholds: all of a node's are tested under its level."""
     sweep = stage(sweep.where((F.col("n_left") >= params.min_leaf) & (F.col("n_right") >= params.min_leaf)).select(*by, "feature", "threshold", "impurity"), "sweep")
     sizes: dict[int, list] = {}
@@ -479,7 +539,10 @@ def _threshold_tests(spark, one, sweep, params, by) -> DataFrame:
     for k, nodes in sorted(sizes.items()) or [(1, [])]:
         some = spark.createDataFrame(nodes, "tree_id int, node long")
         n, level = _resamples(params.threshold_budget, params.alpha_threshold, k, params.adjust_threshold)
-        t = permutation.threshold_test(one.join(some, by), sweep.join(some, by).select(*by, "feature", "threshold"), n, params.seed + 1, params.criterion, by, params.early_stopping, level, params.confidence)
+        at, found = sweep.join(some, by).select(*by, "feature", "threshold"), None
+        if "block" in one.columns and 0 < k <= PACKED_THRESHOLDS:
+            found = _packed_threshold_statistics(model, one.join(F.broadcast(some), by), at, max(n, math.ceil(1 / level)) if params.early_stopping else n, params, by)
+        t = permutation.threshold_test(one.join(F.broadcast(some), by), at, n, params.seed + 1, params.criterion, by, params.early_stopping, level, params.confidence, found)
         parts.append(t.select(*by, "feature", "threshold", "p_value", F.lit(level).alias("level")))
     tests = reduce(DataFrame.unionByName, parts).join(sweep, [*by, "feature", "threshold"])
     least = [F.round("impurity", 12), "threshold"]
@@ -504,7 +567,7 @@ def _impurity_at(rows: DataFrame, keys: list[str], criterion: str) -> DataFrame:
 
 
 def _sweep_at(one: DataFrame, at: DataFrame, by: list[str], criterion: str) -> DataFrame:
-    sided = one.join(at, [*by, "feature"]).withColumn("side", (F.col("x") > F.col("threshold")).cast("int"))
+    sided = one.join(F.broadcast(at), [*by, "feature"]).withColumn("side", (F.col("x") > F.col("threshold")).cast("int"))
     return _impurity_at(sided, [*by, "feature", "threshold"], criterion)
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sylvaspark.functions import association
-from sylvaspark.operators import permutation, resampling, splits
+from sylvaspark.operators import permutation, resampling, splits, trees
 
 
 def rows(spark, classes):
@@ -64,3 +64,32 @@ def test_permuted_correlation_ratio(spark, monkeypatch):
 
 def test_dependence_on_one_class_of_many(spark, monkeypatch):
     both_ways(monkeypatch, lambda: association.rdc(rows(spark, 4), task="classification"))
+
+
+@pytest.mark.parametrize(("stopping", "depth"), [("adaptive", 2), (None, 1)])
+def test_trees_test_wide_rows(spark, monkeypatch, stopping, depth):
+    rng = np.random.default_rng(5)
+    cells = [(f"r{i}", i % 3, float(rng.normal() + i % 3), float(rng.normal()), 1.0) for i in range(120)]
+    df = spark.createDataFrame(cells, "id string, y int, a double, b double, same double")
+    grown = lambda: trees.grow(df, "id", ["a", "b", "same"], "y", trees.TreeParams(max_depth=depth, min_leaf=5, n_resamples=20, early_stopping=stopping, threshold_method="histogram", max_thresholds=4)).nodes
+    monkeypatch.setattr(resampling, "BLOCK", 16)
+    monkeypatch.setattr(resampling, "CHUNK", 7)
+    monkeypatch.setattr(resampling, "PIECE", 20000)
+    with monkeypatch.context() as m:
+        m.setattr(resampling, "statistics", lambda *a, **k: pytest.fail("a long table was made"))
+        wide = grown()
+    monkeypatch.setattr(resampling, "blocked", lambda *a: None)
+    long = grown()
+    assert len(wide) > 1 and wide.keys() == long.keys()
+    for at, node in wide.items():
+        a, b = vars(node), vars(long[at])
+        assert a["feature"] == b["feature"] and a["n"] == b["n"]
+        for name in ("value", "impurity", "threshold", "p_feature", "p_threshold", "decrease"):
+            assert a[name] is b[name] or a[name] == pytest.approx(b[name], abs=1e-9)
+
+
+def test_rows_that_have_no_blocks(spark):
+    r = rows(spark, 3).where("feature = 'a'").select("node", "row_id", "y")
+    assert {"code", "block"} <= set(resampling.blocked(r, ["node"]).columns)
+    assert resampling.blocked(r.unionByName(r), ["node"]) is None
+    assert resampling.blocked(r.withColumn("y", F.when(F.col("row_id") != "r3", F.col("y"))), ["node"]) is None
