@@ -17,6 +17,7 @@ import math
 import warnings
 from dataclasses import asdict, dataclass, field
 from functools import reduce
+from hashlib import md5
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -263,14 +264,18 @@ class TreeModel:
         return rows if tree is None else rows.drop("tree_id")
 
 
-def _validate(df: DataFrame, features: list[str], target: str, task: str) -> None:
-    cols = [*features, *([target] if task == "regression" else [])]
-    odd = lambda c: F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf")))
-    row = df.agg(F.count("*").alias("n"), sum((odd(c) for c in cols[1:]), odd(cols[0])).alias("odd")).first()
-    if not row["n"]:
+def _validate(df: DataFrame, features: list[str], target: str, task: str) -> list:
+    """The classes in order, none for numeric targets."""
+    clf = task == "classification"
+    values = F.array(*(F.col(c).cast("double") for c in [*features, *([] if clf else [target])]))
+    odd = F.exists(values, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    # one expression over an array: a condition for each column takes longer to plan than to run
+    found = df.groupBy(*([target] if clf else [])).agg(F.count("*").alias("n"), F.count_if(odd).alias("odd")).collect()  # a leaf holds a share of each class
+    if not sum(r["n"] for r in found):
         raise ValueError("no rows")
-    if row["odd"]:
+    if sum(r["odd"] for r in found):
         raise ValueError("features and numeric targets must be finite")
+    return sorted(r[0] for r in found) if clf else []
 
 
 def validate_columns(df: DataFrame, model: TreeModel) -> None:
@@ -291,10 +296,9 @@ def honest_parts(rows: DataFrame, params: TreeParams) -> DataFrame:
 
 def grow(df: DataFrame, row_id: str, features: list[str], target: str, params: TreeParams, sample: DataFrame | None = None) -> TreeModel:
     """Fit ``params.trees`` trees; ``sample`` (tree_id, draw, row_id) gives each tree's rows, else all rows."""
-    _validate(df, features, target, params.task)
+    classes = _validate(df, features, target, params.task)
     spark = df.sparkSession
     clf = params.task == "classification"
-    classes = sorted(r[0] for r in df.select(target).distinct().collect()) if clf else []  # a leaf holds a share of each
     base = df.select(F.col(row_id).alias("_id"), F.col(target).alias("y"), *(F.col(f).cast("double").alias(f) for f in features))
     if sample is None:
         rows = base.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(params.trees - 1)))).withColumn("row_id", F.col("_id").cast("string"))
@@ -311,10 +315,11 @@ def grow(df: DataFrame, row_id: str, features: list[str], target: str, params: T
         # tests by products read rows as they are, which need a block and the number of their class
         drawn = rows if sample is None or params.honesty else stage(rows, "drawn")
         packed = resampling.blocked(drawn, by)
-        assigned = stage(drawn if packed is None else packed, "level")
+        assigned = stage(drawn if packed is None else packed.select(*by, "row_id", "y", "code", "block", F.array(*features).alias("xs")), "level")
         release(*([] if drawn is rows else [drawn]))
     else:
         assigned = stage(rows, "level")
+    written = assigned
     muted: dict[tuple[int, int], frozenset] = {}
     following = {t: 2 for t in range(params.trees)}
     fresh = [(t, 1, None) for t in range(params.trees)]
@@ -337,20 +342,29 @@ def grow(df: DataFrame, row_id: str, features: list[str], target: str, params: T
             for child in (node.left, node.right):
                 fresh.append((t, child, n))
                 muted[t, child] = muted.get((t, n), frozenset()) | failed.get((t, n), frozenset())
-        plan = spark.createDataFrame(plan, "tree_id int, node long, feature string, threshold double, _l long, _r long")
-        x = F.element_at(F.create_map(*(v for f in features for v in (F.lit(f), F.col(f)))), F.col("feature"))
+        plan = spark.createDataFrame([(*r[:2], features.index(r[2]) + 1, *r[2:]) for r in plan], "tree_id int, node long, _at int, feature string, threshold double, _l long, _r long")
         routed = assigned.join(F.broadcast(plan), by)
-        routed = routed.withColumn("node", F.when(x <= F.col("threshold"), F.col("_l")).otherwise(F.col("_r"))).drop("feature", "threshold", "_l", "_r")
-        after = stage(routed, "level")
-        release(assigned)
-        assigned = after
-    release(assigned)
+        routed = routed.withColumn("node", F.when(_value(assigned, features) <= F.col("threshold"), F.col("_l")).otherwise(F.col("_r"))).drop("_at", "feature", "threshold", "_l", "_r")
+        if depth + 1 == params.max_depth:
+            assigned = routed.select(*by, "y")  # read once, for the last leaves
+        else:
+            assigned = stage(routed, "level")
+            release(written)
+            written = assigned
+    release(written)
     if params.honesty:
         reestimate(model, estimates, "y", None)
         release(parted)
     return model
 
 
+def _value(rows: DataFrame, features: list[str]) -> Column:
+    """The value of the feature that a row names, by its name or, where rows hold an array, by its place ``_at``."""
+    if "xs" in rows.columns:
+        return F.element_at("xs", F.col("_at"))
+    return F.element_at(F.create_map(*(v for f in features for v in (F.lit(f), F.col(f)))), F.col("feature"))
+
+
 def _leaves(model: TreeModel, rows: DataFrame, by: list[str], depth: int, classes: list, clf: bool, parents: dict) -> None:
     """Nodes of a level, from one row per node and class: they are the model, which is on the driver."""
     if clf:
@@ -400,33 +414,25 @@ def _choose(spark, model, rows, by, open_nodes, features, params, clf, muted) ->
     todo = spark.createDataFrame(open_nodes, "tree_id int, node long")
     packed = "block" in rows.columns
     rows = rows.join(F.broadcast(todo), by)  # by key, all rows of a node would meet in one task
+    if packed:
+        return _choose_packed(spark, model, rows, by, features, params, muted)
     gone = [(t, n, f) for t, n in open_nodes for f in muted.get((t, n), ())]
     gone = spark.createDataFrame(gone, "tree_id int, node long, feature string") if gone else None
-    if packed:
-        ends = rows.groupBy(*by).agg(*(F.min(f).alias(f"a{i}") for i, f in enumerate(features)), *(F.max(f).alias(f"z{i}") for i, f in enumerate(features)))
-        differ = F.array(*(F.when(F.col(f"a{i}") < F.col(f"z{i}"), F.lit(f)) for i, f in enumerate(features)))
-        varied = ends.select(*by, F.explode(differ).alias("feature")).where("feature IS NOT NULL")
-        varied = varied if gone is None else varied.join(gone, [*by, "feature"], "left_anti")
-    else:
-        long = rows.unpivot(["tree_id", "node", "row_id", "y"], features, "feature", "x")
-        long = long if gone is None else long.join(gone, [*by, "feature"], "left_anti")
-        varied = long.groupBy(*by, "feature").agg(F.min("x").alias("a"), F.max("x").alias("z")).where("a < z").select(*by, "feature")
+    long = rows.unpivot(["tree_id", "node", "row_id", "y"], features, "feature", "x")
+    long = long if gone is None else long.join(gone, [*by, "feature"], "left_anti")
+    varied = long.groupBy(*by, "feature").agg(F.min("x").alias("a"), F.max("x").alias("z")).where("a < z").select(*by, "feature")
     left = varied.groupBy(*by).agg(F.count("*").alias("_p"))
     order = F.md5(F.concat_ws("|", F.lit(f"{params.seed}|f"), "tree_id", "node", "feature"))
     pool = varied.join(left, by).withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
     # at most p different sizes, so the number of features to look at is a case of the number left
     most = F.element_at(F.array(*(F.lit(feature_count(p, params.max_features)) for p in range(1, len(features) + 1))), F.col("_p").cast("int"))
     pool = pool.where(F.col("_r") <= most).select(*by, "feature")
-    pool = pool.orderBy(*by, "feature") if packed else pool
-    long = None if packed else stage(long.join(pool, [*by, "feature"]), "pool")
+    long = stage(long.join(pool, [*by, "feature"]), "pool")
     tie = F.md5(F.concat_ws("|", F.lit(f"{params.seed}|t"), "tree_id", "node", "feature"))
     failed: dict[tuple[int, int], frozenset] = {}
-    scores = None if packed else _scores(long, params.selector, params.task, by)
+    scores = _scores(long, params.selector, params.task, by)
     if params.feature_budget is not None:
-        if packed:
-            tests = _packed_feature_tests(spark, model, rows, pool, features, params, by)
-        else:
-            tests = stage(_feature_tests(spark, long, params, clf, by, scores), "tests")
+        tests = stage(_feature_tests(spark, long, params, clf, by, scores), "tests")
         scan = [F.desc(F.round("s", 12)), tie] if params.feature_scanning else [tie]
         order = scan if params.early_stopping else ["p_value", *scan]
         taken = permutation.first_accepted(tests, by, order, F.col("level"), params.early_stopping is not None)
@@ -440,26 +446,26 @@ def _choose(spark, model, rows, by, open_nodes, features, params, clf, muted) ->
         w = Window.partitionBy(*by).orderBy(F.desc(F.round("s", 12)), tie)
         best_rows = scores.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*by, "feature", F.lit(None).cast("double").alias("p_value")).collect()
     if not best_rows:
-        release(*([] if packed else [long]))
+        release(long)
         return {}, failed
     best = spark.createDataFrame([tuple(r) for r in best_rows], "tree_id int, node long, feature string, p_value double")
-    if packed:
-        x = F.element_at(F.create_map(*(v for f in features for v in (F.lit(f), F.col(f)))), F.col("feature"))
-        one = stage(rows.join(F.broadcast(best.select(*by, "feature")), by).select(*by, "row_id", "y", "code", "block", "feature", x.alias("x")), "feature")
-    else:
-        one = stage(long.join(F.broadcast(best.select(*by, "feature")), [*by, "feature"]), "feature")
-        release(long)
+    one = stage(long.join(F.broadcast(best.select(*by, "feature")), [*by, "feature"]), "feature")
+    release(long)
+    return _split(spark, model, one, by, params, {(r["tree_id"], r["node"]): (r["feature"], r["p_value"]) for r in best_rows}), failed
+
+
+def _split(spark, model, one, by, params, p_feature) -> dict:
+    """Stage B of the nodes' chosen features ``p_feature``, whose values are ``one`` (*by, row_id, y, feature, x): (tree, node) to (feature, threshold)."""
     if params.threshold_method == "exact":
         sweep = SWEEPS[params.criterion](one, by)
     else:
         # thresholds between two values split rows as the midpoint of these values does
         at = thresholds(one, params.threshold_method, params.max_thresholds or 256, params.seed, by)
         sweep = mae_sweep(one, by, at) if params.criterion == "mae" else _sweep_at(one, at, by, params.criterion)
-    p_feature = {(r["tree_id"], r["node"]): (r["feature"], r["p_value"]) for r in best_rows}
     if params.threshold_budget is None:
         split = best_split(sweep, by, params.min_leaf).select(*by, "feature", "threshold", "impurity", F.lit(None).cast("double").alias("p_value")).collect()
     else:
-        split = _threshold_tests(spark, model, one, sweep, params, by).collect()
+        split = _threshold_tests(spark, model, one, sweep, params, by)
     release(one)
     chosen = {}
     for r in split:
@@ -470,7 +476,7 @@ def _choose(spark, model, rows, by, open_nodes, features, params, clf, muted) ->
         node.feature, node.threshold, node.p_feature = r["feature"], r["threshold"], p_feature[at][1]
         node.p_threshold, node.decrease = r["p_value"], max(0.0, node.impurity - r["impurity"])
         chosen[at] = (r["feature"], r["threshold"])
-    return chosen, failed
+    return chosen
 
 
 def _feature_tests(spark, long, params, clf, by, scores) -> DataFrame:
@@ -495,60 +501,122 @@ def _feature_tests(spark, long, params, clf, by, scores) -> DataFrame:
     return reduce(DataFrame.unionByName, tests).join(scores, [*by, "feature"])
 
 
-def _packed_feature_tests(spark, model, rows, pool, features, params, by) -> DataFrame:
-    """What :func:`_feature_tests` gives, from wide rows and all nodes at once; scores are the observed statistics."""
+def _digest(*parts) -> str:
+    return md5("|".join(map(str, parts)).encode()).hexdigest()
+
+
+def _choose_packed(spark, model, rows, by, features, params, muted) -> tuple[dict, dict]:
+    """:func:`_choose` from wide rows and all nodes at once; what is known of a node's features is part of the model, and on the driver."""
+    cells = rows.select(*by, F.posexplode("xs").alias("_at", "x")).groupBy(*by, "_at").agg(F.min("x").alias("a"), F.max("x").alias("z"))
     tests: dict[tuple, list] = {}
-    for r in pool.collect():  # at most all features of each node of the model
-        tests.setdefault((r["tree_id"], r["node"]), []).append((r["feature"], None))
-    if not tests:
-        return spark.createDataFrame([], "tree_id int, node long, feature string, p_value double, level double, s double")
+    for r in cells.where("a < z").select(*by, "_at").collect():
+        tests.setdefault((r["tree_id"], r["node"]), []).append(features[r["_at"]])
     plans, budgets = {}, {}
-    for at, of in tests.items():
-        n, level = _resamples(params.feature_budget, params.alpha_feature, len(of), params.adjust_feature)
-        budgets[at] = max(n, math.ceil(1 / level)) if params.early_stopping else n
+    for at, varied in list(tests.items()):
+        left = [f for f in varied if f not in muted.get(at, ())]
+        some = sorted(left, key=lambda f: _digest(params.seed, "f", *at, f))[: feature_count(len(left), params.max_features)] if left else []
+        if not some:
+            del tests[at]
+            continue
+        tests[at] = [(f, None) for f in sorted(some)]
+        n, level = _resamples(params.feature_budget, params.alpha_feature, len(some), params.adjust_feature)
         plans.setdefault((n, level), []).append(at)
+        budgets[at] = max(n, math.ceil(1 / level)) if params.early_stopping else n
+    if not tests:
+        return {}, {}
     most = max(model.nodes[at].n for at in tests)
     found = resampling.in_blocks(rows, by, features, tests, budgets, most, len(model.classes), params.seed, "mc")
-    out = []
+    best, failed = {}, {}
+    for at, of in _pvalues(spark, found, "feature", plans, params, by, 32, "high").items():
+        scan = lambda r: ((-r[1],) if params.feature_scanning else ()) + (_digest(params.seed, "t", *at, r[0]),)  # noqa: E731, B023
+        accepted, out = _first_accepted(of, scan, params.early_stopping is not None)
+        if accepted:
+            best[at] = (accepted[0], accepted[2])
+        if params.muting and out:
+            failed[at] = frozenset(r[0] for r in out)
+    if not best:
+        return {}, failed
+    chosen = spark.createDataFrame([(*at, features.index(f) + 1, f) for at, (f, _) in best.items()], "tree_id int, node long, _at int, feature string")
+    one = rows.join(F.broadcast(chosen), by).select(*by, "row_id", "y", "code", "block", "feature", _value(rows, features).alias("x"))
+    return _split(spark, model, stage(one, "feature"), by, params, best), failed
+
+
+def _pvalues(spark, found, key, plans, params, by, every, tail) -> dict[tuple, list[tuple]]:
+    """(tree, node) to its tests (key, statistic to 12 digits, p-value, level) of statistics (*by, key, b, t); ``plans`` has the nodes of each budget and level."""
+    keys, out = [*by, key], {}
+    if params.early_stopping is None:
+        # a test's statistics meet in one array, so they are read once and never written
+        seen = found.groupBy(*keys).agg(F.max(F.when(F.col("b") == 0, F.col("t"))).alias("s"), F.collect_list(F.when(F.col("b") > 0, F.col("t"))).alias("_t"))
+        beyond = (lambda t: t >= F.col("s") - permutation.SLACK) if tail == "high" else (lambda t: t <= F.col("s") + permutation.SLACK)
+        of = {at: plan for plan, nodes in plans.items() for at in nodes}
+        for r in seen.select(*keys, F.round("s", 12).alias("s"), F.size(F.filter("_t", beyond)).alias("hits")).collect():
+            n, level = of[r["tree_id"], r["node"]]
+            out.setdefault((r["tree_id"], r["node"]), []).append((r[key], r["s"], (r["hits"] + 1) / (n + 1.0), level))
+        return out
+    found, parts = stage(found, "statistics"), []
     for (n, level), nodes in sorted(plans.items()):
-        some = found.join(spark.createDataFrame(nodes, "tree_id int, node long"), by)
-        t = permutation.tested(some, n, level, params.confidence, 32, params.early_stopping, by)
-        out.append(t.select(*by, "feature", "p_value", F.lit(level).alias("level")))
-    observed = found.where("b = 0").select(*by, "feature", F.col("t").alias("s"))
-    tests = stage(reduce(DataFrame.unionByName, out).join(observed, [*by, "feature"]), "tests")
+        some = found.join(F.broadcast(spark.createDataFrame(nodes, "tree_id int, node long")), by)
+        t = permutation.stopped(some, max(n, math.ceil(1 / level)), keys, params.early_stopping, level, params.confidence, every, tail)
+        parts.append(t.select(*keys, F.round("statistic", 12).alias("s"), "p_value", F.lit(level).alias("level")))
+    for r in reduce(DataFrame.unionByName, parts).collect():
+        out.setdefault((r["tree_id"], r["node"]), []).append((r[key], r["s"], r["p_value"], r["level"]))
     release(found)
-    return tests
+    return out
 
 
-def _packed_threshold_statistics(model, one, at, n, params, by) -> DataFrame:
-    tests: dict[tuple, list] = {}
-    for r in at.orderBy(*by, "feature", "threshold").collect():
-        tests.setdefault((r["tree_id"], r["node"]), []).append(("x", r["threshold"]))
-    most = max(model.nodes[k].n for k in tests)
-    found = resampling.in_blocks(one, by, ["x"], tests, dict.fromkeys(tests, n), most, len(model.classes), params.seed + 1, params.criterion)
-    return found.drop("feature").join(one.select(*by, "feature").distinct(), by)
+def _first_accepted(tests: list[tuple], order, stop: bool) -> tuple[tuple | None, list[tuple]]:
+    """What :func:`permutation.first_accepted` rejects of a node's tests (key, statistic, p-value, level), and the tests taken that fail."""
+    tests = sorted(tests, key=order if stop else lambda r: (r[2], *order(r)))
+    first = next((i for i, r in enumerate(tests) if r[2] < r[3]), None)
+    taken = tests[: first + 1] if stop and first is not None else tests
+    return None if first is None else tests[first], [r for r in taken if r[2] >= r[3]]
 
 
-def _threshold_tests(spark, model, one, sweep, params, by) -> DataFrame:
-    """(*by, feature, threshold, impurity, p_value) of the accepted thresholds: all of a node's are tested under its level."""
+def _threshold_tests(spark, model, one, sweep, params, by) -> list[dict]:
+    """tree_id, node, feature, threshold, impurity and p_value of the accepted thresholds: all of a node's are tested under its level."""
     sweep = stage(sweep.where((F.col("n_left") >= params.min_leaf) & (F.col("n_right") >= params.min_leaf)).select(*by, "feature", "threshold", "impurity"), "sweep")
     sizes: dict[int, list] = {}
     for r in sweep.groupBy(*by).count().collect():
         sizes.setdefault(r["count"], []).append((r["tree_id"], r["node"]))
-    parts = []
-    for k, nodes in sorted(sizes.items()) or [(1, [])]:
+    fit = [k for k in sizes if "block" in one.columns and 0 < k <= PACKED_THRESHOLDS]
+    out, parts = _packed_threshold_tests(spark, model, one, sweep, {k: sizes.pop(k) for k in fit}, params, by) if fit else [], []
+    for k, nodes in sorted(sizes.items()) or ([] if fit else [(1, [])]):
         some = spark.createDataFrame(nodes, "tree_id int, node long")
         n, level = _resamples(params.threshold_budget, params.alpha_threshold, k, params.adjust_threshold)
-        at, found = sweep.join(some, by).select(*by, "feature", "threshold"), None
-        if "block" in one.columns and 0 < k <= PACKED_THRESHOLDS:
-            found = _packed_threshold_statistics(model, one.join(F.broadcast(some), by), at, max(n, math.ceil(1 / level)) if params.early_stopping else n, params, by)
-        t = permutation.threshold_test(one.join(F.broadcast(some), by), at, n, params.seed + 1, params.criterion, by, params.early_stopping, level, params.confidence, found)
+        at = sweep.join(some, by).select(*by, "feature", "threshold")
+        t = permutation.threshold_test(one.join(F.broadcast(some), by), at, n, params.seed + 1, params.criterion, by, params.early_stopping, level, params.confidence)
         parts.append(t.select(*by, "feature", "threshold", "p_value", F.lit(level).alias("level")))
-    tests = reduce(DataFrame.unionByName, parts).join(sweep, [*by, "feature", "threshold"])
-    least = [F.round("impurity", 12), "threshold"]
-    random = [F.md5(F.concat_ws("|", F.lit(f"{params.seed}|s"), *by, F.col("threshold").cast("string")))]
-    order = (least if params.threshold_scanning else random) if params.early_stopping else ["p_value", *least]
-    return permutation.first_accepted(tests, by, order, F.col("level"), params.early_stopping is not None).where("reject").select(*by, "feature", "threshold", "impurity", "p_value")
+    if parts:
+        tests = reduce(DataFrame.unionByName, parts).join(sweep, [*by, "feature", "threshold"])
+        least = [F.round("impurity", 12), "threshold"]
+        random = [F.md5(F.concat_ws("|", F.lit(f"{params.seed}|s"), *by, F.col("threshold").cast("string")))]
+        order = (least if params.threshold_scanning else random) if params.early_stopping else ["p_value", *least]
+        taken = permutation.first_accepted(tests, by, order, F.col("level"), params.early_stopping is not None)
+        out += [r.asDict() for r in taken.where("reject").select(*by, "feature", "threshold", "impurity", "p_value").collect()]
+    release(sweep)
+    return out
+
+
+def _packed_threshold_tests(spark, model, one, sweep, sizes, params, by) -> list[dict]:
+    """:func:`_threshold_tests` of the nodes ``sizes``, by their numbers of thresholds, from rows in blocks and all nodes at once."""
+    plans, of = {}, {}
+    for k, nodes in sizes.items():
+        plans.setdefault(_resamples(params.threshold_budget, params.alpha_threshold, k, params.adjust_threshold), []).extend(nodes)
+    nodes = spark.createDataFrame([at for v in plans.values() for at in v], "tree_id int, node long")
+    random = F.md5(F.concat_ws("|", F.lit(f"{params.seed}|s"), *by, F.col("threshold").cast("string")))
+    for r in sweep.join(F.broadcast(nodes), by).withColumns({"_least": F.round("impurity", 12), "_random": random}).collect():
+        of.setdefault((r["tree_id"], r["node"]), {})[r["threshold"]] = r.asDict()
+    budgets = {at: max(n, math.ceil(1 / level)) if params.early_stopping else n for (n, level), v in plans.items() for at in v}
+    tests = {at: [("x", t) for t in sorted(v)] for at, v in of.items()}
+    rows = one.join(F.broadcast(nodes), by).withColumn("xs", F.array("x"))
+    found = resampling.in_blocks(rows, by, ["x"], tests, budgets, max(model.nodes[at].n for at in tests), len(model.classes), params.seed + 1, params.criterion)
+    out = []
+    for at, v in _pvalues(spark, found, "threshold", plans, params, by, 1, "low").items():
+        scan = lambda r: (of[at][r[0]]["_random"],) if params.early_stopping and not params.threshold_scanning else (of[at][r[0]]["_least"], r[0])  # noqa: E731, B023
+        accepted, _ = _first_accepted(v, scan, params.early_stopping is not None)
+        if accepted:
+            out.append(of[at][accepted[0]] | {"p_value": accepted[2]})
+    return out
 
 
 def _impurity_at(rows: DataFrame, keys: list[str], criterion: str) -> DataFrame:
