@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import association
 from ..functions.distributions import budget
 from ..functions.impurity import value_impurity
-from ..sources.stages import release, stage
+from ..sources.stages import release, small, stage
 from . import permutation, resampling
 from .splits import best_split, bits, entropy_sweep, gini_sweep, mae_sweep, mse_sweep, thresholds
 
@@ -314,7 +314,7 @@ def grow(df: DataFrame, row_id: str, features: list[str], target: str, params: T
     if clf and params.selector == "mc" and params.feature_budget is not None:
         # tests by products read rows as they are, which need a block and the number of their class
         drawn = rows if sample is None or params.honesty else stage(rows, "drawn")
-        packed = resampling.blocked(drawn, by)
+        packed = resampling.blocked(drawn, by, classes)
         assigned = stage(drawn if packed is None else packed.select(*by, "row_id", "y", "code", "block", F.array(*features).alias("xs")), "level")
         release(*([] if drawn is rows else [drawn]))
     else:
@@ -342,7 +342,7 @@ def grow(df: DataFrame, row_id: str, features: list[str], target: str, params: T
             for child in (node.left, node.right):
                 fresh.append((t, child, n))
                 muted[t, child] = muted.get((t, n), frozenset()) | failed.get((t, n), frozenset())
-        plan = spark.createDataFrame([(*r[:2], features.index(r[2]) + 1, *r[2:]) for r in plan], "tree_id int, node long, _at int, feature string, threshold double, _l long, _r long")
+        plan = small(spark, [(*r[:2], features.index(r[2]) + 1, *r[2:]) for r in plan], "tree_id int, node long, _at int, feature string, threshold double, _l long, _r long")
         routed = assigned.join(F.broadcast(plan), by)
         routed = routed.withColumn("node", F.when(_value(assigned, features) <= F.col("threshold"), F.col("_l")).otherwise(F.col("_r"))).drop("_at", "feature", "threshold", "_l", "_r")
         if depth + 1 == params.max_depth:
@@ -411,11 +411,10 @@ def _resamples(kind: int | str, alpha: float, tests: int, adjust: bool) -> tuple
 
 def _choose(spark, model, rows, by, open_nodes, features, params, clf, muted) -> tuple[dict, dict]:
     """Stage A and stage B of all open nodes of a level: (tree, node) to (feature, threshold), and to the features that failed."""
+    if "block" in rows.columns:
+        return _choose_packed(spark, model, rows, by, open_nodes, features, params, muted)
     todo = spark.createDataFrame(open_nodes, "tree_id int, node long")
-    packed = "block" in rows.columns
     rows = rows.join(F.broadcast(todo), by)  # by key, all rows of a node would meet in one task
-    if packed:
-        return _choose_packed(spark, model, rows, by, features, params, muted)
     gone = [(t, n, f) for t, n in open_nodes for f in muted.get((t, n), ())]
     gone = spark.createDataFrame(gone, "tree_id int, node long, feature string") if gone else None
     long = rows.unpivot(["tree_id", "node", "row_id", "y"], features, "feature", "x")
@@ -505,12 +504,13 @@ def _digest(*parts) -> str:
     return md5("|".join(map(str, parts)).encode()).hexdigest()
 
 
-def _choose_packed(spark, model, rows, by, features, params, muted) -> tuple[dict, dict]:
+def _choose_packed(spark, model, rows, by, open_nodes, features, params, muted) -> tuple[dict, dict]:
     """:func:`_choose` from wide rows and all nodes at once; what is known of a node's features is part of the model, and on the driver."""
     cells = rows.select(*by, F.posexplode("xs").alias("_at", "x")).groupBy(*by, "_at").agg(F.min("x").alias("a"), F.max("x").alias("z"))
-    tests: dict[tuple, list] = {}
+    tests: dict[tuple, list] = {at: [] for at in open_nodes}
     for r in cells.where("a < z").select(*by, "_at").collect():
-        tests.setdefault((r["tree_id"], r["node"]), []).append(features[r["_at"]])
+        if (r["tree_id"], r["node"]) in tests:
+            tests[r["tree_id"], r["node"]].append(features[r["_at"]])
     plans, budgets = {}, {}
     for at, varied in list(tests.items()):
         left = [f for f in varied if f not in muted.get(at, ())]
@@ -536,7 +536,7 @@ def _choose_packed(spark, model, rows, by, features, params, muted) -> tuple[dic
             failed[at] = frozenset(r[0] for r in out)
     if not best:
         return {}, failed
-    chosen = spark.createDataFrame([(*at, features.index(f) + 1, f) for at, (f, _) in best.items()], "tree_id int, node long, _at int, feature string")
+    chosen = small(spark, [(*at, features.index(f) + 1, f) for at, (f, _) in best.items()], "tree_id int, node long, _at int, feature string")
     one = rows.join(F.broadcast(chosen), by).select(*by, "row_id", "y", "code", "block", "feature", _value(rows, features).alias("x"))
     return _split(spark, model, stage(one, "feature"), by, params, best), failed
 
@@ -602,7 +602,7 @@ def _packed_threshold_tests(spark, model, one, sweep, sizes, params, by) -> list
     plans, of = {}, {}
     for k, nodes in sizes.items():
         plans.setdefault(_resamples(params.threshold_budget, params.alpha_threshold, k, params.adjust_threshold), []).extend(nodes)
-    nodes = spark.createDataFrame([at for v in plans.values() for at in v], "tree_id int, node long")
+    nodes = small(spark, [at for v in plans.values() for at in v], "tree_id int, node long")
     random = F.md5(F.concat_ws("|", F.lit(f"{params.seed}|s"), *by, F.col("threshold").cast("string")))
     for r in sweep.join(F.broadcast(nodes), by).withColumns({"_least": F.round("impurity", 12), "_random": random}).collect():
         of.setdefault((r["tree_id"], r["node"]), {})[r["threshold"]] = r.asDict()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sylvaspark.functions import association
 from sylvaspark.operators import permutation, resampling, splits, trees
+from sylvaspark.sources import stages
 
 
 def rows(spark, classes):
@@ -45,6 +46,15 @@ def test_digests_are_those_of_the_library():
     assert all(f"{h:016x}{v:016x}" == hashlib.md5(b"0|31|%d" % i).hexdigest() for i, h, v in zip(numbers, high, low))
 
 
+def test_orders_are_those_of_the_library():
+    texts = [b"%d" % (i % 3000) for i in range(4000)] + ["é".encode(), b"", b"z" * 60]
+    for prefix in (b"0|7|", b"12|1234567|"):
+        assert resampling.Digests(texts).order(prefix).tolist() == sorted(range(len(texts)), key=lambda i: hashlib.md5(prefix + texts[i]).digest())  # noqa: B023
+    ids = np.array(["b", "é", "a\0", "a", "", "10", "9"], object)
+    at, found = resampling._by_id(ids)
+    assert found == sorted(t.encode() for t in ids) == [ids[i].encode() for i in at]
+
+
 def test_rows_that_do_not_fit_take_windows(spark):
     r = rows(spark, 2)
     assert resampling.statistics(r.where("NOT (row_id = 'r3' AND feature = 'a')"), 3, 0, "mc", ["node"]) is None
@@ -88,6 +98,22 @@ def test_trees_test_wide_rows(spark, monkeypatch, stopping, depth):
             assert a[name] is b[name] or a[name] == pytest.approx(b[name], abs=1e-9)
 
 
+def test_tests_of_trees_write_rows_and_thresholds_only(spark, monkeypatch):
+    df = spark.createDataFrame([(f"r{i}", i % 3, float(i % 3 + i % 7), float(i % 5)) for i in range(120)], "id string, y int, a double, b double")
+    written = []
+    for module in (trees, resampling):
+        monkeypatch.setattr(module, "stage", lambda t, name: written.append((name, len(t.columns))) or stages.stage(t, name))
+    m = trees.grow(df, "id", ["a", "b"], "y", trees.TreeParams(max_depth=1, min_leaf=5, n_resamples=20, threshold_method="histogram", max_thresholds=4))
+    assert len(m.nodes) == 3 and [name for name, _ in written] == ["level", "feature", "sweep"]
+    assert written[0] == ("level", 7)  # the features are one column
+
+
+def test_small_tables(spark):
+    row = (3, 2**60 + 1, "é \"'", 0.1 + 0.2, None)
+    t = stages.small(spark, [row, (1, -1, "", -1e-300, 2.0)], "a int, `b` bigint, c string, d double, e double")
+    assert list(map(tuple, t.collect())) == [row, (1, -1, "", -1e-300, 2.0)] and [k for _, k in t.dtypes] == ["int", "bigint", "string", "double", "double"]
+
+
 def test_rows_that_have_no_blocks(spark):
     r = rows(spark, 3).where("feature = 'a'").select("node", "row_id", "y")
     assert {"code", "block"} <= set(resampling.blocked(r, ["node"]).columns)
