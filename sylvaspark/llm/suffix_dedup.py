@@ -17,8 +17,8 @@ Burrows-Wheeler transform of its strings (rotations sorted by prefix doubling,
 bounded by the window's length); shards are merged by iterative interleave
 refinement (Holt and McMillan, 2014): starting from the plain concatenation of the
 shards' orders, a stable sort by the transforms' symbols refines the interleave, up to
-four symbols a round, without sorting suffixes again.  The round at which two
-neighbours part, told from the transforms' own symbols, gives their common prefix; neighbours whose common prefix
+four symbols a round, without sorting suffixes again; it holds the suffixes that windows are ordered by, and
+ends with the windows.  The round at which two neighbours part, told from the transforms' own symbols, gives their common prefix; neighbours whose common prefix
 reaches ``length`` are in one repeated interval.  In each interval all occurrences but the earliest are marked.
 
 Marked windows return to their texts as intervals, and the remaining bytes are
@@ -98,22 +98,41 @@ def segments(body: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(anchors), np.concatenate(firsts), np.concatenate(sizes)
 
 
-def _codes(symbols: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """The symbols in front of each position, several at once, as dense codes that sort as they do.
+def _ranked(order: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """Dense ranks of positions that stand in ``order`` by their keys, and the number of ranks."""
+    new = np.zeros(len(order) - 1, bool)
+    for k in keys:
+        held = k[order]
+        new |= held[1:] != held[:-1]
+    place = np.zeros(len(order), np.int64)
+    np.cumsum(new, out=place[1:])
+    rank = np.empty(len(order), np.uint16 if place[-1] < 1 << 16 else np.int64)
+    rank[order] = place
+    return rank, int(place[-1]) + 1
 
-    ``before`` is the position in front of each, round its own string.  The number of symbols in a code is the
-    largest of 4, 2 and 1 with at most 65,536 codes, which NumPy sorts by radix; also returns the position that many in front.
+
+def _pairs(symbols: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, int]:
+    """Two symbols at once, ``after`` being those that follow, as dense codes that sort as they do; and the number of codes."""
+    code = symbols.astype(np.int64) * 257 + after
+    there = np.zeros(257 * 257, bool)
+    there[code] = True
+    dense = np.cumsum(there) - 1
+    n = int(dense[-1]) + 1
+    return dense.astype(np.uint16 if n <= 1 << 16 else np.int64)[code], n
+
+
+def _codes(symbols: np.ndarray) -> tuple[np.ndarray, int]:
+    """The symbols from each position on, several at once, as dense codes that sort as they do, and how many.
+
+    That number is the largest of 4, 2 and 1 with at most 65,536 codes, which NumPy sorts by radix.  Codes past the end are padded.
     """
-    at, code = before, symbols[before].astype(np.int64)
-    best = code.astype(np.uint16), at, 1
-    for width in (2, 4):
-        code = code[at] * (int(code.max()) + 1) + code
-        at = at[at]
-        values, code = np.unique(code, return_inverse=True)
-        if len(values) > 1 << 16:
-            break
-        best = code.astype(np.uint16), at, width
-    return best
+    pair, n = _pairs(symbols, np.append(symbols[1:], 0))
+    if n > 1 << 16:
+        return symbols, 1
+    after = np.append(pair[2:], [0] * min(2, len(pair))).astype(np.uint16)
+    order = np.argsort(after, kind="stable")
+    four, n = _ranked(order[np.argsort(pair[order], kind="stable")], pair, after)
+    return (pair, 2) if n > 1 << 16 else (four, 4)
 
 
 class Shard:
@@ -129,64 +148,61 @@ class Shard:
         n = len(self.symbols)
         self.ends = cut + np.arange(len(texts))
         self.starts = np.concatenate([[0], self.ends[:-1] + 1])
+        self.before = np.arange(-1, n - 1)
+        self.before[self.starts] = self.ends
         after = np.arange(1, n + 1)
         after[self.ends] = self.starts
-        small = n <= 1 << 16  # then ranks fit the sixteen bits that NumPy sorts by radix
-        rank, width = self.symbols, 1
-        while True:  # prefix doubling
-            second = rank[after]
-            if small:
-                order = np.argsort(second, kind="stable")
-                order = order[np.argsort(rank[order], kind="stable")]
-            else:
-                order = np.lexsort((second, rank))
-            a, b = rank[order], second[order]
-            place = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
-            rank = np.empty(n, np.uint16 if small else np.int64)
-            rank[order] = place
-            after, width = after[after], width * 2
-            if width >= depth or place[-1] == n - 1:
-                break
+        rank, different = _pairs(self.symbols, self.symbols[after])
+        order, width = np.argsort(rank, kind="stable"), 2
+        before, after = self.before[self.before], after[after]
+        while width < depth and different < n:  # prefix doubling
+            # in front of the ordered suffixes stand suffixes that are in the order of their second halves
+            order = before[order]
+            order = order[np.argsort(rank[order], kind="stable")]
+            rank, different = _ranked(order, rank, rank[after])
+            before, after, width = before[before], after[after], width * 2
         self.order = order
-        self.before = np.arange(-1, n - 1)
-        self.before[self.starts] = self.ends
 
 
 def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, common) of all suffixes in merged order; a place counts through the shards' symbols one after the other.
+    """(place, common) of all windows of ``depth`` symbols in merged order; a place counts through the shards' symbols one after the other.
 
     The interleave starts as the shards' orders one after the other and is refined by the
     transforms: in each round the suffixes stand in the order of their first r symbols, each
     is preceded by the symbols of its transform, and a stable sort by these gives the order
-    of the suffixes that begin there.  The shards' suffixes are never compared to order them.  In the end neighbours are
-    compared by the same codes, a round's symbols at a time and as long as they agree: ``common`` is the number of symbols that a
-    suffix shares with the one before it, at most ``depth`` and rounded down to a round's symbols.
+    of the suffixes that begin there.  The shards' suffixes are never compared to order them.  A window's order comes from
+    the suffixes that begin in it and behind it, so it starts with those that have ``depth`` symbols of their string in front and
+    takes no other along: none of them passes its string's beginning, and the positions in front are counted, not looked up.
+    In the end neighbours are compared by the same codes, a round's symbols at a time and as long as they agree: ``common`` is the
+    number of symbols that a window shares with the one before it, rounded down to a round's symbols.
     """
     sizes = np.array([len(s.symbols) for s in shards])
     base = np.concatenate([[0], np.cumsum(sizes)])
     symbols = np.concatenate([s.symbols for s in shards])
-    before = np.concatenate([s.before + b for s, b in zip(shards, base)])
-    code, jump, width = _codes(symbols, before)
+    code, width = _codes(symbols)
     if depth % width:
-        code, jump, width = symbols[before].astype(np.uint16), before, 1
+        code, width = symbols, 1
+    begin = np.concatenate([s.starts + b for s, b in zip(shards, base)])
+    inner = np.arange(len(symbols)) - np.repeat(begin, np.diff(np.append(begin, len(symbols)))) >= depth
     now = np.concatenate([s.order + b for s, b in zip(shards, base)])
+    now = now[inner[now]]
     for _ in range(depth // width):
-        now = jump[now[np.argsort(code[now], kind="stable")]]
-    on = np.empty_like(jump)
-    on[jump] = np.arange(len(jump))  # the position ``width`` symbols on
+        now -= width
+        now = now[np.argsort(code[now], kind="stable")]
     common = np.full(len(now), depth, np.int32)
-    common[0] = 0
+    common[:1] = 0
     alike, left, right = np.arange(1, len(now)), now[:-1], now[1:]
     for r in range(depth // width):
-        left, right = on[left], on[right]
         agree = code[left] == code[right]
-        common[alike[~agree]] = r * width
-        alike, left, right = alike[agree], left[agree], right[agree]
+        if not agree.all():
+            common[alike[~agree]] = r * width
+            alike, left, right = alike[agree], left[agree], right[agree]
+        left, right = left + width, right + width
     return now, common
 
 
 def windows(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, interval) of all windows of ``length`` bytes; equal windows, and only they, share an interval."""
+    """(text, start, interval) of all windows of ``length`` bytes, by text and start; equal windows, and only they, share an interval."""
     shards, held, at = [], [], 0
     for t in texts:
         if held and at + len(t) + len(held) > SHARD:
@@ -197,12 +213,13 @@ def windows(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.nd
     if held:
         shards.append(Shard(held, length))
     place, common = merge(shards, length)
-    interval = np.cumsum(common < length) - 1
-    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    text = np.searchsorted(starts, place, "right") - 1
-    start = place - starts[text]
-    whole = start + length <= np.array([len(t) for t in texts])[text]
-    return text[whole], start[whole], interval[whole]
+    sizes = np.array([len(t) for t in texts])
+    n = np.maximum(sizes - length + 1, 0)
+    text = np.repeat(np.arange(len(texts)), n)
+    start = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    shared = np.empty(int((sizes + 1).sum()), np.int64)
+    shared[place] = np.cumsum(common < length) - 1
+    return text, start, shared[np.repeat(np.cumsum(sizes + 1) - sizes - 1, n) + start]
 
 
 def marked(segment: np.ndarray, texts: list[bytes], tid: np.ndarray, first_id: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,25 +236,26 @@ def marked(segment: np.ndarray, texts: list[bytes], tid: np.ndarray, first_id: n
     smallest = np.full(int(interval.max()) + 1, _LAST)
     np.minimum.at(smallest, interval, least[text])
     # each window of the segments' earliest occurrences
-    order = np.lexsort((start, text))
-    text, start, interval = text[order], start[order], interval[order]
-    cut = np.searchsorted(text, np.arange(len(texts) + 1))
+    cut = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(texts)))])
     mine = np.flatnonzero(~later)
     n = np.diff(cut)[segment[mine]]
     occurrence = np.repeat(mine, n)
     window = np.repeat(cut[segment[mine]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    v, place, owner = interval[window], at[occurrence] + start[window], tid[occurrence]
+    v, place = interval[window], at[occurrence] + start[window]
     flag = first_id[occurrence] > smallest[v]
-    often = np.flatnonzero(np.bincount(v, minlength=len(smallest))[v] > 1)
-    order = often[np.lexsort((place[often], owner[often], v[often]))]
-    same = (v[order][1:] == v[order][:-1]) & (owner[order][1:] == owner[order][:-1]) & (place[order][1:] > place[order][:-1])
+    # the rest are in documents of the smallest identifier: there, all but the first place in each
+    rest = np.flatnonzero(~flag)
+    often = rest[np.bincount(v[rest], minlength=len(smallest))[v[rest]] > 1]
+    order = often[np.lexsort((place[often], tid[occurrence[often]], v[often]))]
+    owner = tid[occurrence[order]]
+    same = (v[order][1:] == v[order][:-1]) & (owner[1:] == owner[:-1]) & (place[order][1:] > place[order][:-1])
     flag[order[1:][same]] = True
     hit = np.flatnonzero(flag)
     if len(hit):
         new = np.concatenate([[True], (occurrence[hit][1:] != occurrence[hit][:-1]) | (place[hit][1:] != place[hit][:-1] + 1)])
         begin = hit[new]
         end = hit[np.concatenate([new[1:], [True]])]
-        out.append((owner[begin], place[begin], place[end] + length))
+        out.append((tid[occurrence[begin]], place[begin], place[end] + length))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 

@@ -494,6 +494,38 @@ def test_merged_intervals_are_the_equal_windows(monkeypatch):
         assert len(seen) == len({t[i : i + 8] for t in texts for i in range(len(t) - 7)})
 
 
+def brute_common(a, b, depth):
+    return next((i for i in range(depth) if a[i] != b[i]), depth)
+
+
+@pytest.mark.parametrize("letters, longest, depth", [(b"ab", 60, 8), (b"abcdefgh", 180, 100), (bytes(range(256)), 40_000, 100), (b"xyz", 90, 10)])
+def test_merge_orders_windows_and_takes_no_other_along(letters, longest, depth):
+    rng = random.Random(len(letters))
+    texts = [bytes(rng.choices(letters, k=rng.randint(longest // 2, longest))) for _ in range(7)]
+    texts += [texts[0], texts[1][5:], texts[2] + texts[3][: longest // 3], b"a" * (depth - 1), b"\x00" * depth, b"\xff" * (depth + 3), b""]
+    place, common = suffix_dedup.merge([suffix_dedup.Shard(texts[a : a + 5], depth) for a in range(0, len(texts), 5)], depth)
+    joined = b"".join(t + b"\0" for t in texts)
+    at, want = 0, []
+    for t in texts:
+        want += range(at, at + max(0, len(t) - depth + 1))
+        at += len(t) + 1
+    assert sorted(place.tolist()) == want
+    found = [joined[p : p + depth] for p in place.tolist()]
+    assert found == sorted(found)
+    exact = [0] + [brute_common(a, b, depth) for a, b in zip(found, found[1:])]
+    assert all(e - 4 < c <= e for c, e in zip(common.tolist(), exact)) and [c == depth for c in common.tolist()] == [e == depth for e in exact]
+
+
+def test_search_sorts_few_times_what_it_reads(monkeypatch):
+    rng = random.Random(3)
+    texts = [bytes(rng.choices(b"abcdefghijklmnop ", k=rng.randint(100, 170))) for _ in range(400)]
+    texts += [t[10:] for t in texts[::2]]
+    sizes, plain = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: sizes.append(len(x)) or plain(x, *a, **k))
+    suffix_dedup.windows(texts)
+    assert sum(sizes) < 20 * sum(len(t) + 1 for t in texts)  # 31 when the merge took every suffix along, 11 with windows alone
+
+
 def brute_scores(rows):
     texts = [(d, (t or "").split()) for d, t in rows]
     one, two = Counter(w for _, ws in texts for w in ws), Counter(p for _, ws in texts for p in zip(ws, ws[1:]))
