@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.stages import release, shared_dir
+from ..sources.stages import PLAIN_FILES, release, shared_dir
 
 __all__ = ["ARROW_ROWS", "chunks", "materialize", "release", "settings", "shared_dir", "signed", "slices", "table", "text_bytes"]
 
@@ -48,7 +48,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     with settings(spark, spark__sql__shuffleDependency__fileCleanup__enabled="true", spark__sql__execution__arrow__maxRecordsPerBatch=str(ARROW_ROWS)):
-        df.write.parquet(at)
+        df.write.options(**PLAIN_FILES).parquet(at)
     back = spark.read.schema(df.schema).parquet(at)
     back._written_at = at
     return back

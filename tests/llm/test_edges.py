@@ -1,10 +1,12 @@
 """Values on awkward rows: nulls, empty and very long texts, ties, repeated rows, empty tables and columns whose names clash."""
 
 import hashlib
+from pathlib import Path
 
 import pytest
 
-from sylvaspark.llm import bpe, exact_dedup, html_extract, jaccard_join, lm_score, mixing, quality, suffix_dedup, tiff, url_filter
+from sylvaspark.llm import bpe, common, exact_dedup, html_extract, jaccard_join, lm_score, mixing, quality, suffix_dedup, tiff, url_filter
+from sylvaspark.sources import stages
 
 LONG = "alpha beta gamma delta " * 8000
 BIG = 2**63 - 1
@@ -223,3 +225,17 @@ def test_statistics_by_definition():
     assert s[2] == pytest.approx(len(set(words)) / 8) and s[3] == pytest.approx(1 / 8) and s[4] == 0
     assert s[6] == pytest.approx(min(1, 4 * 3 / n)) and s[8] == pytest.approx(6 / n) and s[9] == pytest.approx(4 * 2 / n) and s[16] == pytest.approx(2 / 8)
     assert s[13] == pytest.approx(2 / 3) and s[14] == 1 and quality.statistics(b"") == [0.0] * 17
+
+
+def test_stages_have_no_checksum_files(spark):
+    """Hadoop starts a process for each file that a task makes, with an executor's memory shown twice."""
+    rows = spark.range(0, 100, 1, 4)
+    for write in (common.materialize, stages.stage):
+        back = write(rows, "plain")
+        at = Path(back._written_at.removeprefix("file:"))
+        names = [p.name for p in at.iterdir()]
+        assert len([n for n in names if n.startswith("part-")]) == 4 and not [n for n in names if n.endswith(".crc")]
+        assert sorted(r.id for r in back.collect()) == list(range(100))
+        common.release(back)
+        assert not [p.name for p in at.iterdir() if p.name.endswith(".crc")]
+        assert spark.read.schema("id long").parquet(str(at)).isEmpty()
